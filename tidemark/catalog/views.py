@@ -30,7 +30,7 @@ SELECT CAST(l_partkey AS INT) AS key_id, CAST(l_linenumber AS INT) AS duration_c
        CAST(l_shipdate AS DATE) AS filed, l_orderkey AS accn FROM lineitem""",
     "px": """
 SELECT CAST(n_regionkey AS INT) AS ticker, CAST(l_shipdate AS DATE) AS d,
-       round(avg(l_extendedprice/l_quantity), 8) AS px
+       round(sum(l_extendedprice), 2) / sum(l_quantity) AS px
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2""",
     "releases": """
 SELECT CAST(o_orderkey AS INT) AS accn, CAST(o_custkey % 100 AS INT) AS cik, CAST(o_orderdate AS DATE) AS filed,
@@ -95,7 +95,7 @@ def px(spark: SparkSession, sf: str) -> DataFrame:
         .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .groupBy(F.col("n_regionkey").cast("int").alias("ticker"), F.col("l_shipdate").cast("date").alias("d"))
-        .agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 8).alias("px"))
+        .agg((F.round(F.sum("l_extendedprice"), 2) / F.sum("l_quantity")).alias("px"))
     )
 
 

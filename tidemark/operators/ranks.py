@@ -27,11 +27,6 @@ def _before(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _with_total(df: DataFrame, keys: Sequence[str], totals: DataFrame, name: str) -> DataFrame:
-    """Adds a group total; for the whole table it is a scalar subquery."""
-    return df.join(totals, list(keys)) if keys else df.withColumn(name, totals.scalar())
-
-
 def distinct_prefix(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
     """One row per (keys, value): its weight ``w`` and ``before``, the weight of all smaller values of the group.
 
@@ -46,8 +41,12 @@ def distinct_prefix(df: DataFrame, keys: Sequence[str], value: str, weight: Colu
         .withColumn("_cell", value_cell(F.col(value)))
     )
     totals = vals.groupBy(*keys, "_cell").agg(F.sum("w").alias("_cw"))
-    by_group = Window.partitionBy(*keys).orderBy("_cell") if keys else Window.partitionBy(F.lit(0)).orderBy("_cell")
-    totals = totals.withColumn("_base", F.coalesce(F.sum("_cw").over(_before(by_group)), F.lit(0.0))).drop("_cw")
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    totals = (
+        totals.withColumn("_base", F.coalesce(F.sum("_cw").over(_before(part.orderBy("_cell"))), F.lit(0.0)))
+        .withColumn("n", F.sum("_cw").over(part))
+        .drop("_cw")
+    )
     inside = Window.partitionBy(*keys, "_cell").orderBy(value)
     local = vals.withColumn("_in", F.coalesce(F.sum("w").over(_before(inside)), F.lit(0.0)))
     return (
@@ -60,13 +59,10 @@ def distinct_prefix(df: DataFrame, keys: Sequence[str], value: str, weight: Colu
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, size: str | None = None) -> DataFrame:
     """Adds the rank of ``value`` in its group with ties averaged (null for a null value); ``size`` adds the group count."""
     keys = list(keys)
-    ranked = distinct_prefix(df, keys, value).select(
-        *keys, value, (F.col("before") + (F.col("w") + 1) / 2).alias(out)
-    )
-    got = df.join(ranked, [*keys, value], "left")
+    cols = [(F.col("before") + (F.col("w") + 1) / 2).alias(out)]
     if size:
-        got = _with_total(got, keys, df.groupBy(*keys).agg(F.count(value).alias(size)), size)
-    return got
+        cols.append(F.col("n").cast("long").alias(size))
+    return df.join(distinct_prefix(df, keys, value).select(*keys, value, *cols), [*keys, value], "left")
 
 
 def running_before(
@@ -98,27 +94,38 @@ def position(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str)
     return running_before(df, keys, value, tie, out="_pos").withColumn(out, (F.col("_pos") + 1).cast("int")).drop("_pos")
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation: one row per group, one column per entry of ``probs``, and ``n``."""
+def percentiles(
+    df: DataFrame, keys: Sequence[str], values: str | Sequence[str], probs: dict[str, float]
+) -> DataFrame:
+    """Exact percentiles with linear interpolation, one row per group, all value columns in one pass.
+
+    Columns are ``<prob name>`` for one value column and ``<value>_<prob name>`` for several, beside ``n`` (per value
+    column ``<value>_n``).
+    """
     keys = list(keys)
-    ranked = distinct_prefix(df, keys, value)
-    sizes = df.groupBy(*keys).agg(F.count(value).cast("double").alias("n"))
-    ranked = _with_total(ranked, keys, sizes, "n")
+    many = not isinstance(values, str)
+    names = list(values) if many else [values]
+    stacked = F.inline(F.array(*[F.struct(F.lit(v).alias("_m"), F.col(v).cast("double").alias("_x")) for v in names]))
+    ranked = distinct_prefix(df.select(*keys, stacked), [*keys, "_m"], "_x")
     aggs = []
-    for name, p in probs.items():
-        at = (F.col("n") - 1) * p
-        low, high = F.floor(at), F.ceil(at)
-
-        def held(pos: Column) -> Column:
-            return F.max(F.when((F.col("before") <= pos) & (pos < F.col("before") + F.col("w")), F.col(value)))
-
-        aggs += [held(low).alias(f"_lo_{name}"), held(high).alias(f"_hi_{name}")]
-    got = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
-    for name, p in probs.items():
-        at = (F.col("n") - 1) * p
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        got = got.withColumn(name, lo + (hi - lo) * (at - F.floor(at))).drop(lo, hi)
-    return got.withColumn("n", F.col("n").cast("long"))
+    for v in names:
+        mine = F.col("_m") == v
+        aggs.append(F.max(F.when(mine, F.col("n"))).alias(f"_n_{v}"))
+        for name, p in probs.items():
+            at = (F.col("n") - 1) * p
+            for tag, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+                holds = mine & (F.col("before") <= pos) & (pos < F.col("before") + F.col("w"))
+                aggs.append(F.max(F.when(holds, F.col("_x"))).alias(f"_{tag}_{v}_{name}"))
+    got = ranked.groupBy(*keys).agg(*aggs)
+    cols = []
+    for v in names:
+        n = F.col(f"_n_{v}")
+        cols.append(n.cast("long").alias(f"{v}_n" if many else "n"))
+        for name, p in probs.items():
+            at = (n - 1) * p
+            lo, hi = F.col(f"_lo_{v}_{name}"), F.col(f"_hi_{v}_{name}")
+            cols.append((lo + (hi - lo) * (at - F.floor(at))).alias(f"{v}_{name}" if many else name))
+    return got.select(*keys, *cols)
 
 
 def quantile_bucket(pos: Column, n: Column, buckets: int = 5) -> Column:
