@@ -107,3 +107,27 @@ def releases(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_totalprice").alias("guide_mid"),
         F.col("o_orderstatus").alias("form"),
     )
+
+
+VIEW_SQL["study"] = """
+SELECT a.cik, a.qn AS cohort, round(a.rev / b.rev - 1, 2) AS sig, round(n.rev / a.rev - 1, 6) AS ret, round(a.rev / p.rev - 1, 6) AS ctrl, a.rev AS size
+FROM fq_rev a JOIN fq_rev b ON a.cik = b.cik AND a.qn = b.qn + 4 JOIN fq_rev n ON a.cik = n.cik AND n.qn = a.qn + 1
+JOIN fq_rev p ON a.cik = p.cik AND p.qn = a.qn - 1"""
+
+
+def study(spark: SparkSession, sf: str) -> DataFrame:
+    """Signal (growth a year), next-quarter return and a control per filer and quarterly cohort."""
+    from tidemark.operators.windows import period_offset
+
+    d = fq_rev(spark, sf)
+    k = ["cik"]
+    r = F.col("rev")
+    d = d.select(
+        "cik",
+        F.col("qn").alias("cohort"),
+        F.round(r / period_offset(r, k, "qn", 4) - 1, 2).alias("sig"),
+        F.round(period_offset(r, k, "qn", -1) / r - 1, 6).alias("ret"),
+        F.round(r / period_offset(r, k, "qn", 1) - 1, 6).alias("ctrl"),
+        r.alias("size"),
+    )
+    return d.where("sig IS NOT NULL AND ret IS NOT NULL AND ctrl IS NOT NULL")
