@@ -490,12 +490,12 @@ def e36(spark, sf):
 @query(
     "e42_overlay_state",
     f"""WITH {_FEAT},
-s AS (SELECT ticker, d, pos, max(CASE WHEN resid_z <= -1.5 THEN pos END) OVER (PARTITION BY ticker ORDER BY d) AS lastpos FROM feat),
+s AS (SELECT ticker, d, pos, max(CASE WHEN resid_z <= -0.15 THEN pos END) OVER (PARTITION BY ticker ORDER BY d) AS lastpos FROM feat),
 t AS (SELECT ticker, d, CASE WHEN pos - lastpos < 126 THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS tgt FROM s)
 SELECT ticker, CAST(d AS VARCHAR) AS d, coalesce(lag(tgt) OVER (PARTITION BY ticker ORDER BY d), CAST(0.5 AS DOUBLE)) AS weight FROM t""",
 )
 def e42(spark, sf):
-    return overlay(features(with_benchmark(spark, sf)), C("resid_z") <= -1.5).select("ticker", day(), "weight")
+    return overlay(features(with_benchmark(spark, sf)), C("resid_z") <= -0.15).select("ticker", day(), "weight")
 
 
 def overlay(d, on, hold=126, base=0.5, over=0.75, keys=P, date="d"):
