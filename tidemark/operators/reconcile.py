@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators import ranks as R
+from tidemark.session import cut_lineage
 
 C = F.col
 GEO_AXIS = "geography (tagged on segment axis)"
@@ -34,7 +35,7 @@ def _first_pairs(d: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
     keys = list(keys)
     t = tolerance(C("total"))
     rest = C("_s") - C("total") - C("value")
-    d = d.withColumn("_hi", rest + t).withColumn("_lo", rest - t)
+    d = cut_lineage(d.withColumn("_hi", rest + t).withColumn("_lo", rest - t))
     marks = d.select(
         *keys,
         F.inline(
@@ -48,7 +49,7 @@ def _first_pairs(d: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
     upto = R.distinct_prefix(marks, keys, "_x", C("_w")).drop("n")
     hi = upto.select(*keys, C("_x").alias("_hi"), (C("before") + C("w")).alias("_nh"))
     lo = upto.select(*keys, C("_x").alias("_lo"), C("before").alias("_nl"))
-    d = d.join(hi, [*keys, "_hi"]).join(lo, [*keys, "_lo"])
+    d = cut_lineage(d.join(hi, [*keys, "_hi"]).join(lo, [*keys, "_lo"]))
     own = C("value").between(C("_lo"), C("_hi")).cast("double")
     able = d.where(C("_nh") - C("_nl") - own > 0)
     first = able.groupBy(*keys).agg(F.min(F.struct(C(member).alias("m"), "_lo", "_hi")).alias("_a"))
@@ -76,7 +77,8 @@ def segment_addup(
 
     def split(df: DataFrame, drop: Column, label: str) -> DataFrame:
         hit = F.coalesce(C("step").isNull() & drop, F.lit(False))
-        return df.withColumn("step", F.when(hit, label).otherwise(C("step"))).drop("_n", "_s", "_fit")
+        # each step reads the members twice (their sums and themselves), so its result is written before the next one
+        return cut_lineage(df.withColumn("step", F.when(hit, label).otherwise(C("step"))).drop("_n", "_s", "_fit", "_m", "_pair"))
 
     def live(df: DataFrame) -> DataFrame:
         kept = df.where(C("step").isNull())
@@ -86,17 +88,17 @@ def segment_addup(
     d = live(d)
     d = split(d, known & (C("_n") > 1) & ~C("_fit") & (F.abs(C("value") - C("total")) <= tol), "equals total")
 
-    d = live(d)
+    d = cut_lineage(live(d))
     open_ = C("step").isNull() & known & (C("_n") > 2) & ~C("_fit")
     alone = open_ & (F.abs(C("_s") - C("value") - C("total")) <= tolerance(C("total"), tol))
     order = F.struct(
         (~F.lower(C(name)).startswith("total")).alias("a"), (-F.abs(C("value"))).alias("b"), C(member).alias("m")
     )
     single = d.where(alone).groupBy(*keys).agg(F.min(order).alias("_o")).select(*keys, C("_o.m").alias("_m"))
-    d = d.join(single, keys, "left")
+    d = cut_lineage(d.join(single, keys, "left"))
     pairs = _first_pairs(d.where(open_ & C("_m").isNull() & (C("_n") >= 4)), keys, member)
     d = d.join(pairs, [*keys, member], "left")
-    d = split(d, (C(member) == C("_m")) | C("_pair"), "subtotal").drop("_m", "_pair")
+    d = split(d, (C(member) == C("_m")) | C("_pair"), "subtotal")
 
     d = live(d)
     d = d.withColumn("_geo", F.coalesce(is_geo, F.lit(False)) & C("step").isNull())
