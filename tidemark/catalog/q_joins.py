@@ -365,7 +365,7 @@ def b28(spark, sf):
     f"""WITH {_HOLD}, tg AS (SELECT 'T' || CAST(n_nationkey AS VARCHAR) AS ticker, (n_regionkey + 1) / 100.0 AS weight FROM nation),
 w AS (SELECT account, ticker, weight * 0.3 * equity AS target FROM ac2 CROSS JOIN tg), hd AS (SELECT account, ticker, sum(value) AS held FROM h WHERE sleeve = 'PICKS' GROUP BY 1, 2),
 j AS (SELECT coalesce(w.account, hd.account) AS account, coalesce(w.ticker, hd.ticker) AS ticker, coalesce(target, 0) AS target, coalesce(held, 0) AS held FROM w FULL JOIN hd ON w.account = hd.account AND w.ticker = hd.ticker)
-SELECT account, ticker, round(target, 6) AS target, round(held, 4) AS held, CASE WHEN target = 0 THEN 'extra' WHEN held < 1 THEN 'missing' ELSE 'held' END AS status, round(greatest(0, target - held), 6) AS to_buy FROM j""",
+SELECT account, ticker, round(target, 8) AS target, round(held, 4) AS held, CASE WHEN target = 0 THEN 'extra' WHEN held < 1 THEN 'missing' ELSE 'held' END AS status, round(greatest(0, target - held), 8) AS to_buy FROM j""",
 )
 def c30(spark, sf):
     h = cut_lineage(holdings(spark, sf))
@@ -374,7 +374,7 @@ def c30(spark, sf):
     )
     b = L.sleeve_rollup(h, SLEEVES).select("account", C("target_picks").alias("budget"))
     d = L.target_vs_held(h.where(C("sleeve") == "PICKS").select("account", "ticker", "value"), t, b)
-    return d.select("account", "ticker", *r6("target"), F.round("held", 4).alias("held"), "status", *r6("to_buy"))
+    return d.select("account", "ticker", F.round("target", 8).alias("target"), F.round("held", 4).alias("held"), "status", F.round("to_buy", 8).alias("to_buy"))
 
 
 _WANT = """wt AS (SELECT CAST(o_custkey % 50 AS INT) AS account, CAST(o_orderkey AS INT) AS id, CAST(o_orderdate AS DATE) AS d, round(o_totalprice / 1000, 0) AS cap, o_totalprice AS want, 4000000.0 AS room FROM orders)"""
