@@ -220,9 +220,9 @@ def concentration_paragraphs(text: Column, extra: int = 2) -> Column:
     hit = F.filter(F.transform(lines, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: x["s"].rlike(cue))
     block = F.transform(
         hit,
-        lambda x: F.concat_ws("\n", x["s"], F.filter(F.slice(lines, x["i"] + 2, extra), lambda s: s.rlike(r"\d\s?%"))),
+        lambda x: F.concat(F.array(x["s"]), F.filter(F.slice(lines, x["i"] + 2, extra), lambda s: s.rlike(r"\d\s?%"))),
     )
-    return F.array_join(F.array_distinct(block), "\n")
+    return F.array_join(F.array_distinct(F.flatten(block)), "\n")
 
 
 def concentration_percents(text: Column) -> Column:
@@ -270,7 +270,7 @@ def checked_results(lines: DataFrame, key: str, line: str) -> DataFrame:
     cells = F.split(C(line), r"\s*\|\s*")
     v = F.transform(F.slice(cells, 2, 5), lambda s: F.regexp_replace(s, "[,%$]", "").try_cast("double"))
     d = lines.where(F.size(cells) == 6).select(key, cells[0].alias("label"), v.alias("v"))
-    now, ago, yoy, prior, qoq = (C("v")[i] for i in range(5))
+    now, ago, yoy, prior, qoq = (F.get("v", F.lit(i)) for i in range(5))
     ok = (F.abs((now / F.nullif(ago, F.lit(0.0)) - 1) * 100 - yoy) <= 0.1) & (F.abs((now / F.nullif(prior, F.lit(0.0)) - 1) * 100 - qoq) <= 0.1)
     return d.where(ok).select(key, "label", now.alias("value"), ago.alias("year_ago"), prior.alias("prior"))
 

@@ -76,8 +76,8 @@ def fact_vintages(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     without facts in the first.
     """
     d = facts.join(F.broadcast(concepts), ["taxonomy", "concept"]).where(C("form").isin(*FACT_FORMS))
-    main = F.max(C("taxonomy") == "us-gaap").over(Window.partitionBy("cik"))
-    d = d.withColumn("_main", main).where((C("taxonomy") == "us-gaap") | ~C("_main"))
+    main = facts.groupBy("cik").agg(F.max(C("taxonomy") == "us-gaap").alias("_main"))
+    d = d.join(main, "cik").where((C("taxonomy") == "us-gaap") | ~C("_main"))
     months = duration_months(C("start"), C("end"))
     value = F.when(C("unit").contains("/shares"), C("val")).otherwise(C("val") / 1e6)
     return d.withColumn("duration_months", months).where(C("duration_months").isNotNull()).select(
