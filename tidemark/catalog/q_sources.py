@@ -416,17 +416,18 @@ def k16(spark, sf):
 
 @query(
     "i23_result_vs_filing_check",
-    "WITH h AS (SELECT cik, qn, CASE WHEN cik % 3 = 0 THEN rev * 1000 WHEN cik % 3 = 1 THEN rev * 1.02 ELSE rev END AS said FROM fq_rev) SELECT h.cik, h.qn, round(CASE WHEN abs(said / 1000 - rev) <= 0.01 * rev THEN said / 1000 ELSE said END, 8) AS headline, CASE WHEN rev IS NULL THEN NULL ELSE CAST(abs(CASE WHEN abs(said / 1000 - rev) <= 0.01 * rev THEN said / 1000 ELSE said END - rev) <= 0.01 * rev AS INT) END AS verified FROM h LEFT JOIN fq_gap g ON g.cik = h.cik AND g.qn = h.qn".replace("rev * 1.02", "rev * 1.0625"),
+    """WITH h AS (SELECT cik, qn, CASE WHEN cik % 3 = 0 THEN rev * 1000 WHEN cik % 3 = 1 THEN rev * 1.0625 ELSE rev END AS said FROM fq_rev),
+x AS (SELECT h.cik, h.qn, said, rev, coalesce(abs(said / 1000 - rev) <= 0.01 * rev, false) AS thousands FROM h LEFT JOIN fq_gap g ON g.cik = h.cik AND g.qn = h.qn)
+SELECT cik, qn, CAST(thousands AS INT) AS thousands, CAST(abs(CASE WHEN thousands THEN said / 1000 ELSE said END - rev) <= 0.01 * rev AS INT) AS verified FROM x""",
 )
 def i23(spark, sf):
     h = V.fq_rev(spark, sf)
     said = F.when(C("cik") % 3 == 0, C("rev") * 1000).when(C("cik") % 3 == 1, C("rev") * 1.0625).otherwise(C("rev"))
-    h = h.select("cik", "qn", said.alias("said"))
-    d = h.join(V.fq_gap(spark, sf), ["cik", "qn"], "left")
-    thousand = F.abs(C("said") / 1000 - C("rev")) <= 0.01 * C("rev")
-    d = d.withColumn("headline", F.when(thousand, C("said") / 1000).otherwise(C("said")))
-    ok = F.abs(C("headline") - C("rev")) <= 0.01 * C("rev")
-    return d.select("cik", "qn", F.round("headline", 8).alias("headline"), ok.cast("int").alias("verified"))
+    d = h.select("cik", "qn", said.alias("said")).join(V.fq_gap(spark, sf), ["cik", "qn"], "left")
+    d = d.withColumn("thousands", F.coalesce(F.abs(C("said") / 1000 - C("rev")) <= 0.01 * C("rev"), F.lit(False)))
+    headline = F.when(C("thousands"), C("said") / 1000).otherwise(C("said"))
+    ok = F.abs(headline - C("rev")) <= 0.01 * C("rev")
+    return d.select("cik", "qn", C("thousands").cast("int").alias("thousands"), ok.cast("int").alias("verified"))
 
 
 @query(

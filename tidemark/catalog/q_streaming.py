@@ -78,10 +78,11 @@ def l05(spark, sf):
 
 @query(
     "l07_new_list_entries",
-    "SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' AND event_type = 'purchase')",
+    "SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-03 00:00:00' AND event_type = 'purchase')",
 )
 def l07(spark, sf):
     e = V.table(spark, sf, "events")
     cut = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
-    old = e.where((C("ts") < cut) & (C("event_type") == "purchase")).select("user_id").distinct()
+    early = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+    old = e.where((C("ts") < early) & (C("event_type") == "purchase")).select("user_id").distinct()
     return J.new_entries(e.where(C("ts") >= cut).select("user_id").distinct(), old, ["user_id"])

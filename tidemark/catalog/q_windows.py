@@ -219,13 +219,8 @@ def with_benchmark(spark, sf):
     bench = p.where(C("ticker") == 0).select("d", C("px").alias("bench"))
     d = p.where(C("ticker") != 0).join(bench, "d")
     w = W.series(P, "d")
-    return (
-        d.withColumn("la", F.log("px"))
-        .withColumn("lb", F.log("bench"))
-        .withColumn("rel", C("la") - C("lb"))
-        .withColumn("ra", C("la") - F.lag("la").over(w))
-        .withColumn("rb", C("lb") - F.lag("lb").over(w))
-    )
+    d = d.withColumns({"la": F.log("px"), "lb": F.log("bench"), "rel": F.log("px") - F.log("bench")})
+    return d.withColumns({"ra": C("la") - F.lag("la").over(w), "rb": C("lb") - F.lag("lb").over(w)})
 
 
 def day(name="d"):
@@ -280,32 +275,34 @@ def features(d, keys=P, date="d", beta_rows=252, look=63, arm_rows=126, arm_at=-
     def back(n):
         return Window.partitionBy(*keys).orderBy(date).rowsBetween(-(n - 1), 0)
 
-    w, wb = W.series(keys, date), back(beta_rows)
-    d = (
-        d.withColumn(
-            "beta",
-            F.when(
-                F.count("ra").over(wb) == beta_rows,
-                F.covar_samp("ra", "rb").over(wb) / F.nullif(F.var_samp("rb").over(wb), F.lit(0.0)),
-            ),
-        )
-        .withColumn("rr_sd", W.full_window(C("ra"), F.stddev_samp(C("ra") - C("rb")), wb, beta_rows))
-        .withColumn("ratio_dd", C("rel") - W.full_window(C("rel"), F.max("rel"), wb, beta_rows))
-        .withColumn("rel_z", (C("rel") - F.lag("rel", look).over(w)) / (C("rr_sd") * F.sqrt(F.lit(float(look)))))
-        .withColumn("res", C("ra") - F.lag("beta").over(w) * C("rb"))
-        .withColumn(
-            "resid_z",
-            W.full_window(C("res"), F.sum("res"), back(look), look)
-            / (W.full_window(C("res"), F.stddev_samp("res"), wb, beta_rows) * F.sqrt(F.lit(float(look)))),
-        )
-        .withColumn(
-            "above",
-            F.coalesce(C("rel") > W.full_window(C("rel"), F.avg("rel"), back(trend_rows), trend_rows), F.lit(False)),
-        )
-        .withColumn("armed", F.max(F.when(C("ratio_dd") <= arm_at, 1).otherwise(0)).over(back(arm_rows)) == 1)
-        .withColumn("turn", C("armed") & W.upward_cross(C("above"), keys, date))
-        .withColumn("pos", F.row_number().over(w) - 1)
+    w, wb, wl = W.series(keys, date), back(beta_rows), back(look)
+    root = F.sqrt(F.lit(float(look)))
+    trend = W.full_window(C("rel"), F.avg("rel"), back(trend_rows), trend_rows)
+    beta = F.covar_samp("ra", "rb").over(wb) / F.nullif(F.var_samp("rb").over(wb), F.lit(0.0))
+    d = d.withColumns(
+        {
+            "beta": F.when(F.count("ra").over(wb) == beta_rows, beta),
+            "rr_sd": W.full_window(C("ra"), F.stddev_samp(C("ra") - C("rb")), wb, beta_rows),
+            "ratio_dd": C("rel") - W.full_window(C("rel"), F.max("rel"), wb, beta_rows),
+            "above": F.coalesce(C("rel") > trend, F.lit(False)),
+            "pos": F.row_number().over(w) - 1,
+            "_then": F.lag("rel", look).over(w),
+        }
+    )
+    d = d.withColumns(
+        {
+            "rel_z": (C("rel") - C("_then")) / (C("rr_sd") * root),
+            "res": C("ra") - F.lag("beta").over(w) * C("rb"),
+            "armed": F.max(F.when(C("ratio_dd") <= arm_at, 1).otherwise(0)).over(back(arm_rows)) == 1,
+        }
     )
+    sd = W.full_window(C("res"), F.stddev_samp("res"), wb, beta_rows)
+    d = d.withColumns(
+        {
+            "resid_z": W.full_window(C("res"), F.sum("res"), wl, look) / (sd * root),
+            "turn": C("armed") & W.upward_cross(C("above"), keys, date),
+        }
+    ).drop("_then")
     return d
 
 

@@ -84,49 +84,48 @@ def outer_panel(frames: DataFrame) -> DataFrame:
 
 def bookings_panel(frames: DataFrame) -> DataFrame:
     """The panel with derived fourth quarters, bookings ratios, growth and quality flags."""
-    p = outer_panel(frames).withColumn("cy", F.floor(C("qn") / 4).cast("int")).withColumn("cq", C("qn") % 4 + 1)
+    p = outer_panel(frames).withColumns({"cy": F.floor(C("qn") / 4).cast("int"), "cq": C("qn") % 4 + 1})
     yr = Window.partitionBy("cik", "cy")
     first3 = F.when(C("cq") < 4, C("r.v"))
     s3, n3 = F.sum(first3).over(yr), F.count(first3).over(yr)
-    q4 = F.when(C("r").isNull() & (n3 == 3) & (C("y.v") - s3 > 0), C("y.v") - s3)
-    p = (
-        p.withColumn("q4", q4)
-        .where(C("observed") | C("q4").isNotNull())
-        .withColumn("rev", F.coalesce(C("r.v"), C("q4")) / 1e6)
-        .withColumn("tag", F.when(C("q4").isNotNull(), F.lit(DERIVED)).otherwise(C("r.tag")))
-        .withColumn("name", F.when(C("q4").isNotNull(), C("y.name")).otherwise(C("name")))
-        .withColumn("fy_rev", C("y.v") / 1e6)
-        .withColumn("fy_end", C("y.end"))
-    )
+    p = p.withColumn("q4", F.when(C("r").isNull() & (n3 == 3) & (C("y.v") - s3 > 0), C("y.v") - s3))
+    derived = C("q4").isNotNull()
     whole = Window.partitionBy("cik").orderBy("qn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    p = p.withColumn("name", F.last("name", ignorenulls=True).over(whole))
-    for c in ("rpo", "dr_cur", "dr_tot"):
-        p = p.withColumn(c, C(c) / 1e6)
-    p = p.withColumn("rev", F.when(C("rev") > 0, C("rev")))
-    return quality_flags(bookings_ratios(p)).drop("r", "y", "q4", "observed", "cq")
+    rev = F.coalesce(C("r.v"), C("q4")) / 1e6
+    p = p.where(C("observed") | derived).select(
+        "cik",
+        "qn",
+        "cy",
+        F.when(rev > 0, rev).alias("rev"),
+        *[(C(c) / 1e6).alias(c) for c in ("rpo", "dr_cur", "dr_tot")],
+        F.when(derived, F.lit(DERIVED)).otherwise(C("r.tag")).alias("tag"),
+        F.last(F.when(derived, C("y.name")).otherwise(C("name")), ignorenulls=True).over(whole).alias("name"),
+        (C("y.v") / 1e6).alias("fy_rev"),
+        C("y.end").alias("fy_end"),
+    )
+    return quality_flags(bookings_ratios(p))
 
 
 def bookings_ratios(p: DataFrame) -> DataFrame:
     """Columns from (cik, qn, rev, rpo): changes across consecutive quarters only, year-ago growth, trailing mean."""
     k = ["cik"]
     w = W.series(k, "qn")
-    p = (
-        p.withColumn("gap", C("qn") - F.lag("qn").over(w))
-        .withColumn("d_rpo", F.when(C("gap") == 1, C("rpo") - F.lag("rpo").over(w)))
-        .withColumn("bookings", C("rev") + C("d_rpo"))
-        .withColumn("b2b", C("bookings") / C("rev"))
-        .withColumn("rpo_cover_q", C("rpo") / C("rev"))
+    gap = C("qn") - F.lag("qn").over(w)
+    p = p.withColumns({"gap": gap, "d_rpo": F.when(gap == 1, C("rpo") - F.lag("rpo").over(w))})
+    bookings = C("rev") + C("d_rpo")
+    p = p.withColumns({"bookings": bookings, "b2b": bookings / C("rev"), "rpo_cover_q": C("rpo") / C("rev")})
+    p = p.withColumns(
+        {f"{c}_yago": W.period_offset(C(c), k, "qn", 4) for c in ("rpo", "rev", "b2b")}
+        | {"b2b_4q": W.rolling_mean_min(C("b2b"), k, "qn", 4, 3), "rpo_quarters": F.count("rpo").over(w)}
     )
-    for c in ("rpo", "rev", "b2b"):
-        p = p.withColumn(f"{c}_yago", W.period_offset(C(c), k, "qn", 4))
-    return (
-        p.withColumn("rpo_yoy", W.ratio(C("rpo"), C("rpo_yago")) - 1)
-        .withColumn("rev_yoy", W.ratio(C("rev"), C("rev_yago")) - 1)
-        .withColumn("b2b_chg_yoy", C("b2b") - C("b2b_yago"))
-        .withColumn("b2b_4q", W.rolling_mean_min(C("b2b"), k, "qn", 4, 3))
-        .withColumn("rpo_yoy_accel", F.when(C("gap") == 1, C("rpo_yoy") - F.lag("rpo_yoy").over(w)))
-        .withColumn("rpo_quarters", F.count("rpo").over(w))
+    p = p.withColumns(
+        {
+            "rpo_yoy": W.ratio(C("rpo"), C("rpo_yago")) - 1,
+            "rev_yoy": W.ratio(C("rev"), C("rev_yago")) - 1,
+            "b2b_chg_yoy": C("b2b") - C("b2b_yago"),
+        }
     )
+    return p.withColumn("rpo_yoy_accel", F.when(C("gap") == 1, C("rpo_yoy") - F.lag("rpo_yoy").over(w)))
 
 
 def quality_flags(p: DataFrame) -> DataFrame:
@@ -140,16 +139,18 @@ def quality_flags(p: DataFrame) -> DataFrame:
         & (F.month("fy_end") == 12)
     )
     off = W.ratio(F.coalesce(F.sum("rev").over(yr), F.lit(0.0)), C("fy_rev")) - 1
-    p = p.withColumn("_t", F.coalesce(tested, F.lit(False))).withColumn("_bad", C("_t") & (F.abs(off) > MISMATCH))
     step = F.abs(W.ratio(C("d_rpo"), C("rpo") - C("d_rpo"))) > STEP_SHARE
-    return (
-        p.withColumn("flag_implausible_rpo", F.coalesce(C("rpo_cover_q") > MAX_COVER, F.lit(False)))
-        .withColumn("flag_rpo_step", F.coalesce(step, F.lit(False)))
-        .withColumn("flag_revenue_mismatch", F.max(F.coalesce("_bad", F.lit(False))).over(whole))
-        .withColumn("revenue_check_ran", F.max("_t").over(whole))
-        .withColumn("clean", ~(C("flag_implausible_rpo") | C("flag_revenue_mismatch")))
-        .drop("_t", "_bad")
+    p = p.withColumns({"_t": F.coalesce(tested, F.lit(False)), "_off": F.abs(off)})
+    bad = F.coalesce(C("_t") & (C("_off") > MISMATCH), F.lit(False))
+    p = p.withColumns(
+        {
+            "flag_implausible_rpo": F.coalesce(C("rpo_cover_q") > MAX_COVER, F.lit(False)),
+            "flag_rpo_step": F.coalesce(step, F.lit(False)),
+            "flag_revenue_mismatch": F.max(bad).over(whole),
+            "revenue_check_ran": F.max("_t").over(whole),
+        }
     )
+    return p.withColumn("clean", ~(C("flag_implausible_rpo") | C("flag_revenue_mismatch"))).drop("_t", "_off")
 
 
 def latest_rows(panel: DataFrame, current_qn: int, names: DataFrame | None = None) -> DataFrame:

@@ -29,15 +29,11 @@ def series_metrics(d: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     d = W.fill_periods(d, keys, "qn")
     w = W.series(keys, "qn")
     v = F.nullif(C("value"), F.lit(0.0))
-    d = (
-        d.withColumn("yago", F.lag(v, 4).over(w))
-        .withColumn("yoy", v / C("yago") - 1)
-        .withColumn("qoq", v / F.lag(v, 1).over(w) - 1)
-        .withColumn("qoq_3q", v / F.lag(v, 3).over(w) - 1)
-        .withColumn("accel", C("yoy") - F.lag("yoy").over(w))
-    )
+    back = {n: F.lag(v, n).over(w) for n in (1, 3, 4)}
+    d = d.withColumns({"yago": back[4], "yoy": v / back[4] - 1, "qoq": v / back[1] - 1, "qoq_3q": v / back[3] - 1})
+    d = d.withColumns({"accel": C("yoy") - F.lag("yoy").over(w), "_py": F.lag("yoy").over(w)})
     d = W.with_streak(d, C("accel") > 0, keys, "qn")
-    d = d.withColumn("_py", F.lag("yoy").over(w)).withColumn("_from", C("qn") - C("streak") + 1)
+    d = d.withColumn("_from", C("qn") - C("streak") + 1)
     run = Window.partitionBy(*keys, "_from").orderBy("qn").rowsBetween(Window.unboundedPreceding, 0)
     start = F.first(F.when(C("streak") == 1, C("_py")), ignorenulls=True).over(run)
     d = d.withColumn("cum_accel", F.when(C("streak") > 0, C("yoy") - start)).drop("_py", "_from")
