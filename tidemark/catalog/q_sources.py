@@ -163,7 +163,7 @@ def a07(spark, sf):
 )
 def a09(spark, sf):
     r = V.releases(spark, sf)
-    part = C("accn") % 64
+    part = F.floor(C("accn") / 1000)
     cols = {"accessionNumber": F.concat(F.lit("a"), C("accn").cast("string")), "filingDate": C("filed").cast("string"), "form": C("form"), "primaryDocument": F.lit("p.htm"), "items": F.lit("2.02")}
     rows = r.groupBy("cik", part.alias("part")).agg(F.collect_list(F.struct(*[v.alias(n) for n, v in cols.items()])).alias("z"))
     recent = F.struct(*[C(f"z.{n}").alias(n) for n in cols])
@@ -173,13 +173,13 @@ def a09(spark, sf):
 
 @query(
     "a11_holdings_xml_scan",
-    "SELECT 'n' || c_nationkey || '-' || c_custkey % 8 AS doc, '2024-06-30' AS report_date, c_name AS name, c_acctbal AS usd FROM customer",
+    "SELECT 'n' || c_nationkey || '-' || c_custkey // 64 AS doc, '2024-06-30' AS report_date, c_name AS name, c_acctbal AS usd FROM customer",
 )
 def a11(spark, sf):
     row = F.concat(
         F.lit("<invstOrSec><name>"), "c_name", F.lit("</name><cusip>1</cusip><balance>2.0</balance><valUSD>"), C("c_acctbal").cast("string"), F.lit("</valUSD><pctVal>1.0</pctVal><assetCat>EC</assetCat></invstOrSec>")
     )
-    c = V.table(spark, sf, "customer").select(F.concat_ws("", F.lit("n"), "c_nationkey", F.lit("-"), C("c_custkey") % 8).alias("doc"), row.alias("row"))
+    c = V.table(spark, sf, "customer").select(F.concat_ws("", F.lit("n"), "c_nationkey", F.lit("-"), F.floor(C("c_custkey") / 64)).alias("doc"), row.alias("row"))
     docs = c.groupBy("doc").agg(F.concat_ws("", F.collect_list("row")).alias("rows"))
     body = F.concat(F.lit("<edgar><genInfo><repPdDate>2024-06-30</repPdDate></genInfo><invstOrSecs>"), "rows", F.lit("</invstOrSecs></edgar>"))
     h = S.fund_holdings(docs.select("doc", body.alias("body")), "doc", "body")
@@ -443,3 +443,31 @@ def i17(spark, sf):
     k = ["cik", "metric", "pe"]
     v = N.vintage_agg(N.lowest_priority(p, k, "src"), k)
     return v.select("cik", "metric", day("pe"), "first", "latest")
+
+
+# ---------------------------------------------------------------- sinks
+@query("a22_stage_tables", "SELECT cik, CAST(qn // 4 AS INT) AS cy, qn, rev FROM fq_rev")
+def a22(spark, sf):
+    """A stage's output written by year and read back: later stages prune by the folder."""
+    from tidemark.streaming.jobs import work_folder
+
+    path = work_folder(spark, "stage")
+    d = V.fq_rev(spark, sf).withColumn("cy", F.floor(C("qn") / 4).cast("int"))
+    d.repartition("cy").write.partitionBy("cy").parquet(path)
+    return spark.read.parquet(path).select("cik", "cy", "qn", "rev")
+
+
+@query(
+    "a23_publish_sink",
+    "SELECT cik, CAST(cik NOT IN (SELECT cik FROM fq_rev WHERE qn = 8002 AND rev > 1000000) AS INT) AS is_new FROM fq_rev WHERE qn = 8003 AND rev > 1000000",
+)
+def a23(spark, sf):
+    """Two runs' lists published as snapshots; the second is read back marked against the first."""
+    from tidemark.streaming.jobs import work_folder
+
+    path = work_folder(spark, "screens")
+    d = V.fq_rev(spark, sf).where(C("rev") > 1000000)
+    old = S.publish(d.where(C("qn") == 8002).select("cik"), path, "2000-10-01", "csv")
+    new = S.publish(d.where(C("qn") == 8003).select("cik"), path, "2001-01-01", "csv")
+    a, b = (spark.read.schema("cik int").option("header", "true").csv(p) for p in (old, new))
+    return b.join(a.withColumn("seen", F.lit(1)), "cik", "left").select("cik", C("seen").isNull().cast("int").alias("is_new"))

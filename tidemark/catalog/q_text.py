@@ -62,7 +62,7 @@ def i07(spark, sf):
     f"WITH {_TX} SELECT accn, CAST(CASE WHEN k = 0 THEN 2 WHEN k IN (1, 2, 3, 4) THEN 1 ELSE 0 END AS INT) AS windows FROM e",
 )
 def i01(spark, sf):
-    return releases(spark, sf).select("accn", F.size(T.outlook_windows(C("text"))).alias("windows"))
+    return T.with_windows(releases(spark, sf), "text").select("accn", F.size("windows").alias("windows"))
 
 
 @query(
@@ -70,7 +70,7 @@ def i01(spark, sf):
     f"WITH {_TX} SELECT accn, CASE WHEN k = 1 THEN CAST(2 AS DOUBLE) END AS revenue_pm_pct, CASE WHEN k = 0 THEN CAST(g AS DOUBLE) END AS gm_low, CASE WHEN k = 0 THEN CAST(g + 2 AS DOUBLE) END AS gm_high FROM e",
 )
 def i02(spark, sf):
-    d = releases(spark, sf).withColumn("w", F.get(T.outlook_windows(C("text")), F.lit(0)))
+    d = T.with_windows(releases(spark, sf), "text").withColumn("w", F.get("windows", F.lit(0)))
     f = T.detail_fields(C("w"))
     return d.select("accn", *[f[c].alias(c) for c in ("revenue_pm_pct", "gm_low", "gm_high")])
 
@@ -112,7 +112,8 @@ def tables(spark, sf):
     "SELECT CAST(o_orderkey AS INT) AS accn, 'Revenue | $' || CAST(CAST(floor(o_totalprice / 100) AS INT) + 100 AS VARCHAR) || ' million | +/- | $' || CAST((CAST(floor(o_totalprice / 100) AS INT) + 100) // 20 AS VARCHAR) || ' million' AS row FROM orders",
 )
 def i03(spark, sf):
-    return tables(spark, sf).select("accn", F.explode(T.table_guide(C("text"))).alias("row"))
+    d = tables(spark, sf).withColumn("lines", T.text_lines(C("text")))
+    return d.select("accn", F.explode(T.table_guide(C("lines"))).alias("row"))
 
 
 def table_lines(spark, sf):
@@ -221,7 +222,8 @@ def customers_text(spark, sf):
     "SELECT CAST(o_orderkey AS INT) AS accn, 'One customer represented more than 10% of revenue.' || chr(10) || 'Customer ' || CAST(o_custkey AS VARCHAR) || ' | ' || CAST(o_orderkey % 70 AS VARCHAR) || '%' AS text FROM orders WHERE o_orderkey % 3 = 0",
 )
 def i12(spark, sf):
-    d = customers_text(spark, sf).select("accn", T.concentration_paragraphs(C("text")).alias("text"))
+    d = customers_text(spark, sf).withColumn("lines", T.text_lines(C("text")))
+    d = d.select("accn", T.concentration_paragraphs(C("lines")).alias("text"))
     return d.where(C("text") != "")
 
 
@@ -386,3 +388,55 @@ def h14(spark, sf):
     return V.table(spark, sf, "customer").select(
         C("c_custkey").cast("int").alias("id"), F.round(F.log(F.greatest(b, F.lit(1.0))), 6).alias("l"), F.round(F.least(F.greatest(b, F.lit(-2.0)), F.lit(500.0)), 2).alias("c")
     )
+
+
+def results(spark, sf):
+    """Results text of each order: headline rows, a platform table and an outlook section."""
+    o = V.table(spark, sf, "orders").select(C("o_orderkey").cast("int").alias("accn"), (F.floor(C("o_totalprice") / 100) + 1000).cast("int").alias("v"))
+    v = C("v")
+    text = F.concat_ws(
+        "\n",
+        F.format_string("Total revenue ($ in millions) | %d | 17", v),
+        F.format_string("Gross margin | %.1f%% | 50%%", F.lit(55.5)),
+        F.format_string("Gross margin | %d%%", v % 50 + 10),
+        F.lit("Revenue by platform"),
+        F.lit("| Q2 FY27 | Q1 FY27"),
+        F.format_string("Data Center (1) | %d | %d", v, v - 3),
+        F.format_string("Gaming | %d | %d", v % 91 + 1, v % 17 + 1),
+        F.lit("Total | 1 | 1"),
+        F.lit("Outlook"),
+        F.format_string("Revenue is expected to be $%d.5 million, plus or minus two percent.", v),
+        F.format_string("GAAP and non-GAAP gross margins are expected to be 71.0%% and %d.5%%, respectively, plus or minus 50 basis points.", v % 20 + 60),
+        F.format_string("GAAP and non-GAAP operating expenses are expected to be approximately $%d million and $%d million, respectively.", v * 2, v),
+    )
+    return o.select("accn", text.alias("text")).withColumn("lines", T.text_lines(C("text")))
+
+
+_RV = "r AS (SELECT CAST(o_orderkey AS INT) AS accn, CAST(floor(o_totalprice / 100) AS INT) + 1000 AS v FROM orders)"
+
+
+@query(
+    "i09_headline_figures",
+    f"WITH {_RV} SELECT accn, CAST(v AS DOUBLE) AS revenue, CAST(55.5 AS DOUBLE) AS gross_margin_gaap, CAST(v % 50 + 10 AS DOUBLE) AS gross_margin_nongaap FROM r",
+)
+def i09(spark, sf):
+    f = T.headline_figures(C("lines"))
+    return results(spark, sf).select("accn", *[f[c].alias(c) for c in f])
+
+
+@query(
+    "i10_platform_table",
+    f"""WITH {_RV} SELECT accn, 'Data Center' AS label, 0 AS "column", CAST(v AS DOUBLE) AS value, 'Q2 FY27' AS period FROM r UNION ALL SELECT accn, 'Data Center', 1, CAST(v - 3 AS DOUBLE), 'Q1 FY27' FROM r
+UNION ALL SELECT accn, 'Gaming', 0, CAST(v % 91 + 1 AS DOUBLE), 'Q2 FY27' FROM r UNION ALL SELECT accn, 'Gaming', 1, CAST(v % 17 + 1 AS DOUBLE), 'Q1 FY27' FROM r""",
+)
+def i10(spark, sf):
+    return T.platform_table(results(spark, sf), "accn", "lines", "(?i)revenue by platform")
+
+
+@query(
+    "i11_outlook_sentences",
+    f"WITH {_RV} SELECT accn, v + CAST(0.5 AS DOUBLE) AS revenue_mid, CAST(2 AS DOUBLE) AS revenue_pm_pct, CAST(71 AS DOUBLE) AS gm_gaap, v % 20 + CAST(60.5 AS DOUBLE) AS gm_nongaap, CAST(50 AS DOUBLE) AS gm_pm_bps, CAST(v * 2 AS DOUBLE) AS opex_gaap, CAST(v AS DOUBLE) AS opex_nongaap FROM r",
+)
+def i11(spark, sf):
+    f = T.outlook_fields(C("section"))
+    return results(spark, sf).withColumn("section", T.outlook_section(C("lines"))).select("accn", *[f[c].alias(c) for c in f])

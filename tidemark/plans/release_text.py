@@ -45,9 +45,19 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(flat, r"(?<=[.!?])\s+|\s[•Ÿ·]\s?\|?\s*"), lambda s: F.trim(s) != "")
 
 
-def outlook_windows(text: Column) -> Column:
+def text_lines(text: Column) -> Column:
+    """Non-empty lines. Kept in a column of its own, since the readers below look at it many times."""
+    return F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
+
+
+def with_windows(df: DataFrame, text: str, out: str = "windows") -> DataFrame:
+    """Adds the outlook windows of a text column; the sentences are split once per row."""
+    d = df.withColumn("_sents", sentences(C(text)))
+    return d.withColumn(out, _outlook_windows(C("_sents"))).drop("_sents")
+
+
+def _outlook_windows(sents: Column) -> Column:
     """Each outlook sentence with the five after it, boilerplate sentences left out."""
-    sents = sentences(text)
     at = F.filter(
         F.transform(sents, lambda s, i: F.struct(s.alias("s"), i.alias("i"))),
         lambda x: x["s"].rlike(f"(?i){CUES}")
@@ -163,10 +173,9 @@ def guide_present(text: Column) -> Column:
 
 def tiered(d: DataFrame, text: str) -> DataFrame:
     """Status of each release: read by the detail patterns (tier 1), by the clause reader (tier 2), none, or unread."""
-    w = outlook_windows(C(text))
-    d = d.withColumn("windows", w).withColumn("g", guide(C(text)))
-    first = F.get("windows", F.lit(0))
-    fields = detail_fields(first)
+    d = with_windows(d, text).withColumn("g", guide(C(text)))
+    d = d.withColumn("_first", F.get("windows", F.lit(0)))
+    fields = detail_fields(C("_first"))
     tier1 = fields["revenue_pm_pct"].isNotNull() | fields["revenue_pm_abs"].isNotNull() | fields["revenue_qoq_pct"].isNotNull()
     status = (
         F.when(F.coalesce(tier1, F.lit(False)), "tier1")
@@ -174,12 +183,11 @@ def tiered(d: DataFrame, text: str) -> DataFrame:
         .when(guide_present(C(text)), "unread")
         .otherwise("none")
     )
-    return d.withColumn("status", status)
+    return d.withColumn("status", status).drop("_first")
 
 
-def table_guide(text: Column) -> Column:
+def table_guide(lines: Column) -> Column:
     """Guide rows of tables: a revenue row with a currency sign and a unit or a +/- mark, an outlook cue in the 12 lines above."""
-    lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
     rows = F.transform(
         lines,
         lambda s, i: F.struct(s.alias("line"), F.array_join(F.slice(lines, F.greatest(i - 11, F.lit(1)), F.least(i, F.lit(12))), " ").alias("above")),
@@ -213,9 +221,8 @@ def printed_share(text_numbers: Column, values: Column, tol: float = 0.005) -> C
     return F.size(F.filter(values, printed)) / F.nullif(F.size(values), F.lit(0))
 
 
-def concentration_paragraphs(text: Column, extra: int = 2) -> Column:
+def concentration_paragraphs(lines: Column, extra: int = 2) -> Column:
     """Lines on customer concentration, each with the following lines where those hold a percentage."""
-    lines = F.split(text, "\n")
     cue = r"(?i)(customers?|distributors?).{0,120}(10|ten)\s?(%|percent)|(10|ten)\s?(%|percent).{0,120}(customers?|distributors?)"
     hit = F.filter(F.transform(lines, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: x["s"].rlike(cue))
     block = F.transform(
@@ -308,3 +315,64 @@ def range_guide(text: Column, what: str, percent: bool = False) -> tuple[Column,
         return tuple(F.nullif(F.regexp_extract(text, p, i), F.lit("")).try_cast("double") for i in (1, 2))
     p = rf"(?i){what}[^.]{{0,60}}?between (?:US|NT)?\$\s?([\d,]+(?:\.\d+)?) (billion|million) and (?:US|NT)?\$\s?([\d,]+(?:\.\d+)?) (billion|million)"
     return tuple(money(F.nullif(F.regexp_extract(text, p, i), F.lit("")), F.regexp_extract(text, p, i + 1)) for i in (1, 3))
+
+
+def headline_figures(lines: Column) -> dict[str, Column]:
+    """Revenue (in millions) and the first two gross margins of a results table."""
+    rev = F.get(F.filter(lines, lambda s: s.rlike(r"(?i)^(?:net |total )?(?:revenues?|net sales)\s*(?:\([^|]*\))?\s*\|")), F.lit(0))
+    scale = F.when(rev.rlike(r"(?i)^[^|]*\((\$B|\$ in billions)\)"), 1000.0).otherwise(1.0)
+    gm = F.filter(lines, lambda s: s.rlike(r"^Gross margin\s*\|"))
+
+    def first_number(line: Column) -> Column:
+        return F.get(numbers(F.regexp_replace(line, r"^[^|]*\|", "")), F.lit(0))
+
+    return {
+        "revenue": first_number(rev) * scale,
+        "gross_margin_gaap": first_number(F.get(gm, F.lit(0))),
+        "gross_margin_nongaap": first_number(F.get(gm, F.lit(1))),
+    }
+
+
+def platform_table(docs: DataFrame, key: str, lines: str, header: str) -> DataFrame:
+    """Rows of a platform table up to its total: label, value and the period its column is headed by."""
+    at = F.array_position(F.transform(C(lines), lambda s: s.rlike(header)), F.lit(True)).cast("int")
+    d = docs.select(key, C(lines).alias("_l"), at.alias("_at")).where("_at > 0")
+    d = d.select(key, F.slice("_l", C("_at") + 1, F.lit(15)).alias("_b"))
+    end = F.array_position(F.transform("_b", lambda s: s.rlike("(?i)^total")), F.lit(True)).cast("int")
+    d = d.withColumn("_e", end)
+    rows = F.when(C("_e") > 0, F.slice("_b", F.lit(1), C("_e") - 1)).otherwise(C("_b"))
+    heads = F.get(F.filter(F.slice("_b", 1, 3), lambda s: s.rlike(r"Q[1-4] FY\d\d")), F.lit(0))
+    d = d.select(key, F.regexp_extract_all(heads, F.lit(r"Q[1-4] FY\d\d"), F.lit(0)).alias("_p"), F.explode(rows).alias("_r"))
+    d = d.where(C("_r").contains("|") & ~C("_r").rlike(r"Q[1-4] FY\d\d"))
+    label = F.trim(F.regexp_replace(F.get(F.split("_r", r"\|"), F.lit(0)), r"\s*\(\d\)\s*$", ""))
+    vals = numbers(F.regexp_replace("_r", r"^[^|]*\|", ""))
+    d = d.select(key, "_p", label.alias("label"), F.posexplode(vals).alias("column", "value"))
+    return d.select(key, "label", "column", "value", F.get("_p", C("column")).alias("period"))
+
+
+def outlook_section(lines: Column) -> Column:
+    """The twelve lines from the outlook heading on, as one text."""
+    at = F.array_position(
+        F.transform(lines, lambda s: s.rlike(r"(?i)outlook for the .{0,60}? is as follows") | s.rlike(r"^\s*(Outlook|[A-Z][\w ]{0,50} Outlook)\s*$")), F.lit(True)
+    ).cast("int")
+    return F.when(at > 0, number_words(F.array_join(F.slice(lines, F.greatest(at, F.lit(1)), 12), " ")))
+
+
+def outlook_fields(sec: Column) -> dict[str, Column]:
+    """Guides of an outlook section: revenue, margins with tolerance, expenses."""
+
+    def part(pattern: str, group: int) -> Column:
+        return F.nullif(F.regexp_extract(sec, f"(?i){pattern}", group), F.lit(""))
+
+    rev = r"revenue is expected to be \$([\d.,]+)\s*(billion|million),? plus or minus (\d+(?:\.\d+)?)%"
+    gm = r"GAAP and non-GAAP gross margins are expected to be ([\d.]+)% and ([\d.]+)%,? respectively(?:,? plus or minus (\d+) basis points)?"
+    opex = r"GAAP and non-GAAP operating expenses are expected to be (?:approximately )?\$([\d.,]+)\s*(billion|million) and \$([\d.,]+)\s*(billion|million)"
+    return {
+        "revenue_mid": money(part(rev, 1), part(rev, 2)),
+        "revenue_pm_pct": part(rev, 3).try_cast("double"),
+        "gm_gaap": part(gm, 1).try_cast("double"),
+        "gm_nongaap": part(gm, 2).try_cast("double"),
+        "gm_pm_bps": part(gm, 3).try_cast("double"),
+        "opex_gaap": money(part(opex, 1), part(opex, 2)),
+        "opex_nongaap": money(part(opex, 3), part(opex, 4)),
+    }
