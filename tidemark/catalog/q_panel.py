@@ -44,15 +44,15 @@ def frames(spark, sf):
     bal = V.fq_bal(spark, sf).where((C("cik") + C("qn")) % 13 != 0)
     none = F.lit(None).cast("date")
     parts = [
-        obs(q, "rev", C("segment"), cy, cq, qs, quarter_end(C("qn")), C("rev") * 100, prio),
-        obs(fy, "rev_fy", C("segment"), C("cy"), F.lit(0), y0, y1, C("rev") * 100 * odd, F.lit(0)),
+        obs(q, "rev", C("segment"), cy, cq, qs, quarter_end(C("qn")), C("rev") * 1000, prio),
+        obs(fy, "rev_fy", C("segment"), C("cy"), F.lit(0), y0, y1, C("rev") * 1000 * odd, F.lit(0)),
     ]
     # the three balances of a filer and quarter come out of one pass over the lines
     three = F.inline(
         F.array(
             *[
                 F.struct((C("rpo") * k).alias("val"), F.lit(m).alias("metric"), F.lit(t).alias("tag"))
-                for m, t, k in (("rpo", "B", 20), ("dr_cur", "D", 2), ("dr_tot", "T", 3))
+                for m, t, k in (("rpo", "B", 200), ("dr_cur", "D", 20), ("dr_tot", "T", 30))
             ]
         )
     )
@@ -70,16 +70,16 @@ def frames(spark, sf):
 
 
 _PANEL = """t AS (SELECT * FROM fq_seg WHERE (cik*7 + qn*5 + ascii(segment)) % 9 <> 0 AND NOT (qn % 4 = 3 AND cik % 2 = 0)),
-ps AS (SELECT cik, segment, count(*) AS n, median(rev * 100) AS med FROM t GROUP BY 1, 2),
+ps AS (SELECT cik, segment, count(*) AS n, median(rev * 1000) AS med FROM t GROUP BY 1, 2),
 pick AS (SELECT cik, segment FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY n DESC, med DESC, segment) AS k FROM ps) WHERE k = 1),
-rev0 AS (SELECT t.cik, t.qn, t.rev * 100 AS rev, t.segment AS tag FROM t JOIN pick p ON t.cik = p.cik AND t.segment = p.segment),
-fy AS (SELECT s.cik, s.qn // 4 AS cy, round(sum(s.rev), 4) * 100 * CASE WHEN s.cik % 7 = 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS val
+rev0 AS (SELECT t.cik, t.qn, t.rev * 1000 AS rev, t.segment AS tag FROM t JOIN pick p ON t.cik = p.cik AND t.segment = p.segment),
+fy AS (SELECT s.cik, s.qn // 4 AS cy, round(sum(s.rev), 4) * 1000 * CASE WHEN s.cik % 7 = 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS val
        FROM fq_seg s JOIN pick p ON s.cik = p.cik AND s.segment = p.segment GROUP BY s.cik, s.qn // 4),
 q123 AS (SELECT cik, qn // 4 AS cy, sum(rev) AS s FROM rev0 WHERE qn % 4 < 3 GROUP BY 1, 2 HAVING count(*) = 3),
 d4 AS (SELECT fy.cik, CAST(fy.cy * 4 + 3 AS INT) AS qn, fy.val - q123.s AS rev, 'derived Q4 = FY - 9M' AS tag FROM fy JOIN q123 USING (cik, cy)
        WHERE fy.val - q123.s > 0 AND NOT EXISTS (SELECT 1 FROM rev0 r WHERE r.cik = fy.cik AND r.qn = fy.cy * 4 + 3)),
 rev1 AS (SELECT * FROM rev0 UNION ALL SELECT * FROM d4),
-bal AS (SELECT cik, qn, rpo * 20 AS rpo, rpo * 2 AS dr_cur, rpo * 3 AS dr_tot FROM fq_bal WHERE (cik + qn) % 13 <> 0),
+bal AS (SELECT cik, qn, rpo * 200 AS rpo, rpo * 20 AS dr_cur, rpo * 30 AS dr_tot FROM fq_bal WHERE (cik + qn) % 13 <> 0),
 p0 AS (SELECT coalesce(r.cik, b.cik) AS cik, coalesce(r.qn, b.qn) AS qn, r.rev / 1e6 AS rev, r.tag, b.rpo / 1e6 AS rpo, b.dr_cur / 1e6 AS dr_cur, b.dr_tot / 1e6 AS dr_tot
        FROM rev1 r FULL JOIN bal b ON r.cik = b.cik AND r.qn = b.qn),
 p1 AS (SELECT *, qn - lag(qn) OVER w AS gap, CASE WHEN qn - lag(qn) OVER w = 1 THEN rpo - lag(rpo) OVER w END AS d_rpo FROM p0 WINDOW w AS (PARTITION BY cik ORDER BY qn)),
@@ -100,11 +100,11 @@ latest AS (SELECT *, b2b - b2b_prev3 AS b2b_trend,
        coalesce(rpo_cover_q >= 1 AND rev >= 25 AND qn >= 8003 AND clean AND rpo_quarters >= 5, false) AS gated FROM lat0 WHERE k = 1)"""
 
 _R = ["rev", "rpo", "b2b", "rpo_cover_q", "rpo_yoy", "rev_yoy", "b2b_chg_yoy", "b2b_4q", "rpo_yoy_accel"]
-_RS = ", ".join(f"round({c}, 6) AS {c}" for c in _R)
+_RS = ", ".join(f"round({c}, {8 if c in ('rev', 'rpo') else 6}) AS {c}" for c in _R)
 
 
 def r6(*cols):
-    return [F.round(C(c), 6).alias(c) for c in cols]
+    return [F.round(C(c), 8 if c in ("rev", "rpo", "bookings") else 6).alias(c) for c in cols]
 
 
 def panel(spark, sf):
@@ -121,7 +121,7 @@ def ints(*cols):
 
 @query(
     "k01_bookings_panel",
-    f"""WITH {_PANEL} SELECT cik, qn, tag, {_RS}, round(dr_cur, 8) AS dr_cur, round(dr_tot, 8) AS dr_tot, round(bookings, 6) AS bookings, rpo_quarters,
+    f"""WITH {_PANEL} SELECT cik, qn, tag, {_RS}, round(dr_cur, 8) AS dr_cur, round(dr_tot, 8) AS dr_tot, round(bookings, 8) AS bookings, rpo_quarters,
 CAST(flag_implausible_rpo AS INT) AS flag_implausible_rpo, CAST(flag_rpo_step AS INT) AS flag_rpo_step, CAST(flag_revenue_mismatch AS INT) AS flag_revenue_mismatch FROM panel""",
 )
 def k01(spark, sf):
@@ -137,7 +137,7 @@ def k01(spark, sf):
     )
 
 
-@query("c02_panel_outer_join", f"WITH {_PANEL} SELECT cik, qn, round(rev, 6) AS rev, round(rpo, 6) AS rpo FROM p0")
+@query("c02_panel_outer_join", f"WITH {_PANEL} SELECT cik, qn, round(rev, 8) AS rev, round(rpo, 8) AS rpo FROM p0")
 def c02(spark, sf):
     return panel(spark, sf).select("cik", "qn", *r6("rev", "rpo"))
 

@@ -244,14 +244,14 @@ def k04(spark, sf):
 @query(
     "k13_segment_vintages",
     f"""WITH {_SEGF}, p AS (SELECT segment, parent FROM (SELECT segment, CASE WHEN cik % 3 = 0 THEN 'Group A' ELSE 'Group B' END AS parent, count(*) AS n, max(filed) AS last FROM facts GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY segment ORDER BY n DESC, last DESC, parent) = 1)
-SELECT segment AS name, parent, count(*) AS printings, round(sum(value), 2) AS value FROM (SELECT cik, segment, qn, dur, accn, sum(value) AS value FROM facts WHERE segment <> 'R' OR qn % 3 <> 0 GROUP BY ALL) JOIN p USING (segment) GROUP BY 1, 2""",
+SELECT segment AS name, parent, count(*) AS printings, round(sum(value), 4) AS value FROM (SELECT cik, segment, qn, dur, accn, sum(value) AS value FROM facts WHERE segment <> 'R' OR qn % 3 <> 0 GROUP BY ALL) JOIN p USING (segment) GROUP BY 1, 2""",
 )
 def k13(spark, sf):
     f = segment_facts(spark, sf).withColumn("parent", F.when(C("ticker") % 3 == 0, "Group A").otherwise("Group B"))
     k = ["ticker", "name", "period_end", "duration_months", "accn"]
     d = N.collapse_members(f, k, "value", ["filed"], "filed")
     return d.join(N.modal(f, ["name"], "parent", "filed"), "name").groupBy("name", "parent").agg(
-        F.count(F.lit(1)).alias("printings"), F.round(F.sum("value"), 2).alias("value")
+        F.count(F.lit(1)).alias("printings"), F.round(F.sum("value"), 4).alias("value")
     )
 
 
@@ -527,10 +527,10 @@ def d26(spark, sf):
 
 @query(
     "d20_pivot",
-    """SELECT cik, round(sum(CASE WHEN segment = 'A' THEN rev END), 2) AS "A", round(sum(CASE WHEN segment = 'N' THEN rev END), 2) AS "N", round(sum(CASE WHEN segment = 'R' THEN rev END), 2) AS "R" FROM fq_seg GROUP BY 1""",
+    """SELECT cik, round(sum(CASE WHEN segment = 'A' THEN rev END), 4) AS "A", round(sum(CASE WHEN segment = 'N' THEN rev END), 4) AS "N", round(sum(CASE WHEN segment = 'R' THEN rev END), 4) AS "R" FROM fq_seg GROUP BY 1""",
 )
 def d20(spark, sf):
-    return V.fq_seg(spark, sf).groupBy("cik").pivot("segment", ["A", "N", "R"]).agg(F.round(F.sum("rev"), 2))
+    return V.fq_seg(spark, sf).groupBy("cik").pivot("segment", ["A", "N", "R"]).agg(F.round(F.sum("rev"), 4))
 
 
 @query(
