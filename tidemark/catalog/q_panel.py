@@ -43,7 +43,7 @@ def frames(spark, sf):
     y0, y1 = F.make_date("cy", F.lit(1), F.lit(1)), F.make_date("cy", F.lit(12), F.lit(31))
     # a balance outstanding: what was booked over the last four quarters
     year = Window.partitionBy("cik").orderBy("qn").rangeBetween(-3, 0)
-    scope = F.when((C("cik") % 9 == 4) & (C("qn") >= 8007), 2).otherwise(1)  # some widen what they disclose at the end
+    scope = F.when((C("cik") % 4 == 1) & (C("qn") >= 8007), 2).otherwise(1)  # some widen what they disclose at the end
     bal = V.fq_bal(spark, sf).withColumn("rpo", F.round(F.sum("rpo").over(year), 2) * scope).where((C("cik") + C("qn")) % 13 != 0)
     none = F.lit(None).cast("date")
     parts = [
@@ -82,7 +82,7 @@ q123 AS (SELECT cik, qn // 4 AS cy, sum(rev) AS s FROM rev0 WHERE qn % 4 < 3 GRO
 d4 AS (SELECT fy.cik, CAST(fy.cy * 4 + 3 AS INT) AS qn, fy.val - q123.s AS rev, 'derived Q4 = FY - 9M' AS tag FROM fy JOIN q123 USING (cik, cy)
        WHERE fy.val - q123.s > 0 AND NOT EXISTS (SELECT 1 FROM rev0 r WHERE r.cik = fy.cik AND r.qn = fy.cy * 4 + 3)),
 rev1 AS (SELECT * FROM rev0 UNION ALL SELECT * FROM d4),
-bal AS (SELECT cik, qn, rpo * 50 AS rpo, rpo * 5 AS dr_cur, rpo * 7 AS dr_tot FROM (SELECT cik, qn, round(sum(rpo) OVER (PARTITION BY cik ORDER BY qn RANGE BETWEEN 3 PRECEDING AND CURRENT ROW), 2) * CASE WHEN cik % 9 = 4 AND qn >= 8007 THEN 2 ELSE 1 END AS rpo FROM fq_bal) WHERE (cik + qn) % 13 <> 0),
+bal AS (SELECT cik, qn, rpo * 50 AS rpo, rpo * 5 AS dr_cur, rpo * 7 AS dr_tot FROM (SELECT cik, qn, round(sum(rpo) OVER (PARTITION BY cik ORDER BY qn RANGE BETWEEN 3 PRECEDING AND CURRENT ROW), 2) * CASE WHEN cik % 4 = 1 AND qn >= 8007 THEN 2 ELSE 1 END AS rpo FROM fq_bal) WHERE (cik + qn) % 13 <> 0),
 p0 AS (SELECT coalesce(r.cik, b.cik) AS cik, coalesce(r.qn, b.qn) AS qn, r.rev / 1e6 AS rev, r.tag, b.rpo / 1e6 AS rpo, b.dr_cur / 1e6 AS dr_cur, b.dr_tot / 1e6 AS dr_tot
        FROM rev1 r FULL JOIN bal b ON r.cik = b.cik AND r.qn = b.qn),
 p1 AS (SELECT *, qn - lag(qn) OVER w AS gap, CASE WHEN qn - lag(qn) OVER w = 1 THEN rpo - lag(rpo) OVER w END AS d_rpo FROM p0 WINDOW w AS (PARTITION BY cik ORDER BY qn)),
