@@ -48,11 +48,11 @@ def j02(spark, sf):
 
 @query(
     "j03_quintile_spread",
-    f"WITH {_Q} SELECT cohort, n, round(q1, 6) AS q1, round(q5, 6) AS q5, round(spread, 6) AS spread FROM sp",
+    f"WITH {_Q} SELECT cohort, n, round(q1, 9) AS q1, round(q5, 9) AS q5, round(spread, 9) AS spread FROM sp",
 )
 def j03(spark, sf):
     d = S.quantile_spread(study(spark, sf), K, "sig", "ret", "cik")
-    return d.select("cohort", "n", *r6("q1", "q5", "spread"))
+    return d.select("cohort", "n", *[F.round(C(c), 9).alias(c) for c in ("q1", "q5", "spread")])
 
 
 @query(
