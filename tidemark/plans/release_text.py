@@ -124,6 +124,8 @@ def read_guide(text: str | None) -> dict:
     flat = re.sub(r"\s+", " ", text or "")
     found: list[tuple[int, dict]] = []
     for clause in re.split(r"(?<=[.;•])\s|---", flat):
+        if "$" not in clause and "%" not in clause:
+            continue
         if not re.search(rf"\b{FORWARD_WORDS}\b", clause, re.I) or not re.search(REVENUE, clause, re.I):
             continue
         if re.search(PAST_WORDS, clause, re.I) or re.search(OTHER_MONEY, clause, re.I):
