@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, simhash
+from tidemark.llm import decontaminate, simhash, substrings
 
 CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    "op1_substring_dedup",
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, p, md5(array_to_string(list_slice(w, p, p + 49), ' ')) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+least_id AS (SELECT win, min(doc_id) AS s FROM wins GROUP BY win),
+gone AS (SELECT doc_id, list(DISTINCT q) AS qs FROM (SELECT doc_id, unnest(range(p, p + 50)) AS q FROM wins JOIN least_id USING (win) WHERE s < doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY q) AS t FROM (
+    SELECT d.doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d) k
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id AS g, unnest(qs) AS gq FROM gone) WHERE g = k.doc_id AND gq = k.q) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(len(gone.qs), 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+)
+def op1(spark, sf_dir):
+    rows = substrings.remove_repeated(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op2_decontaminate",
     r"""
