@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, simhash, substrings
+from tidemark.llm import decontaminate, quality, simhash, substrings
 
 CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,6 +74,32 @@ def op2(spark, sf_dir):
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query(
+    "op5_quality_rules",
+    r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+tri AS (SELECT doc_id, p, list_slice(w, p, p + 2) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, p FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '\P{Lu}', '', 'g')) AS caps,
+    length(regexp_replace(text, '\P{L}', '', 'g')) AS letters, length(regexp_replace(text, '[^!]', '', 'g')) AS marks
+    FROM d LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 50 * n_lines
+        OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 100 * caps > 30 * word_chars OR 100 * marks > 20 * n_words
+        OR 100 * letters < 40 * word_chars) AS kept
+FROM m""",
+)
+def op5(spark, sf_dir):
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rows = quality.judged(_table(spark, sf_dir, "documents"), base)
+    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    return rows.select("doc_id", *base, failed.alias("base_failed"), (~failed & ~F.col("rejected")).alias("kept"))
+
+
 @query("op9_simhash")
 def op9(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
