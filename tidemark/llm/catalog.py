@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, quality, simhash, substrings
+from tidemark.llm import decontaminate, quality, secrets, simhash, substrings
 
 CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,6 +74,21 @@ def op2(spark, sf_dir):
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _count(kind: str):
+    return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def _listed(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query("op3_secrets")
+def op3(spark, sf_dir):
+    rows = secrets.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"] != "entropy")
+    return rows.select("doc_id", *[_count(k) for k in ("assign", "access", "hex")], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
+
+
 @query(
     "op5_quality_rules",
     r"""
