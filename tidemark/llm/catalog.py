@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, quality, secrets, simhash, substrings
+from tidemark.llm import decontaminate, quality, secrets, simhash, substrings, urls
 
 CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,6 +115,11 @@ def op5(spark, sf_dir):
     return rows.select("doc_id", *base, failed.alias("base_failed"), (~failed & ~F.col("rejected")).alias("kept"))
 
 
+@query("op8_url_filter")
+def op8(spark, sf_dir):
+    return urls.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op9_simhash")
 def op9(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
