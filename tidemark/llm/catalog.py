@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, quality, secrets, simhash, substrings, urls
+from tidemark.llm import bpe, decontaminate, language, pii, quality, secrets, simhash, substrings, urls
 
 CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,6 +90,11 @@ def op3(spark, sf_dir):
     return rows.select("doc_id", *[_count(k) for k in ("assign", "access", "hex")], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
 
 
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    return language.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query(
     "op5_quality_rules",
     r"""
@@ -115,6 +121,21 @@ def op5(spark, sf_dir):
     return rows.select("doc_id", *base, failed.alias("base_failed"), (~failed & ~F.col("rejected")).alias("kept"))
 
 
+@query("op6_bpe")
+def op6(spark, sf_dir):
+    rows = bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_pii")
+def op7(spark, sf_dir):
+    model = pii.train(pii.labelled_sentences(spark))
+    rows = pii.find(_table(spark, sf_dir, "documents"), model)
+    base = F.filter("found", lambda s: ~s["kind"].startswith("field-"))
+    return rows.select("doc_id", *[_count(k) for k in pii.KINDS], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
+
+
 @query("op8_url_filter")
 def op8(spark, sf_dir):
     return urls.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
