@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, language, pii, quality, secrets, simhash, substrings, urls
+from tidemark.llm import bpe, decontaminate, language, pii, pseudo, quality, secrets, simhash, substrings, urls
 
 CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,3 +145,12 @@ def op8(spark, sf_dir):
 @query("op9_simhash")
 def op9(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query("op10_lm_score")
+def op10(spark, sf_dir):
+    rows = pseudo.score_documents(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_tokens", F.round("log_likelihood", 4).alias("log_likelihood"), F.round("mean_log_likelihood", 6).alias("mean_log_likelihood"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -90,12 +90,16 @@ def _member(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
     return ordered[at] == x if len(ordered) else np.zeros(len(x), bool)
 
 
-def _broadcast_join(docs: DataFrame, windows: DataFrame, window: int, gram: int) -> DataFrame:
+def _indexes(windows: DataFrame) -> dict[int, _Index]:
+    """All benchmark windows, by size; callers have checked their number."""
     t = windows.toArrow()
     size = t["size"].to_numpy()
-    cols = [t[c].to_numpy() for c in ("mark", "win", "item_id")]
-    indexes = {int(s): _Index(cols[0][size == s].view(np.uint64), cols[1][size == s].view(np.uint64), cols[2][size == s]) for s in np.unique(size)}
-    shared = docs.sparkSession.sparkContext.broadcast(indexes)
+    mark, win, item = (t[c].to_numpy() for c in ("mark", "win", "item_id"))
+    return {int(s): _Index(mark[size == s].view(np.uint64), win[size == s].view(np.uint64), item[size == s]) for s in np.unique(size)}
+
+
+def _broadcast_join(docs: DataFrame, windows: DataFrame, window: int, gram: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(_indexes(windows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,3 +178,30 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     windows = benchmark_windows(benchmark, window, gram)
     small = windows.limit(max_broadcast + 1).count() <= max_broadcast
     return (_broadcast_join if small else _shuffle_join)(docs, windows, window, gram)
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The documents without a word inside a benchmark window, with all their columns.
+
+    With a broadcast benchmark the rows are filtered in place, without a shuffle.
+    """
+    windows = benchmark_windows(benchmark, window, gram)
+    if windows.limit(max_broadcast + 1).count() > max_broadcast:
+        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        bad = _shuffle_join(docs, windows, window, gram).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
+        return documents.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    shared = documents.sparkSession.sparkContext.broadcast(_indexes(windows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in text_blocks(batch, "text"):
+                w = _words(data, offsets)
+                h = w.hashes()
+                grams, hit = Grams(h), np.zeros(len(h), bool)
+                for s, index in shared.value.items():
+                    marks, wins = _fingerprints(h, grams, s, window, gram)
+                    hit |= covered(index.find(marks, wins, fits(w.first, s))[0], s, len(h))
+                sums = np.concatenate(([0], np.cumsum(hit)))[w.first]
+                yield rows.filter(pa.array(np.diff(sums) == 0))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -170,3 +170,13 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     least = by_root.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = by_root.join(least, "root").select("fp", "component_id")
     return prints.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each component, that with the smallest doc_id, with all its columns.
+
+    Rows with a null doc_id cannot be told apart by it; they are kept and are nobody's duplicate.
+    """
+    named, unnamed = documents.where(F.col("doc_id").isNotNull()), documents.where(F.col("doc_id").isNull())
+    kept = near_duplicates(named, radius, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return named.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed)
