@@ -511,11 +511,11 @@ def f03(spark, sf):
 
 @query(
     "f05_priority_order",
-    "SELECT id, gated FROM (SELECT CAST(c_custkey AS INT) AS id, CAST(c_acctbal > 5000 AS INT) AS gated FROM customer) ORDER BY gated DESC, id LIMIT 100",
+    "SELECT id, gated FROM (SELECT CAST(c_custkey AS INT) AS id, CAST(c_acctbal > 5000 AS INT) AS gated FROM customer) ORDER BY gated DESC, id",
 )
 def f05(spark, sf):
     c = V.table(spark, sf, "customer").select(C("c_custkey").cast("int").alias("id"), (C("c_acctbal") > 5000).cast("int").alias("gated"))
-    return c.orderBy(F.desc("gated"), "id").limit(100)
+    return c.orderBy(F.desc("gated"), "id")
 
 
 @query(

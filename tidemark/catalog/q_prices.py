@@ -285,34 +285,43 @@ def c07(spark, sf):
     return m.select("ticker", day("day").alias("d"), day("matched_deploy_day").alias("deploy_day"))
 
 
+DEPLOY_DRAWS = 1000
+
+
 @query(
     "j19_random_deploy_placebo",
-    f"""WITH {_DCA}, nd AS (SELECT ticker, least(count(*), 40) AS n FROM dy WHERE dep GROUP BY ticker),
-dr AS (SELECT CAST(unnest(generate_series(0, 9)) AS INT) AS draw),
+    f"""WITH {_DCA}, nd AS (SELECT ticker, count(*) AS n FROM dy WHERE dep GROUP BY ticker),
+dr AS (SELECT CAST(unnest(generate_series(0, {DEPLOY_DRAWS - 1})) AS INT) AS draw),
 rk AS (SELECT dr.draw, y.ticker, y.d, row_number() OVER (PARTITION BY dr.draw, y.ticker ORDER BY substr(md5('7-' || dr.draw || '-' || y.ticker || '-' || CAST(y.d AS VARCHAR)), 1, 8), y.d) AS k FROM dy y CROSS JOIN dr),
 rd AS (SELECT rk.* FROM rk JOIN nd USING (ticker) WHERE k <= n),
-z AS (SELECT dr.draw, f.*, (SELECT min(rd.d) FROM rd WHERE rd.draw = dr.draw AND rd.ticker = f.ticker AND rd.d >= f.d) AS dd FROM fl f CROSS JOIN dr),
-fz AS (SELECT z.draw, z.ticker, sum(CASE WHEN dd IS NULL THEN amount * en.bil / z.bil ELSE amount * y.bil / z.bil * 0.999 * en.s / y.s END) AS final FROM z JOIN en USING (ticker) LEFT JOIN dy y ON y.ticker = z.ticker AND y.d = z.dd GROUP BY 1, 2)
-SELECT fz.ticker, count(*) AS draws, round(avg(CASE WHEN round(fz.final, 4) < round(fin.final, 4) THEN 1.0 ELSE 0.0 END), 6) AS beaten, round(median(fz.final), 3) AS p50
-FROM fz JOIN fin ON fin.ticker = fz.ticker AND fin.plan = 'timed' AND fin.core = 0 GROUP BY fz.ticker""",
+z AS (SELECT f.*, rd.d AS dd FROM (SELECT dr.draw, fl.* FROM fl CROSS JOIN dr WHERE ticker IN (SELECT ticker FROM nd)) f ASOF LEFT JOIN rd ON rd.draw = f.draw AND rd.ticker = f.ticker AND rd.d >= f.d),
+fz AS (SELECT z.draw, z.ticker, sum(CASE WHEN dd IS NULL THEN amount * en.bil / z.bil ELSE amount * y.bil / z.bil * 0.999 * en.s / y.s END) AS moved, sum(amount * 0.999 * en.q / z.q) AS held
+  FROM z JOIN en USING (ticker) LEFT JOIN dy y ON y.ticker = z.ticker AND y.d = z.dd GROUP BY 1, 2),
+fc AS (SELECT fz.draw, fz.ticker, fin.core, fin.core * fz.held + (1 - fin.core) * fz.moved AS final, fin.final AS real FROM fz JOIN fin ON fin.ticker = fz.ticker AND fin.plan = 'timed')
+SELECT ticker, core, count(*) AS draws, round(avg(CASE WHEN round(final, 4) < round(real, 4) THEN 1.0 ELSE 0.0 END), 6) AS beaten,
+  round(quantile_cont(final, 0.05), 3) AS p5, round(median(final), 3) AS p50, round(quantile_cont(final, 0.95), 3) AS p95 FROM fc GROUP BY 1, 2""",
 )
 def j19(spark, sf):
+    """As many random deploy days as the plan has, drawn from the name's own calendar, with and without a core holding."""
     d = cut_lineage(dca_inputs(spark, sf))
-    real = plan_values(d).where((C("plan") == "timed") & (C("core") == 0)).select("ticker", C("final").alias("real"))
-    n = d.where("dep").groupBy("ticker").agg(F.least(F.count(F.lit(1)), F.lit(40)).alias("n"))
+    real = plan_values(d).where(C("plan") == "timed").select("ticker", "core", C("final").alias("real"))
+    n = d.where("dep").groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
     k = ["ticker", "draw"]
-    days = S.with_draws(d, 10)
+    days = S.with_draws(d.select("ticker", "day").join(n, "ticker"), DEPLOY_DRAWS)
     h = S.draw_hash(7, C("draw"), C("ticker"), C("day"))
     pick = Window.partitionBy(*k).orderBy("h", "day")  # a name's own calendar
-    dep = days.withColumn("h", h).withColumn("k", F.row_number().over(pick)).join(n, "ticker").where(C("k") <= C("n"))
-    flows = days.where(C("amount").isNotNull()).select(*k, "day", "amount", "bil", "q")
-    ends = S.with_draws(d.groupBy("ticker").agg(*[F.max_by(c, "day").alias(c) for c in ("s", "q", "bil")]), 10)
-    v = X.contribution_value(flows, dep.select(*k, C("day").alias("deploy_day")), days, ends, k, F.lit(0.0))
-    v = v.join(real, "ticker")
-    return v.groupBy("ticker").agg(
+    dep = days.withColumn("h", h).withColumn("k", F.row_number().over(pick)).where(C("k") <= C("n")).select(*k, C("day").alias("deploy_day"))
+    dep = dep.join(d.select("ticker", C("day").alias("deploy_day"), C("s").alias("at_s"), C("bil").alias("at_bil")), ["ticker", "deploy_day"])
+    flows = S.with_draws(d.where(C("amount").isNotNull()).select("ticker", "day", "amount", "bil", "q"), DEPLOY_DRAWS)
+    met = asof.forward(flows, dep, k, "day", "deploy_day", ["at_s", "at_bil"], inclusive=True)
+    ends = d.groupBy("ticker").agg(*[F.max_by(c, "day").alias(f"end_{c}") for c in ("s", "q", "bil")])
+    moved = F.when(C("matched_deploy_day").isNull(), C("amount") * C("end_bil") / C("bil")).otherwise(C("amount") * C("at_bil") / C("bil") * 0.999 * C("end_s") / C("at_s"))
+    v = met.join(n.select("ticker"), "ticker", "left_semi").join(ends, "ticker").groupBy(*k).agg(F.sum(moved).alias("moved"), F.sum(C("amount") * 0.999 * C("end_q") / C("q")).alias("held"))
+    v = v.join(real, "ticker").withColumn("final", C("core") * C("held") + (1 - C("core")) * C("moved"))
+    return v.groupBy("ticker", "core").agg(
         F.count(F.lit(1)).alias("draws"),
         r6(F.avg((F.round("final", 4) < F.round("real", 4)).cast("double")), "beaten"),
-        F.round(F.median("final"), 3).alias("p50"),
+        *[F.round(F.percentile("final", F.lit(p)), 3).alias(name) for name, p in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))],  # one value per draw
     )
 
 
@@ -445,7 +454,7 @@ def d25(spark, sf):
 fo AS (SELECT f.ticker, f.pos, round(a.rel - b.rel, 9) AS fwd, row_number() OVER (PARTITION BY f.ticker ORDER BY f.pos) - 1 AS i, count(*) OVER (PARTITION BY f.ticker) AS n FROM feat f
   JOIN feat a ON a.ticker = f.ticker AND a.pos = f.pos + 64 JOIN feat b ON b.ticker = f.ticker AND b.pos = f.pos + 1 WHERE f.resid_z IS NOT NULL),
 ac AS (SELECT ep.ticker, fo.fwd, row_number() OVER (PARTITION BY ep.ticker ORDER BY ep.pos) - 1 AS k FROM ep JOIN fo USING (ticker, pos)),
-dr AS (SELECT CAST(unnest(generate_series(0, 49)) AS INT) AS draw),
+dr AS (SELECT CAST(unnest(generate_series(0, 999)) AS INT) AS draw),
 pk AS (SELECT dr.draw, ac.ticker, CAST('0x' || substr(md5('7-' || dr.draw || '-' || ac.ticker || '-' || ac.k), 1, 8) AS BIGINT) AS h FROM ac CROSS JOIN dr),
 sm AS (SELECT pk.draw, round(avg(fo.fwd), 12) AS m FROM pk JOIN (SELECT DISTINCT ticker, n FROM fo) c USING (ticker) JOIN fo ON fo.ticker = pk.ticker AND fo.i = pk.h % c.n GROUP BY 1)
 SELECT (SELECT count(*) FROM ac) AS episodes, round((SELECT avg(fwd) FROM ac), 6) AS mean, round(avg(m), 6) AS placebo_mean, round(avg(CASE WHEN m >= (SELECT round(avg(fwd), 12) FROM ac) THEN 1.0 ELSE 0.0 END), 6) AS p_one_sided FROM sm""",
@@ -460,7 +469,7 @@ def j18(spark, sf):
     act = E.starts(ok, P, "pos", C("resid_z") <= -0.15).join(ok, ["ticker", "pos"])
     act = act.withColumn("k", F.row_number().over(own) - 1)
     h = S.draw_hash(7, C("draw"), C("ticker"), C("k")).cast("long")
-    drawn = S.with_draws(act.select("ticker", "k"), 50).join(n, "ticker").select("draw", "ticker", (h % C("n")).alias("i"))
+    drawn = S.with_draws(act.select("ticker", "k"), 1000).join(n, "ticker").select("draw", "ticker", (h % C("n")).alias("i"))
     sims = drawn.join(pool.select("ticker", "i", "fwd"), ["ticker", "i"]).groupBy("draw").agg(F.round(F.avg("fwd"), 12).alias("m"))
     real = act.agg(F.struct(F.count(F.lit(1)).alias("episodes"), F.avg("fwd").alias("mean")))
     return sims.withColumn("r", real.scalar()).agg(
@@ -491,18 +500,24 @@ def j21(spark, sf):
     )
 
 
-_ROLLW = """st AS (SELECT CAST(unnest(generate_series(0, 7)) AS INT) AS k),
-wn AS (SELECT k, CAST(DATE '1995-01-01' + k * INTERVAL 6 MONTH AS DATE) AS a, CAST(DATE '1995-01-01' + k * INTERVAL 6 MONTH + INTERVAL 36 MONTH AS DATE) AS b FROM st),
+_ROLLW = """wn AS (SELECT k, a, b FROM (SELECT CAST(k AS INT) AS k, CAST(o + k * INTERVAL 6 MONTH AS DATE) AS a, CAST(o + k * INTERVAL 6 MONTH + INTERVAL 36 MONTH AS DATE) AS b, hi
+  FROM (SELECT date_trunc('month', min(d)) AS o, max(d) AS hi FROM px), unnest(generate_series(0, 2000)) t(k)) WHERE b <= hi),
 rw AS (SELECT p.ticker, wn.k, count(*) AS days, arg_max(px, d) / arg_min(px, d) AS ratio FROM px p JOIN wn ON p.d >= wn.a AND p.d <= wn.b GROUP BY 1, 2)"""
 
 
-def rolling(spark, sf, windows=8, months=36, step=6):
-    """Each day is assigned to every window it falls in: windows start on a fixed grid, so a day knows its windows."""
-    origin = F.lit("1995-01-01").cast("date")
+def rolling(spark, sf, months=36, step=6):
+    """Each day is assigned to every window it falls in: windows start every ``step`` months from the first month of
+    the data, and those that end inside the data count."""
     d = V.px(spark, sf)
-    k = F.sequence(F.lit(0), F.lit(windows - 1))
+    ends = d.agg(F.struct(F.trunc(F.min("d"), "month").alias("lo"), F.max("d").alias("hi"))).scalar()
+    d = d.withColumn("_e", ends)
+    origin, last = C("_e.lo"), F.floor((F.months_between(C("d"), C("_e.lo")) + 1) / step).cast("int")
+    first = F.greatest(F.lit(0), F.ceil((F.months_between(C("d"), C("_e.lo")) - months - 1) / step).cast("int"))
     inside = F.filter(
-        k, lambda i: (C("d") >= F.add_months(origin, i * step)) & (C("d") <= F.add_months(origin, i * step + months))
+        F.sequence(first, F.greatest(first, last)),
+        lambda i: (C("d") >= F.add_months(origin, i * step))
+        & (C("d") <= F.add_months(origin, i * step + months))
+        & (F.add_months(origin, i * step + months) <= C("_e.hi")),
     )
     return d.withColumn("k", F.explode(inside)).groupBy("ticker", "k").agg(
         F.count(F.lit(1)).alias("days"), (F.max_by("px", "d") / F.min_by("px", "d")).alias("ratio")

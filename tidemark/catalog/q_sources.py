@@ -201,8 +201,8 @@ def a13(spark, sf):
 def a14(spark, sf):
     p = V.px(spark, sf)
     ends = p.groupBy("ticker").agg(F.max("d").alias("m")).agg(F.min("m"))
-    names = [f"T{i}" for i in range(5)]
-    wide = p.groupBy("d").pivot("ticker", list(range(5))).agg(F.max("px")).toDF("date", *names)
+    wide = p.groupBy(C("d").alias("date")).pivot("ticker").agg(F.max("px"))
+    wide = wide.toDF("date", *[f"T{c}" for c in wide.columns[1:]])
     return S.wide_prices(wide.withColumn("_end", ends.scalar()).where("date <= _end").drop("_end")).select(day("date", "d"), "ticker", "px")
 
 

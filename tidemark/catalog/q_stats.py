@@ -99,7 +99,7 @@ def j07(spark, sf):
     return S.newey_west(ic, [], "cohort", "ic", 2).select("n", *r6("mean", "t_nw"))
 
 
-DRAWS = 25
+DRAWS = 2000
 
 _DR = f"""dr AS (SELECT CAST(unnest(generate_series(0, {DRAWS - 1})) AS INT) AS draw)"""
 
@@ -107,11 +107,12 @@ _DR = f"""dr AS (SELECT CAST(unnest(generate_series(0, {DRAWS - 1})) AS INT) AS
 @query(
     "j08_within_cohort_permutation",
     f"""WITH {_RK}, {_DR},
-base AS (SELECT cohort, rs, row_number() OVER (PARTITION BY cohort ORDER BY cik) AS p FROM rk),
-sh AS (SELECT draw, cohort, rr, row_number() OVER (PARTITION BY cohort, draw ORDER BY substr(md5('7-' || draw || '-' || cohort || '-' || cik), 1, 8), cik) AS p FROM rk CROSS JOIN dr),
+us AS (SELECT * FROM rk WHERE cohort IN (SELECT cohort FROM study GROUP BY cohort HAVING count(*) >= 20 AND count(DISTINCT sig) >= 3)),
+base AS (SELECT cohort, rs, row_number() OVER (PARTITION BY cohort ORDER BY cik) AS p FROM us),
+sh AS (SELECT draw, cohort, rr, row_number() OVER (PARTITION BY cohort, draw ORDER BY substr(md5('7-' || draw || '-' || cohort || '-' || cik), 1, 8), cik) AS p FROM us CROSS JOIN dr),
 d AS (SELECT sh.draw, sh.cohort, corr(base.rs, sh.rr) AS ic FROM sh JOIN base USING (cohort, p) GROUP BY 1, 2),
 m AS (SELECT draw, round(avg(ic), 12) AS m FROM d GROUP BY draw),
-o AS (SELECT round(avg(ic), 12) AS obs FROM (SELECT cohort, corr(rs, rr) AS ic FROM rk GROUP BY cohort))
+o AS (SELECT round(avg(ic), 12) AS obs FROM (SELECT cohort, corr(rs, rr) AS ic FROM us GROUP BY cohort))
 SELECT round(max(obs), 6) AS obs, count(*) AS draws, round((count(*) FILTER (WHERE m >= obs) + 1) / (count(*) + 1), 6) AS p FROM m CROSS JOIN o""",
 )
 def j08(spark, sf):
@@ -334,7 +335,7 @@ def lead_gain(d, keys):
     return p.withColumn("lead_gain", F.greatest("rho_lag1", "rho_lag2") - C("rho_lag0"))
 
 
-SHIFTS = (5, 7)
+SHIFTS = (5, 7, 9, 11, 13)
 
 
 def shifted(targets, shifts):
@@ -347,7 +348,7 @@ def shifted(targets, shifts):
 
 
 _SHIFT = """sh0 AS (SELECT target, qn, yoy, row_number() OVER (PARTITION BY target ORDER BY qn) - 1 AS i, count(*) OVER (PARTITION BY target) AS n FROM ty),
-sh AS (SELECT a.target, a.qn, s.shift, b.yoy FROM sh0 a CROSS JOIN (SELECT CAST(unnest([5, 7]) AS INT) AS shift) s JOIN sh0 b ON a.target = b.target AND (b.i + s.shift) % b.n = a.i)"""
+sh AS (SELECT a.target, a.qn, s.shift, b.yoy FROM sh0 a CROSS JOIN (SELECT CAST(unnest([5, 7, 9, 11, 13]) AS INT) AS shift) s JOIN sh0 b ON a.target = b.target AND (b.i + s.shift) % b.n = a.i)"""
 
 
 @query("e37_circular_shift", f"WITH {_YOY}, {_SHIFT} SELECT target, qn, shift, yoy AS t_yoy FROM sh")

@@ -121,21 +121,27 @@ def with_draws(df: DataFrame, draws: int) -> DataFrame:
 def permuted(df: DataFrame, keys: Sequence[str], id_: str, value: str, draws: int, seed: int, out: str) -> DataFrame:
     """Every draw's shuffle of ``value`` inside its cohort: df's rows times draws, with the shuffled value in ``out``.
 
-    The row at place p by the draw's hash receives the value of the row at place p by id.
+    The row at place p by the draw's hash receives the value of the row at place p by id. Draws are made inside the
+    tasks; one shuffle by (cohort, draw) orders them, so a large cohort spreads over as many groups as there are draws.
     """
     keys = list(keys)
     base = R.position(df, keys, id_, id_, "_p").select(*keys, "_p", C(value).alias(out))
     d = with_draws(df, draws).withColumn("_h", draw_hash(seed, C("draw"), *[C(k) for k in keys], C(id_)))
-    d = R.position(d, [*keys, "draw"], "_h", id_, "_p")
+    d = d.withColumn("_p", F.row_number().over(Window.partitionBy(*keys, "draw").orderBy("_h", id_)))
     return d.join(base, [*keys, "_p"]).drop("_p", "_h")
 
 
 def permutation_test(
-    df: DataFrame, keys: Sequence[str], id_: str, sig: str, ret: str, draws: int = 2000, seed: int = 7
+    df: DataFrame, keys: Sequence[str], id_: str, sig: str, ret: str, draws: int = 2000, seed: int = 7, least: int = 20, values: int = 3
 ) -> DataFrame:
-    """Observed mean cohort correlation and its placebo p: shuffles within the cohort that do as well, plus one."""
+    """Observed mean cohort correlation and its placebo p: shuffles within the cohort that do as well, plus one.
+
+    Cohorts of fewer than ``least`` names or ``values`` different signals are left out of both.
+    """
     keys = list(keys)
     d = df.where(C(sig).isNotNull() & C(ret).isNotNull())
+    usable = d.groupBy(*keys, sig).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_v"))
+    d = d.join(usable.where((C("_n") >= least) & (C("_v") >= values)).select(*keys), keys, "left_semi")
     d = R.average_rank(d, keys, sig, "_rs")
     d = R.average_rank(d, keys, ret, "_rr")
     d = d.select(*keys, id_, "_rs", "_rr")
