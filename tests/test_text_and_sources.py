@@ -35,6 +35,41 @@ def test_html_table_rows_stay_on_one_line():
     assert H.lines_of(body) == ["Intro text", "Item | 2024", "Net sales | 1,234", "Loss | (5.5)"]
 
 
+def test_html_nested_and_unclosed_rows():
+    assert H.lines_of("<table><tr><td>Outer<table><tr><td>in</td><td>2</td></tr></table></td><td>7</td></tr></table>") == ["in | 2", "Outer | 7"]
+    assert H.lines_of("<p>a<table><tr><td>x<td>1<tr><td>y<td>2</table>b") == ["a", "x | 1", "y | 2", "b"]
+    assert H.lines_of("<table><tr><td><p>two<br>parts</p></td><td>%</td></tr></table>") == ["two parts"]
+
+
+def test_members_listings_labels(spark):
+    page = "{{NASDAQ|ZZ}}\n== Components ==\n* [[Apple]] (AAPL)\n# Old ([[FB]])\n{|\n|-\n| MSFT || Microsoft\n| Name || {{NASDAQ|GOOG}} || x\n|}\n== Other ==\n* No (NO)"
+    d = spark.createDataFrame([(page,), ("no list (ABC)",)], "t string")
+    assert [r[0] for r in d.select(S.members_of_page(C("t"))).collect()] == [["AAPL", "FB", "MSFT", "GOOG"], []]
+    names = [("A", "A Receipts", "N", "N"), ("B", "B Depositary Shares", "N", "N"), ("C", "C", "Y", "N"), ("D", "D", "N", "Y"), ("E", "7% Debentures", "N", "N"), (None, "x", "N", "N")]
+    kinds = S.listing_kinds(spark.createDataFrame(names, "s string, n string, e string, t string"), "s", "n", "e", "t")
+    assert {r.symbol: r.kind for r in kinds.collect()} == {"A": "common", "B": "other", "C": "etf", "E": "other"}
+
+
+def test_keys_stay_known_and_tables_survive_a_restart(spark, tmp_path):
+    def add(i, rows):
+        spark.createDataFrame(rows, "k long, at timestamp, v string").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+
+    import datetime as dt
+
+    def stream():
+        return J.file_stream(spark, str(tmp_path / "in" / "*"), "k long, at timestamp, v string", files_per_batch=1)
+
+    first, late = dt.datetime(2020, 1, 1), dt.datetime(2024, 1, 1)
+    add(0, [(1, first, "a"), (1, first, "a"), (2, first, "b")])
+    for rows, keys, latest in ([None, [1, 2], {1: "a", 2: "b"}], [None, [1, 2], {1: "a", 2: "b"}], [[(1, late, "c"), (3, late, "d")], [1, 2, 3], {1: "c", 2: "b", 3: "d"}]):
+        if rows:
+            add(1, rows)
+        got = sorted(r.k for r in J.new_releases(stream(), "k", str(tmp_path / "seen")).collect())
+        assert got == keys
+        state = J.latest_state(stream(), ["k"], "v", ["at"], str(tmp_path / "state"))
+        assert {r.k: r.v for r in state.collect()} == latest
+
+
 def test_numbers_and_names(spark):
     d = spark.createDataFrame([("Net (1,234.5) and $ 7 of 10%", "Reporting Segment Analog (2)", "us-gaap:DataCenterMember")], "line string, seg string, tag string")
     r = d.select(X.numbers(C("line")).alias("n"), X.normalise_name(C("seg")).alias("s"), X.member_words(C("tag")).alias("m")).first()

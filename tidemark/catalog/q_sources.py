@@ -85,44 +85,77 @@ def a03(spark, sf):
     return v.select("cik", qn.alias("qn"), "priority", "duration_months", F.round("value", 8).alias("value"))
 
 
+def balance_docs(spark, sf):
+    """Backlog facts of each filer: instants in its main currency (filed twice), some in another, and a duration."""
+    d = V.fq_rev(spark, sf)
+    end = quarter_end(C("qn"))
+
+    def obs(start, val, late=30):
+        return F.struct(start.alias("start"), end.alias("end"), val.cast("double").alias("val"), F.lit("a").alias("accn"), F.lit("10-Q").alias("form"), F.date_add(end, late).alias("filed"))
+
+    none, q0 = F.lit(None).cast("date"), F.date_add(quarter_end(C("qn") - 1), 1)
+    g = d.groupBy("cik").agg(  # a filer's quarters
+        F.collect_list(obs(none, C("rev") * 2000)).alias("main"),
+        F.collect_list(obs(none, C("rev") * 2100, 90)).alias("again"),
+        F.collect_list(F.when(C("qn") % 2 == 0, obs(none, C("rev") * 7, 5))).alias("minor"),
+        F.collect_list(obs(q0, C("rev") * 3, 1)).alias("span"),
+    )
+    usd, eur, gbp = F.lit("USD"), F.lit("EUR/x"), F.lit("GBP")
+    both = lambda main, minor: F.create_map(main, F.concat("main", "again", "span"), minor, C("minor"), gbp, F.concat("main", "main", "main"))
+    units = F.when(C("cik") % 3 == 0, both(eur, usd)).otherwise(both(usd, eur))
+    concepts = F.create_map(F.lit("Backlog"), F.struct(units.alias("units")))
+    return g.select(F.to_json(F.struct("cik", F.lit("x").alias("entityName"), F.create_map(F.lit("us-gaap"), concepts).alias("facts"))).alias("body"))
+
+
 @query(
     "a04_balance_facts_scan",
-    "SELECT cik, qn, 'backlog' AS metric, rev * 2000 AS value FROM fq_rev",
+    "SELECT cik, qn, 'backlog' AS metric, CASE WHEN cik % 3 = 0 THEN 'EUR/x' ELSE 'USD' END AS unit, rev * 2000 AS value FROM fq_rev",
 )
 def a04(spark, sf):
-    b = S.balance_facts(S.company_facts(fact_docs(spark, sf), "body"), {"Backlog": "backlog"}, ["USD"])
-    return b.select("cik", (F.year("period_end") * 4 + F.quarter("period_end") - 1).alias("qn"), "metric", "value")
+    b = S.balance_facts(S.company_facts(balance_docs(spark, sf), "body"), {"Backlog": "backlog"})
+    return b.select("cik", (F.year("period_end") * 4 + F.quarter("period_end") - 1).alias("qn"), "metric", "unit", "value")
 
 
 def instance_docs(spark, sf):
-    """One instance document per filer and quarter: a plain total, segment facts, one two-axis fact, one reconciling fact."""
+    """One instance document per filer and quarter: segment facts (one with the operating qualifier), a two-axis fact, a
+    customer fact, reconciling rows under any name, and facts that must not count: eliminations beside a segment,
+    subtotals, an unlisted axis, an instant, the undivided total."""
     s = V.fq_seg(spark, sf)
     end = quarter_end(C("qn")).cast("string")
     start = F.date_add(quarter_end(C("qn") - 1), 1).cast("string")
-    period = F.concat(F.lit("<xbrli:period><xbrli:startDate>"), start, F.lit("</xbrli:startDate><xbrli:endDate>"), end, F.lit("</xbrli:endDate></xbrli:period>"))
+    span = F.concat(F.lit("<xbrli:period><xbrli:startDate>"), start, F.lit("</xbrli:startDate><xbrli:endDate>"), end, F.lit("</xbrli:endDate></xbrli:period>"))
+    instant = F.concat(F.lit("<xbrli:period><xbrli:instant>"), end, F.lit("</xbrli:instant></xbrli:period>"))
 
     def member(axis, name):
         return F.concat(F.lit(f'<xbrldi:explicitMember dimension="us-gaap:{axis}">co:'), name, F.lit("Member</xbrldi:explicitMember>"))
 
-    seg = member("StatementBusinessSegmentsAxis", F.concat(F.lit("Data"), F.lit("Center"), C("segment")))
+    seg = member("StatementBusinessSegmentsAxis", F.concat(F.lit("DataCenter"), F.element_at(F.create_map(*[F.lit(x) for x in ("A", "East", "N", "North", "R", "West")]), C("segment"))))
     two = F.concat(seg, member("ProductOrServiceAxis", F.lit("Chips")))
-    recon = member("ConsolidationItemsAxis", F.lit("CorporateReconcilingItems"))
+    whole = lambda name: member("ConsolidationItemsAxis", F.lit(name))
 
-    def part(tag, dims, factor):
+    def part(tag, dims, factor, period=span):
         ctx = F.concat(F.lit("c"), F.lit(tag), C("segment"))
         return F.concat(
             F.lit('<xbrli:context id="'), ctx, F.lit('"><xbrli:entity><xbrli:segment>'), dims, F.lit("</xbrli:segment></xbrli:entity>"), period,
             F.lit('</xbrli:context><us-gaap:Revenues contextRef="'), ctx, F.lit('">'), F.format_string("%.4f", C("rev") * factor), F.lit("</us-gaap:Revenues>"),
         )
 
-    body = F.concat(part("s", seg, 1000), part("t", two, 500), F.when(C("segment") == "A", part("r", recon, 10)).otherwise(""))
+    once = F.concat(
+        part("r", whole("HeadOfficeThings"), 10), part("x", whole("ReportableSegmentsSubtotal"), 11), part("u", member("OddAxis", F.lit("Z")), 12), part("n", F.lit(""), 14),
+    )
+    body = F.concat(
+        part("s", F.concat(seg, whole("OperatingSegments")), 1000), part("d", seg, 1000), part("t", two, 500), part("e", F.concat(seg, whole("IntersegmentElimination")), 9),
+        part("i", seg, 13, instant), part("k", member("MajorCustomersAxis", F.lit("BigBuyer")), 20), F.when(C("segment") == "A", once).otherwise(""),
+    )
     g = s.withColumn("b", body).groupBy("cik", "qn").agg(F.concat_ws("", F.collect_list("b")).alias("b"))  # three segments
     return g.select(F.concat_ws("-", "cik", "qn").alias("doc"), F.concat(F.lit('<xbrl xmlns:xbrli="x" xmlns:xbrldi="d" xmlns:us-gaap="g">'), "b", F.lit("</xbrl>")).alias("body"))
 
 
-_INST = """SELECT cik || '-' || qn AS doc, 'segment' AS axis, 'Data Center' || segment AS members, 3 AS duration_months, round(rev * 1000 / 1e6, 10) AS value FROM fq_seg
-UNION ALL SELECT cik || '-' || qn, 'product_or_service+segment', 'Chips+Data Center' || segment, 3, round(rev * 500 / 1e6, 10) FROM fq_seg
-UNION ALL SELECT cik || '-' || qn, 'segment', 'All Other', 3, round(rev * 10 / 1e6, 10) FROM fq_seg WHERE segment = 'A'"""
+_SEG = "'Data Center ' || CASE segment WHEN 'A' THEN 'East' WHEN 'N' THEN 'North' ELSE 'West' END"
+_INST = f"""SELECT cik || '-' || qn AS doc, 'segment' AS axis, {_SEG} AS members, 3 AS duration_months, round(rev * 1000 / 1e6, 10) AS value FROM fq_seg
+UNION SELECT cik || '-' || qn, 'product_or_service+segment', 'Chips+' || {_SEG}, 3, round(rev * 500 / 1e6, 10) FROM fq_seg
+UNION SELECT cik || '-' || qn, 'customer', 'Big Buyer', 3, round(rev * 20 / 1e6, 10) FROM fq_seg
+UNION SELECT cik || '-' || qn, 'segment', 'All Other', 3, round(rev * 10 / 1e6, 10) FROM fq_seg WHERE segment = 'A'"""
 
 
 def dims(spark, sf):
@@ -131,8 +164,7 @@ def dims(spark, sf):
 
 @query("a06_dim_fact_scan", _INST)
 def a06(spark, sf):
-    d = dims(spark, sf).select("doc", "axis", "members", "duration_months", F.round("value", 10).alias("value"))
-    return d.withColumn("members", F.regexp_replace("members", r"Center([ANR])", "Center$1")).withColumn("members", F.regexp_replace("members", r"Center ([ANR])", "Center$1"))
+    return dims(spark, sf).select("doc", "axis", "members", "duration_months", F.round("value", 10).alias("value"))
 
 
 @query("c29_context_join", f"SELECT axis, count(*) AS facts FROM ({_INST}) GROUP BY 1")
@@ -142,16 +174,19 @@ def c29(spark, sf):
 
 @query(
     "a07_label_scan",
-    "SELECT 'd' || p_partkey AS doc, 'M' || p_partkey AS member, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS label FROM part",
+    """SELECT 'd' || p_partkey AS doc, 'M' || p_partkey AS member, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'Total ' || p_name WHEN 2 THEN p_brand ELSE p_type END AS label FROM part""",
 )
 def a07(spark, sf):
-    k = C("p_partkey").cast("string")
-    terse = F.when(C("p_partkey") % 2 == 0, F.concat(F.lit('<label label="t" role="x/terseLabel">'), "p_name", F.lit(" [Member]</label>"))).otherwise(
-        F.lit('<label label="t" role="x/terseLabel">Total everything</label>')
-    )
+    k, kind = C("p_partkey").cast("string"), C("p_partkey") % 4
+
+    def label(role, text):
+        return F.concat(F.lit(f'<label label="t" role="x/{role}">'), text, F.lit("</label>"))
+
+    terse = F.when(kind == 0, label("terseLabel", F.concat(C("p_name"), F.lit(" [Member]")))).when(kind == 1, label("terseLabel", F.concat(F.lit("Total "), C("p_name"), F.lit(" [Domain]"))))
+    terse = terse.otherwise(label("terseLabel", F.lit("Reportable Segments [Member]")))
+    verbose = F.when(kind == 2, label("verboseLabel", C("p_brand"))).when(kind == 3, label("verboseLabel", F.lit("Total net sales"))).otherwise(label("documentation", F.lit("text")))
     body = F.concat(
-        F.lit('<linkbase><loc label="l" href="f.xsd#M'), k, F.lit('"/><labelArc from="l" to="t"/>'), terse,
-        F.lit('<label label="t" role="x/label">'), "p_type", F.lit(" [Member]</label></linkbase>"),
+        F.lit('<linkbase><loc label="l" href="f.xsd#M'), k, F.lit('"/><labelArc from="l" to="t"/>'), terse, label("label", F.concat(C("p_type"), F.lit(" [Member]"))), verbose, F.lit("</linkbase>"),
     )
     docs = V.table(spark, sf, "part").select(F.concat(F.lit("d"), k).alias("doc"), body.alias("body"))
     return S.member_labels(docs, "doc", "body")
@@ -173,28 +208,37 @@ def a09(spark, sf):
 
 @query(
     "a11_holdings_xml_scan",
-    "SELECT 'n' || c_nationkey || '-' || c_custkey // 64 AS doc, '2024-06-30' AS report_date, c_name AS name, c_acctbal AS usd FROM customer",
+    """SELECT 'n' || c_nationkey || '-' || c_custkey // 64 AS doc, '2024-06-30' AS report_date, 'Fund ' || c_nationkey AS series, 1000.5 + c_nationkey AS net_assets, c_name AS name, c_acctbal AS usd,
+  'US' || c_custkey AS isin, CASE WHEN c_custkey % 2 = 0 THEN 'T' || c_custkey END AS ticker, 'NS' AS units, 'CORP' AS issuer, c_mktsegment AS country FROM customer""",
 )
 def a11(spark, sf):
+    k = C("c_custkey").cast("string")
+    ids = F.concat(F.lit('<identifiers><isin value="US'), k, F.lit('"/>'), F.when(C("c_custkey") % 2 == 0, F.concat(F.lit('<ticker value="T'), k, F.lit('"/>'))).otherwise(""), F.lit("</identifiers>"))
     row = F.concat(
-        F.lit("<invstOrSec><name>"), "c_name", F.lit("</name><cusip>1</cusip><balance>2.0</balance><valUSD>"), C("c_acctbal").cast("string"), F.lit("</valUSD><pctVal>1.0</pctVal><assetCat>EC</assetCat></invstOrSec>")
+        F.lit("<invstOrSec><name>"), "c_name", F.lit("</name><title>t</title><cusip>1</cusip>"), ids, F.lit("<balance>2.0</balance><units>NS</units><valUSD>"), C("c_acctbal").cast("string"),
+        F.lit("</valUSD><pctVal>1.0</pctVal><assetCat>EC</assetCat><issuerCat>CORP</issuerCat><invCountry>"), "c_mktsegment", F.lit("</invCountry></invstOrSec>"),
+    )
+    c = V.table(spark, sf, "customer").select("c_nationkey", F.concat_ws("", F.lit("n"), "c_nationkey", F.lit("-"), F.floor(C("c_custkey") / 64)).alias("doc"), row.alias("row"))
+    head = F.concat(
+        F.lit("<edgar><genInfo><seriesName>Fund "), C("c_nationkey").cast("string"), F.lit("</seriesName><repPdDate>2024-06-30</repPdDate></genInfo><fundInfo><netAssets>"),
+        (C("c_nationkey") + 1000.5).cast("string"), F.lit("</netAssets></fundInfo><invstOrSecs>"),
+    )
+    docs = c.groupBy("doc", "c_nationkey").agg(F.concat_ws("", F.collect_list("row")).alias("rows"))  # 64 positions at most
+    h = S.fund_holdings(docs.select("doc", F.concat(head, "rows", F.lit("</invstOrSecs></edgar>")).alias("body")), "doc", "body")
+    return h.select(
+        "doc", day("report_date"), "series", "net_assets", "name", C("valUSD").alias("usd"), "isin", "ticker", "units", C("issuerCat").alias("issuer"), C("invCountry").alias("country")
     )
-    c = V.table(spark, sf, "customer").select(F.concat_ws("", F.lit("n"), "c_nationkey", F.lit("-"), F.floor(C("c_custkey") / 64)).alias("doc"), row.alias("row"))
-    docs = c.groupBy("doc").agg(F.concat_ws("", F.collect_list("row")).alias("rows"))
-    body = F.concat(F.lit("<edgar><genInfo><repPdDate>2024-06-30</repPdDate></genInfo><invstOrSecs>"), "rows", F.lit("</invstOrSecs></edgar>"))
-    h = S.fund_holdings(docs.select("doc", body.alias("body")), "doc", "body")
-    return h.select("doc", day("report_date"), "name", C("valUSD").alias("usd"))
 
 
 @query(
     "a13_checkpoint_scan",
-    "SELECT CAST(event_id % 700 AS VARCHAR) AS accn, arg_max(event_type, event_id) AS status, arg_max(value, event_id) AS value FROM events WHERE event_id % 11 <> 0 GROUP BY 1",
+    "SELECT CAST(event_id % 700 AS VARCHAR) AS accn, arg_max(event_type, event_id) AS status, arg_max(value, event_id) AS value, arg_max(user_id, event_id) AS user_id, max(event_id) AS line FROM events WHERE event_id % 11 <> 0 GROUP BY 1",
 )
 def a13(spark, sf):
     e = V.table(spark, sf, "events")
-    good = F.to_json(F.struct((C("event_id") % 700).cast("string").alias("accn"), C("event_type").alias("status"), "value"))
+    good = F.to_json(F.struct((C("event_id") % 700).cast("string").alias("accn"), C("event_type").alias("status"), "value", "user_id", C("event_id").alias("line")))
     lines = e.select("event_id", F.when(C("event_id") % 11 == 0, F.lit("{broken")).otherwise(good).alias("line"))
-    return S.last_log_records(lines, "line", "event_id")
+    return S.last_log_records(lines, "line", "event_id", "struct<accn:string,status:string,value:double,user_id:bigint,line:bigint>")
 
 
 @query("a14_price_scan", "SELECT CAST(d AS VARCHAR) AS d, 'T' || ticker AS ticker, px FROM px WHERE d <= (SELECT min(m) FROM (SELECT max(d) AS m FROM px GROUP BY ticker))")
@@ -213,20 +257,30 @@ c AS (SELECT qn, last_value(CASE WHEN len(l) >= 90 THEN len(l) END IGNORE NULLS)
 )
 def a15(spark, sf):
     sym = F.concat(F.lit("T"), F.char(65 + C("cik") % 26), F.char(65 + F.floor(C("cik") / 26) % 26))
-    row = F.concat(F.lit("| {{NASDAQ|"), sym, F.lit("}} || text"))
+    name = F.concat(F.lit("Name "), C("cik").cast("string"))
+    row = F.when(C("cik") % 3 == 0, F.concat(F.lit("| "), name, F.lit(" || {{NASDAQ|"), sym, F.lit("}} || text")))
+    row = row.when(C("cik") % 3 == 1, F.concat(F.lit("* [["), name, F.lit("]] (["), F.lit("["), sym, F.lit("]])"))).otherwise(F.concat(F.lit("| "), sym, F.lit(" || "), name))
     d = V.fq_rev(spark, sf).where((C("qn") % 3 != 1) | (C("cik") % 50 == 0))
-    pages = d.select("qn", row.alias("row")).distinct().groupBy("qn").agg(F.concat_ws("\n", F.collect_list("row")).alias("text"))  # one page per quarter
+    pages = d.select("qn", row.alias("row")).distinct().groupBy("qn").agg(F.concat_ws("\n", F.collect_list("row")).alias("rows"))  # one page per quarter
+    pages = pages.select("qn", F.concat(F.lit("Intro {{NASDAQ|ZZZ}}\n* Old (ZZY)\n== Components ==\n{| class\n|-\n"), "rows", F.lit("\n|}\n== See also ==\n* Else (ZZX)\n| ZZW || x")).alias("text"))
     got = S.carried_members(pages.withColumn("index", F.lit("n100")), ["index"], "qn", "text", 90)
     return got.select("qn", F.when(C("members").isNotNull(), F.size("members")).alias("members"))
 
 
+_KINDS = ("", " American Depositary Receipts", " 7% Debentures due 2031", " American Depositary Shares", " Warrant", " Units", " Subordinated", " Ordinary Shares", " Rights")
+
+
 @query(
     "a16_listing_scan",
-    "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN p_size % 4 = 0 THEN 'etf' WHEN regexp_matches(p_name, '(?i)warrant|right|unit|preferred|notes|depositary') THEN 'other' ELSE 'common' END AS kind FROM part) GROUP BY 1",
+    f"""WITH l AS (SELECT p_partkey, p_size, p_name || (['{"', '".join(_KINDS)}'])[CAST(p_partkey % 9 + 1 AS INT)] AS name FROM part WHERE p_partkey % 13 <> 0)
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN p_size % 4 = 0 THEN 'etf' WHEN regexp_matches(name, '(?i)warrant|unit|right|preferred|depositary shares|notes|debenture|subordinated') THEN 'other' ELSE 'common' END AS kind FROM l) GROUP BY 1""",
 )
 def a16(spark, sf):
-    p = V.table(spark, sf, "part").select(C("p_partkey").alias("s"), C("p_name").alias("n"), F.when(C("p_size") % 4 == 0, "Y").otherwise("N").alias("e"))
-    return S.listing_kinds(p, "s", "n", "e").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    name = F.concat(C("p_name"), F.get(F.array(*[F.lit(x) for x in _KINDS]), (C("p_partkey") % 9).cast("int")))
+    p = V.table(spark, sf, "part").select(
+        C("p_partkey").alias("s"), name.alias("n"), F.when(C("p_size") % 4 == 0, "Y").otherwise("N").alias("e"), F.when(C("p_partkey") % 13 == 0, "Y").otherwise("N").alias("t")
+    )
+    return S.listing_kinds(p, "s", "n", "e", "t").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -309,23 +309,34 @@ def i21(spark, sf):
     return shares_text(spark, sf).select("accn", lo.alias("low"), hi.alias("high"), cap.alias("capex_high"))
 
 
-@query("a12_html_to_lines")
+@query(
+    "a12_html_to_lines",
+    r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '(?i)</?(p|div|li|h[1-6]|title|br|article|section|table|ul|ol)(\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '') AS l FROM c)
+SELECT page_id, CAST(i - 1 AS INT) AS line_no, l[i] AS line FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)""",
+)
 def a12(spark, sf):
     return H.to_lines(V.table(spark, sf, "pages"), "page_id", "html")
 
 
 @query(
     "a08_row_label_scan",
-    "SELECT CAST(o_orderkey AS INT) AS accn, 'Net sales' AS label, CAST(CAST(floor(o_totalprice) AS BIGINT) AS DOUBLE) AS value FROM orders UNION ALL SELECT CAST(o_orderkey AS INT), 'Loss', -CAST(o_orderkey % 100 + 1 AS DOUBLE) FROM orders",
+    """SELECT CAST(o_orderkey AS INT) AS accn, 'c1' AS context, round(CAST(CAST(floor(o_totalprice) AS BIGINT) AS DOUBLE) / 1e3, 3) AS value, 'Net sales & other' AS label FROM orders
+UNION ALL SELECT CAST(o_orderkey AS INT), 'c2', -round(CAST(o_orderkey % 100 + 1 AS DOUBLE), 3), 'Operating loss' FROM orders UNION ALL SELECT CAST(o_orderkey AS INT), 'c3', round(CAST(o_orderkey % 7 AS DOUBLE) / 1e6, 3), 'Operating loss' FROM orders""",
 )
 def a08(spark, sf):
     o = V.table(spark, sf, "orders")
     body = F.format_string(
-        "<html><table><tr><td>Net sales</td><td>$</td><td>%s</td></tr><tr><td>Loss</td><td>(%d)</td></tr></table></html>",
-        F.format_number(F.floor("o_totalprice"), 0), C("o_orderkey") % 100 + 1,
+        "<html><table><tr><th>x</th></tr><tr class='a'><td>$</td><td><b>Net sales&nbsp;&amp; other</b></td><td>9.5</td><td>$<ix:nonFraction name=\"us-gaap:Revenues\" contextRef=\"c1\" scale=\"3\">%s</ix:nonFraction></td></tr>"
+        "<tr><td> Operating\nloss </td><td>(<ix:nonFraction scale=\"6\" sign=\"-\" contextRef=\"c2\" name=\"x:OperatingIncomeLoss\">%d</ix:nonFraction>)</td>"
+        "<td><ix:nonFraction contextRef=\"c3\" name=\"x:OperatingIncomeLoss\">%d</ix:nonFraction></td><td><ix:nonFraction contextRef=\"c4\" name=\"x:Assets\">1</ix:nonFraction></td></tr>"
+        "<tr><td>12</td><td><ix:nonFraction contextRef=\"c5\" name=\"x:Revenues\">7</ix:nonFraction></td></tr></table></html>",
+        F.format_number(F.floor("o_totalprice"), 0), C("o_orderkey") % 100 + 1, C("o_orderkey") % 7,
     )
-    lines = H.to_lines(o.select(C("o_orderkey").cast("int").alias("accn"), body.alias("html")), "accn", "html")
-    return H.row_labels(lines, "accn").select("accn", "label", "value")
+    docs = o.select(C("o_orderkey").cast("int").alias("accn"), body.alias("html"))
+    return H.fact_row_labels(docs, "accn", "html", ["Revenues", "OperatingIncomeLoss"]).select("accn", "context", "value", "label")
 
 
 # ---------------------------------------------------------------- dates

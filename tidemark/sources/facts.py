@@ -15,15 +15,22 @@ from tidemark.functions.text import member_words
 
 C = F.col
 
-# Filing forms whose facts count, and XBRL axis names.
+# Filing forms whose facts count, and XBRL axis names, consolidation members and labels that are
+# subtotals, currency prefixes, name words of securities that are no common share, ticker symbols.
 FACT_FORMS = ("10-Q", "10-K", "10-Q/A", "10-K/A", "20-F", "20-F/A", "6-K")
 AXES = {
     "StatementBusinessSegmentsAxis": "segment",
     "ProductOrServiceAxis": "product_or_service",
     "StatementGeographicalAxis": "geography",
-    "ConsolidationItemsAxis": "consolidation",
+    "MajorCustomersAxis": "customer",
 }
-LABEL_ROLES = ("terseLabel", "label", "verboseLabel")
+CONSOLIDATION, OPERATING = "ConsolidationItemsAxis", "OperatingSegmentsMember"
+SUBTOTAL_MEMBERS = r"(?i)^(OperatingSegments|ReportableSegments|SegmentContinuingOperations|ConsolidatedEntities)"
+LABEL_ROLES = ("terseLabel", "verboseLabel", "label")
+SUBTOTAL_LABELS = r"(?i)^((reportable|reporting|operating|business) segments?|segments?|total|consolidated|total (net )?(revenue|sales))$"
+CURRENCIES = ("USD", "EUR", "TWD", "KRW", "JPY", "CHF")
+OTHER_SECURITIES = r"(?i)warrant|unit|right|preferred|depositary shares|notes|debenture|subordinated"
+SYMBOL = r"[A-Z][A-Z.]{0,5}"
 
 OBS = "struct<start:date,end:date,val:double,accn:string,form:string,filed:date>"
 FACTS = f"struct<cik:int,entityName:string,facts:map<string,map<string,struct<units:map<string,array<{OBS}>>>>>>"
@@ -75,7 +82,7 @@ def fact_vintages(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     ``concepts`` (taxonomy, concept, canonical, priority) is a short list. The second taxonomy counts only for filers
     without facts in the first.
     """
-    d = facts.join(F.broadcast(concepts), ["taxonomy", "concept"]).where(C("form").isin(*FACT_FORMS))
+    d = facts.join(concepts, ["taxonomy", "concept"]).where(C("form").isin(*FACT_FORMS))
     main = facts.groupBy("cik").agg(F.max(C("taxonomy") == "us-gaap").alias("_main"))
     d = d.join(main, "cik").where((C("taxonomy") == "us-gaap") | ~C("_main"))
     months = duration_months(C("start"), C("end"))
@@ -85,13 +92,20 @@ def fact_vintages(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     )
 
 
-def balance_facts(facts: DataFrame, names: dict[str, str], currencies: Sequence[str]) -> DataFrame:
-    """First filing of each instant balance per metric and date, in the listed currencies."""
+def balance_facts(facts: DataFrame, names: dict[str, str], currencies: Sequence[str] = CURRENCIES) -> DataFrame:
+    """First filing of each balance per filer, metric and date.
+
+    Units count by the currency they begin with. Where a series has instants as well as durations only the instants
+    stay; then the unit with the most facts stays (the first by name among equals).
+    """
     m = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    d = facts.where(C("start").isNull() & C("unit").isin(*currencies)).withColumn("metric", m[C("concept")])
-    d = d.where(C("metric").isNotNull())
-    g = d.groupBy("cik", "metric", "end").agg(F.min(F.struct("filed", "accn", "val")).alias("r"))
-    return g.select("cik", "metric", C("end").alias("period_end"), C("r.val").alias("value"), C("r.filed").alias("filed"))
+    d = facts.withColumn("metric", m[C("concept")]).where(C("metric").isNotNull() & C("unit").rlike("^(" + "|".join(currencies) + ")") & C("end").isNotNull())
+    k = ["cik", "metric"]
+    d = d.join(d.groupBy(*k).agg(F.max(C("start").isNull()).alias("_instants")), k).where(C("start").isNull() | ~C("_instants"))
+    units = d.groupBy(*k, "unit").agg(F.count(F.lit(1)).alias("_n"))
+    d = d.join(units.groupBy(*k).agg(F.min_by("unit", F.struct(-C("_n"), C("unit"))).alias("unit")), [*k, "unit"])
+    g = d.groupBy(*k, "unit", "end").agg(F.min(F.struct("filed", "accn", "val")).alias("r"))
+    return g.select("cik", "metric", C("end").alias("period_end"), C("r.val").alias("value"), C("r.filed").alias("filed"), "unit")
 
 
 def filing_index(docs: DataFrame, body: str) -> DataFrame:
@@ -110,9 +124,12 @@ INSTANCE = (
 
 
 def dimensional_facts(docs: DataFrame, key: str, body: str, concepts: dict[str, str]) -> DataFrame:
-    """Instance documents: contexts joined to facts, axis and member lists sorted, reconciling rows as 'All Other'.
+    """Instance documents: contexts joined to facts cut by reportable axes; distinct rows.
 
-    A context's facts and members stay in their document, so the join is on (document, context).
+    The operating-segments qualifier adds nothing and is dropped. A fact whose only axis is then consolidation, and
+    whose member is no subtotal, is the reconciling row 'All Other' of the segments; beside another axis, or on an axis
+    that is not listed, the fact is left out, as are instants. A context's facts and members stay in their document,
+    so the join is on (document, context).
     """
     one = "array<struct<_contextRef:string,_VALUE:double>>"
     schema = INSTANCE.format(facts=",".join(f"{c}:{one}" for c in concepts))
@@ -128,53 +145,54 @@ def dimensional_facts(docs: DataFrame, key: str, body: str, concepts: dict[str,
     for c, metric in concepts.items():
         f = d.select(key, F.inline(f"x.{c}")).select(key, C("_contextRef").alias("ctx"), C("_VALUE").alias("value"), F.lit(metric).alias("metric"))
         facts = f if facts is None else facts.unionByName(f)
-    local = F.create_map(*[F.lit(x) for kv in AXES.items() for x in kv])
-    named = F.transform(
-        "dims",
-        lambda m: F.struct(local[F.regexp_extract(m["_dimension"], r"([^:]+)$", 1)].alias("axis"), m["_VALUE"].alias("raw")),
-    )
-    j = facts.join(ctx, [key, "ctx"]).withColumn("m", named)
-    j = j.where(~F.exists("m", lambda x: x["axis"].isNull()))
-    recon = F.exists("m", lambda x: (x["axis"] == "consolidation") & x["raw"].rlike("(?i)reconcil|corporate"))
-    plain = F.array_sort(F.filter("m", lambda x: x["axis"] != "consolidation"))
-    j = j.withColumn("recon", recon).withColumn("p", plain)
-    axis = F.when(C("recon") & (F.size("p") == 0), "segment").otherwise(F.array_join(F.transform("p", lambda x: x["axis"]), "+"))
-    members = F.when(C("recon") & (F.size("p") == 0), "All Other").otherwise(
-        F.array_join(F.transform("p", lambda x: member_words(x["raw"])), "+")
-    )
-    return j.select(
+    last = lambda x: F.regexp_extract(F.trim(x), r"([^:]+)$", 1)
+    named = F.transform("dims", lambda m: F.struct(last(m["_dimension"]).alias("dim"), F.trim(m["_VALUE"]).alias("raw")))
+    named = F.array_sort(F.filter(named, lambda m: ~((m["dim"] == CONSOLIDATION) & (last(m["raw"]) == OPERATING))))
+    j = facts.join(ctx, [key, "ctx"]).where(C("start").isNotNull() & C("value").isNotNull()).withColumn("m", named)
+    alone = (F.size("m") == 1) & (F.get("m", F.lit(0))["dim"] == CONSOLIDATION)
+    j = j.withColumn("recon", alone & ~F.coalesce(last(F.get("m", F.lit(0))["raw"]).rlike(SUBTOTAL_MEMBERS), F.lit(False)))
+    listed = F.create_map(*[F.lit(x) for kv in AXES.items() for x in kv])
+    j = j.where(C("recon") | ((F.size("m") > 0) & ~F.exists("m", lambda x: listed[x["dim"]].isNull())))
+    axis = F.when(C("recon"), "segment").otherwise(F.array_join(F.array_sort(F.transform("m", lambda x: listed[x["dim"]])), "+"))
+    members = F.when(C("recon"), "All Other").otherwise(F.array_join(F.transform("m", lambda x: member_words(x["raw"])), "+"))
+    j = j.select(
         key, "ctx", "metric", "period_end", duration_months(C("start"), C("period_end")).alias("duration_months"),
         axis.alias("axis"), members.alias("members"), (C("value") / 1e6).alias("value"),
-    ).where(C("axis") != "")
+    )
+    rest = [c for c in j.columns if c != "ctx"]
+    return j.groupBy(*rest).agg(F.min("ctx").alias("ctx"))
 
 
 def member_labels(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """Best label per member by role preference, '[Member]' off, subtotal labels skipped."""
+    """Best label per member by role preference, '[Member]' or '[Domain]' off, labels that only name a subtotal skipped."""
     s = "struct<loc:array<struct<_label:string,_href:string>>,labelArc:array<struct<_from:string,_to:string>>,label:array<struct<_label:string,_role:string,_VALUE:string>>>"
     x = docs.select(key, F.from_xml(C(body), s, {"ignoreNamespace": "true"}).alias("x"))
     loc = x.select(key, F.inline("x.loc")).select(key, C("_label").alias("l"), F.regexp_extract("_href", r"#(.+)$", 1).alias("member"))
     arc = x.select(key, F.inline("x.labelArc")).select(key, C("_from").alias("l"), C("_to").alias("t"))
     lab = x.select(key, F.inline("x.label")).select(
-        key, C("_label").alias("t"), F.regexp_extract("_role", r"([^/]+)$", 1).alias("role"), F.trim(F.regexp_replace("_VALUE", r"\s*\[Member\]", "")).alias("label")
+        key, C("_label").alias("t"), F.regexp_extract("_role", r"([^/]+)$", 1).alias("role"), F.trim(F.regexp_replace(F.trim("_VALUE"), r"\s*\[(Member|Domain)\]$", "")).alias("label")
     )
     rank = F.array_position(F.array(*[F.lit(r) for r in LABEL_ROLES]), C("role"))
-    d = loc.join(arc, [key, "l"]).join(lab, [key, "t"]).withColumn("rank", rank).where((C("rank") > 0) & ~C("label").rlike("(?i)^total|subtotal"))
+    d = loc.join(arc, [key, "l"]).join(lab, [key, "t"]).withColumn("rank", rank).where((C("rank") > 0) & (C("label") != "") & ~C("label").rlike(SUBTOTAL_LABELS))
     return d.groupBy(key, "member").agg(F.min_by("label", F.struct("rank", "label")).alias("label"))
 
 
 def fund_holdings(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """Fund report to one row per position with the report date."""
-    s = "struct<genInfo:struct<repPdDate:date>,invstOrSecs:struct<invstOrSec:array<struct<name:string,cusip:string,balance:double,valUSD:double,pctVal:double,assetCat:string>>>>"
-    x = docs.select(key, F.from_xml(C(body), s, {"ignoreNamespace": "true"}).alias("x"))
-    return x.select(key, C("x.genInfo.repPdDate").alias("report_date"), F.inline("x.invstOrSecs.invstOrSec"))
+    """Fund report to one row per position: names, identifiers, amounts, categories, with the report's date, series and assets."""
+    row = (
+        "struct<name:string,title:string,cusip:string,identifiers:struct<isin:struct<at_value:string>,ticker:struct<at_value:string>>,balance:double,units:string,"
+        "valUSD:double,pctVal:double,assetCat:string,issuerCat:string,invCountry:string>"
+    )
+    s = f"struct<genInfo:struct<repPdDate:date,seriesName:string>,fundInfo:struct<netAssets:double>,invstOrSecs:struct<invstOrSec:array<{row}>>>"
+    x = docs.select(key, F.from_xml(C(body), s, {"ignoreNamespace": "true", "attributePrefix": "at_"}).alias("x"))
+    x = x.select(key, C("x.genInfo.repPdDate").alias("report_date"), C("x.genInfo.seriesName").alias("series"), C("x.fundInfo.netAssets").alias("net_assets"), F.inline("x.invstOrSecs.invstOrSec"))
+    return x.withColumns({"isin": C("identifiers.isin.at_value"), "ticker": C("identifiers.ticker.at_value")}).drop("identifiers")
 
 
-def last_log_records(lines: DataFrame, line: str, line_no: str) -> DataFrame:
-    """Log of JSON lines: unreadable lines skipped, the last record per accession wins."""
-    d = lines.select(line_no, F.from_json(C(line), "struct<accn:string,status:string,value:double>").alias("r"))
-    d = d.where(C("r.accn").isNotNull())
-    g = d.groupBy("r.accn").agg(F.max(F.struct(C(line_no).alias("i"), C("r").alias("r"))).alias("m"))
-    return g.select("accn", C("m.r.status").alias("status"), C("m.r.value").alias("value"))
+def last_log_records(lines: DataFrame, line: str, line_no: str, schema: str, record_key: str = "accn") -> DataFrame:
+    """Log of JSON lines: unreadable lines skipped, the last record per key wins, with every field of ``schema``."""
+    d = lines.select(line_no, F.from_json(C(line), schema).alias("r")).where(C(f"r.{record_key}").isNotNull())
+    return d.groupBy(C(f"r.{record_key}").alias("_k")).agg(F.max_by("r", line_no).alias("r")).select("r.*")
 
 
 def wide_prices(df: DataFrame, date: str = "date") -> DataFrame:
@@ -184,9 +202,18 @@ def wide_prices(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def members_of_page(text: Column) -> Column:
-    """Ticker symbols of an index members table in page source, in order, once each."""
-    found = F.regexp_extract_all(text, F.lit(r"\{\{\s*(?:NASDAQ|NYSE|nasdaq|nyse)(?:Symbol|symbol)?\s*\|\s*([A-Z.]+)"), F.lit(1))
-    return F.array_distinct(found)
+    """Ticker symbols of the Components section of an index page, once each: bullets that end a name with the symbol in
+    parentheses, and table rows with the symbol in one of the first three cells, bare or in a listing template."""
+    heading = r"^={2,3}[^=\n][^\n]*?={2,3}\s*$"
+    section = F.regexp_extract(text, rf"(?m)^==\s*Components\s*==\s*$([\s\S]*?)(?={heading}|\z)", 1)
+    bullets = F.regexp_extract_all(section, F.lit(rf"(?m)^[*#][^\n]*?\(\s*(?:\[\[)?({SYMBOL})(?:\]\])?\s*\)"), F.lit(1))
+
+    def symbol(row: Column) -> Column:
+        cells = F.transform(F.slice(F.split(row, r"\|\|"), 1, 3), lambda c: F.regexp_replace(F.trim(c), r"\{\{\s*(?:NASDAQ|Nasdaq|nasdaq)\s*\|\s*([A-Z.]+)\s*\}\}", "$1"))
+        return F.get(F.filter(cells, lambda c: c.rlike(f"^{SYMBOL}$")), F.lit(0))
+
+    rows = F.transform(F.regexp_extract_all(section, F.lit(r"(?m)^\|(?!-)(.*)$"), F.lit(1)), symbol)
+    return F.array_distinct(F.concat(bullets, F.array_compact(rows)))
 
 
 def carried_members(pages: DataFrame, keys: Sequence[str], order: str, text: str, least: int = 90) -> DataFrame:
@@ -197,11 +224,10 @@ def carried_members(pages: DataFrame, keys: Sequence[str], order: str, text: str
     return d.withColumn("members", F.last("_m", ignorenulls=True).over(w)).select(*keys, order, "members")
 
 
-def listing_kinds(df: DataFrame, symbol: str, name: str, etf: str) -> DataFrame:
-    """Exchange listing rows as fund, common share or other."""
-    other = C(name).rlike(r"(?i)warrant|right|unit|preferred|notes|depositary")
-    kind = F.when(C(etf) == "Y", "etf").when(other, "other").otherwise("common")
-    return df.select(C(symbol).alias("symbol"), kind.alias("kind"))
+def listing_kinds(df: DataFrame, symbol: str, name: str, etf: str, test: str) -> DataFrame:
+    """Exchange listing rows as fund, common share or other; test issues and rows without a symbol are left out."""
+    kind = F.when(C(etf) == "Y", "etf").when(F.coalesce(C(name), F.lit("")).rlike(OTHER_SECURITIES), "other").otherwise("common")
+    return df.where((C(test) == "N") & C(symbol).isNotNull()).select(C(symbol).alias("symbol"), kind.alias("kind"))
 
 
 def share_counts(frames: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators import episodes as E
 from tidemark.session import checkpoint_dir
@@ -41,24 +42,15 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], folde
     q.awaitTermination()
 
 
-def run_append(stream: DataFrame, folder: str) -> str:
-    q = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/log")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return f"{folder}/out"
-
-
 class Snapshots:
-    """A small table with one version per micro-batch."""
+    """A small table with one version per micro-batch, found again in its folder after a restart.
+
+    Versions are written as partitions ``v``; a batch that runs again overwrites its own. A batch that was cut short is
+    run again by the stream before anything is read, so the newest version is always a whole one.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema, self.last = spark, folder, schema, -1
+        self.spark, self.folder, self.schema = spark, folder, schema
 
     def before(self, batch: int) -> DataFrame:
         if batch <= 0:
@@ -67,15 +59,36 @@ class Snapshots:
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/v={batch}")
-        self.last = batch
 
     def current(self) -> DataFrame:
-        return self.before(self.last + 1)
+        """The newest version; an empty table where no batch ever ran."""
+        try:
+            versions = self.spark.read.schema(f"{self.schema}, v int").parquet(self.folder)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.before(0)
+        newest = versions.agg(F.max("v")).first()[0]
+        return self.before(0) if newest is None else self.before(newest + 1)
+
+
+def new_releases(stream: DataFrame, key: str, folder: str) -> DataFrame:
+    """Each key once, as it first arrives, however much later it comes again.
+
+    The keys handed out so far are the earlier batches' own output; a batch appends its new keys and rewrites nothing.
+    """
+    spark = stream.sparkSession
+    schema = f"{key} {dict(stream.dtypes)[key]}"
 
+    def each(batch: DataFrame, n: int) -> None:
+        fresh = batch.select(key).distinct()
+        if n > 0:
+            seen = spark.read.schema(f"{schema}, v int").parquet(f"{folder}/out").where(C("v") < n).select(key)
+            fresh = fresh.join(seen, key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/out/v={n}")
 
-def new_releases(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
-    """Each key once, as it first arrives; keys older than the watermark are forgotten."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    run_batches(stream, each, folder)
+    return spark.read.schema(f"{schema}, v int").parquet(f"{folder}/out").select(key)
 
 
 def alert_suppression(stream: DataFrame, keys: Sequence[str], pos: str, spacing: int, folder: str) -> DataFrame:
