@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D, text as X
-from tidemark.plans import release_text as T
+from tidemark.plans import guides as G, release_text as T
 from tidemark.sources import facts as S, html as H
 from tidemark.streaming import jobs as J
 
@@ -11,23 +11,52 @@ C = F.col
 
 GUIDES = {
     "We expect revenue for the third quarter to be between $1.2 billion and $1.4 billion.": ("dollar range", 1300.0, "quarter"),
-    "Full-year revenue guidance of $440-460 million.": ("dollar range", 450.0, "full_year"),
+    "Full-year revenue guidance of $440-460 million.": ("headline range", 450.0, "full_year"),
+    "Guidance of $440-460 Million in Revenue": ("headline range", 450.0, "unknown"),
+    "The company expects revenue of 440 to 460 million.": ("dollar range", 450.0, "unknown"),
+    "Raises Full Year Revenue Guidance to $1.02 Billion": ("headline raise", 1020.0, "full_year"),
     "For the first quarter, revenue is expected to be $650 million, plus or minus $15 million.": ("dollar point", 650.0, "quarter"),
     "For the full year the company expects revenue growth of 7% to 12%.": ("growth range", 9.5, "full_year"),
+    "For fiscal 2027, sales are expected to be up 8%.": ("growth point", 8.0, "full_year"),
     "Revenue was $158.3 million in the second quarter.": None,
     "The company expects $1 billion of cost savings and lower cost of sales.": None,
     "Thank you for joining the call.": None,
+    None: None,
 }
 
 
-def test_clause_reader():
-    for text, want in GUIDES.items():
-        g = T.read_guide(text)
+def test_clause_reader(spark):
+    d = spark.createDataFrame([(t,) for t in GUIDES], "t string")
+    for r in d.select("t", G.guide(C("t")).alias("g")).collect():
+        want, g = GUIDES[r.t], r.g
         if want is None:
-            assert g == {}, text
+            assert g is None or g.basis is None, r.t
         else:
-            mid = g.get("revenue_mid", g.get("growth_mid_pct"))
-            assert (g["basis"], mid, g["period"]) == want, text
+            assert (g.basis, g.revenue_mid if g.revenue_mid is not None else g.growth_mid_pct, g.period) == want, (r.t, g)
+
+
+def test_every_cue_and_every_window_counts(spark):
+    text = "Outlook for demand is mixed. The board expects to meet. " + "Filler words go here. " * 30 + "For the quarter the company expects net revenue of $ 450 million."
+    d = spark.createDataFrame([(text,), ("The company expects to move offices.",)], "t string")
+    assert [r[0] for r in d.select(G.guide_present(C("t"))).collect()] == [True, False]
+    two = "We expect sales of widgets in 3 regions. A. B. C. D. E. We forecast revenue of €2 billion to €3 billion for the second half."
+    w = G.with_windows(spark.createDataFrame([(two,)], "t string"), "t").select(G.best_window(C("windows")).alias("w"))
+    f = G.detail_fields(C("w"))
+    r = w.select(*[f[c].alias(c) for c in ("revenue_low", "revenue_high", "revenue_currency", "revenue_period")]).first()
+    assert tuple(r) == (2000.0, 3000.0, "€", "h_")
+
+
+def test_table_guides(spark):
+    rows = {
+        "Outlook\nRevenue | $8.10 Billion | +/- | $400 Million": (None, 8100.0, None, 400.0, None),
+        "Guidance (in millions)\nTotal revenue | $1,200 | $1,300 million": (1200.0, None, 1300.0, None, None),
+        "Outlook (in billions)\nNet revenue | 6.5 | +/- | 2%": (None, 6500.0, None, None, 2.0),
+        "Results\nRevenue | $5 million | $4 million": None,
+        "Outlook\nRevenue | 6,722,238 | 5,841,488 | +15.1%": None,
+    }
+    d = spark.createDataFrame([(t,) for t in rows], "t string")
+    for r in d.select("t", G.table_guide(G.text_lines(C("t"))).alias("g")).collect():
+        assert (None if r.g is None else tuple(r.g)[:5]) == rows[r.t], (r.t, r.g)
 
 
 def test_html_table_rows_stay_on_one_line():

@@ -5,19 +5,20 @@ from pyspark.sql import functions as F
 from tidemark.catalog import views as V
 from tidemark.catalog.registry import query
 from tidemark.functions import dates as D, text as X
-from tidemark.plans import release_text as T
+from tidemark.plans import guides as G, release_text as T
 from tidemark.sources import html as H
 
 C = F.col
 
-_TX = """t AS (SELECT CAST(o_orderkey AS INT) AS accn, CAST(floor(o_totalprice / 1000) AS INT) + 1 AS v, CAST(o_orderkey % 6 AS INT) AS k FROM orders),
+_TX = """t AS (SELECT CAST(o_orderkey AS INT) AS accn, CAST(floor(o_totalprice / 1000) AS INT) + 1 AS v, CAST(o_orderkey % 10 AS INT) AS k FROM orders),
 e AS (SELECT accn, k, v, v + v // 10 + 1 AS hi, v % 20 + 1 AS g FROM t)"""
 
 
 def releases(spark, sf):
-    """One release text per order, six phrasings: two ranges, a tolerance, a growth range, a trap and no guide."""
+    """One release text per order, ten phrasings: ranges, a tolerance, growth, headline, figures without a sign, and traps
+    (a result, other money, a cue before the guide's own cue, no guide)."""
     o = V.table(spark, sf, "orders").select(
-        C("o_orderkey").cast("int").alias("accn"), (F.floor(C("o_totalprice") / 1000) + 1).cast("int").alias("v"), (C("o_orderkey") % 6).cast("int").alias("k")
+        C("o_orderkey").cast("int").alias("accn"), (F.floor(C("o_totalprice") / 1000) + 1).cast("int").alias("v"), (C("o_orderkey") % 10).cast("int").alias("k")
     )
     v, hi, g = C("v"), (C("v") + F.floor(C("v") / 10) + 1).cast("int"), C("v") % 20 + 1
     text = (
@@ -26,69 +27,75 @@ def releases(spark, sf):
         .when(C("k") == 2, F.format_string("For the full year 2027, the company expects total revenue between $%d million and $%d million.", v, hi))
         .when(C("k") == 3, F.format_string("For the full year, we expect revenue growth of %d%% to %d%%.", g, g + 4))
         .when(C("k") == 4, F.format_string("Revenue was $%d million, compared with the prior year. The company expects cost savings of $%d million and lower sales costs.", v, v))
-        .otherwise(F.format_string("The company will host a call at %d pm.", v % 12))
+        .when(C("k") == 5, F.format_string("The company will host a call at %d pm.", v % 12))
+        .when(C("k") == 6, F.format_string("The company expects revenue of %d to %d million for the first quarter.", v, hi))
+        .when(C("k") == 7, F.format_string("Acme announces full-year guidance of $%d-%d million in revenue.", v, hi))
+        .when(C("k") == 8, F.format_string("Outlook. Demand is expected to stay firm. We expect capital spending to be lower; for the full year, net sales are forecast to grow by %d%%.", g))
+        .otherwise(F.format_string("Sales guidance, which excludes the divested unit, is now $%d million for the next quarter.", v))
     )
     return o.select("accn", "k", "v", text.alias("text"))
 
 
 @query(
     "i05_market_guide_dollar",
-    f"""WITH {_TX} SELECT accn, CASE WHEN k IN (0, 2) THEN CAST(v AS DOUBLE) END AS low, CASE WHEN k IN (0, 2) THEN CAST(v + hi AS DOUBLE) / 2 WHEN k = 1 THEN CAST(v AS DOUBLE) END AS mid, CASE WHEN k IN (0, 2) THEN CAST(hi AS DOUBLE) END AS high FROM e""",
+    f"""WITH {_TX} SELECT accn, CASE WHEN k IN (0, 2, 6, 7) THEN CAST(v AS DOUBLE) END AS low, CASE WHEN k IN (0, 2, 6, 7) THEN CAST(v + hi AS DOUBLE) / 2 WHEN k IN (1, 9) THEN CAST(v AS DOUBLE) END AS mid, CASE WHEN k IN (0, 2, 6, 7) THEN CAST(hi AS DOUBLE) END AS high FROM e""",
 )
 def i05(spark, sf):
-    g = releases(spark, sf).withColumn("g", T.guide(C("text")))
+    g = releases(spark, sf).withColumn("g", G.guide(C("text")))
     return g.select("accn", C("g.revenue_low").alias("low"), C("g.revenue_mid").alias("mid"), C("g.revenue_high").alias("high"))
 
 
 @query(
     "i06_market_guide_pct",
-    f"WITH {_TX} SELECT accn, CASE WHEN k = 3 THEN CAST(g AS DOUBLE) END AS low, CASE WHEN k = 3 THEN CAST(g + 4 AS DOUBLE) END AS high FROM e",
+    f"WITH {_TX} SELECT accn, CASE WHEN k = 3 THEN CAST(g AS DOUBLE) END AS low, CASE WHEN k = 3 THEN CAST(g + 2 AS DOUBLE) WHEN k = 8 THEN CAST(g AS DOUBLE) END AS mid, CASE WHEN k = 3 THEN CAST(g + 4 AS DOUBLE) END AS high FROM e",
 )
 def i06(spark, sf):
-    g = releases(spark, sf).withColumn("g", T.guide(C("text")))
-    return g.select("accn", C("g.growth_low_pct").alias("low"), C("g.growth_high_pct").alias("high"))
+    g = releases(spark, sf).withColumn("g", G.guide(C("text")))
+    return g.select("accn", C("g.growth_low_pct").alias("low"), C("g.growth_mid_pct").alias("mid"), C("g.growth_high_pct").alias("high"))
 
 
 @query(
     "i07_guide_period",
-    f"WITH {_TX} SELECT accn, CASE WHEN k IN (0, 1) THEN 'quarter' WHEN k IN (2, 3) THEN 'full_year' END AS period FROM e",
+    f"WITH {_TX} SELECT accn, CASE WHEN k IN (0, 1, 6, 9) THEN 'quarter' WHEN k IN (2, 3, 7, 8) THEN 'full_year' END AS period FROM e",
 )
 def i07(spark, sf):
-    return releases(spark, sf).select("accn", T.guide(C("text")).alias("g")).select("accn", C("g.period").alias("period"))
+    return releases(spark, sf).select("accn", G.guide(C("text")).alias("g")).select("accn", C("g.period").alias("period"))
 
 
 @query(
     "i01_guidance_windows",
-    f"WITH {_TX} SELECT accn, CAST(CASE WHEN k = 0 THEN 2 WHEN k IN (1, 2, 3, 4) THEN 1 ELSE 0 END AS INT) AS windows FROM e",
+    f"WITH {_TX} SELECT accn, CAST(CASE WHEN k IN (0, 8) THEN 2 WHEN k = 5 THEN 0 ELSE 1 END AS INT) AS windows FROM e",
 )
 def i01(spark, sf):
-    return T.with_windows(releases(spark, sf), "text").select("accn", F.size("windows").alias("windows"))
+    return G.with_windows(releases(spark, sf), "text").select("accn", F.size("windows").alias("windows"))
 
 
 @query(
     "i02_guidance_patterns",
-    f"WITH {_TX} SELECT accn, CASE WHEN k = 1 THEN CAST(2 AS DOUBLE) END AS revenue_pm_pct, CASE WHEN k = 0 THEN CAST(g AS DOUBLE) END AS gm_low, CASE WHEN k = 0 THEN CAST(g + 2 AS DOUBLE) END AS gm_high FROM e",
+    f"""WITH {_TX} SELECT accn, CASE WHEN k IN (0, 2, 6) THEN CAST(v AS DOUBLE) END AS revenue_low, CASE WHEN k IN (0, 2, 6) THEN CAST(v + hi AS DOUBLE) / 2 WHEN k IN (1, 9) THEN CAST(v AS DOUBLE) END AS revenue_mid,
+  CASE WHEN k IN (0, 1, 2, 9) THEN '$' END AS revenue_currency, CASE WHEN k = 2 THEN 'fy_' WHEN k IN (0, 1, 6, 9) THEN '' END AS revenue_period,
+  CASE WHEN k = 1 THEN CAST(2 AS DOUBLE) END AS revenue_pm_pct, CASE WHEN k = 0 THEN CAST(g AS DOUBLE) END AS gm_low, CASE WHEN k = 0 THEN CAST(g + 2 AS DOUBLE) END AS gm_high FROM e""",
 )
 def i02(spark, sf):
-    d = T.with_windows(releases(spark, sf), "text").withColumn("w", F.get("windows", F.lit(0)))
-    f = T.detail_fields(C("w"))
-    return d.select("accn", *[f[c].alias(c) for c in ("revenue_pm_pct", "gm_low", "gm_high")])
+    d = G.with_windows(releases(spark, sf), "text").withColumn("w", G.best_window(C("windows")))
+    f = G.detail_fields(C("w"))
+    return d.select("accn", *[f[c].alias(c) for c in ("revenue_low", "revenue_mid", "revenue_currency", "revenue_period", "revenue_pm_pct", "gm_low", "gm_high")])
 
 
 @query(
     "i04_guide_presence",
-    f"WITH {_TX} SELECT accn, CAST(k IN (0, 2, 4) AS INT) AS present FROM e",
+    f"WITH {_TX} SELECT accn, CAST(k IN (0, 1, 2, 4, 7, 9) AS INT) AS present, CAST(k NOT IN (4, 5, 6) AS INT) AS strict FROM e",
 )
 def i04(spark, sf):
-    return releases(spark, sf).select("accn", T.guide_present(C("text")).cast("int").alias("present"))
+    return releases(spark, sf).select("accn", G.guide_present(C("text")).cast("int").alias("present"), G.guide_present_strict(C("text")).cast("int").alias("strict"))
 
 
 @query(
     "i08_guide_tiering",
-    f"WITH {_TX} SELECT CASE WHEN k = 1 THEN 'tier1' WHEN k IN (0, 2, 3) THEN 'tier2' WHEN k = 4 THEN 'unread' ELSE 'none' END AS status, count(*) AS n FROM e GROUP BY 1",
+    f"WITH {_TX} SELECT CASE WHEN k IN (0, 1, 2, 6, 9) THEN 'tier1' WHEN k IN (3, 7, 8) THEN 'tier2' WHEN k = 4 THEN 'unread' ELSE 'none' END AS status, count(*) AS n FROM e GROUP BY 1",
 )
 def i08(spark, sf):
-    return T.tiered(releases(spark, sf), "text").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return G.tiered(releases(spark, sf), "text").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tables(spark, sf):
@@ -109,11 +116,12 @@ def tables(spark, sf):
 
 @query(
     "i03_guidance_table",
-    "SELECT CAST(o_orderkey AS INT) AS accn, 'Revenue | $' || CAST(CAST(floor(o_totalprice / 100) AS INT) + 100 AS VARCHAR) || ' million | +/- | $' || CAST((CAST(floor(o_totalprice / 100) AS INT) + 100) // 20 AS VARCHAR) || ' million' AS row FROM orders",
+    """SELECT CAST(o_orderkey AS INT) AS accn, CAST(v AS DOUBLE) AS revenue_mid, CAST(v // 20 AS DOUBLE) AS revenue_pm_abs, 'Revenue | $' || v || ' million | +/- | $' || v // 20 || ' million' AS row
+FROM (SELECT o_orderkey, CAST(floor(o_totalprice / 100) AS INT) + 100 AS v FROM orders)""",
 )
 def i03(spark, sf):
-    d = tables(spark, sf).withColumn("lines", T.text_lines(C("text")))
-    return d.select("accn", F.explode(T.table_guide(C("lines"))).alias("row"))
+    d = tables(spark, sf).withColumn("lines", G.text_lines(C("text")))
+    return d.select("accn", G.table_guide(C("lines")).alias("t")).select("accn", "t.revenue_mid", "t.revenue_pm_abs", "t.row")
 
 
 def table_lines(spark, sf):
@@ -222,7 +230,7 @@ def customers_text(spark, sf):
     "SELECT CAST(o_orderkey AS INT) AS accn, 'One customer represented more than 10% of revenue.' || chr(10) || 'Customer ' || CAST(o_custkey AS VARCHAR) || ' | ' || CAST(o_orderkey % 70 AS VARCHAR) || '%' AS text FROM orders WHERE o_orderkey % 3 = 0",
 )
 def i12(spark, sf):
-    d = customers_text(spark, sf).withColumn("lines", T.text_lines(C("text")))
+    d = customers_text(spark, sf).withColumn("lines", G.text_lines(C("text")))
     d = d.select("accn", T.concentration_paragraphs(C("lines")).alias("text"))
     return d.where(C("text") != "")
 
@@ -420,7 +428,7 @@ def results(spark, sf):
         F.format_string("GAAP and non-GAAP gross margins are expected to be 71.0%% and %d.5%%, respectively, plus or minus 50 basis points.", v % 20 + 60),
         F.format_string("GAAP and non-GAAP operating expenses are expected to be approximately $%d million and $%d million, respectively.", v * 2, v),
     )
-    return o.select("accn", text.alias("text")).withColumn("lines", T.text_lines(C("text")))
+    return o.select("accn", text.alias("text")).withColumn("lines", G.text_lines(C("text")))
 
 
 _RV = "r AS (SELECT CAST(o_orderkey AS INT) AS accn, CAST(floor(o_totalprice / 100) AS INT) + 1000 AS v FROM orders)"
