@@ -175,3 +175,35 @@ def test_alerts_over_several_batches_equal_one_pass(spark, tmp_path):
     s = J.file_stream(spark, str(tmp_path / "in" / "*"), "k string, pos int", files_per_batch=1)
     got = sorted(r.pos for r in J.alert_suppression(s, ["k"], "pos", 5, str(tmp_path / "work")).collect())
     assert got == [0, 5, 10, 15]
+
+
+def test_periods_of_text(spark):
+    ends = [f"{y}-{m}" for y in range(2009, 2028) for m in ("03-31", "06-30", "09-30", "12-31")]
+    want = {
+        "first quarter of fiscal 2027": ("2027-03-31", 3), "nine months of fiscal 26": ("2026-09-30", 9), "fiscal year 2026": ("2026-12-31", 12), " year ended 2012 ": ("2012-12-31", 12),
+        "three months ended July 26, 2015": ("2015-06-30", 3), "nine months ended September 28, 2014": ("2014-09-30", 9), "customer list 2012": None, "May 2015 call": None, "none": None,
+    }
+    d = spark.createDataFrame([(t, ends) for t in want], "t string, e array<string>").withColumn("e", C("e").cast("array<date>"))
+    for r in d.select("t", T.fiscal_period(C("t"), C("e"), F.lit(12)).alias("p")).collect():
+        assert (None if r.p is None else (str(r.p.period_end), r.p.months)) == want[r.t], (r.t, r.p)
+
+
+def test_concentration(spark):
+    texts = ["Customer A accounted for 22% of total revenue. Two customers were each more than 10% of revenue.", "No customer accounted for 10% or more of total revenue.", "Direct Customer B | 13% | *\nOther | 50%", "Customers owed 30% of accounts receivable and revenue."]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [(r.s.shares, r.s.none) for r in d.select(T.concentration_shares(C("t")).alias("s")).collect()]
+    assert got == [([22.0], False), ([], True), ([13.0], False), ([], False)]
+    lines = ["Intro", "Customer A accounted for 22% of total revenue:", "A | 22%", "text", "B | 11%", "Major customers", "See below", "Our Asia-based customers were 40% of revenue"]
+    e = spark.createDataFrame([(lines,)], "l array<string>")
+    assert e.select(T.concentration_paragraphs(C("l")).alias("p")).first().p.split("\n") == ["Customer A accounted for 22% of total revenue:", "A | 22%", "B | 11%", "Major customers", "See below"]
+
+
+def test_outlook_wordings_and_reconciliation(spark):
+    lines = [
+        "Fourth Quarter Outlook", "Revenue is expected to be $1.5 billion, plus or minus 2%.", "GAAP gross margin is expected to be 70.5% and, in turn, non-GAAP gross margin is expected to be 71%.",
+        "GAAP and non-GAAP operating expenses are expected to be approximately $2.1 billion and $1.4 billion, respectively.", "Reconciliation of GAAP to Non-GAAP Outlook", "(in billions)", "GAAP operating expenses | 2.135", "Non-GAAP operating expenses | 1.402",
+    ]
+    d = spark.createDataFrame([(lines,)], "l array<string>")
+    f = T.outlook_fields(T.outlook_section(C("l")), C("l"))
+    r = d.select(*[f[c].alias(c) for c in f]).first()
+    assert (r.revenue_mid, r.revenue_pm_pct, r.gm_gaap, r.gm_nongaap, r.opex_gaap, r.opex_nongaap) == (1500.0, 2.0, 70.5, 71.0, 2135.0, 1402.0)

@@ -204,30 +204,33 @@ def h13(spark, sf):
 
 @query(
     "i22_printed_number_check",
-    f"""WITH {_TX} SELECT accn, CAST(CASE WHEN k IN (0, 1, 2, 4) THEN 0.5 ELSE 0 END AS DOUBLE) AS printed FROM e WHERE v > 100""",
+    f"""WITH {_TX}, n AS (SELECT accn, list_transform(regexp_extract_all(txt, '[0-9]+'), lambda x: CAST(x AS DOUBLE)) AS ns, [CAST(v AS DOUBLE), v * CAST(77777 AS DOUBLE)] AS vs
+  FROM (SELECT accn, v, v || ' | ' || hi || ' | ' || g || ' | 2027' AS txt FROM e))
+SELECT accn, len(list_filter(vs, lambda v: len(list_filter(ns, lambda x: abs(x - v) <= v * 0.005 OR abs(x - v / 1e3) <= v / 1e3 * 0.005 OR abs(x - v * 1e3) <= v * 1e3 * 0.005)) > 0)) / CAST(2 AS DOUBLE) AS printed FROM n""",
 )
 def i22(spark, sf):
-    d = releases(spark, sf).where(C("v") > 100)
-    n = F.filter(X.numbers(C("text")), lambda x: x > 60)
-    vals = F.array(C("v").cast("double"), C("v") * 77777.0)
-    # the text's own numbers above 60: years and small percentages cannot stand in for a value
-    n = F.filter(n, lambda x: x != 2027)
-    return d.select("accn", T.printed_share(n, vals).alias("printed"))
+    """Every number of a printed row (years and small percentages too) against a value it holds and one it may hold."""
+    v, hi, g = C("v"), (C("v") + F.floor(C("v") / 10) + 1).cast("int"), C("v") % 20 + 1
+    d = releases(spark, sf).select("accn", "v", F.format_string("%d | %d | %d | 2027", v, hi, g).alias("line"))
+    vals = F.array(v.cast("double"), v * 77777.0)
+    return d.withColumn("n", X.numbers(C("line"))).select("accn", T.printed_share(C("n"), vals).alias("printed"))
 
 
 def customers_text(spark, sf):
+    """Concentration texts: a floor with a table, a measured share with a receivable and a place sentence, a none statement."""
     o = V.table(spark, sf, "orders").select(C("o_orderkey").cast("int").alias("accn"), (C("o_orderkey") % 70).cast("int").alias("p"), C("o_custkey").cast("int").alias("c"))
     line = (
-        F.when(C("accn") % 3 == 0, F.format_string("One customer represented more than 10%% of revenue.\nCustomer %d | %d%%\nOther text", C("c"), C("p")))
-        .when(C("accn") % 3 == 1, F.format_string("Sales to China were %d%% of revenue. Costs in Japan rose %d%%.", C("p"), C("p")))
-        .otherwise(F.format_string("For the first quarter of fiscal %d, no customers to report.", 2010 + C("p") % 10))
+        F.when(C("accn") % 3 == 0, F.format_string("The following customers each represented more than 10%% of total revenue:\nCustomer %d | %d%%\nNote | none\nOther text", C("c"), C("p")))
+        .when(C("accn") % 3 == 1, F.format_string("Sales to China were %d%% of revenue. Costs in Japan rose %d%%.\nCustomer A accounted for %d%% of total revenue. Customer B was 33%% of accounts receivable and sales. Customers headquartered abroad were 44%% of sales.", C("p"), C("p"), C("p")))
+        .otherwise(F.format_string("For the first quarter of fiscal %d, no customers to report.\nNo single customer represented 10%% or more of total revenue.", 2010 + C("p") % 10))
     )
     return o.select("accn", "p", "c", line.alias("text"))
 
 
 @query(
     "i12_concentration_text",
-    "SELECT CAST(o_orderkey AS INT) AS accn, 'One customer represented more than 10% of revenue.' || chr(10) || 'Customer ' || CAST(o_custkey AS VARCHAR) || ' | ' || CAST(o_orderkey % 70 AS VARCHAR) || '%' AS text FROM orders WHERE o_orderkey % 3 = 0",
+    """SELECT CAST(o_orderkey AS INT) AS accn, CASE o_orderkey % 3 WHEN 0 THEN 'The following customers each represented more than 10% of total revenue:' || chr(10) || 'Customer ' || o_custkey || ' | ' || o_orderkey % 70 || '%' || chr(10) || 'Note | none'
+  ELSE 'No single customer represented 10% or more of total revenue.' END AS text FROM orders WHERE o_orderkey % 3 <> 1""",
 )
 def i12(spark, sf):
     d = customers_text(spark, sf).withColumn("lines", G.text_lines(C("text")))
@@ -237,11 +240,11 @@ def i12(spark, sf):
 
 @query(
     "i13_concentration_pct",
-    "SELECT CAST(o_orderkey AS INT) AS accn, CAST(unnest(CASE WHEN o_orderkey % 70 BETWEEN 10 AND 60 THEN [10, o_orderkey % 70] ELSE [10] END) AS DOUBLE) AS pct FROM orders WHERE o_orderkey % 3 = 0",
+    """SELECT CAST(o_orderkey AS INT) AS accn, CAST(o_orderkey % 3 = 2 AS INT) AS none_over_ten, CASE WHEN o_orderkey % 3 <> 2 AND o_orderkey % 70 BETWEEN 10 AND 60 THEN CAST(o_orderkey % 70 AS DOUBLE) END AS pct FROM orders""",
 )
 def i13(spark, sf):
-    d = customers_text(spark, sf).where(C("accn") % 3 == 0)
-    return d.select("accn", F.explode(T.concentration_percents(C("text"))).alias("pct"))
+    d = customers_text(spark, sf).select("accn", T.concentration_shares(C("text")).alias("s"))
+    return d.select("accn", C("s.none").cast("int").alias("none_over_ten"), F.explode_outer("s.shares").alias("pct"))
 
 
 @query(
@@ -254,18 +257,36 @@ def b27(spark, sf):
     return d.select("accn", T.is_floor(C("text"), C("pct")).cast("int").alias("is_floor"))
 
 
+_PERIODS = """pt AS (SELECT CAST(o_orderkey AS INT) AS accn, CAST(o_custkey AS INT) AS c, CAST(o_custkey % 50 AS INT) AS cik, CAST(o_orderdate AS DATE) AS filed, CAST(o_orderkey % 70 AS DOUBLE) AS pct, CAST(o_orderkey % 8 AS INT) AS k, 2010 + CAST(o_orderkey % 70 AS INT) % 10 AS y FROM orders),
+pe AS (SELECT *, CASE k WHEN 0 THEN make_date(y, 3, 31) WHEN 1 THEN make_date(y, 6, 30) WHEN 2 THEN make_date(y, 9, 30) WHEN 3 THEN make_date(y, 12, 31) WHEN 4 THEN make_date(y, 6, 30) WHEN 5 THEN make_date(y, 12, 31) END AS period_end,
+  CASE k WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 2 THEN 9 WHEN 3 THEN 12 WHEN 4 THEN 3 WHEN 5 THEN 12 END AS months FROM pt)"""
+
+
+def period_rows(spark, sf):
+    """Rows of concentration tables with the period as text: quarters, spans, years, dates off the calendar, and no period."""
+    y = (2010 + (C("o_orderkey") % 70) % 10).cast("int")
+    texts = (
+        "First quarter of fiscal %d", "Six months ended June 28, %d", "Nine months of fiscal %d", "Fiscal year %d", "Three months ended July 3, %d", "%d", "Customer list %d", "Call on August 15, %d"
+    )
+    text = F.element_at(F.array(*[F.format_string(t, y) for t in texts]), (C("o_orderkey") % 8 + 1).cast("int"))
+    ends = [F.make_date(y + i, F.lit(m), F.lit(d)) for i in (-1, 0, 1) for m, d in ((3, 31), (6, 30), (9, 30), (12, 31))]
+    o = V.table(spark, sf, "orders").select(
+        C("o_orderkey").cast("int").alias("accn"), C("o_custkey").cast("int").alias("c"), (C("o_custkey") % 50).cast("int").alias("cik"), C("o_orderdate").cast("date").alias("filed"),
+        (C("o_orderkey") % 70).cast("double").alias("pct"), text.alias("text"), F.array(*ends).alias("calendar"),
+    )
+    return o.withColumn("p", T.fiscal_period(C("text"), C("calendar"), F.lit(12)))
+
+
 @query(
     "i14_concentration_rows",
-    "SELECT c, pct, CAST(min(accn) AS INT) AS first_accn FROM (SELECT CAST(o_orderkey AS INT) AS accn, CAST(o_custkey AS INT) AS c, CAST(o_orderkey % 70 AS DOUBLE) AS pct FROM orders WHERE o_orderkey % 3 = 0) GROUP BY c, pct",
+    f"""WITH {_PERIODS} SELECT cik, CAST(period_end AS VARCHAR) AS period_end, months, accn, c, pct, CAST(pct = 10 AND accn % 2 = 0 AS INT) AS is_floor FROM pe WHERE period_end IS NOT NULL
+  QUALIFY filed = min(filed) OVER (PARTITION BY cik, period_end, months)""",
 )
 def i14(spark, sf):
-    line = F.get(F.split("text", "\n"), F.lit(1))
-    d = customers_text(spark, sf).where(C("accn") % 3 == 0).select(
-        "accn",
-        F.regexp_extract(line, r"Customer (\d+)", 1).cast("int").alias("c"),
-        F.regexp_extract(line, r"(\d+)%", 1).cast("double").alias("pct"),
-    )
-    return d.groupBy("c", "pct").agg(F.min("accn").alias("first_accn"))
+    said = F.when(C("accn") % 2 == 0, "represented more than 10% of sales").otherwise("represented about 10% of sales")
+    d = period_rows(spark, sf).where(C("p").isNotNull()).select("cik", "p.period_end", "p.months", "accn", "c", "pct", "filed", T.is_floor(said, C("pct")).cast("int").alias("is_floor"))
+    d = T.first_reported(d, ["cik", "period_end", "months"], "filed")
+    return d.select("cik", C("period_end").cast("string").alias("period_end"), "months", "accn", "c", "pct", "is_floor")
 
 
 @query(
@@ -276,12 +297,9 @@ def i15(spark, sf):
     return customers_text(spark, sf).select("accn", F.explode(T.clause_share(C("text"), "China")).alias("pct"))
 
 
-@query(
-    "h05_period_text",
-    "SELECT CAST(o_orderkey AS INT) AS accn, CAST(2010 + (o_orderkey % 70) % 10 AS INT) AS year, 1 AS quarter, 3 AS months FROM orders WHERE o_orderkey % 3 = 2",
-)
+@query("h05_period_text", f"WITH {_PERIODS} SELECT accn, CAST(period_end AS VARCHAR) AS period_end, months FROM pe")
 def h05(spark, sf):
-    return customers_text(spark, sf).where(C("accn") % 3 == 2).select("accn", T.period_of_text(C("text")).alias("p")).select("accn", "p.*")
+    return period_rows(spark, sf).select("accn", C("p.period_end").cast("string").alias("period_end"), C("p.months").alias("months"))
 
 
 def shares_text(spark, sf):
@@ -457,5 +475,5 @@ def i10(spark, sf):
     f"WITH {_RV} SELECT accn, v + CAST(0.5 AS DOUBLE) AS revenue_mid, CAST(2 AS DOUBLE) AS revenue_pm_pct, CAST(71 AS DOUBLE) AS gm_gaap, v % 20 + CAST(60.5 AS DOUBLE) AS gm_nongaap, CAST(50 AS DOUBLE) AS gm_pm_bps, CAST(v * 2 AS DOUBLE) AS opex_gaap, CAST(v AS DOUBLE) AS opex_nongaap FROM r",
 )
 def i11(spark, sf):
-    f = T.outlook_fields(C("section"))
+    f = T.outlook_fields(C("section"), C("lines"))
     return results(spark, sf).withColumn("section", T.outlook_section(C("lines"))).select("accn", *[f[c].alias(c) for c in f])
