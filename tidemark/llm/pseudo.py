@@ -75,9 +75,34 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, ending int, n long").groupBy("h").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
 
 
+def _reach(histogram: DataFrame, room: int) -> tuple[int, int]:
+    """First key, in ascending order, at which the running sum of ``n`` reaches ``room``; the sum before it."""
+    total = 0
+    for r in sorted(histogram.collect()):  # a bounded number of keys
+        if total + r["n"] >= room:
+            return r["key"], total
+        total += r["n"]
+    return 1 << 62, total
+
+
+def frequent(counts: DataFrame, size: int = VOCABULARY) -> list:
+    """The ``size`` most frequent words; among words that are within 1/64 of a doubling at the edge, by hash.
+
+    Two histograms of a fixed number of cells find the edge, so no more than about ``size`` rows come to the driver,
+    however many tasks hold the counts.
+    """
+    cells = counts.withColumn("key", -F.floor(F.log2("n") * 64)).withColumn("sub", F.shiftrightunsigned("h", 52))
+    edge, above = _reach(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")), size)
+    within = cells.where(F.col("key") == edge).groupBy(F.col("sub").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    last, _ = _reach(within, size - above)
+    rows = cells.where((F.col("key") < edge) | ((F.col("key") == edge) & (F.col("sub") <= last))).collect()
+    by_edge = sorted(rows, key=lambda r: (r["key"], r["sub"], r["h"]))[:size]
+    return sorted(by_edge, key=lambda r: (-r["n"], r["h"]))
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary | None:
-    """The frequent words (a bounded number of rows) and, per ending, what is left of the corpus."""
-    top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY).collect()
+    """The frequent words and, per ending, what is left of the corpus."""
+    top = frequent(counts)
     if not top:
         return None
     totals = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
