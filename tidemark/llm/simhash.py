@@ -167,7 +167,8 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(distinct.select("fp"), radius, chunk))
     by_root = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = by_root.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written once, so that the join below stands on two plain exchanges and a large component's part can be split.
+    least = cut_lineage(by_root.groupBy("root").agg(F.min("first_id").alias("component_id")))
     of_fp = by_root.join(least, "root").select("fp", "component_id")
     return prints.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
