@@ -118,6 +118,17 @@ def test_pseudo_likelihood(spark):
     assert pseudo.score_documents(empty(spark)).count() == 0
 
 
+def test_every_document_trains_the_network(spark):
+    """As registered: the inputs of all words move, whatever the ids and however few the documents."""
+    start = pseudo.new_parameters()["embed"]
+    for ids in (range(40), [None] * 40, [7], [None]):
+        rows = [(d, f"a{k} b{k} c{k}") for k, d in enumerate(ids)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        v = pseudo.vocabulary(pseudo.word_counts(df))
+        moved = (pseudo.train(df, v)["embed"] != start).any(axis=1)
+        assert moved[: 3 * len(rows)].all() and moved[pseudo.INPUTS - 1]
+
+
 def test_pipeline_against_its_stages_by_hand(spark):
     """run() equals the stages applied one by one with plain Python over collected rows."""
     rows = corpus_pipeline.run(spark, SF).collect()

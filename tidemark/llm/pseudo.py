@@ -5,8 +5,9 @@
    word's probability is its share of the class's count; rare words share theirs evenly among the class's distinct
    rare words, so the probabilities of all words of the corpus sum to one in every context.
 2. The network (embeddings of ``SIDE`` words on each side, one hidden layer, softmax over classes; the word itself is
-   never an input) is trained in numpy: in each round every partition takes steps on its share of the documents, a
-   fixed rate of all of them, and the parameters are averaged by an aggregation, weighted by words seen.
+   never an input) is trained in numpy on every document: the rounds split the documents among them by a hash of the
+   text; in each round every partition takes steps on its documents of that round, and the parameters are averaged by an
+   aggregation, weighted by words seen.
 3. Documents are scored with the sum of log p(class | both sides) + log p(word | class).
 
 Tables of the model have a fixed size and are broadcast. Sums of parameters may differ in the last digits between runs.
@@ -34,7 +35,6 @@ SIDE = 2
 EMBEDDING = 12
 HIDDEN = 32
 ROUNDS = 2
-RATE_OF_DOCUMENTS = 8  # one document in so many is trained on in each round
 BATCH = 2048
 STEP = 0.05
 _SEPARATORS = separator_table(SPACES)
@@ -197,9 +197,16 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def train(documents: DataFrame, v: Vocabulary, rounds: int = ROUNDS, rate: int = RATE_OF_DOCUMENTS) -> dict[str, np.ndarray]:
-    """Rounds of steps in every partition and an average over partitions."""
-    spark, p = documents.sparkSession, new_parameters()
+def train(documents: DataFrame, v: Vocabulary, rounds: int = ROUNDS, rate: int | None = None) -> dict[str, np.ndarray]:
+    """Rounds of steps in every partition and an average over partitions.
+
+    Round r takes the documents whose text hashes to r modulo ``rate`` (the number of rounds, if it is not given), so
+    the rounds together take each document once; with ``rate`` 1 every round takes all. The text, unlike the doc_id,
+    is at hand in every row and falls to the same round however the rows are dealt.
+    """
+    spark, p, rate = documents.sparkSession, new_parameters(), rate or rounds
+    if rate > rounds:
+        raise ValueError("with fewer rounds than shares some documents are never trained on")
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((v, p))
 
@@ -218,7 +225,8 @@ def train(documents: DataFrame, v: Vocabulary, rounds: int = ROUNDS, rate: int =
                 flat = _flat(t.p).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * t.words), pa.array(np.full(len(flat), t.words, np.int64))], ["i", "x", "n"])
 
-        chosen = documents.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(r)), F.lit(rate)) == 0).select(F.col("text").cast("string").alias("text"))
+        text = F.col("text").cast("string")
+        chosen = documents.where(F.pmod(F.xxhash64(text), F.lit(rate)) == r % rate).select(text.alias("text"))
         mean = chosen.mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
         rows = mean.toArrow()  # one row per parameter
         if not rows.num_rows:
