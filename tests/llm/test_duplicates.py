@@ -156,3 +156,18 @@ def test_decontamination_both_ways(spark):
     assert decontaminate.drop_contaminated(df, bench).columns == df.columns
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
     assert decontaminate.decontaminate(df, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_each_row_is_judged_by_its_own_text_both_ways(spark):
+    """Null and repeated ids: the path for many windows returns what the other one does."""
+    rng = random.Random(4)
+    items = [(1, sentence(rng, 12)), (2, sentence(rng, 11)), (3, sentence(rng, 3))]
+    clean, dirty, twice = sentence(rng, 30), f"{sentence(rng, 4)} {items[0][1]}", f"{items[1][1]} x {items[2][1]}"
+    rows = [(None, clean), (None, dirty), (None, twice), (5, clean), (5, dirty), (5, dirty), (6, twice), (6, None), (7, clean), (None, None)]
+    df, bench = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, row int"), spark.createDataFrame(items, "item_id long, text string")
+    broadcast = by_id(decontaminate.decontaminate(df, bench).collect())
+    assert sorted(str(r[3]) for r in broadcast if r[2]) == ["[1]", "[1]", "[1]", "[2, 3]", "[2, 3]"]
+    assert by_id(decontaminate.decontaminate(df, bench, max_broadcast=0).collect()) == broadcast
+    for most in (0, decontaminate.MAX_BROADCAST):
+        kept = decontaminate.drop_contaminated(df, bench, max_broadcast=most)
+        assert kept.columns == df.columns and sorted(r.row for r in kept.collect()) == [0, 3, 7, 8, 9]

@@ -7,11 +7,12 @@ compared by a hash of all their words. Items shorter than a window are one windo
 gram, as long as the item.
 
 The benchmark side of the join is broadcast only while it has at most ``max_broadcast`` windows; beyond that both
-sides are shuffled by fingerprint, then by window. Both ways return the same rows.
+sides are shuffled by fingerprint, then by window, and hits go back to their row by a generated number: the documents
+are written once with it to the shared folder, so that every read sees the same numbers. Both ways return the same rows.
 
-Defined cases: null text has no words and is not contaminated; an item without words has no windows; repeated rows
-are judged row by row with the broadcast join and once per ``doc_id`` (over the union of their hits) beyond it; a null
-``item_id`` is ignored; columns other than those named are ignored.
+Defined cases: null text has no words and is not contaminated; an item without words has no windows; every row
+is judged by its own text, also where a ``doc_id`` is null or repeated; a null ``item_id`` is ignored; columns other than
+those named are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.words import Grams, Words, covered, fits, lower_ascii, owner, separator_table, sliding_min, text_blocks
+from tidemark.session import cut_lineage
 
 WINDOW = 10
 GRAM = 5
 MAX_BROADCAST = 2_000_000
 # The bytes that separate words, after A-Z became a-z.
 SEPARATORS = separator_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
-_WINDOWS = "doc_id long, size int, pos int, mark long, window long"
+_WINDOWS = "row long, size int, pos int, mark long, window long"
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -132,7 +134,13 @@ def _broadcast_join(docs: DataFrame, windows: DataFrame, window: int, gram: int)
     return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<long>")
 
 
-def _shuffle_join(docs: DataFrame, windows: DataFrame, window: int, gram: int) -> DataFrame:
+def _numbered(documents: DataFrame) -> DataFrame:
+    """The rows with a number of their own, written once; their columns go into a struct, where no name can clash with it."""
+    return cut_lineage(documents.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc")))
+
+
+def _row_hits(docs: DataFrame, windows: DataFrame, window: int, gram: int) -> DataFrame:
+    """row, pos, size, item_id of every benchmark window in ``docs`` (row, text)."""
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most ``window`` rows
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,28 +154,35 @@ def _shuffle_join(docs: DataFrame, windows: DataFrame, window: int, gram: int) -
                     at = np.flatnonzero(fits(w.first, s))
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(own[at])), pa.array(np.full(len(at), s, np.int32)), pa.array((at - w.first[own[at]]).astype(np.int32)), pa.array(m[at].view(np.int64)), pa.array(wins[at].view(np.int64))],
-                        ["doc_id", "size", "pos", "mark", "window"],
+                        ["row", "size", "pos", "mark", "window"],
                     )
 
+    kept = windows.select("size", "mark").distinct()
+    near = docs.mapInArrow(marks, _WINDOWS).join(kept, ["size", "mark"])
+    return near.join(windows.select("size", F.col("win").alias("window"), "item_id"), ["size", "window"]).select("row", "pos", "size", "item_id")
+
+
+def _shuffle_join(docs: DataFrame, windows: DataFrame, window: int, gram: int) -> DataFrame:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in text_blocks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_words(data, offsets).counts().astype(np.int64))], ["doc_id", "n_words"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_words(data, offsets).counts().astype(np.int64))], ["row", "n_words"])
 
-    kept = windows.select("size", "mark").distinct()
-    near = docs.mapInArrow(marks, _WINDOWS).join(kept, ["size", "mark"])
-    hits = near.join(windows.select("size", F.col("win").alias("window"), "item_id"), ["size", "window"])
-    items = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    rows = _numbered(docs)
+    text = rows.select("row", F.col("doc.text").alias("text"))
+    hits = _row_hits(text, windows, window, gram)
+    items = hits.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     # Words covered: each start adds the words up to the next start's reach; a document's starts are bounded by its words.
-    spans = hits.select("doc_id", "pos", (F.col("pos") + F.col("size")).alias("end")).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "end"))).alias("s"))
+    spans = hits.select("row", "pos", (F.col("pos") + F.col("size")).alias("end")).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("pos", "end"))).alias("s"))
     step = lambda a, x: F.struct(
         (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["to"], x["pos"]))).cast("long").alias("n"), F.greatest(a["to"], x["end"]).cast("int").alias("to")
     )
-    n_hit = spans.select("doc_id", F.aggregate("s", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")), step)["n"].alias("n_hit"))
-    out = docs.mapInArrow(counts, "doc_id long, n_words long")
+    n_hit = spans.select("row", F.aggregate("s", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")), step)["n"].alias("n_hit"))
     return (
-        out.join(n_hit, "doc_id", "left")
-        .join(items, "doc_id", "left")
+        rows.select("row", F.col("doc.doc_id").alias("doc_id"))
+        .join(text.mapInArrow(counts, "row long, n_words long"), "row")
+        .join(n_hit, "row", "left")
+        .join(items, "row", "left")
         .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
     )
 
@@ -187,9 +202,9 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
     """
     windows = benchmark_windows(benchmark, window, gram)
     if windows.limit(max_broadcast + 1).count() > max_broadcast:
-        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        bad = _shuffle_join(docs, windows, window, gram).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-        return documents.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+        rows = _numbered(documents)
+        text = rows.select("row", F.col("doc.text").cast("string").alias("text"))
+        return rows.join(_row_hits(text, windows, window, gram).select("row"), "row", "left_anti").select("doc.*")
     shared = documents.sparkSession.sparkContext.broadcast(_indexes(windows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
