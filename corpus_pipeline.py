@@ -6,7 +6,7 @@ columns of ``documents``:
 
 1. ``quality``: documents that a rule rejects go.
 2. ``near_duplicates``: of each group of linked fingerprints the document with the smallest doc_id stays (one row,
-   if rows repeat it; rows with a null doc_id stay).
+   if rows repeat its doc_id and text; rows with a null doc_id stay).
 3. ``decontaminate``: documents with words of a benchmark window go.
 4. ``pii``: spans of personal data become their kind in angle brackets; ``n_chars`` follows the text.
 5. ``bpe``: doc_id, n_tokens, ids, and the digest of the text decoded from them.

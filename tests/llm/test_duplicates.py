@@ -99,6 +99,14 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted({v for v in least.values() if v is not None})
 
 
+def test_texts_that_share_an_id_are_kept_apart(spark):
+    rng = random.Random(6)
+    a, b, c = (sentence(rng, 80) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, b), (5, c), (9, c), (9, a)]
+    kept = simhash.keep_first(spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, k int"))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (5, b), (5, c)])
+
+
 def test_every_close_pair_meets_in_a_table(spark):
     masks = np.array(simhash.masks(4), np.uint64)
     rng = np.random.default_rng(1)

@@ -53,18 +53,24 @@ def _fingerprint(words: list[bytes], shingle: int, seed: int) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def _printed(rows: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The columns of longs before ``text``, the last one, and fp in its place."""
+    names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in text_blocks(batch, "text"):
                 low, at = lower_ascii(data).tobytes(), offsets.tolist()
                 fp = [_fingerprint(low[a:b].split(), shingle, seed) for a, b in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array(np.array(fp, np.uint64).view(np.int64))], [*names, "fp"])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
+
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return _printed(docs, shingle, seed)
 
 
 def masks(radius: int, bits: int = 64, seed: int = 7) -> list[int]:
@@ -174,10 +180,16 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
 
 
 def keep_first(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all its columns.
+    """One document of each component, with all its columns: that with the smallest doc_id, then the smallest text hash.
 
-    Rows with a null doc_id cannot be told apart by it; they are kept and are nobody's duplicate.
+    Rows are told apart by doc_id and text, so texts that share a doc_id stand for themselves; of rows that repeat both
+    one stays. Rows with a null doc_id cannot be told apart by it; they are kept and are nobody's duplicate.
     """
     named, unnamed = documents.where(F.col("doc_id").isNotNull()), documents.where(F.col("doc_id").isNull())
-    kept = near_duplicates(named, radius, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return named.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    number, mark = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    prints = _printed(named.select(number.alias("doc_id"), mark.alias("mark"), F.col("text").cast("string").alias("text")), shingle)
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("first")))
+    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    first = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("_kept"), F.col("first.mark").alias("_mark"))
+    return named.join(kept, (number == F.col("_kept")) & (mark == F.col("_mark")), "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(unnamed)
