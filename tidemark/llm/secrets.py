@@ -3,7 +3,8 @@
 Candidates for the entropy test are runs of ``MIN_CANDIDATE`` token characters or more. A window of ``WINDOW``
 characters slides over each; the counts of its characters are kept up to date as one enters and one leaves, and with
 them the sum of c log2 c, from which the entropy follows. A candidate is a secret if some window reaches the limit of
-its character class (hexadecimal, or letters with digits) and no allow-list pattern or string suppresses it.
+its character class (hexadecimal, or letters with digits) and no allow-list pattern or string suppresses it; one
+that a single base span covers whole is left to that span.
 
 Positions are code points, end exclusive; they come from the lengths of what lies between the matches, summed in
 blocks, so a text with many matches stays near linear.
@@ -130,7 +131,7 @@ def scan(documents: DataFrame) -> DataFrame:
         F.when(text.rlike(CANDIDATE), F.filter(matches(text, CANDIDATE), lambda s: _is_secret(s["word"]))).otherwise(none).alias("candidates"),
     )
     base = F.concat("assign", "access", "hex")
-    rows = rows.withColumn("entropy", F.filter("candidates", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+    rows = rows.withColumn("entropy", F.filter("candidates", lambda c: ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))))
 
     def named(rank: int, kind: str) -> Column:
         return F.transform(
