@@ -43,3 +43,25 @@ def test_quantile_bucket_equals_qcut(spark):
         d = spark.range(1, n + 1).withColumn("n", F.lit(n))
         got = d.select("id", R.quantile_bucket(F.col("id"), F.col("n")).alias("q")).orderBy("id").toPandas().q
         assert (got.to_numpy() == pd.qcut(pd.Series(range(1, n + 1)), 5, labels=False).to_numpy()).all()
+
+
+def test_values_close_together_spread_over_all_ranges(spark):
+    n = 20000
+    d = spark.range(n).select("id", F.lit("a").alias("k"), (1 + F.col("id") * 1e-10).alias("v"))
+    ranges = R._dealt(d, ["k"], ["v", "id"]).groupBy("_range").count().toPandas()
+    assert len(ranges) == int(spark.conf.get("spark.sql.shuffle.partitions")) and ranges["count"].max() < n / 2
+    got = R.position(d, ["k"], "v", "id", "p").where("p != id + 1")
+    assert got.count() == 0
+
+
+def test_one_value_spreads_by_its_tie(spark):
+    n = 20000
+    d = spark.range(n).select("id", F.lit("a").alias("k"), F.lit(2.0).alias("v"))
+    assert R._dealt(d, ["k"], ["v", "id"]).groupBy("_range").count().toPandas()["count"].max() < n / 2
+    assert R.position(d, ["k"], "v", "id", "p").where("p != id + 1").count() == 0
+
+
+def test_nulls_and_empty_groups(spark):
+    d = spark.createDataFrame([("a", 1, None), ("a", 2, 3.0), (None, 3, 1.0)], "k string, id int, v double")
+    assert {r.id: r.p for r in R.position(d, ["k"], "v", "id", "p").collect()} == {1: None, 2: 1, 3: None}
+    assert R.position(d.limit(0), ["k"], "v", "id", "p").count() == 0

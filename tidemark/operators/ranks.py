@@ -1,10 +1,11 @@
 """Ranks, positions, running sums and exact percentiles of groups of any size.
 
 A plain window sorts a whole group in one task, and the built-in exact ``percentile`` holds all of a group's values
-in one buffer. Here the value axis is cut into fixed, monotone cells first. The rows of one group spread over the
-cells' tasks, and only the per-cell totals (a bounded number per group) go through one window per group. Equal
-values are collapsed by a map-side aggregation before any shuffle. Every step is deterministic, so a lost executor
-recomputes the same rows.
+in one buffer. Here the rows are dealt by ranges of (keys, value, tie) that Spark takes from the data, so values that
+lie close together spread like any others. The dealt rows are written to the shared folder before anything is read
+off them: the range a row lies in is then fixed, and a lost executor reads the same rows again. Inside a range a window
+runs over (keys, range), at most one range's rows; between ranges only their totals are summed, one row per group and
+range. Equal values are collapsed by a map-side aggregation first where their order does not matter.
 """
 
 from __future__ import annotations
@@ -13,47 +14,45 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CELLS_PER_OCTAVE = 256
-_UNIT = float(2**20)
-
-
-def value_cell(v: Column) -> Column:
-    """Monotone cell number of a double: ``CELLS_PER_OCTAVE`` per doubling, at most about 30,000 in use."""
-    size = F.floor(F.log2(F.lit(1.0) + F.abs(v.cast("double")) * _UNIT) * CELLS_PER_OCTAVE)
-    return F.when(v < 0, -size).otherwise(size).cast("int")
+from tidemark.session import cut_lineage
 
 
 def _before(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows written in ranges of (keys, order); ``_range`` numbers the ranges in that order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(parts, *keys, *order)).withColumn("_range", F.spark_partition_id())
+
+
+def _prefix(dealt: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, out: str) -> DataFrame:
+    """Adds to dealt rows the weight of all earlier rows of their group, and the group's weight ``n``."""
+    keys = list(keys)
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    totals = (
+        dealt.groupBy(*keys, "_range")
+        .agg(F.sum(weight).alias("_rw"))
+        .withColumn("_base", F.coalesce(F.sum("_rw").over(_before(part.orderBy("_range"))), F.lit(0.0)))
+        .withColumn("n", F.sum("_rw").over(part))
+        .drop("_rw")
+    )
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    local = dealt.withColumn("_in", F.coalesce(F.sum(weight).over(_before(inside)), F.lit(0.0)))
+    return local.join(totals, [*keys, "_range"]).withColumn(out, F.col("_base") + F.col("_in")).drop("_range", "_base", "_in")
+
+
 def distinct_prefix(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
     """One row per (keys, value): its weight ``w`` and ``before``, the weight of all smaller values of the group.
 
-    Without ``weight`` every row counts 1, so ``before + 1`` is the first rank of the value.
+    Without ``weight`` every row counts 1, so ``before + 1`` is the first rank of the value. Rows without a value or
+    with a null key are left out.
     """
     keys = list(keys)
     w = F.count(F.lit(1)).cast("double") if weight is None else F.sum(weight)
-    vals = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(w.alias("w"))
-        .withColumn("_cell", value_cell(F.col(value)))
-    )
-    totals = vals.groupBy(*keys, "_cell").agg(F.sum("w").alias("_cw"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    totals = (
-        totals.withColumn("_base", F.coalesce(F.sum("_cw").over(_before(part.orderBy("_cell"))), F.lit(0.0)))
-        .withColumn("n", F.sum("_cw").over(part))
-        .drop("_cw")
-    )
-    inside = Window.partitionBy(*keys, "_cell").orderBy(value)
-    local = vals.withColumn("_in", F.coalesce(F.sum("w").over(_before(inside)), F.lit(0.0)))
-    return (
-        local.join(totals, [*keys, "_cell"])
-        .withColumn("before", F.col("_base") + F.col("_in"))
-        .drop("_cell", "_base", "_in")
-    )
+    vals = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(w.alias("w"))
+    return _prefix(_dealt(vals, keys, [value]), keys, [value], "w", "before")
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, size: str | None = None) -> DataFrame:
@@ -70,23 +69,18 @@ def running_before(
 ) -> DataFrame:
     """Adds the weight of all rows of the group that come earlier by (value, tie); ``tie`` must be unique in a value.
 
-    Hot values are cut by cells of the tie as well, so a third of all rows may share one value.
+    The ranges are of value and tie, so a third of all rows may share one value. Rows with a null value or a null key
+    get none.
     """
     keys = list(keys)
-    wcol = F.lit(1.0) if weight is None else weight
-    rows = df.withColumn("_w", wcol).withColumn("_tc", value_cell(F.col(tie)))
-    by_value = distinct_prefix(rows, keys, value, F.col("_w")).select(*keys, value, F.col("before").alias("_b1"))
-    tied = rows.groupBy(*keys, value, "_tc").agg(F.sum("_w").alias("_tw"))
-    tw = Window.partitionBy(*keys, value).orderBy("_tc")
-    tied = tied.withColumn("_b2", F.coalesce(F.sum("_tw").over(_before(tw)), F.lit(0.0))).drop("_tw")
-    base = tied.join(by_value, [*keys, value]).withColumn("_base", F.col("_b1") + F.col("_b2")).drop("_b1", "_b2")
-    inside = Window.partitionBy(*keys, value, "_tc").orderBy(tie)
-    local = rows.withColumn("_in", F.coalesce(F.sum("_w").over(_before(inside)), F.lit(0.0)))
-    return (
-        local.join(base, [*keys, value, "_tc"], "left")
-        .withColumn(out, F.col("_base") + F.col("_in"))
-        .drop("_base", "_in", "_tc", "_w")
-    )
+    rows = df.withColumn("_w", F.lit(1.0) if weight is None else weight)
+    known = F.col(value).isNotNull()
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    dealt = _dealt(rows, keys, [value, tie])
+    got = _prefix(dealt.where(known), keys, [value, tie], "_w", out).drop("n", "_w")
+    rest = dealt.where(~known).drop("_range", "_w").withColumn(out, F.lit(None).cast("double"))
+    return got.unionByName(rest)
 
 
 def position(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str) -> DataFrame:
