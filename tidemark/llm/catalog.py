@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, language, pii, pseudo, quality, secrets, simhash, substrings, urls
+from tidemark.llm import bpe, codes, decontaminate, language, pii, pseudo, quality, resample, secrets, simhash, substrings, urls, warc
 
 CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -153,4 +153,69 @@ def op10(spark, sf_dir):
     return rows.select("doc_id", "n_tokens", F.round("log_likelihood", 4).alias("log_likelihood"), F.round("mean_log_likelihood", 6).alias("mean_log_likelihood"))
 
 
+@query(
+    "op11_importance_resampling",
+    r"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+df AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM d) GROUP BY ALL),
+vocab AS (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM b)),
+crc AS (SELECT f, xor(list_reduce(list_transform(range(strlen(f)), lambda i: (strpos('0123456789ABCDEF', substr(hx, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hx, 2 * i + 2, 1)) - 1),
+    lambda c, x: xor(c // 256, t[(xor(c, x) % 256) + 1]), 4294967295), 4294967295) % 10000 AS k FROM (SELECT f, hex(encode(f)) AS hx FROM vocab), tab),
+s AS (SELECT k, sum(n)::BIGINT AS n FROM df JOIN crc USING (f) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM b JOIN crc USING (f) GROUP BY k),
+totals AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS st, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS tt),
+gain AS (SELECT s.k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (st + 10000) / ((s.n + 1)::DOUBLE * (tt + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (k), totals),
+w AS (SELECT doc_id, sum(n * g)::BIGINT AS weight FROM df JOIN crc USING (f) JOIN gain USING (k) GROUP BY doc_id),
+h AS (SELECT doc_id, len(d.w)::BIGINT AS n_features, list_reduce(list_transform(range(8), lambda i: strpos('0123456789abcdef', substr(sha256('2024:' || doc_id), i + 1, 1)) - 1), lambda a, x: a * 16 + x, 0::BIGINT) AS h FROM d),
+r AS (SELECT h.doc_id, n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM h LEFT JOIN w USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS p, sum((n_features >= 20)::INT) OVER () AS n FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND p <= 10 * n // 100 THEN p END AS rank FROM ranked""",
+)
+def op11(spark, sf_dir):
+    rows = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "item_id")
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(
+    "op12_warc",
+    r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS hx FROM pages),
+f AS (SELECT b, min(page_id) AS first FROM p GROUP BY b)
+SELECT page_id, strlen(b)::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((strpos('0123456789abcdef', substr(hx, 5 * i // 4 + 1, 1)) - 1) * 16
+        + strpos('0123456789abcdef', substr(hx, 5 * i // 4 + 2, 1)) - 1) >> (3 - 5 * i % 4)) % 32 + 1, 1)), '') AS payload_digest,
+    CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p JOIN f USING (b)""",
+)
+def op12(spark, sf_dir):
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+_ASSIGN = """assign{r} AS MATERIALIZED (SELECT vec_id, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT vec_id, part, x, entry, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d FROM cut JOIN book{r} USING (part)) GROUP BY ALL)"""
+_BOOK = """book{n} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+    SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY i) AS c FROM (SELECT part, entry, i, sum(x[i])::DOUBLE AS s, count(*) AS n FROM assign{r}, (SELECT unnest(range(1, 9)) AS i) GROUP BY ALL) GROUP BY part, entry) m USING (part, entry))"""
+_KMEANS = ",\n".join(_ASSIGN.format(r=r) + (",\n" + _BOOK.format(r=r, n=r + 1) if r < 6 else "") for r in range(7))
+
+
+@query(
+    "op13_vector_codes",
+    f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM documents_of_vectors),
+cut AS MATERIALIZED (SELECT vec_id, part, v[part * 8 + 1 : part * 8 + 8] AS x FROM kept, (SELECT unnest(range(8)) AS part)),
+book0 AS MATERIALIZED (SELECT part, entry, x AS c FROM cut JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 16) USING (vec_id)),
+{_KMEANS},
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM assign6 GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM book6) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)""".replace(
+        "documents_of_vectors", "embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    ),
+)
+def op13(spark, sf_dir):
+    return codes.summary(*codes.compress(_table(spark, sf_dir, "embeddings")))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
