@@ -59,6 +59,26 @@ def test_windows_found_in_other_than_the_first_context(spark):
     assert by_id(substrings.remove_repeated(df, 10, 4, 4).collect()) == by_id(kept_by_hand(rows, 10))
 
 
+def test_ids_that_several_texts_share(spark):
+    """Windows that only one of the rows with a doc_id has are removed from later documents too."""
+    rng = random.Random(8)
+    a, b, c = (sentence(rng, 90) for _ in range(3))
+    rows = [(1, a), (1, b), (1, f"{c} {a}"), (2, f"{sentence(rng, 9)} {a} {b}"), (3, b), (4, c), (4, f"{a} {sentence(rng, 20)}"), (4, f"{a} {sentence(rng, 20)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (50, 12):
+        assert by_id(substrings.remove_repeated(df, size, 8, 8, piece=size + 9).collect()) == by_id(kept_by_hand(rows, size))
+
+
+def test_long_documents_that_quote_long_ones(spark):
+    """Passages of thousands of words in many pieces, quoted whole, in part and in another order."""
+    rng = random.Random(9)
+    w = sentence(rng, 4000).split()
+    rows = [(1, " ".join(w)), (2, " ".join(w[2000:] + w[:2000])), (3, " ".join(w[100:140] + w[900:1300] + ["x"] + w[1300:1349])), (4, " ".join(w[:3000] + w[:3000]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for piece in (50, 64, 256):
+        assert by_id(substrings.remove_repeated(df, piece=piece).collect()) == by_id(kept_by_hand(rows, 50))
+
+
 def fingerprint_by_hand(text):
     w = WORD.findall(lower(text))
     grams = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) > 4 else [" ".join(w)] if w else []

@@ -2,21 +2,25 @@
 
 1. Candidates. A document's windows are grouped by winnowing: each window belongs to the smallest of its
    ``gram``-word hashes, its anchor, and the consecutive windows of one anchor occurrence form a context. The same
-   window has the same anchor everywhere.
-2. Confirmation. Contexts are counted over the corpus, with map-side combine. A context seen in two documents recurs
-   with all its windows; where an anchor has several contexts, the windows of each context's first document are
-   counted one by one. The recurring windows of a document that is the first to have them, merged, are its passages.
-3. Automata. Each block of documents gets the passages of the documents its contexts point to, cut into tiles of
-   ``tile`` words so that every window of a passage holds a whole tile, and compiles them into one Aho-Corasick
-   automaton over word numbers. All documents of the block are streamed through it; at every tile found, document and
-   passage are compared word by word, and equal runs of ``window`` words or more are removed if the passage comes
-   from a smaller doc_id.
-
-So the automata are sharded with the documents, and a shard holds no more passages than its own documents recur to.
-The text is shuffled once (compressed) and kept as a checkpoint partitioned by doc_id, which the later joins reuse.
-
-Defined cases: a null text has no words, its kept text is empty; rows that repeat a doc_id are judged against smaller
-ids only and keep a row each; rows with a null doc_id are returned whole and are nobody's source; extra columns are
+   window has the same anchor everywhere, so only contexts whose anchor several documents have can matter. Anchors are
+   counted first (map-side combine); the second reading writes the contexts of repeated anchors only. A sketch of fixed
+   size keeps most others out; what it lets through in error does no harm.
+2. Confirmation. A context seen in two documents recurs with all its windows; where an anchor has several contexts, the
+   windows of each context's first document are counted one by one. The recurring windows of a document that is the
+   first to have them, merged, are its passages, cut into pieces of ``piece`` words that overlap by a window less one.
+   Every recurring hash (of a context or a window) names the pieces that it lies in.
+3. Automata. Each document gets the pieces named by hashes that it holds itself. Each block of documents cuts its pieces
+   into tiles of ``tile`` words so that every window of a piece holds a whole tile, and compiles them into one
+   Aho-Corasick automaton over word numbers. All documents of the block are streamed through it; at every tile found,
+   document and piece are compared word by word, and equal runs of ``window`` words or more are removed if the piece
+   comes from a smaller doc_id.
+
+So the automata are sharded with the documents, and a document holds a window of every piece that it is sent: what one
+task collects for it is bounded by its own length. The text is shuffled once (compressed) and kept as a checkpoint
+partitioned by doc_id, which the later joins reuse; pieces travel compressed.
+
+Defined cases: a null text has no words, its kept text is empty; rows that repeat a doc_id, with equal or
+different texts, are judged against smaller ids only and keep a row each; rows with a null doc_id are returned whole and are nobody's source; extra columns are
 ignored. Kept text is the kept words joined by one space.
 """
 
@@ -37,6 +41,9 @@ from tidemark.session import cut_lineage
 WINDOW = 50
 GRAM = 20
 TILE = 20
+PIECE = 256
+SKETCH_BITS = 1 << 25
+_FLUSH = 1 << 20
 _SEPARATORS = separator_table(SPACES)
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -92,12 +99,50 @@ def _wanted(batch: pa.RecordBatch, name: str, a: int, b: int) -> list[np.ndarray
     return [np.array(col[i].as_py() or [], np.int64).view(np.uint64) for i in range(a, b)]
 
 
+def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(SKETCH_BITS - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _sketch(rows: DataFrame, column: str) -> np.ndarray:
+    """A bit per hash of the column, ``SKETCH_BITS`` in all whatever the number of rows; bits are joined in the shuffle."""
+    at = F.col(column).bitwiseAND(SKETCH_BITS - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    got = rows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(SKETCH_BITS // 64, np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _span(hashes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Distinct hashes with the smallest and largest id."""
+    order = np.lexsort((ids, hashes))
+    hashes, ids = hashes[order], ids[order]
+    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    last = np.append(first[1:], len(hashes)) - 1
+    return pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(ids[first]), pa.array(ids[last])], ["h", "low", "high"])
+
+
+def _combined(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Joins a task's (hashes, ids) in buffers of bounded size before they are shuffled."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for pair in found:
+        parts.append(pair)
+        size += len(pair[0])
+        if size >= _FLUSH:
+            yield _span(*map(np.concatenate, zip(*parts)))
+            parts, size = [], 0
+    if size:
+        yield _span(*map(np.concatenate, zip(*parts)))
+
+
 class _Passages:
-    """The passages of a block's documents and their automaton."""
+    """The pieces sent to a block's documents, as (source, text), and their automaton."""
 
-    def __init__(self, texts: dict[tuple[int, int], bytes], window: int, tile: int) -> None:
-        self.sources = [s for s, _ in texts]
-        parts = list(texts.values())
+    def __init__(self, pieces: list[tuple[int, bytes]], window: int, tile: int) -> None:
+        self.sources = [s for s, _ in pieces]
+        parts = [t for _, t in pieces]
         w = Words(np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64))), _SEPARATORS)
         self.first, self.words, self.window, self.tile = w.first.tolist(), w.hashes(), window, tile
         symbols = _symbols(self.words)
@@ -139,84 +184,125 @@ def _symbols(words: np.ndarray) -> list[int]:
     return (words & np.uint64(0x3FFFFFFF)).tolist()
 
 
-def remove_repeated(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, tile: int = TILE) -> DataFrame:
+def remove_repeated(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, tile: int = TILE, piece: int = PIECE) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (text without the windows that a smaller doc_id has)."""
-    if not 0 < gram <= window or not 0 < tile <= window:
-        raise ValueError("gram and tile must fit into a window")
+    if not 0 < gram <= window or not 0 < tile <= window or piece < window:
+        raise ValueError("gram and tile must fit into a window, a window into a piece")
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     text = cut_lineage(docs.mapInArrow(_packed_words, "doc_id long, z binary").repartition(parts, "doc_id"))
     named = text.where("doc_id IS NOT NULL")
 
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                for a, b, w in _blocks(batch):
+                    low, _, anchor, _, _ = _contexts(w, window, gram)
+                    yield anchor, ids[a:b][owner(w.first)[low]]
+
+        return _combined(found())
+
+    repeated = named.mapInArrow(anchors, "h long, low long, high long").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    anchor_bits = _sketch(repeated.where("low < high"), "h")
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, b, w in _blocks(batch):
                 low, _, anchor, words, _ = _contexts(w, window, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(anchor.view(np.int64)), pa.array(ids[a:b][owner(w.first)[low]])], ["c", "a", "doc_id"])
+                take = np.flatnonzero(_held(anchor_bits, anchor))
+                own = ids[a:b][owner(w.first)[low[take]]]
+                yield pa.RecordBatch.from_arrays([pa.array(words[take].view(np.int64)), pa.array(anchor[take].view(np.int64)), pa.array(own)], ["h", "a", "doc_id"])
 
-    seen = named.mapInArrow(contexts, "c long, a long, doc_id long")
-    distinct = seen.groupBy("c").agg(F.min("doc_id").alias("s"), F.max("doc_id").alias("last"), F.first("a").alias("a"))
-    anchors = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("variants"), F.min("s").alias("from"), F.max("last").alias("to")).where("from < to")
-    known = cut_lineage(distinct.join(anchors, "a").select("c", "s", "last", "variants"))
-    recurring = known.where("s < last").select("c", "s")
-    pairs = seen.select("c", "doc_id").join(recurring, "c").where("s < doc_id").select("doc_id", "s")
+    seen = cut_lineage(named.mapInArrow(contexts, "h long, a long, doc_id long"))
+    distinct = seen.groupBy("h").agg(F.min("doc_id").alias("s"), F.max("doc_id").alias("last"), F.first("a").alias("a"))
+    shared = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("variants"), F.min("s").alias("from"), F.max("last").alias("to")).where("from < to")
+    known = cut_lineage(distinct.join(shared, "a").where("s < last OR variants > 1").select("h", "s", "last", "variants"))
+    recurring = known.where("s < last").select("h", "s")
 
     # Windows one by one where an anchor has several contexts: those of each context's first document.
-    mixed = known.where("variants > 1").groupBy(F.col("s").alias("doc_id")).agg(F.collect_list("c").alias("cs"))
+    mixed = cut_lineage(known.where("variants > 1").groupBy(F.col("s").alias("doc_id")).agg(F.collect_list("h").alias("hs")))
+    first_of_mixed = named.join(mixed, "doc_id")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, b, w in _blocks(batch):
                 low, high, _, words, grams = _contexts(w, window, gram)
-                own = owner(w.first)
-                at = np.flatnonzero(np.isin(words, np.concatenate(_wanted(batch, "cs", a, b))))
+                at = np.flatnonzero(np.isin(words, np.concatenate(_wanted(batch, "hs", a, b))))
                 at = _windows_of(low[at], high[at])
-                yield pa.RecordBatch.from_arrays([pa.array(grams.of(window)[at].view(np.int64)), pa.array(ids[a:b][own[at]])], ["w", "doc_id"])
+                yield grams.of(window)[at], ids[a:b][owner(w.first)[at]]
 
-    single = named.join(mixed, "doc_id").mapInArrow(windows, "w long, doc_id long")
-    again = cut_lineage(single.groupBy("w").agg(F.min("doc_id").alias("s"), F.max("doc_id").alias("last")).where("s < last").select("w", "s"))
-    pairs = pairs.unionByName(single.join(again, "w").where("s < doc_id").select("doc_id", "s")).distinct()
+    singles = first_of_mixed.mapInArrow(lambda it: _combined(windows_of(it)), "h long, low long, high long")
+    again = cut_lineage(singles.groupBy("h").agg(F.min("low").alias("s"), F.max("high").alias("last")).where("s < last").select("h", "s"))
 
-    wanted = (
-        recurring.select("s", "c", F.lit(None).cast("long").alias("w"))
-        .unionByName(again.select("s", F.lit(None).cast("long").alias("c"), "w"))
-        .groupBy(F.col("s").alias("doc_id"))
-        .agg(F.collect_list("c").alias("cs"), F.collect_list("w").alias("ws"))
-    )
+    # Passages of the first documents, in pieces, and the pieces that each recurring hash lies in.
+    wanted = recurring.unionByName(again).groupBy(F.col("s").alias("doc_id")).agg(F.collect_list("h").alias("hs"))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_, names = zstandard.ZstdCompressor(), ["h", "s", "piece", "z"]
         for batch in batches:
-            ids = batch.column(0)
+            ids = batch.column(0).to_numpy()
             for a, b, w in _blocks(batch):
                 low, high, _, words, grams = _contexts(w, window, gram)
-                own, wins = owner(w.first), grams.of(window)
-                cs, ws = _wanted(batch, "cs", a, b), _wanted(batch, "ws", a, b)
+                own, wins, hs = owner(w.first)[low], grams.of(window), _wanted(batch, "hs", a, b)
                 for j in range(b - a):
-                    mine = slice(*np.searchsorted(own[low], [j, j + 1]))
-                    take = np.isin(words[mine], cs[j])
                     begin, end = int(w.first[j]), int(w.first[j + 1])
-                    inside = np.zeros(end - begin, bool)
-                    at = np.union1d(_windows_of(low[mine][take], high[mine][take]), np.flatnonzero(np.isin(wins[begin : max(begin, end - window + 1)], ws[j])) + begin) - begin
+                    mine = slice(*np.searchsorted(own, [j, j + 1]))
+                    take = np.isin(words[mine], hs[j])
+                    lows, highs = low[mine][take] - begin, high[mine][take] - begin
+                    single = np.flatnonzero(np.isin(wins[begin : max(begin, end - window + 1)], hs[j]))
                     delta = np.zeros(end - begin + 1, np.int64)
-                    np.add.at(delta, at, 1)
-                    np.add.at(delta, at + window, -1)
-                    inside = np.cumsum(delta[:-1]) > 0
-                    texts = [w.data[w.starts[begin + s] : w.ends[begin + e - 1]].tobytes() for s, e in zip(*_runs(inside))]
-                    if texts:
-                        yield pa.RecordBatch.from_arrays([ids.slice(a + j, 1), pa.array([texts], pa.list_(pa.binary()))], ["s", "texts"])
-
-    sources = named.join(wanted, "doc_id").mapInArrow(passages, "s long, texts array<binary>")
-    routed = pairs.join(sources, "s").groupBy("doc_id").agg(F.collect_list(F.struct("s", "texts")).alias("found"))
+                    np.add.at(delta, np.concatenate((lows, single)), 1)
+                    np.add.at(delta, np.concatenate((highs, single)) + window, -1)
+                    starts, ends = _runs(np.cumsum(delta[:-1]) > 0)
+                    step = piece - window + 1
+                    count = np.maximum(-(-(ends - starts - window + 1) // step), 1)
+                    number = np.cumsum(count) - count  # of each run's first piece
+
+                    def pieces(at: np.ndarray) -> np.ndarray:
+                        run = np.searchsorted(starts, at, side="right") - 1
+                        return number[run] + (at - starts[run]) // step
+
+                    keys = np.concatenate((words[mine][take], wins[begin + single]))
+                    lo, hi = pieces(np.concatenate((lows, single))), pieces(np.concatenate((highs, single)))
+                    spread = hi - lo + 1
+                    of = _windows_of(lo, hi)
+                    keys = np.repeat(keys, spread)
+                    texts = []
+                    for s, e, n in zip(starts, ends, count):
+                        for k in range(n):
+                            u, v = begin + s + k * step, begin + min(e, s + k * step + piece)
+                            texts.append(zip_.compress(w.data[w.starts[u] : w.ends[v - 1]].tobytes()))
+                    m, n = len(keys), len(texts)
+                    if n:
+                        columns = [pa.array(keys.view(np.int64)), pa.array(np.full(m, ids[a + j])), pa.array(of.astype(np.int64)), pa.nulls(m, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names)
+                        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.full(n, ids[a + j])), pa.array(np.arange(n)), pa.array(texts, pa.binary())], names)
+
+    placed = cut_lineage(named.join(wanted, "doc_id").mapInArrow(passages, "h long, s long, piece long, z binary"))
+    places = placed.where("z IS NULL").select("h", "s", "piece").distinct()
+    window_bits = _sketch(again, "h")
+
+    def held_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, ids in windows_of(batches):
+            take = _held(window_bits, hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[take].view(np.int64)), pa.array(ids[take])], ["h", "doc_id"])
+
+    holders = seen.select("h", "doc_id").unionByName(first_of_mixed.mapInArrow(held_windows, "h long, doc_id long"))
+    pairs = holders.join(places, "h").where("s < doc_id").select("doc_id", "s", "piece").distinct()
+    sent = pairs.join(placed.where("z IS NOT NULL").select("s", "piece", "z"), ["s", "piece"])
+    routed = sent.groupBy("doc_id").agg(F.collect_list(F.struct("s", "z")).alias("found"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             ids, found = batch.column(0).to_pylist(), batch.column(2)
             for a, b, w in _blocks(batch):
-                texts = {(x["s"], k): t for i in range(a, b) for x in found[i].as_py() or [] for k, t in enumerate(x["texts"])}
-                library, words = _Passages(texts, window, tile), w.hashes()
+                pieces = {(x["s"], x["z"]) for i in range(a, b) for x in found[i].as_py() or []}
+                library, words = _Passages([(s, unzip.decompress(z)) for s, z in sorted(pieces)], window, tile), w.hashes()
                 gone, kept = [], []
                 for j in range(b - a):
                     begin, end = int(w.first[j]), int(w.first[j + 1])
