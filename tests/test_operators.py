@@ -143,3 +143,14 @@ def test_placebo_is_deterministic_and_flat_on_noise(spark):
     a = S.permutation_test(d, ["c"], "id", "s", "r", draws=20).first()
     b = S.permutation_test(d, ["c"], "id", "s", "r", draws=20).first()
     assert a == b and a.draws == 20 and 1 / 21 <= a.p <= 1
+
+
+def test_dealt_rows_join_without_another_shuffle(spark):
+    from tidemark.session import cut_dealt
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a = cut_dealt(spark.range(1000), parts, "id")
+    got = a.join(spark.range(50).groupBy("id").count().hint("merge"), "id")
+    assert got.count() == 50
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(id") == 1
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"

@@ -44,3 +44,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are written to the shared folder, so a lost executor cannot change or lose them."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_dealt(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """As :func:`cut_lineage`, dealt by ``key``; later joins and groups on the key with as many partitions need no shuffle.
+
+    A checkpoint keeps the partitioning that its plan names when it is taken, and an adaptive plan names none before it
+    has run, so this one job is planned without.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.repartition(parts, key))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
