@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.lookup import attach
-from tidemark.session import cut_lineage
+from tidemark.session import cut_dealt, cut_lineage
 
 PARTS = 8
 ENTRIES = 16
@@ -170,7 +170,7 @@ def compress(
     books = np.array(seeds, np.int64).reshape(len(seeds), parts, width // parts).transpose(1, 0, 2).copy()
     rows = kept.select(F.monotonically_increasing_id().alias("block"), "vec_id", "label", "v")
     packed = rows.mapInArrow(lambda it: _blocks(it, width), f"block long, ids array<bigint>, labels array<{label}>, v binary")
-    blocks = cut_lineage(packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block"))
+    blocks = cut_dealt(packed, int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
     codes = None
     for _ in range(rounds):
         now = books

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.words import BLOCK_BYTES, SPACES, Grams, Words, fits, owner, separator_table, sliding_min
-from tidemark.session import cut_lineage
+from tidemark.session import cut_dealt, cut_lineage
 
 WINDOW = 50
 GRAM = 20
@@ -191,7 +191,7 @@ def remove_repeated(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text = cut_lineage(docs.mapInArrow(_packed_words, "doc_id long, z binary").repartition(parts, "doc_id"))
+    text = cut_dealt(docs.mapInArrow(_packed_words, "doc_id long, z binary"), parts, "doc_id")
     named = text.where("doc_id IS NOT NULL")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
