@@ -485,7 +485,7 @@ def i23(spark, sf):
 
 
 @query(
-    "i17_kpi_tables",
+    "i17_priority_vintages",
     """WITH p AS (SELECT CAST(l_suppkey AS INT) AS cik, l_returnflag AS metric, CAST(l_linenumber AS INT) AS src, CAST(l_shipdate AS DATE) AS pe, l_orderkey AS filed, l_quantity AS value FROM lineitem),
 b AS (SELECT * FROM p x QUALIFY min(src) OVER (PARTITION BY cik, metric, pe) = src) SELECT cik, metric, CAST(pe AS VARCHAR) AS pe, arg_min(value, (filed, value)) AS first, arg_max(value, (filed, value)) AS latest FROM b GROUP BY 1, 2, pe""",
 )

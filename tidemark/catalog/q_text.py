@@ -137,7 +137,7 @@ def i18(spark, sf):
 
 
 @query(
-    "i16_fpi_quarter_tables",
+    "i16_table_values",
     "SELECT CAST(o_orderkey AS INT) AS accn, 'Units (sold)' AS label, -CAST(CAST(floor(o_totalprice / 100) AS INT) + 100 AS DOUBLE) AS a, CAST(CAST(floor(o_totalprice / 100) AS INT) + 101 AS DOUBLE) AS b FROM orders",
 )
 def i16(spark, sf):
@@ -191,17 +191,6 @@ def h12(spark, sf):
     return d.select("name", X.is_geography(C("name"), F.lit("x")).cast("int").alias("geo"))
 
 
-KPI = [(r"(?i)small|red", "primary"), (r"(?i)bolt|ring", "hardware"), (r"(?i)blue", "accent")]  # ordered: the first match wins
-
-
-@query(
-    "h13_kpi_canonical_label",
-    "SELECT DISTINCT p_name AS label, CASE WHEN regexp_matches(p_name, '(?i)small|red') THEN 'primary' WHEN regexp_matches(p_name, '(?i)bolt|ring') THEN 'hardware' WHEN regexp_matches(p_name, '(?i)blue') THEN 'accent' END AS metric FROM part",
-)
-def h13(spark, sf):
-    return V.table(spark, sf, "part").select(C("p_name").alias("label"), X.first_match(C("p_name"), KPI).alias("metric")).distinct()
-
-
 @query(
     "i22_printed_number_check",
     f"""WITH {_TX}, n AS (SELECT accn, list_transform(regexp_extract_all(txt, '[0-9]+'), lambda x: CAST(x AS DOUBLE)) AS ns, [CAST(v AS DOUBLE), v * CAST(77777 AS DOUBLE)] AS vs
@@ -311,16 +300,7 @@ def shares_text(spark, sf):
     return o.select("accn", "p", "v", text.alias("text"))
 
 
-@query(
-    "i19_mix_sentences",
-    "SELECT CAST(o_orderkey AS INT) AS accn, CAST(o_orderkey % 60 + 1 AS DOUBLE) AS pct, 0 AS cumulative FROM orders UNION ALL SELECT CAST(o_orderkey AS INT), CAST(o_orderkey % 60 + 21 AS DOUBLE), 1 FROM orders",
-)
-def i19(spark, sf):
-    d = shares_text(spark, sf).select("accn", F.inline(T.mix_shares(F.regexp_replace("text", "while ", ""))))
-    return d.select("accn", "pct", C("cumulative").cast("int").alias("cumulative"))
-
-
-@query("i20_monthly_sentence", "SELECT CAST(o_orderkey AS INT) AS accn, (CAST(floor(o_totalprice / 100) AS INT) + 1.25) * 1000.0 AS revenue FROM orders".replace("(CAST(floor(o_totalprice / 100) AS INT) + 1.25) * 1000.0", "CAST((CAST(floor(o_totalprice / 100) AS INT) + 1.25) * 1000 AS DOUBLE)"))
+@query("i20_sentence_amount", "SELECT CAST(o_orderkey AS INT) AS accn, (CAST(floor(o_totalprice / 100) AS INT) + 1.25) * 1000.0 AS revenue FROM orders".replace("(CAST(floor(o_totalprice / 100) AS INT) + 1.25) * 1000.0", "CAST((CAST(floor(o_totalprice / 100) AS INT) + 1.25) * 1000 AS DOUBLE)"))
 def i20(spark, sf):
     return shares_text(spark, sf).select("accn", T.monthly_revenue(C("text")).alias("revenue"))
 

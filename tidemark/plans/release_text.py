@@ -175,19 +175,6 @@ def table_values(lines: DataFrame, key: str, line: str, n: int) -> DataFrame:
     return d.where(F.size("values") == n)
 
 
-def mix_shares(text: Column) -> Column:
-    """'5-nanometer accounted for 21%' pairs of a sentence: (name, share, cumulative)."""
-    s = F.regexp_extract_all(text, F.lit(r"([\w-]+(?: [\w-]+)?) (?:accounted for|contributed|represented) (\d+)%"), F.lit(0))
-    return F.transform(
-        s,
-        lambda x: F.struct(
-            F.regexp_extract(x, r"^([\w-]+(?: [\w-]+)?) (?:accounted|contributed|represented)", 1).alias("name"),
-            F.regexp_extract(x, r"(\d+)%", 1).cast("double").alias("pct"),
-            x.rlike("(?i)and below|and above|advanced").alias("cumulative"),
-        ),
-    )
-
-
 def monthly_revenue(text: Column) -> Column:
     """Amount of 'net revenue for May 2024 was approximately NT$229.62 billion', in millions."""
     p = r"(?i)revenues? for \w+ \d{4} (?:was|were) (?:approximately )?(?:NT|US)?\$\s?([\d,]+(?:\.\d+)?) (billion|million)"
