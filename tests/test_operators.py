@@ -130,11 +130,26 @@ def test_pooled_r2_with_three_regressors(spark):
     assert abs(S.pooled_r2(d, "y", ["a", "b", "c"]).first().r2 - want) < 1e-9
 
 
-def test_two_sided_p():
-    # quartile and tail points of the t-distribution from printed tables
-    t = np.array([0.0, 2.228, 1.96, 12.706])
-    df = np.array([5.0, 10.0, 1e6, 1.0])
-    assert np.allclose(S.two_sided_p(t, df), [1.0, 0.05, 0.05, 0.05], atol=2e-4)
+def test_two_sided_p(spark):
+    """Known quantiles, odd and even degrees of freedom, and the tail integrated by hand."""
+    from math import gamma, pi, sqrt
+
+    def by_hand(t, n, steps=200000):
+        c = gamma((n + 1) / 2) / (sqrt(n * pi) * gamma(n / 2))
+        x = (np.arange(steps) + 0.5) * (t / steps)
+        return 1 - 2 * c * float(((1 + x * x / n) ** (-(n + 1) / 2)).sum()) * t / steps
+
+    rows = [(0.0, 5.0), (12.706, 1.0), (4.303, 2.0), (-2.571, 5.0), (2.228, 10.0), (1.984, 100.0), (0.7, 7.0), (1.3, 24.0), (30.0, 40.0)]
+    got = [r[0] for r in spark.createDataFrame([*rows, (None, 4.0), (1.0, 0.0)], "t double, n double").coalesce(1).select(S.p_value(F.col("t"), F.col("n"))).collect()]
+    assert np.allclose(got[:6], [1.0, 0.05, 0.05, 0.05, 0.05, 0.05], atol=2e-4) and got[9:] == [None, None]
+    assert np.allclose(got[:9], [by_hand(abs(t), int(n)) for t, n in rows], atol=1e-9)
+
+
+def test_draws_inside_a_row_equal_those_of_the_shuffle(spark):
+    d = spark.range(60).selectExpr("id % 2 AS k", "id AS i", "CAST(id * 7 % 11 AS DOUBLE) AS a", "CAST(id * 5 % 13 AS DOUBLE) AS b")
+    one = S.permuted_products(d, ["k"], "i", "a", "b", 30, 7).collect()
+    two = S.permuted_products(d, ["k"], "i", "a", "b", 30, 7, most=10).collect()
+    assert len(one) == 60 and sorted(map(tuple, one)) == sorted(map(tuple, two))
 
 
 def test_placebo_is_deterministic_and_flat_on_noise(spark):

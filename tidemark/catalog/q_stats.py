@@ -239,7 +239,15 @@ def j15(spark, sf):
     return k.select("n", F.round("ab", 6).alias("rho"), F.round(part, 6).alias("rho_partial"))
 
 
-@query("j24_p_values")
+@query(
+    "j24_p_values",
+    f"""WITH {_RK}, s AS (SELECT count(ic) AS cohorts, avg(ic) AS mean, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS t FROM ic),
+a AS (SELECT *, cohorts - 1 AS n, atan(abs(t) / sqrt(cohorts - 1)) AS a FROM s),
+f AS (SELECT k, CASE WHEN k = 0 THEN 0 WHEN n % 2 = 0 THEN ln((2 * k - 1) / (2 * k)) ELSE ln(2 * k / (2 * k + 1)) END + CASE WHEN k > 0 THEN 2 * ln(cos(a)) ELSE 0 END AS l
+  FROM a, (SELECT CAST(unnest(range(0, 500)) AS DOUBLE) AS k) WHERE k < CASE WHEN n % 2 = 0 THEN n / 2 ELSE (n - 1) / 2 END),
+z AS (SELECT coalesce(sum(e), 0) AS z FROM (SELECT exp(sum(l) OVER (ORDER BY k)) AS e FROM f))
+SELECT cohorts, round(mean, 6) AS mean, round(t, 6) AS t, round(1 - CASE WHEN n % 2 = 0 THEN sin(a) * z ELSE 2 / pi() * (a + sin(a) * cos(a) * z) END, 6) AS p_value FROM a CROSS JOIN z""",
+)
 def j24(spark, sf):
     ic = S.summarise(S.cohort_ic(study(spark, sf), K, "sig", "ret"), [], "ic")
     p = S.p_value(C("t"), (C("cohorts") - 1).cast("double"))

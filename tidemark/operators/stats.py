@@ -6,13 +6,13 @@ task. Draws are rows, not loops: a draw is ordered by the hash of (seed, draw, i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators import ranks as R
+from tidemark.session import cut_lineage
 
 C = F.col
 
@@ -131,6 +131,48 @@ def permuted(df: DataFrame, keys: Sequence[str], id_: str, value: str, draws: in
     return d.join(base, [*keys, "_p"]).drop("_p", "_h")
 
 
+#: Names of a cohort up to which a draw is ordered inside the cohort's own row; larger cohorts go through a shuffle.
+MOST_NAMES = 100_000
+_DRAWS_A_ROW = 25
+
+
+def permuted_products(df: DataFrame, keys: Sequence[str], id_: str, base: str, value: str, draws: int, seed: int, most: int = MOST_NAMES) -> DataFrame:
+    """Per cohort and draw: ``cross``, the sum of ``value`` times the shuffled ``base``.
+
+    A cohort is one row with its names as an array; its draws are dealt over the tasks in blocks of rows, and each is
+    ordered in place by :func:`draw_hash`, so that one number per (cohort, draw) is all that leaves a task. Cohorts of
+    more than ``most`` names take :func:`permuted` instead; the draws, and so the results, are the same.
+    """
+    keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    big = sizes.where(C("_n") > most).select(*keys)
+    rows = df
+    if not big.isEmpty():
+        rows = df.join(big, keys, "left_anti")
+        drawn = permuted(df.join(big, keys, "left_semi"), keys, id_, base, draws, seed, "_pb")
+        over = drawn.groupBy(*keys, "draw").agg(F.sum(C("_pb") * C(value)).alias("cross"))
+    names = F.sort_array(F.collect_list(F.struct(C(id_).alias("i"), C(base).cast("double").alias("b"), C(value).cast("double").alias("v"))))
+    d = rows.groupBy(*keys).agg(names.alias("_r"))
+    block = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // _DRAWS_A_ROW))).alias("_k")
+    d = d.select(*keys, "_r", block).repartition(*keys, "_k")
+    first = C("_k") * _DRAWS_A_ROW
+    d = d.select(*keys, "_r", F.explode(F.sequence(first, F.least(first + _DRAWS_A_ROW, F.lit(draws)) - 1)).alias("draw"))
+    text = F.concat(F.concat_ws("-", F.lit(str(seed)), C("draw").cast("string"), *[C(k).cast("string") for k in keys]), F.lit("-"))
+    hashed = lambda t: F.transform("_r", lambda r: F.struct(F.substring(F.md5(F.concat(t, r["i"].cast("string"))), 1, 8).alias("h"), r["i"].alias("i"), r["v"].alias("v")))
+    order = F.sort_array(F.transform(F.array(text), hashed)[0])  # the text is made once per draw, not once per name
+    cross = F.aggregate(F.zip_with(order, C("_r"), lambda o, r: o["v"] * r["b"]), F.lit(0.0), lambda x, y: x + y)
+    d = d.select(*keys, "draw", cross.alias("cross"))
+    return d if rows is df else d.unionByName(over.select(*keys, "draw", "cross"))
+
+
+def _placebo_p(mean: DataFrame, obs: DataFrame) -> DataFrame:
+    return mean.withColumn("obs", obs.scalar()).agg(
+        F.max("obs").alias("obs"),
+        F.count(F.lit(1)).alias("draws"),
+        ((F.count_if(C("m") >= C("obs")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"),
+    )
+
+
 def permutation_test(
     df: DataFrame, keys: Sequence[str], id_: str, sig: str, ret: str, draws: int = 2000, seed: int = 7, least: int = 20, values: int = 3
 ) -> DataFrame:
@@ -145,15 +187,15 @@ def permutation_test(
     d = R.average_rank(d, keys, sig, "_rs")
     d = R.average_rank(d, keys, ret, "_rr")
     d = d.select(*keys, id_, "_rs", "_rr")
-    real = d.groupBy(*keys).agg(safe_corr("_rs", "_rr").alias("ic")).agg(F.avg("ic").alias("obs"))
-    drawn = permuted(d, keys, id_, "_rs", draws, seed, "_ps")
-    each = drawn.groupBy("draw", *keys).agg(safe_corr("_ps", "_rr").alias("ic"))
-    mean = each.groupBy("draw").agg(F.round(F.avg("ic"), 12).alias("m")).withColumn("obs", F.round(real.scalar(), 12))
-    return mean.agg(
-        F.max("obs").alias("obs"),
-        F.count(F.lit(1)).alias("draws"),
-        ((F.count_if(C("m") >= C("obs")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"),
-    )
+    d = cut_lineage(d)
+    spread = lambda x: F.sqrt(F.sum(C(x) * C(x)) - F.count(F.lit(1)) * F.avg(x) * F.avg(x))
+    level = (F.count(F.lit(1)) * F.avg("_rs") * F.avg("_rr")).alias("level")
+    per = d.groupBy(*keys).agg(F.sum(C("_rs") * C("_rr")).alias("cross"), level, (spread("_rs") * spread("_rr")).alias("scale"))
+    ic = (C("cross") - C("level")) / F.nullif(C("scale"), F.lit(0.0))
+    obs = per.agg(F.round(F.avg(ic), 12).alias("obs"))
+    drawn = permuted_products(d, keys, id_, "_rs", "_rr", draws, seed)
+    mean = drawn.join(per.drop("cross"), keys).groupBy("draw").agg(F.round(F.avg(ic), 12).alias("m"))
+    return _placebo_p(mean, obs)
 
 
 def gate_test(
@@ -171,15 +213,12 @@ def gate_test(
     )
     per = per.where((C("n_gate") >= 2) & (C("n_rest") >= 5))
     use = d.join(per.select(*keys), keys, "left_semi").select(*keys, id_, "_g", ret)
-    drawn = permuted(use, keys, id_, "_g", draws, seed, "_pg")
-    each = drawn.groupBy("draw", *keys).agg(diff("_pg").alias("diff"))
-    mean = each.groupBy("draw").agg(F.round(F.avg("diff"), 12).alias("m"))
-    obs = per.agg(F.round(F.avg("diff"), 12).alias("obs"))
-    return mean.withColumn("obs", obs.scalar()).agg(
-        F.max("obs").alias("obs"),
-        F.count(F.lit(1)).alias("draws"),
-        ((F.count_if(C("m") >= C("obs")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"),
-    )
+    use = cut_lineage(use)
+    drawn = permuted_products(use, keys, id_, "_g", ret, draws, seed)
+    whole = use.groupBy(*keys).agg(F.sum(ret).alias("_s"), F.sum("_g").alias("_a"), F.sum(1 - C("_g")).alias("_b"))
+    shift = C("cross") / C("_a") - (C("_s") - C("cross")) / C("_b")
+    mean = drawn.join(whole, keys).groupBy("draw").agg(F.round(F.avg(shift), 12).alias("m"))
+    return _placebo_p(mean, per.agg(F.round(F.avg("diff"), 12).alias("obs")))
 
 
 def value_quantiles(df: DataFrame, value: str, outcome: str, buckets: int = 5) -> DataFrame:
@@ -228,72 +267,23 @@ def pooled_r2(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     return g.select("n", (1 - _det(m(names)) / _det(m(list(xs)))).alias("r2"))
 
 
-def _incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta by Lentz's continued fraction, valid for x < (a + 1) / (a + b + 2)."""
-    from math import lgamma
-
-    lg = np.vectorize(lgamma)
-    front = np.exp(lg(a + b) - lg(a) - lg(np.full_like(a, b)) + a * np.log(x) + b * np.log1p(-x)) / a
-    tiny = 1e-300
-    c, d = np.ones_like(x), 1 / np.maximum(np.abs(1 - (a + b) * x / (a + 1)), tiny)
-    h = d.copy()
-    for m in range(1, 300):
-        num = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        d = 1 / (1 + num * d)
-        c = 1 + num / c
-        h *= d * c
-        num = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / (1 + num * d)
-        c = 1 + num / c
-        step = d * c
-        h *= step
-        if np.all(np.abs(step - 1) < 1e-15):
-            break
-    return front * h
-
-
-def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Two-sided p of a t-statistic: I_x(df/2, 1/2) at x = df / (df + t^2)."""
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    x = np.clip(df / (df + t * t), 1e-300, 1 - 1e-16)
-    a = df / 2
-    low = x < (a + 1) / (a + 2.5)
-    out = np.empty_like(x)
-    if low.any():
-        out[low] = _incomplete_beta(a[low], 0.5, x[low])
-    if (~low).any():
-        out[~low] = 1 - _flipped(a[~low], x[~low])
-    return out
-
-
-def _flipped(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    from math import lgamma
-
-    lg = np.vectorize(lgamma)
-    y, p, q = 1 - x, np.full_like(a, 0.5), a
-    front = np.exp(lg(p + q) - lg(p) - lg(q) + p * np.log(np.maximum(y, 1e-300)) + q * np.log1p(-y)) / p
-    c, d = np.ones_like(y), 1 / (1 - (p + q) * y / (p + 1))
-    h = d.copy()
-    for m in range(1, 300):
-        num = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
-        d = 1 / (1 + num * d)
-        c = 1 + num / c
-        h *= d * c
-        num = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
-        d = 1 / (1 + num * d)
-        c = 1 + num / c
-        step = d * c
-        h *= step
-        if np.all(np.abs(step - 1) < 1e-15):
-            break
-    return front * h
-
-
-@F.pandas_udf(T.DoubleType())
-def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p of a t-statistic (null in, null out)."""
-    ok = t.notna() & df.notna() & (df > 0)
-    out = pd.Series(np.nan, index=t.index, dtype="float64")
-    if ok.any():
-        out[ok] = two_sided_p(t[ok].to_numpy(), df[ok].to_numpy())
-    return out
+def p_value(t: Column, df: Column) -> Column:
+    """Two-sided p of a t-statistic with whole degrees of freedom (null in, null out; null below one degree).
+
+    With a = atan(t / sqrt(df)) the mass between -t and t is a finite sum of powers of cos(a)^2: each term is the one
+    before times cos(a)^2 and a ratio of two successive whole numbers.
+    """
+    n = F.floor(df).cast("int")
+    even = n % 2 == 0
+    a = F.atan(F.abs(t) / F.sqrt(n.cast("double")))
+    c2 = F.cos(a) * F.cos(a)
+    terms = F.when(even, n / 2).otherwise((n - 1) / 2).cast("int")
+    state = lambda term, total: F.struct(term.alias("term"), total.alias("total"))
+
+    def step(x: Column, k: Column) -> Column:
+        ratio = F.when(even, (2 * k - 1) / (2 * k)).otherwise(2 * k / (2 * k + 1))
+        return state(x["term"] * c2 * ratio, x["total"] + x["term"])
+
+    total = F.aggregate(F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")), state(F.lit(1.0), F.lit(0.0)), step)["total"]
+    inside = F.when(even, F.sin(a) * total).otherwise((a + F.sin(a) * F.cos(a) * total) * 2 / math.pi)
+    return F.when((n >= 1) & t.isNotNull() & ~F.isnan(t), F.greatest(1 - inside, F.lit(0.0)))
