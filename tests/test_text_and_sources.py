@@ -207,3 +207,11 @@ def test_outlook_wordings_and_reconciliation(spark):
     f = T.outlook_fields(T.outlook_section(C("l")), C("l"))
     r = d.select(*[f[c].alias(c) for c in f]).first()
     assert (r.revenue_mid, r.revenue_pm_pct, r.gm_gaap, r.gm_nongaap, r.opex_gaap, r.opex_nongaap) == (1500.0, 2.0, 70.5, 71.0, 2135.0, 1402.0)
+
+
+def test_guides_of_long_texts_in_bounded_memory(spark):
+    """A megabyte with a cue in every sentence; the only figure stands at the end."""
+    filler = "The company expects demand to stay firm in its markets. "
+    rows = [(1, filler * 20000), (2, filler * 20000 + "Our outlook is revenue of $5 million."), (3, "$5 " + "x" * 300 + " outlook for revenue")]
+    got = spark.createDataFrame(rows, "i int, t string").repartition(3).select("i", G.guide_present(F.col("t")).alias("g"), G.guide_present_strict(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [r.g for r in got] == [False, True, False]
