@@ -99,6 +99,32 @@ def test_keys_stay_known_and_tables_survive_a_restart(spark, tmp_path):
         assert {r.k: r.v for r in state.collect()} == latest
 
 
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    def batch(rows):
+        return spark.createDataFrame(rows, "k long, v string")
+
+    def stored():
+        return {(int(p.parent.name[2:]), int(p.name[2:])) for p in (tmp_path / "rows").glob("v=*/b=*")}
+
+    table = J.Buckets(spark, str(tmp_path), "k long, v string", ["k"], 8)
+    assert table.current().count() == 0
+    table.upsert(batch([(k, "a") for k in range(40)]), 0)
+    whole = {b for _, b in stored()}
+    assert len(whole) == 8
+    table.upsert(batch([(3, "b")]), 1)
+    one = {b for v, b in stored() if v == 1}
+    assert len(one) == 1
+    table.upsert(batch([(3, "c"), (99, "n")]), 2)
+    again = stored()
+    table.upsert(batch([(3, "c"), (99, "n")]), 2)  # the batch runs once more
+    assert stored() == again
+    assert {r.k: r.v for r in J.Buckets(spark, str(tmp_path), "k long, v string", ["k"], 8).current().collect()} == {k: "a" for k in range(40)} | {3: "c", 99: "n"}
+    table.upsert(batch([]), 3)
+    table.upsert(batch([(3, "d")]), 4)
+    assert (0, *one) not in stored() and (1, *one) not in stored()  # replaced twice
+    assert table.current().count() == 41
+
+
 def test_numbers_and_names(spark):
     d = spark.createDataFrame([("Net (1,234.5) and $ 7 of 10%", "Reporting Segment Analog (2)", "us-gaap:DataCenterMember")], "line string, seg string, tag string")
     r = d.select(X.numbers(C("line")).alias("n"), X.normalise_name(C("seg")).alias("s"), X.member_words(C("tag")).alias("m")).first()

@@ -72,6 +72,65 @@ class Snapshots:
         return self.before(0) if newest is None else self.before(newest + 1)
 
 
+class Buckets:
+    """A keyed table in hash buckets of which a batch rewrites only those that it touches.
+
+    A batch writes its buckets below ``rows/v=<batch>`` and then a manifest: the version that holds each bucket. It reads the
+    manifest of the batch before it, so a batch that runs again, or was cut short, starts from the same table and
+    overwrites its own files. Buckets that neither of the last two manifests names are removed. Choose ``buckets`` so that one
+    fits a task; the driver holds one number per bucket.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: Sequence[str], buckets: int = 64):
+        self.spark, self.folder, self.schema, self.keys, self.buckets = spark, folder, schema, list(keys), buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def versions(self, batch: int) -> dict[int, int]:
+        """Version of each bucket after a batch; none before the first."""
+        if batch < 0:
+            return {}
+        m = self.spark.read.schema("b int, version int").parquet(f"{self.folder}/manifest/v={batch}")
+        return {r["b"]: r["version"] for r in m.collect()}
+
+    def rows(self, versions: dict[int, int]) -> DataFrame:
+        paths = [f"{self.folder}/rows/v={v}/b={b}" for b, v in sorted(versions.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def upsert(self, batch: DataFrame, n: int) -> None:
+        """New rows replace stored rows of the same key; at most one new row per key."""
+        batch.write.mode("overwrite").parquet(f"{self.folder}/batch")  # read three times below, computed once
+        batch = self.spark.read.schema(self.schema).parquet(f"{self.folder}/batch")
+        touched = [r["b"] for r in batch.select(self.bucket().alias("b")).distinct().collect()]  # one per bucket at most
+        before = self.versions(n - 1)
+        old = self.rows({b: before[b] for b in touched if b in before})
+        new = old.join(batch.select(*self.keys), self.keys, "left_anti").unionByName(batch).withColumn("b", self.bucket())
+        if touched:
+            new.repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{self.folder}/rows/v={n}")
+        m = self.spark.createDataFrame(sorted((before | dict.fromkeys(touched, n)).items()), "b int, version int")
+        m.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/v={n}")
+        self._remove(self.versions(n - 2), before)
+
+    def _remove(self, older: dict[int, int], kept: dict[int, int]) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for b, v in older.items():
+            if kept[b] != v:
+                path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/rows/v={v}/b={b}")
+                path.getFileSystem(conf).delete(path, True)
+
+    def current(self) -> DataFrame:
+        """The table after the newest batch; empty where none ever ran."""
+        try:
+            m = self.spark.read.schema("b int, version int, v int").parquet(f"{self.folder}/manifest")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.rows({})
+        newest = m.agg(F.max("v")).first()[0]
+        return self.rows({} if newest is None else self.versions(newest))
+
+
 def new_releases(stream: DataFrame, key: str, folder: str) -> DataFrame:
     """Each key once, as it first arrives, however much later it comes again.
 
@@ -134,17 +193,10 @@ def latest_vintage(stream: DataFrame, keys: Sequence[str], value: str, order: Se
 
 
 def upsert_stream(stream: DataFrame, keys: Sequence[str], folder: str, mode: str = "append") -> DataFrame:
-    """New rows replace stored rows of the same key; the rest stays."""
-    spark = stream.sparkSession
+    """New rows replace stored rows of the same key; the rest stays, and so do the buckets that no new row falls in."""
     schema = ", ".join(f"{c} {t}" for c, t in stream.dtypes)
-    table = Snapshots(spark, f"{folder}/table", schema)
-
-    def each(batch: DataFrame, n: int) -> None:
-        old = table.before(n)
-        keep = old.join(batch.select(*keys), list(keys), "left_anti")
-        table.write(keep.unionByName(batch), n)
-
-    run_batches(stream, each, folder, mode)
+    table = Buckets(stream.sparkSession, f"{folder}/table", schema, keys)
+    run_batches(stream, table.upsert, folder, mode)
     return table.current()
 
 
