@@ -4,8 +4,9 @@ from pyspark.sql import Window, functions as F
 
 from tidemark.catalog import views as V
 from tidemark.catalog.registry import query
-from tidemark.functions.dates import quarter_end
+from tidemark.functions.dates import quarter_end, quarter_ordinal
 from tidemark.operators import vintage as N, windows as W
+from tidemark.plans.statements import statement_grid
 from tidemark.sources import facts as S
 
 C = F.col
@@ -457,6 +458,38 @@ def k14(spark, sf):
     return y.select("cik", "fy", "q1", "q2", "q3", "q4", "fy_rev", F.round(g, 6).alias("growth"), F.round(C("q4") / C("fy_rev"), 6).alias("q4_share"))
 
 
+_GRID = """p AS (SELECT CAST(l_suppkey AS INT) AS cik, CAST(year(l_shipdate)*4 + quarter(l_shipdate) - 1 AS INT) AS qn, CAST(l_linenumber AS INT) AS accn, CAST(max(l_shipdate) AS DATE) AS filed,
+  round(sum(l_extendedprice*(1-l_discount)), 4) AS revenue, CASE WHEN l_linenumber % 3 <> 0 THEN round(sum(l_extendedprice*(1-l_discount-l_tax)), 4) END AS gross_profit, round(sum(l_quantity), 2) AS inventory FROM lineitem GROUP BY 1, 2, l_linenumber),
+b AS (SELECT cik, qn, 'as_first_reported' AS basis, arg_min(revenue, (filed, accn)) AS revenue, arg_min(gross_profit, (filed, accn)) FILTER (WHERE gross_profit IS NOT NULL) AS gross_profit, arg_min(inventory, (filed, accn)) AS inventory FROM p GROUP BY 1, 2
+  UNION ALL SELECT cik, qn, 'latest_filed', arg_max(revenue, (filed, accn)), arg_max(gross_profit, (filed, accn)) FILTER (WHERE gross_profit IS NOT NULL), NULL FROM p GROUP BY 1, 2),
+w AS (SELECT b.*, round(round(b.revenue / q.revenue, 6) - 1, 6) AS qoq, round(round(b.revenue / y.revenue, 6) - 1, 6) AS yoy FROM b LEFT JOIN b q ON q.cik = b.cik AND q.basis = b.basis AND q.qn = b.qn - 1 LEFT JOIN b y ON y.cik = b.cik AND y.basis = b.basis AND y.qn = b.qn - 4),
+l AS (SELECT cik, qn, basis, 'revenue' AS item, revenue AS v FROM w UNION ALL SELECT cik, qn, basis, 'gross_profit', gross_profit FROM w UNION ALL SELECT cik, qn, basis, 'inventory', inventory FROM w
+  UNION ALL SELECT cik, qn, basis, 'gross_margin', round(gross_profit / revenue, 6) FROM w UNION ALL SELECT cik, qn, basis, 'revenue_qoq', qoq FROM w UNION ALL SELECT cik, qn, basis, 'revenue_yoy', yoy FROM w),
+g AS (SELECT cik, basis, item, CAST(qn // 4 AS INT) AS fy, max(v) FILTER (WHERE qn % 4 = 0) AS q1, max(v) FILTER (WHERE qn % 4 = 1) AS q2, max(v) FILTER (WHERE qn % 4 = 2) AS q3, max(v) FILTER (WHERE qn % 4 = 3) AS q4 FROM l WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4),
+s AS (SELECT *, CASE WHEN item IN ('revenue', 'gross_profit') THEN round(q1 + q2 + q3 + q4, 4) WHEN item = 'inventory' THEN q4 END AS y0 FROM g)"""
+
+
+@query(
+    "k14_statement_grid",
+    f"""WITH {_GRID} SELECT s.cik, s.basis, s.item, s.fy, s.q1, s.q2, s.q3, s.q4,
+  CASE s.item WHEN 'gross_margin' THEN round(gp.y0 / rv.y0, 6) WHEN 'revenue_yoy' THEN round(round(rv.y0 / pv.y0, 6) - 1, 6) ELSE s.y0 END AS year
+FROM s LEFT JOIN s gp ON gp.cik = s.cik AND gp.basis = s.basis AND gp.fy = s.fy AND gp.item = 'gross_profit' LEFT JOIN s rv ON rv.cik = s.cik AND rv.basis = s.basis AND rv.fy = s.fy AND rv.item = 'revenue'
+LEFT JOIN s pv ON pv.cik = s.cik AND pv.basis = s.basis AND pv.fy = s.fy - 1 AND pv.item = 'revenue'""",
+)
+def k14_grid(spark, sf):
+    """Each line number of a filer's quarter is a filing; every third leaves gross profit out."""
+    li = V.table(spark, sf, "lineitem")
+    net = lambda *less: F.round(F.sum(C("l_extendedprice") * (1 - C("l_discount") - sum(less) if less else 1 - C("l_discount"))), 4)
+    p = li.groupBy(C("l_suppkey").cast("int").alias("cik"), quarter_ordinal(C("l_shipdate")).alias("qn"), C("l_linenumber").cast("int").alias("accn")).agg(
+        F.max("l_shipdate").cast("date").alias("filed"), net().alias("revenue"), net(C("l_tax")).alias("gross_profit"), F.round(F.sum("l_quantity"), 2).alias("inventory")
+    )
+    p = p.withColumn("gross_profit", F.when(C("accn") % 3 != 0, C("gross_profit")))
+    return statement_grid(
+        p, ["cik"], ["revenue", "gross_profit"], ["inventory"], {"gross_margin": ("gross_profit", "revenue")},
+        {"revenue_qoq": ("revenue", 1), "revenue_yoy": ("revenue", 4)}, ["filed", "accn"],
+    )
+
+
 @query(
     "k16_implied_market_revenue",
     "WITH t AS (SELECT cik, qn, sum(rev) AS t FROM fq_seg GROUP BY 1, 2), s AS (SELECT cik, qn, segment, round(rev / t * 100, 0) AS pct FROM fq_seg JOIN t USING (cik, qn)) SELECT s.cik, s.qn, segment, pct, round(pct / 100 * rev, 6) AS implied FROM s JOIN fq_rev r ON r.cik = s.cik AND r.qn = s.qn",
