@@ -82,6 +82,39 @@ def i02(spark, sf):
     return d.select("accn", *[f[c].alias(c) for c in ("revenue_low", "revenue_mid", "revenue_currency", "revenue_period", "revenue_pm_pct", "gm_low", "gm_high")])
 
 
+_FAMILIES = (
+    "The company expects third quarter total net sales to be between EUR {v} million and EUR {hi} million.",
+    "The company expects net sales for the fourth quarter to be around EUR {v} million.",
+    "For the next quarter, we expect revenue to increase {g}% to {h}% sequentially.",
+    "For the next quarter, we expect revenue to decrease approximately {g}-{h}% sequentially.",
+    "For the next quarter, we expect revenue to grow {g}%, plus or minus 2%, sequentially.",
+    "For the next quarter, we expect revenue to decline by {g}% sequentially, plus or minus 2%.",
+    "For quarter 2, we expect revenue to be flat to slightly down sequentially.",
+    "Revenue for the first quarter is expected to be ${v} million. GAAP and non-GAAP gross margins are expected to be {g}.5% and {h}%, respectively.",
+    "Outlook for the first quarter: revenue is expected to be ${v} million. Gross margin | {g}% | {h}%.",
+    "Revenue for the first quarter is expected to be ${v} million. GAAP and non-GAAP gross margins are expected to be {g}%.",
+)
+
+
+@query(
+    "i02_guidance_families",
+    f"""WITH {_TX} SELECT accn, CASE WHEN k = 0 THEN CAST(v AS DOUBLE) END AS revenue_low, CASE WHEN k = 0 THEN CAST(v + hi AS DOUBLE) / 2 WHEN k IN (1, 7, 8, 9) THEN CAST(v AS DOUBLE) END AS revenue_mid, CASE WHEN k = 0 THEN CAST(hi AS DOUBLE) END AS revenue_high,
+  CASE WHEN k IN (0, 1) THEN 'EUR' WHEN k >= 7 THEN '$' END AS revenue_currency, CASE WHEN k = 2 THEN CAST(g AS DOUBLE) WHEN k = 3 THEN CAST(-g AS DOUBLE) END AS revenue_qoq_low_pct, CASE WHEN k = 2 THEN CAST(g + 2 AS DOUBLE) WHEN k = 3 THEN CAST(-g - 2 AS DOUBLE) END AS revenue_qoq_high_pct,
+  CASE WHEN k = 2 THEN CAST(g + 1 AS DOUBLE) WHEN k = 3 THEN CAST(-g - 1 AS DOUBLE) WHEN k = 4 THEN CAST(g AS DOUBLE) WHEN k = 5 THEN CAST(-g AS DOUBLE) END AS revenue_qoq_pct, CASE WHEN k IN (4, 5) THEN CAST(2 AS DOUBLE) END AS revenue_qoq_pm_pct, CASE WHEN k = 6 THEN 'flat to slightly down' END AS revenue_direction,
+  CASE k WHEN 7 THEN g + CAST(0.5 AS DOUBLE) WHEN 8 THEN CAST(g AS DOUBLE) WHEN 9 THEN CAST(g AS DOUBLE) END AS gm_gaap, CASE k WHEN 7 THEN CAST(g + 2 AS DOUBLE) WHEN 8 THEN CAST(g + 2 AS DOUBLE) WHEN 9 THEN CAST(g AS DOUBLE) END AS gm_nongaap FROM e""",
+)
+def i02_families(spark, sf):
+    """Currency words, changes on the quarter as ranges or with tolerance, directions in words, margins on both bases."""
+    d = releases(spark, sf).select("accn", "k", "v", (C("v") + F.floor(C("v") / 10) + 1).alias("hi"), (C("v") % 20 + 1).alias("g"))
+    text = F.get(F.array(*[F.lit(t) for t in _FAMILIES]), C("k"))
+    for name, value in (("v", C("v")), ("hi", C("hi")), ("g", C("g")), ("h", C("g") + 2)):
+        text = F.replace(text, F.lit(f"{{{name}}}"), value.cast("string"))
+    d = G.with_windows(d.select("accn", text.alias("text")), "text").withColumn("w", G.best_window(C("windows")))
+    f = G.detail_fields(C("w"))
+    names = "revenue_low revenue_mid revenue_high revenue_currency revenue_qoq_low_pct revenue_qoq_high_pct revenue_qoq_pct revenue_qoq_pm_pct revenue_direction gm_gaap gm_nongaap".split()
+    return d.select("accn", *[f[c].alias(c) for c in names])
+
+
 @query(
     "i04_guide_presence",
     f"WITH {_TX} SELECT accn, CAST(k IN (0, 1, 2, 4, 7, 9) AS INT) AS present, CAST(k NOT IN (4, 5, 6) AS INT) AS strict FROM e",

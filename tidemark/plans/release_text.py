@@ -208,11 +208,17 @@ def headline_figures(lines: Column) -> dict[str, Column]:
 
 
 def platform_table(docs: DataFrame, key: str, lines: str, header: str) -> DataFrame:
-    """Rows of a platform table up to its total: label, value and the period its column is headed by."""
+    """Rows of a platform table up to its total: label, value and the period its column is headed by.
+
+    The table starts below the line that matches ``header``; without a total it ends where its rows do.
+    """
     at = F.array_position(F.transform(C(lines), lambda s: s.rlike(header)), F.lit(True)).cast("int")
     d = docs.select(key, C(lines).alias("_l"), at.alias("_at")).where("_at > 0")
-    d = d.select(key, F.slice("_l", C("_at") + 1, F.lit(15)).alias("_b"))
-    end = F.array_position(F.transform("_b", lambda s: s.rlike("(?i)^total")), F.lit(True)).cast("int")
+    d = d.select(key, F.slice("_l", C("_at") + 1, F.size("_l")).alias("_b"))
+    total = F.array_position(F.transform("_b", lambda s: s.rlike("(?i)^total")), F.lit(True)).cast("int")
+    kinds = F.transform("_b", lambda s: s.contains("|"))
+    after = F.array_position(F.transform("_b", lambda s, i: ~s.contains("|") & (i >= F.array_position(kinds, F.lit(True))) & F.array_contains(kinds, True)), F.lit(True)).cast("int")
+    end = F.when(total > 0, total).otherwise(after)
     d = d.withColumn("_e", end)
     rows = F.when(C("_e") > 0, F.slice("_b", F.lit(1), C("_e") - 1)).otherwise(C("_b"))
     heads = F.get(F.filter(F.slice("_b", 1, 3), lambda s: s.rlike(r"Q[1-4] FY\d\d")), F.lit(0))
