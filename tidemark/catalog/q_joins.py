@@ -619,14 +619,14 @@ def c27(spark, sf):
 
 @query(
     "d32_universe_survivorship",
-    "SELECT cik, count(*) AS n, max(guide_mid) AS top, CAST(max(filed) AS VARCHAR) AS last_filed FROM releases WHERE cik NOT IN (SELECT CAST(s_suppkey AS INT) FROM supplier WHERE s_acctbal > 0) GROUP BY 1 HAVING max(guide_mid) >= 100000",
+    "SELECT cik, count(*) AS n, max(guide_mid) AS top, CAST(max(filed) AS VARCHAR) AS last_filed FROM releases WHERE cik NOT IN (SELECT CAST(s_suppkey AS INT) FROM supplier WHERE s_acctbal > 0) GROUP BY 1 HAVING max(guide_mid) >= 100000 ORDER BY top DESC, cik LIMIT 1500",
 )
 def d32(spark, sf):
     listed = V.table(spark, sf, "supplier").where(C("s_acctbal") > 0).select(C("s_suppkey").cast("int").alias("cik"))
     g = V.releases(spark, sf).join(listed, "cik", "left_anti").groupBy("cik").agg(
         F.count(F.lit(1)).alias("n"), F.max("guide_mid").alias("top"), F.max("filed").cast("string").alias("last_filed")
     )
-    return g.where(C("top") >= 100000).orderBy(F.desc("top")).limit(1500)
+    return g.where(C("top") >= 100000).orderBy(F.desc("top"), "cik").limit(1500)
 
 
 @query(
