@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from tidemark.catalog import views as V
 from tidemark.catalog.registry import query
-from tidemark.operators import ranks as R, stats as S, windows as W
+from tidemark.operators import leadlag as L, ranks as R, stats as S, windows as W
 from tidemark.session import cut_lineage
 
 C = F.col
@@ -289,18 +289,13 @@ def nation_growth(spark, sf):
     return d.where(C("t_yoy").isNotNull()).select("target", "qn", "t_yoy")
 
 
-def lagged_pairs(source, targets, own, lags, least):
-    """Every source series against every listed target but its own, at each lag: (cik, target, lag, rho, n).
+def series_vectors(spark, sf):
+    return L.vectors(growth(spark, sf), "cik", "qn", "yoy", "x").join(_own(spark, sf), "cik")
 
-    The target list is a dimension (one row per nation and quarter), so rows grow with the sources only. A pair's
-    ranks are taken inside its own few quarters.
-    """
-    s = source.join(own, "cik").withColumn("lag", F.explode(F.array(*[F.lit(i) for i in lags])))
-    d = s.withColumn("qn", C("qn") + C("lag")).join(targets, "qn").where(C("target") != C("own"))
-    k = ["cik", "target", "lag"]
-    d = d.withColumn("a", S.rank_in(C("yoy"), k)).withColumn("b", S.rank_in(C("t_yoy"), k))
-    g = d.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), S.safe_corr("a", "b").alias("rho"))
-    return g.where(C("n") >= least)
+
+def nation_pairs(spark, sf):
+    t = L.vectors(nation_growth(spark, sf), "target", "qn", "t_yoy", "y")
+    return L.lagged_pairs(series_vectors(spark, sf), t, (0, 1, 2), 20, C("target") != C("own"))
 
 
 _PAIRS = f"""{_YOY},
@@ -321,7 +316,7 @@ def _own(spark, sf):
     f"WITH {_PAIRS.replace('{ty}', 'ty')} SELECT cik, target, lag, n, round(rho, 6) AS rho FROM rho",
 )
 def c17(spark, sf):
-    d = lagged_pairs(growth(spark, sf), nation_growth(spark, sf), _own(spark, sf), (0, 1, 2), 20)
+    d = nation_pairs(spark, sf).select("cik", "target", F.inline("lags")).where(C("n") >= 20)
     return d.select("cik", "target", "lag", "n", *r6("rho"))
 
 
@@ -331,37 +326,19 @@ def c17(spark, sf):
 SELECT cik, target, round(l0, 6) AS rho_lag0, round(l1, 6) AS rho_lag1, round(l2, 6) AS rho_lag2, round(greatest(l1, l2) - l0, 6) AS lead_gain FROM pv WHERE l0 IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL""",
 )
 def j16(spark, sf):
-    d = lagged_pairs(growth(spark, sf), nation_growth(spark, sf), _own(spark, sf), (0, 1, 2), 20)
-    return lead_gain(d, ["cik", "target"]).select(
-        "cik", "target", *r6("rho_lag0", "rho_lag1", "rho_lag2", "lead_gain")
-    )
-
-
-def lead_gain(d, keys):
-    p = d.groupBy(*keys).agg(*[F.max(F.when(C("lag") == i, C("rho"))).alias(f"rho_lag{i}") for i in range(3)])
-    p = p.where(C("rho_lag0").isNotNull() & C("rho_lag1").isNotNull() & C("rho_lag2").isNotNull())
-    return p.withColumn("lead_gain", F.greatest("rho_lag1", "rho_lag2") - C("rho_lag0"))
+    return L.lead_gain(nation_pairs(spark, sf)).select("cik", "target", *r6("rho_lag0", "rho_lag1", "rho_lag2", "lead_gain"))
 
 
 SHIFTS = (5, 7, 9, 11, 13)
 
 
-def shifted(targets, shifts):
-    """Each target's values moved ``shift`` places around its own dates (a target's history is one small group)."""
-    w = Window.partitionBy("target").orderBy("qn")
-    t = targets.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("target")))
-    to = t.withColumn("shift", F.explode(F.array(*[F.lit(s) for s in shifts])))
-    to = to.select("target", "shift", C("t_yoy"), F.pmod(C("i") + C("shift"), C("n")).alias("i"))
-    return t.select("target", "qn", "i").join(to, ["target", "i"]).drop("i")
-
-
 _SHIFT = """sh0 AS (SELECT target, qn, yoy, row_number() OVER (PARTITION BY target ORDER BY qn) - 1 AS i, count(*) OVER (PARTITION BY target) AS n FROM ty),
 sh AS (SELECT a.target, a.qn, s.shift, b.yoy FROM sh0 a CROSS JOIN (SELECT CAST(unnest([5, 7, 9, 11, 13]) AS INT) AS shift) s JOIN sh0 b ON a.target = b.target AND (b.i + s.shift) % b.n = a.i)"""
 
 
 @query("e37_circular_shift", f"WITH {_YOY}, {_SHIFT} SELECT target, qn, shift, yoy AS t_yoy FROM sh")
 def e37(spark, sf):
-    return shifted(nation_growth(spark, sf), SHIFTS).select("target", "qn", "shift", "t_yoy")
+    return L.shifted(nation_growth(spark, sf), SHIFTS).select("target", "qn", "shift", "t_yoy")
 
 
 @query(
@@ -375,14 +352,10 @@ lg AS (SELECT shift, round(greatest(l1, l2) - l0, 9) AS g FROM pv WHERE l0 IS NO
 SELECT shift, count(*) AS pairs, round(avg(CAST(g > 0.15 AS INT)), 6) AS beyond, round(quantile_cont(g, 0.95), 6) AS p95 FROM lg GROUP BY shift""",
 )
 def j17(spark, sf):
-    t = shifted(nation_growth(spark, sf), SHIFTS).withColumn("target", F.struct("target", "shift"))
-    own = _own(spark, sf)
-    s = growth(spark, sf).join(own, "cik").withColumn("lag", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    d = s.withColumn("qn", C("qn") + C("lag")).join(t, "qn").where(C("target.target") != C("own"))
-    k = ["cik", "target", "lag"]
-    d = d.withColumn("a", S.rank_in(C("yoy"), k)).withColumn("b", S.rank_in(C("t_yoy"), k))
-    g = d.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), S.safe_corr("a", "b").alias("rho")).where(C("n") >= 20)
-    g = lead_gain(g, ["cik", "target"]).select(C("target.shift").alias("shift"), F.round("lead_gain", 9).alias("g"))
+    t = L.shifted(nation_growth(spark, sf), SHIFTS).withColumn("target", F.struct("target", "shift"))
+    t = L.vectors(t, "target", "qn", "t_yoy", "y")
+    d = L.lagged_pairs(series_vectors(spark, sf), t, (0, 1, 2), 20, C("target.target") != C("own"))
+    g = L.lead_gain(d).select(C("target.shift").alias("shift"), F.round("lead_gain", 9).alias("g"))
     g = cut_lineage(g)
     m = g.groupBy("shift").agg(F.count(F.lit(1)).alias("pairs"), F.avg((C("g") > 0.15).cast("double")).alias("beyond"))
     p = R.percentiles(g, ["shift"], "g", {"p95": 0.95}).drop("n")
