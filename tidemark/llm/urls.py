@@ -11,6 +11,7 @@ nothing to judge); repeated rows get equal rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Sequence
@@ -25,31 +26,40 @@ STEPS = 12
 RATE = 0.5
 DECAY = 0.002
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Host words of the labelled table; each is paired with every host form, and the paths take turns.
-BLOCKED_HOSTS = (
-    "cheap-pills pill-store online-pharmacy viagra-shop casino-win casino-royal poker-stars slots-jackpot free-bets best-bets sports-betting "
-    "adult-x adult-video xxx-tube porn-hub sex-cams hot-dating spam-farm link-farm seo-spam ads-track track-ads ad-server click-track banner-ads "
-    "payday-loans fast-loans free-money get-rich replica-watches free-download-crack warez-keygen torrent-crack phish-login verify-account"
+# Word stems of the labelled table. Each host is a stem of a class, alone or joined with two others of it.
+BLOCKED_STEMS = (
+    "adult porn sex nude escort webcam erotic casino poker slots jackpot roulette betting lottery pills viagra pharmacy steroid payday loan "
+    "cash spam popup banner tracker clicks adserver phish replica warez crack keygen torrent"
 ).split()
-ALLOWED_HOSTS = (
-    "library university museum weather news daily-news city-council school hospital science-journal garden recipes cooking travel maps railway "
-    "airport chess music orchestra theatre cinema books bookshop history archive research physics chemistry biology medicine law court parliament "
-    "government police army navy football tennis cycling running health fitness photography painting design architecture engineering software "
-    "kernel python compiler database linux hardware robotics space astronomy geology ocean forest mountain river bridge market economy bank finance "
-    "insurance tax housing energy solar wind water farming food bakery coffee tea wine fashion toys games puzzle wiki forum blog stories poetry "
-    "language dictionary translate mail calendar notes thren onther thest tering andion hering tiole ersten keiten lichen mentre elleaux cionado"
+ALLOWED_STEMS = (
+    "library university museum weather news council school hospital science garden recipe cooking travel map railway airport chess music "
+    "orchestra theatre cinema book history archive research physics chemistry biology medicine court parliament police football tennis "
+    "fitness photo painting design engineering software kernel compiler database robotics space astronomy ocean forest mountain river "
+    "bridge market bank finance insurance housing energy solar farming bakery coffee fashion puzzle wiki forum blog poetry language "
+    "dictionary calendar zeitung schule verein stadt haus garten musique cuisine voyage maison ecole noticias escuela ciudad musica"
 ).split()
+ONSETS, VOWELS = "b c d f g h k l m n p r s t v w st tr br".split(), "a e i o u ie ou".split()
+INVENTED = 300  # neutral names of two or three syllables, by rule
 HOST_FORMS = ("{}.example.com", "www.{}.org", "blog.{}.net", "m.{}.info")
 PATHS = ("", "/", "/en/12", "/de/345.html", "/fr/67/", "/es/890?page=2&ref=x", "/a/b/c.html", "/index.html#top", "/2024/05/01/post")
 
 
+def _joined(stems: Sequence[str]) -> list[str]:
+    return [w for i, s in enumerate(stems) for w in (s, f"{s}-{stems[(i + 1) % len(stems)]}", s + stems[(i + 3) % len(stems)])]
+
+
+def _invented(i: int) -> str:
+    digits = hashlib.md5(f"name-{i}".encode()).digest()
+    return "".join(ONSETS[digits[2 * k] % len(ONSETS)] + VOWELS[digits[2 * k + 1] % len(VOWELS)] for k in range(2 + digits[8] % 2)) + "n" * (digits[9] % 2)
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: url, block (1.0 or 0.0)."""
+    """The small labelled table: url, block (1.0 or 0.0), word (the host's own part)."""
     rows = []
-    for label, hosts in ((1.0, BLOCKED_HOSTS), (0.0, ALLOWED_HOSTS)):
+    for label, hosts in ((1.0, _joined(BLOCKED_STEMS)), (0.0, _joined(ALLOWED_STEMS) + [_invented(i) for i in range(INVENTED)])):
         for i, h in enumerate(hosts):
-            rows += [{"url": "https://" + f.format(h) + PATHS[(i + j) % len(PATHS)], "block": label} for j, f in enumerate(HOST_FORMS)]
-    table = F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<url:string,block:double>>"))
+            rows += [{"url": "https://" + HOST_FORMS[(i + j) % 4].format(h) + PATHS[(i + 5 * j) % len(PATHS)], "block": label, "word": h} for j in range(2)]
+    table = F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<url:string,block:double,word:string>>"))
     return spark.range(0, 1, 1, 1).select(table.alias("r")).select("r.*")
 
 
