@@ -290,11 +290,11 @@ DEPLOY_DRAWS = 1000
 
 @query(
     "j19_random_deploy_placebo",
-    f"""WITH {_DCA}, nd AS (SELECT ticker, count(*) AS n FROM dy WHERE dep GROUP BY ticker),
+    f"""WITH {_DCA.replace("dy AS (", "dy AS MATERIALIZED (").replace("fin AS (", "fin AS MATERIALIZED (")}, nd AS (SELECT ticker, count(*) AS n FROM dy WHERE dep GROUP BY ticker),
 dr AS (SELECT CAST(unnest(generate_series(0, {DEPLOY_DRAWS - 1})) AS INT) AS draw),
-rk AS (SELECT dr.draw, y.ticker, y.d, row_number() OVER (PARTITION BY dr.draw, y.ticker ORDER BY substr(md5('7-' || dr.draw || '-' || y.ticker || '-' || CAST(y.d AS VARCHAR)), 1, 8), y.d) AS k FROM dy y CROSS JOIN dr),
-rd AS (SELECT rk.* FROM rk JOIN nd USING (ticker) WHERE k <= n),
-z AS (SELECT f.*, rd.d AS dd FROM (SELECT dr.draw, fl.* FROM fl CROSS JOIN dr WHERE ticker IN (SELECT ticker FROM nd)) f ASOF LEFT JOIN rd ON rd.draw = f.draw AND rd.ticker = f.ticker AND rd.d >= f.d),
+rk AS (SELECT dr.draw, y.ticker, y.d, row_number() OVER (PARTITION BY dr.draw, y.ticker ORDER BY substr(md5('7-' || dr.draw || '-' || y.ticker || '-' || CAST(y.d AS VARCHAR)), 1, 8), y.d) AS k FROM dy y CROSS JOIN dr WHERE y.ticker IN (SELECT ticker FROM nd)),
+nx AS (SELECT draw, ticker, d, min(CASE WHEN k <= n THEN d END) OVER (PARTITION BY draw, ticker ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS dd FROM rk JOIN nd USING (ticker)),
+z AS (SELECT nx.draw, nx.dd, fl.* FROM nx JOIN fl ON fl.ticker = nx.ticker AND fl.d = nx.d),
 fz AS (SELECT z.draw, z.ticker, sum(CASE WHEN dd IS NULL THEN amount * en.bil / z.bil ELSE amount * y.bil / z.bil * 0.999 * en.s / y.s END) AS moved, sum(amount * 0.999 * en.q / z.q) AS held
   FROM z JOIN en USING (ticker) LEFT JOIN dy y ON y.ticker = z.ticker AND y.d = z.dd GROUP BY 1, 2),
 fc AS (SELECT fz.draw, fz.ticker, fin.core, fin.core * fz.held + (1 - fin.core) * fz.moved AS final, fin.final AS real FROM fz JOIN fin ON fin.ticker = fz.ticker AND fin.plan = 'timed')
