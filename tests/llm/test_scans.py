@@ -59,6 +59,25 @@ def test_a_base_span_inside_a_secret_leaves_the_secret(spark):
     assert [f.kind for f in secrets.scan(covered).first().found] == ["assign"]
 
 
+def test_very_long_candidates(spark):
+    rng = random.Random(7)
+    mixed = "".join(rng.choice(secrets.ALPHABET) for _ in range(300_000))
+    late = "a1b-" * 50_000 + "Zk3Jx9Qw8Lr7Tn2Vb5Yc1Md0"  # only its last window is a secret's
+    texts = [mixed, late, "ab-" * 100_000 + "c", "12-" * 100_000 + "3", "a1b-" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(f.kind, f.start, f.end) for f in r.found] for r in secrets.scan(df).collect()}
+    assert found == {0: [("entropy", 0, len(mixed))], 1: [("entropy", 0, len(late))], 2: [], 3: [], 4: []}
+
+
+def test_window_entropy_against_counts(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choice(secrets.ALPHABET[: rng.randint(2, 67)]) for _ in range(rng.randint(0, 80))) for _ in range(100)]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.best_entropy(F.col("w")).alias("e")).collect()
+    for r in rows:
+        best = max([-sum(c / 20 * math.log2(c / 20) for c in Counter(r.w[i : i + 20]).values()) for i in range(len(r.w) - 19)] or [0])
+        assert abs(best - r.e) < 1e-9, r.w
+
+
 def test_running_sums_over_many_matches(spark):
     n = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda x: x.cast("int")).alias("n"))
     got = n.select(secrets.prefix_sums(F.col("n")).alias("s")).first().s

@@ -35,8 +35,8 @@ HEX_BITS, TOKEN_BITS = 3.0, 3.6
 ALLOW_PATTERNS = (
     r"^[A-Za-z]+$",  # one long word
     r"^[0-9]+$",  # a number
-    r"^[0-9]+([-/_][0-9]+)+$",  # dates and numbered parts
-    r"^[A-Za-z]+([-/_=]+[A-Za-z]+)*[-/_=]*$",  # words joined by marks
+    r"^[0-9]+([-/_][0-9]+)++$",  # dates and numbered parts; possessive, so that a long run does not deepen the stack
+    r"^[A-Za-z][A-Za-z/_=-]*$",  # words joined by marks
     r"^[-/_=+]+$",  # rulers
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # identifiers in UUID form
 )
@@ -85,26 +85,36 @@ def _gain(c: Column) -> Column:
 
 
 def best_entropy(word: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits, of a window of ``window`` characters; zero for shorter words."""
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(word, i, F.lit(1))) - 1
-    change = lambda counts, k, by: F.transform(counts, lambda c, j: F.when(j == k, c + by).otherwise(c))
+    """Largest Shannon entropy, in bits, of a window of ``window`` characters; zero for shorter words.
 
-    def step(a: Column, i: Column) -> Column:
-        def entered(k: Column) -> Column:
-            grown = F.struct(change(a["n"], k, 1).alias("n"), (a["s"] + _gain(F.get(a["n"], k))).alias("s"))
-            return let(grown, lambda g: F.when(i > window, let(at(i - window), lambda o: left(g, o))).otherwise(g))
+    The counts are one string, a character per place of the alphabet, so a step costs the same wherever the window stands.
+    """
+    zero = 64  # the character that stands for no occurrence
+    count = lambda n, k: F.ascii(F.substring(n, k, F.lit(1))) - zero
+    put = lambda n, k, c: F.overlay(n, F.char(c + zero), k, F.lit(1))
 
-        def left(g: Column, o: Column) -> Column:
-            return F.struct(change(g["n"], o, -1).alias("n"), (g["s"] - _gain(F.get(g["n"], o) - 1)).alias("s"))
+    def step(a: Column, x: Column) -> Column:
+        def entered(c: Column) -> Column:
+            return F.struct(put(a["n"], x["into"], c + 1).alias("n"), (a["s"] + _gain(c)).alias("s"))
+
+        def left(g: Column) -> Column:
+            less = lambda c: F.struct(put(g["n"], x["out"], c - 1).alias("n"), (g["s"] - _gain(c - 1)).alias("s"))
+            return F.when(x["out"] > 0, let(count(g["n"], x["out"]), less)).otherwise(g)
 
         def result(g: Column) -> Column:
             h = math.log2(window) - g["s"] / window
-            return F.struct(g["n"].alias("n"), g["s"].alias("s"), F.when(i >= window, F.greatest(a["best"], h)).otherwise(a["best"]).alias("best"))
+            return F.struct(g["n"].alias("n"), g["s"].alias("s"), F.when(x["full"], F.greatest(a["best"], h)).otherwise(a["best"]).alias("best"))
+
+        return let(let(let(count(a["n"], x["into"]), entered), left), result)
 
-        return let(let(at(i), entered), result)
+    def walk(places: Column) -> Column:
+        # who enters, who leaves (0 while the window fills), and whether the window is full
+        gone = F.concat(F.array_repeat(F.lit(0), window), F.slice(places, F.lit(1), F.greatest(F.size(places) - window, F.lit(0))))
+        moves = F.transform(F.arrays_zip(places.alias("into"), F.slice(gone, F.lit(1), F.size(places)).alias("out")), lambda m, i: F.struct(m["into"].alias("into"), m["out"].alias("out"), (i >= window - 1).alias("full")))
+        start = F.struct(F.lit(chr(zero) * len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+        return F.aggregate(moves, start, step)["best"]
 
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)["best"]
+    return let(F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c)), walk)
 
 
 def _is_secret(word: Column) -> Column:
