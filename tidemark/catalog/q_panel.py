@@ -203,11 +203,7 @@ for _k, (_s, _w) in _SCREEN_SQL.items():
     ),
 )
 def k02(spark, sf):
-    out = None
-    for name, d in P.screens(cut_lineage(latest(spark, sf))).items():
-        d = d.select(F.lit(name).alias("screen"), "cik", "qn", *r6("b2b"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    return P.screened(latest(spark, sf)).select("screen", "cik", "qn", *r6("b2b"))
 
 
 @query(

@@ -14,61 +14,62 @@ FORWARD = (0.6, 1.8)
 MAX_YOY = 2.0
 
 
+def _reported(days: DataFrame, quarters: DataFrame, figures: dict[str, Column]) -> DataFrame:
+    """Rows of (cik, filed, ...) with the quarter ended 10 to 100 days before, the nearest one, and its figures."""
+    q = quarters.select("cik", quarter_end(C("qn")).alias("qend"), C("qn").alias("reported_q"), *[v.alias(k) for k, v in figures.items()])
+    rest = [c for c in days.columns if c not in ("cik", "filed")]
+    near = asof.within(days, q, ["cik"], "filed", "qend", -100, -10)
+    best = near.groupBy("cik", "filed").agg(F.max(F.struct("qend", "reported_q", *figures)).alias("_q"), *[F.max(c).alias(c) for c in rest])
+    return best.select("cik", "filed", *rest, *[C(f"_q.{c}").alias(c) for c in ("reported_q", *figures)])
+
+
 def match_releases(releases: DataFrame, quarters: DataFrame) -> DataFrame:
     """Each release with the quarter it reports: ended 10 to 100 days before the filing, the nearest one.
 
     releases (cik, accn, filed, ...), quarters (cik, qn, rev, rev_yoy).
     """
-    q = quarters.select(
-        "cik", quarter_end(C("qn")).alias("qend"), C("qn").alias("reported_q"), C("rev").alias("reported_rev"),
-        C("rev_yoy").alias("reported_yoy"),
-    )
-    pts = releases.select("cik", "filed").distinct()
-    near = asof.within(pts, q, ["cik"], "filed", "qend", -100, -10)
-    best = near.groupBy("cik", "filed").agg(F.max(F.struct("qend", "reported_q", "reported_rev", "reported_yoy")).alias("_q"))
-    return releases.join(best, ["cik", "filed"]).select(
-        *releases.columns, *[C(f"_q.{c}").alias(c) for c in ("reported_q", "reported_rev", "reported_yoy")]
-    )
+    figures = {"reported_rev": C("rev"), "reported_yoy": C("rev_yoy")}
+    best = _reported(releases.select("cik", "filed").distinct(), quarters, figures)
+    return releases.join(best, ["cik", "filed"]).select(*releases.columns, "reported_q", *figures)
 
 
 def score_quarters(releases: DataFrame, quarters: DataFrame) -> DataFrame:
     """One row per release with the guide it is judged by, the beat, the raise and the basis of the raise.
 
     releases carry guide_period, revenue_{low,mid,high}, fy_revenue_{low,mid,high}, growth_{low,mid,high}_pct.
+    Releases meet the quarters once, one row per filer and day; the year-ago figures are columns of the quarters, and the
+    guide given a quarter earlier (that quarter's last release) comes from a window over a filer's days.
     """
-    m = match_releases(releases, quarters)
     fy_tag = F.coalesce(C("guide_period") == "full_year", F.lit(False))
     mid = F.coalesce("revenue_mid", (C("revenue_low") + C("revenue_high")) / 2)
     grow = F.coalesce("growth_mid_pct", (C("growth_low_pct") + C("growth_high_pct")) / 2)
     fy = F.coalesce("fy_revenue_mid", (C("fy_revenue_low") + C("fy_revenue_high")) / 2)
-    m = (
-        m.withColumn("guided_q", C("reported_q") + 1)
-        .withColumn("fy", F.floor(C("reported_q") / 4))
-        .withColumn("q_guide_mid", F.when(~fy_tag, mid))
-        .withColumn("q_growth_mid", F.when(~fy_tag, grow))
-        .withColumn("fy_guide_mid", F.coalesce(fy, F.when(fy_tag, mid)))
-    )
-    a = carry_guides(m)
-    yago = quarters.select("cik", (C("qn") + 4).alias("qn"), C("rev").alias("yago"))
-    a = a.join(yago.select("cik", C("qn").alias("reported_q"), C("yago").alias("reported_q_yago")), ["cik", "reported_q"], "left")
-    a = a.join(yago.select("cik", C("qn").alias("guided_q"), C("yago").alias("guided_q_yago")), ["cik", "guided_q"], "left")
-    return legs(a)
-
-
-def carry_guides(m: DataFrame) -> DataFrame:
-    """Joins each quarter's release to the guide given one quarter earlier; the last release of that quarter wins."""
-    cols = ["q_guide_mid", "q_growth_mid", "fy_guide_mid", "accn", "fy"]
-    g = m.groupBy("cik", "guided_q").agg(F.max_by(F.struct(*cols), F.struct("filed", "accn")).alias("_g"))
-    g = g.select(
+    guides = {
+        "q_guide_mid": F.when(~fy_tag, mid),
+        "q_growth_mid": F.when(~fy_tag, grow),
+        "fy_guide_mid": F.coalesce(fy, F.when(fy_tag, mid)),
+    }
+    r = releases.withColumns(guides)
+    days = r.groupBy("cik", "filed").agg(F.max(F.struct("accn", *guides)).alias("_last"))
+    ago = lambda n: W.period_offset(C("rev"), ["cik"], "qn", n)
+    figures = {"reported_rev": C("rev"), "reported_yoy": C("rev_yoy"), "reported_q_yago": C("_ago4"), "guided_q_yago": C("_ago3")}
+    d = _reported(days, quarters.withColumns({"_ago4": ago(4), "_ago3": ago(3)}), figures)
+    before = Window.partitionBy("cik").orderBy("reported_q").rangeBetween(-1, -1)
+    d = d.withColumn("_g", F.max(F.struct("filed", "_last")).over(before)["_last"])
+    d = d.select(
         "cik",
-        C("guided_q").alias("reported_q"),
+        "filed",
+        "reported_q",
+        *figures,
         C("_g.q_guide_mid").alias("guide_for_this_q"),
         C("_g.q_growth_mid").alias("growth_guide_for_this_q"),
         C("_g.fy_guide_mid").alias("prev_fy_guide"),
         C("_g.accn").alias("guide_accn"),
-        C("_g.fy").alias("prev_fy"),
+        F.when(C("_g").isNotNull(), F.floor((C("reported_q") - 1) / 4)).alias("prev_fy"),
+        (C("reported_q") + 1).alias("guided_q"),
+        F.floor(C("reported_q") / 4).alias("fy"),
     )
-    return m.join(g, ["cik", "reported_q"], "left")
+    return legs(r.join(d, ["cik", "filed"]))
 
 
 def legs(a: DataFrame) -> DataFrame:

@@ -21,64 +21,40 @@ DERIVED = "derived Q4 = FY - 9M"
 C = F.col
 
 
-def pinned_revenue(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(quarter rows, year rows) of each filer's pinned revenue concept."""
-    days = F.datediff("end", "start")
-    q = frames.where((C("metric") == "rev") & days.between(*QUARTER_DAYS))
-    pick = N.pin_concept(q, ["cik"], "tag", "val")
-    q = q.join(pick, ["cik", "tag"])
-    y = frames.where((C("metric") == "rev_fy") & days.between(*YEAR_DAYS))
-    y = y.join(pick.withColumnRenamed("tag", "pinned"), "cik", "left")
-    y = y.where(C("pinned").isNull() | (C("tag") == C("pinned")))
-    return q, y
-
-
 def outer_panel(frames: DataFrame) -> DataFrame:
     """One row per filer and quarter with revenue, the three balances and the year figure at its last quarter.
 
-    The full outer join of the sources is one aggregation by (cik, qn): each source's rows land in their own columns.
+    The frames are read once and dealt by filer once; a filer has one row per concept and period. The revenue concept is
+    pinned by windows (most periods, then larger median, then name), and the full outer join of the sources is one
+    aggregation by (cik, qn) in which each source's rows land in their own columns.
     """
-    q, y = pinned_revenue(frames)
-    null = F.lit(None)
-    rev = q.select(
-        "cik",
-        (C("cy") * 4 + C("cq") - 1).alias("qn"),
-        F.struct("prio", C("val").alias("v"), "tag").alias("r"),
-        C("entityName").alias("name"),
-        null.cast("string").alias("bal"),
-        null.cast("struct<prio:int,v:double>").alias("b"),
-        null.cast("struct<v:double,end:date,name:string,tag:string>").alias("y"),
-    )
-    bal = frames.where(C("metric").isin("rpo", "dr_cur", "dr_tot")).select(
-        "cik",
-        (C("cy") * 4 + C("cq") - 1).alias("qn"),
-        null.cast(rev.schema["r"].dataType).alias("r"),
-        null.cast("string").alias("name"),
-        C("metric").alias("bal"),
-        F.struct("prio", C("val").alias("v")).alias("b"),
-        null.cast("struct<v:double,end:date,name:string,tag:string>").alias("y"),
-    )
-    year = y.select(
-        "cik",
-        (C("cy") * 4 + 3).alias("qn"),
-        null.cast(rev.schema["r"].dataType).alias("r"),
-        null.cast("string").alias("name"),
-        null.cast("string").alias("bal"),
-        null.cast("struct<prio:int,v:double>").alias("b"),
-        F.struct(C("val").alias("v"), "end", C("entityName").alias("name"), "tag").alias("y"),
-    )
-
-    def held(metric: str) -> Column:
-        return F.min(F.when(C("bal") == metric, C("b")))["v"].alias(metric)
-
-    return rev.unionByName(bal).unionByName(year).groupBy("cik", "qn").agg(
-        F.min("r").alias("r"),
-        F.min_by("name", "r").alias("name"),
+    days, metric = F.datediff("end", "start"), C("metric")
+    kind = (
+        F.when((metric == "rev") & days.between(*QUARTER_DAYS), "quarter")
+        .when((metric == "rev_fy") & days.between(*YEAR_DAYS), "year")
+        .when(metric.isin("rpo", "dr_cur", "dr_tot"), "balance")
+    )
+    f = frames.withColumn("kind", kind).where(C("kind").isNotNull()).repartition("cik")
+    quarter, year, balance = (C("kind") == k for k in ("quarter", "year", "balance"))
+    concept = Window.partitionBy("cik", "tag")
+    periods, middle = F.count(F.when(quarter, C("val"))).over(concept), F.median(F.when(quarter, C("val"))).over(concept)
+    f = f.withColumn("_rank", F.when(quarter, F.struct((-periods).alias("n"), (-middle).alias("m"), C("tag").alias("tag"))))
+    f = f.withColumn("_pin", F.min("_rank").over(Window.partitionBy("cik"))["tag"])
+    own = C("tag") == C("_pin")
+    f = f.where(balance | (quarter & own) | (year & (C("_pin").isNull() | own)))
+    rev = F.when(quarter, F.struct("prio", C("val").alias("v"), "tag"))
+
+    def held(name: str) -> Column:
+        return F.min(F.when(metric == name, F.struct("prio", C("val").alias("v"))))["v"].alias(name)
+
+    return f.groupBy("cik", (C("cy") * 4 + F.when(year, 3).otherwise(C("cq") - 1)).alias("qn")).agg(
+        F.min(rev).alias("r"),
+        F.min_by("entityName", rev).alias("name"),
         held("rpo"),
         held("dr_cur"),
         held("dr_tot"),
-        F.max("y").alias("y"),
-        (F.count("r") + F.count("b") > 0).alias("observed"),
+        F.max(F.when(year, F.struct(C("val").alias("v"), "end", C("entityName").alias("name"), "tag"))).alias("y"),
+        (F.count_if(~year) > 0).alias("observed"),
     )
 
 
@@ -189,25 +165,34 @@ def exclusion_reason(current_qn: int) -> Column:
     )
 
 
-def screens(latest: DataFrame) -> dict[str, DataFrame]:
-    """The four cuts of the gated filers."""
-    g = latest.where("gated")
+def _screen_rules() -> dict[str, tuple[Column, Column]]:
+    """Each screen's condition on a gated filer's row and its order."""
     calm = ~C("flag_rpo_step")
-    step = W.ratio(C("rpo"), C("rpo") - C("d_rpo"))
+    step = C("rpo_step_x")
     return {
-        "backlog_ahead": g.where((C("b2b") > 1.05) & (C("b2b_trend") > 0) & (C("rev_yoy") < 0.15) & calm).orderBy(
-            F.desc("b2b")
-        ),
-        "accelerating": g.where((C("rpo_yoy_accel") > 0) & (C("b2b") > 1.0) & (C("rpo_yoy") > 0) & calm).orderBy(
-            F.desc("rpo_yoy_accel")
-        ),
-        "borrowing": g.where((C("rev_yoy") > 0.02) & (C("b2b") < 0.95)).orderBy("b2b"),
-        "rpo_step": g.withColumn("rpo_step_x", step)
-        .where((C("rpo_step_x") > 1.5) & (C("d_rpo") > 100))
-        .orderBy(F.desc("rpo_step_x")),
+        "backlog_ahead": ((C("b2b") > 1.05) & (C("b2b_trend") > 0) & (C("rev_yoy") < 0.15) & calm, F.desc("b2b")),
+        "accelerating": ((C("rpo_yoy_accel") > 0) & (C("b2b") > 1.0) & (C("rpo_yoy") > 0) & calm, F.desc("rpo_yoy_accel")),
+        "borrowing": ((C("rev_yoy") > 0.02) & (C("b2b") < 0.95), F.asc("b2b")),
+        "rpo_step": ((step > 1.5) & (C("d_rpo") > 100), F.desc("rpo_step_x")),
     }
 
 
+def _gated(latest: DataFrame) -> DataFrame:
+    return latest.where("gated").withColumn("rpo_step_x", W.ratio(C("rpo"), C("rpo") - C("d_rpo")))
+
+
+def screens(latest: DataFrame) -> dict[str, DataFrame]:
+    """The four cuts of the gated filers, each in its order."""
+    cuts = {k: _gated(latest).where(keep).orderBy(order) for k, (keep, order) in _screen_rules().items()}
+    return {k: d if k == "rpo_step" else d.drop("rpo_step_x") for k, d in cuts.items()}
+
+
+def screened(latest: DataFrame) -> DataFrame:
+    """One row per gated filer and screen that it passes, in one pass over the filers."""
+    passed = F.array_compact(F.array(*[F.when(keep, F.lit(k)) for k, (keep, _) in _screen_rules().items()]))
+    return _gated(latest).withColumn("screen", F.explode(passed))
+
+
 def point_in_time_panel(rev: DataFrame, rpo: DataFrame) -> DataFrame:
     """Book-to-bill from first-reported figures only, with the date every input was public.
 
