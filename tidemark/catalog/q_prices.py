@@ -305,18 +305,9 @@ def j19(spark, sf):
     """As many random deploy days as the plan has, drawn from the name's own calendar, with and without a core holding."""
     d = cut_lineage(dca_inputs(spark, sf))
     real = plan_values(d).where(C("plan") == "timed").select("ticker", "core", C("final").alias("real"))
-    n = d.where("dep").groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
-    k = ["ticker", "draw"]
-    days = S.with_draws(d.select("ticker", "day").join(n, "ticker"), DEPLOY_DRAWS)
-    h = S.draw_hash(7, C("draw"), C("ticker"), C("day"))
-    pick = Window.partitionBy(*k).orderBy("h", "day")  # a name's own calendar
-    dep = days.withColumn("h", h).withColumn("k", F.row_number().over(pick)).where(C("k") <= C("n")).select(*k, C("day").alias("deploy_day"))
-    dep = dep.join(d.select("ticker", C("day").alias("deploy_day"), C("s").alias("at_s"), C("bil").alias("at_bil")), ["ticker", "deploy_day"])
-    flows = S.with_draws(d.where(C("amount").isNotNull()).select("ticker", "day", "amount", "bil", "q"), DEPLOY_DRAWS)
-    met = asof.forward(flows, dep, k, "day", "deploy_day", ["at_s", "at_bil"], inclusive=True)
-    ends = d.groupBy("ticker").agg(*[F.max_by(c, "day").alias(f"end_{c}") for c in ("s", "q", "bil")])
-    moved = F.when(C("matched_deploy_day").isNull(), C("amount") * C("end_bil") / C("bil")).otherwise(C("amount") * C("at_bil") / C("bil") * 0.999 * C("end_s") / C("at_s"))
-    v = met.join(n.select("ticker"), "ticker", "left_semi").join(ends, "ticker").groupBy(*k).agg(F.sum(moved).alias("moved"), F.sum(C("amount") * 0.999 * C("end_q") / C("q")).alias("held"))
+    end_q = d.groupBy("ticker").agg(F.max_by("q", "day").alias("end_q"))
+    held = d.where(C("amount").isNotNull()).join(end_q, "ticker").groupBy("ticker").agg(F.sum(C("amount") * 0.999 * C("end_q") / C("q")).alias("held"))
+    v = X.random_deploys(d, "ticker", DEPLOY_DRAWS, 7).join(held, "ticker")
     v = v.join(real, "ticker").withColumn("final", C("core") * C("held") + (1 - C("core")) * C("moved"))
     return v.groupBy("ticker", "core").agg(
         F.count(F.lit(1)).alias("draws"),

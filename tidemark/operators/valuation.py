@@ -151,3 +151,43 @@ def period_end_snapshot(df: DataFrame, keys: Sequence[str], day: str, values: Se
     return y.select(
         *keys, "year", C(f"_r.{day}").alias(day), *[C(f"_r.{v}").alias(v) for v in values], F.sum("_f").over(w).alias("paid")
     )
+
+
+_DRAWS_A_ROW = 50
+
+
+def random_deploys(days: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
+    """Per name and draw the end value of its flows, deployed on as many random days of its calendar as it has of its own.
+
+    ``days`` holds (key, day, s, bil, amount, dep), one row per trading day; names without a deploy day are left out. A
+    name is one row with its calendar as an array, as long as the calendar; its draws are dealt over the tasks in blocks.
+    A draw's days are those up to its n-th smallest md5 of seed, draw, name and day; a walk from the last day back then
+    knows the next one. Only one number per name and draw leaves a task.
+    """
+    calendar = F.array_sort(F.collect_list(F.struct("day", "s", "bil", "amount")))
+    d = days.groupBy(key).agg(calendar.alias("_c"), F.count_if("dep").cast("int").alias("_n"), F.max_by("s", "day").alias("_s"), F.max_by("bil", "day").alias("_b"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // _DRAWS_A_ROW)))
+    d = d.where(C("_n") > 0).withColumn("_k", blocks).repartition(key, "_k")
+    first = C("_k") * _DRAWS_A_ROW
+    d = d.withColumn("draw", F.explode(F.sequence(first, F.least(first + _DRAWS_A_ROW - 1, F.lit(draws - 1)))))
+
+    def hashed(x: Column) -> Column:
+        text = F.concat_ws("-", F.lit(str(seed)), C("draw").cast("string"), C(key).cast("string"), x["day"].cast("string"))
+        return F.struct(F.substring(F.md5(text), 1, 8).alias("h"), x["day"].alias("day"))
+
+    def step(a: Column, x: Column) -> Column:
+        at_s, at_b = F.when(x["on"], x["s"]).otherwise(a["at_s"]), F.when(x["on"], x["bil"]).otherwise(a["at_b"])
+        idle = x["amount"] * C("_b") / x["bil"]
+        moved = x["amount"] * at_b / x["bil"] * 0.999 * C("_s") / at_s
+        total = a["total"] + F.when(x["amount"].isNull(), 0.0).otherwise(F.coalesce(moved, idle))
+        return F.struct(total.alias("total"), at_s.alias("at_s"), at_b.alias("at_b"))
+
+    def walk(last: Column) -> Column:
+        on = lambda k: (k["h"] < last["h"]) | ((k["h"] == last["h"]) & (k["day"] <= last["day"]))
+        moves = F.zip_with("_c", "_h", lambda x, k: F.struct(x["s"].alias("s"), x["bil"].alias("bil"), x["amount"].alias("amount"), on(k).alias("on")))
+        none = F.lit(None).cast("double")
+        return F.aggregate(F.reverse(moves), F.struct(F.lit(0.0).alias("total"), none.alias("at_s"), none.alias("at_b")), step)["total"]
+
+    d = d.withColumn("_h", F.transform("_c", hashed))
+    last = F.array(F.element_at(F.array_sort("_h"), C("_n")))  # taken once per row
+    return d.select(key, "draw", F.transform(last, walk)[0].alias("moved"))
