@@ -152,6 +152,23 @@ def test_draws_inside_a_row_equal_those_of_the_shuffle(spark):
     assert len(one) == 60 and sorted(map(tuple, one)) == sorted(map(tuple, two))
 
 
+def test_a_large_cohort_draws_in_its_task(spark):
+    """Ids of several lengths, enough of each for hashing a column at a time; a null id hashes to the front."""
+    import hashlib
+
+    n, draws, seed = 3000, 3, 7
+    rows = [(5, None if i == 17 else i * 7, float(i % 11), float(i % 13)) for i in range(n)]
+    d = spark.createDataFrame(rows, "k int, i long, a double, b double")
+    assert S.MOST_NAMES >= 400_000
+    got = {r.draw: r.cross for r in S.permuted_products(d, ["k"], "i", "a", "b", draws, seed).collect()}
+    front = lambda x: -1 if x is None else x
+    base = [r[2] for r in sorted(rows, key=lambda r: front(r[1]))]
+    for draw in range(draws):
+        h = lambda x: "" if x is None else hashlib.md5(f"{seed}-{draw}-5-{x}".encode()).hexdigest()[:8]
+        value = [r[3] for r in sorted(rows, key=lambda r: (h(r[1]), front(r[1])))]
+        assert got[draw] == sum(x * y for x, y in zip(base, value))
+
+
 def test_placebo_is_deterministic_and_flat_on_noise(spark):
     rng = np.random.default_rng(9)
     d = spark.createDataFrame(pd.DataFrame({"c": np.repeat(range(4), 25), "id": range(100), "s": rng.normal(size=100), "r": rng.normal(size=100)}))

@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.operators import ranks as R
+from tidemark.operators.draws import cross_sums
 from tidemark.session import cut_lineage
 
 C = F.col
@@ -131,17 +133,17 @@ def permuted(df: DataFrame, keys: Sequence[str], id_: str, value: str, draws: in
     return d.join(base, [*keys, "_p"]).drop("_p", "_h")
 
 
-#: Names of a cohort up to which a draw is ordered inside the cohort's own row; larger cohorts go through a shuffle.
-MOST_NAMES = 100_000
-_DRAWS_A_ROW = 25
+#: Names of a cohort up to which a task orders its draws; larger cohorts go through a shuffle by (cohort, draw).
+MOST_NAMES = 2_000_000
+_DRAWS_A_BLOCK = 100
 
 
 def permuted_products(df: DataFrame, keys: Sequence[str], id_: str, base: str, value: str, draws: int, seed: int, most: int = MOST_NAMES) -> DataFrame:
     """Per cohort and draw: ``cross``, the sum of ``value`` times the shuffled ``base``.
 
-    A cohort is one row with its names as an array; its draws are dealt over the tasks in blocks of rows, and each is
-    ordered in place by :func:`draw_hash`, so that one number per (cohort, draw) is all that leaves a task. Cohorts of
-    more than ``most`` names take :func:`permuted` instead; the draws, and so the results, are the same.
+    A cohort's names are sent out once per block of draws, blocks are dealt over the tasks, and a task orders each of its
+    draws in place by :func:`draw_hash`, so that one number per (cohort, draw) is all that leaves it. Cohorts of more than
+    ``most`` names take :func:`permuted` instead; the draws, and so the results, are the same.
     """
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -151,17 +153,21 @@ def permuted_products(df: DataFrame, keys: Sequence[str], id_: str, base: str, v
         rows = df.join(big, keys, "left_anti")
         drawn = permuted(df.join(big, keys, "left_semi"), keys, id_, base, draws, seed, "_pb")
         over = drawn.groupBy(*keys, "draw").agg(F.sum(C("_pb") * C(value)).alias("cross"))
-    names = F.sort_array(F.collect_list(F.struct(C(id_).alias("i"), C(base).cast("double").alias("b"), C(value).cast("double").alias("v"))))
-    d = rows.groupBy(*keys).agg(names.alias("_r"))
-    block = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // _DRAWS_A_ROW))).alias("_k")
-    d = d.select(*keys, "_r", block).repartition(*keys, "_k")
-    first = C("_k") * _DRAWS_A_ROW
-    d = d.select(*keys, "_r", F.explode(F.sequence(first, F.least(first + _DRAWS_A_ROW, F.lit(draws)) - 1)).alias("draw"))
-    text = F.concat(F.concat_ws("-", F.lit(str(seed)), C("draw").cast("string"), *[C(k).cast("string") for k in keys]), F.lit("-"))
-    hashed = lambda t: F.transform("_r", lambda r: F.struct(F.substring(F.md5(F.concat(t, r["i"].cast("string"))), 1, 8).alias("h"), r["i"].alias("i"), r["v"].alias("v")))
-    order = F.sort_array(F.transform(F.array(text), hashed)[0])  # the text is made once per draw, not once per name
-    cross = F.aggregate(F.zip_with(order, C("_r"), lambda o, r: o["v"] * r["b"]), F.lit(0.0), lambda x, y: x + y)
-    d = d.select(*keys, "draw", cross.alias("cross"))
+    tail = F.concat(F.concat_ws("-", F.lit(""), *[C(k).cast("string") for k in keys]), F.lit("-"))
+    d = rows.select(
+        *keys, C(id_).alias("i"), C(id_).cast("string").alias("text"), tail.alias("tail"), C(base).cast("double").alias("b"), C(value).cast("double").alias("v"),
+        F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // _DRAWS_A_BLOCK))).alias("_k"),
+    )
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("draw", T.IntegerType()), T.StructField("cross", T.DoubleType())])
+
+    def cross(block: pa.Table) -> pa.Table:
+        some = range(block["_k"][0].as_py() * _DRAWS_A_BLOCK, min((block["_k"][0].as_py() + 1) * _DRAWS_A_BLOCK, draws))
+        cohort = [pa.array([block[k][0].as_py()] * len(some), block.schema.field(k).type) for k in keys]
+        return pa.table([*cohort, pa.array(some, pa.int32()), pa.array(cross_sums(block, some, seed), pa.float64())], names=[*keys, "draw", "cross"])
+
+    # a few rows stand for many draws: deal blocks by number, not by their bytes
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartition(parts, *keys, "_k").groupBy(*keys, "_k").applyInArrow(cross, schema)
     return d if rows is df else d.unionByName(over.select(*keys, "draw", "cross"))
 
 
