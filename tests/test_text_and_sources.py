@@ -241,3 +241,14 @@ def test_guides_of_long_texts_in_bounded_memory(spark):
     rows = [(1, filler * 20000), (2, filler * 20000 + "Our outlook is revenue of $5 million."), (3, "$5 " + "x" * 300 + " outlook for revenue")]
     got = spark.createDataFrame(rows, "i int, t string").repartition(3).select("i", G.guide_present(F.col("t")).alias("g"), G.guide_present_strict(F.col("t")).alias("s")).orderBy("i").collect()
     assert [r.g for r in got] == [False, True, False]
+
+
+def test_release_texts_are_dealt_over_all_tasks_and_readers_run_once(spark):
+    import __spark_entry__ as entry
+    from pyspark.sql import functions as F
+
+    sf, parts = "/root/testdata/sf0.001", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("i02_guidance_patterns", "i02_guidance_families", "i07_guide_period"):
+        assert entry.queries()[name](spark, sf).rdd.getNumPartitions() == parts
+    plan = G.tiered(spark.createDataFrame([("x",)], "t string"), "t").groupBy("status").agg(F.count(F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("operating expenses") <= 1 and "Generate inline" in plan

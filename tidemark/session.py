@@ -59,3 +59,11 @@ def cut_dealt(df: DataFrame, parts: int, key: str) -> DataFrame:
         return cut_lineage(df.repartition(parts, key))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over all tasks by ``keys``, for expressions that cost far more than a row's bytes tell.
+
+    The number of partitions is given, so that adaptive execution does not put small rows together again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
