@@ -252,3 +252,18 @@ def test_release_texts_are_dealt_over_all_tasks_and_readers_run_once(spark):
         assert entry.queries()[name](spark, sf).rdd.getNumPartitions() == parts
     plan = G.tiered(spark.createDataFrame([("x",)], "t string"), "t").groupBy("status").agg(F.count(F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("operating expenses") <= 1 and "Generate inline" in plan
+
+
+def test_facts_meet_their_contexts_without_a_join(spark):
+    from tidemark.sources import facts as S
+
+    docs = spark.createDataFrame([("a", "<x/>")], "doc string, body string")
+    plan = S.dimensional_facts(docs, "doc", "body", {"Revenues": "revenue"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("from_xml") + plan.count("xmltostructs") <= 1
+
+
+def test_label_documents_and_inline_reports_are_dealt_over_all_tasks(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["a08_row_label_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [o_orderkey" in plan

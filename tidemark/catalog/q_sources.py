@@ -7,6 +7,7 @@ from tidemark.catalog.registry import query
 from tidemark.functions.dates import quarter_end, quarter_ordinal
 from tidemark.operators import vintage as N, windows as W
 from tidemark.plans.statements import statement_grid
+from tidemark.session import dealt
 from tidemark.sources import facts as S
 
 C = F.col
@@ -121,7 +122,8 @@ def instance_docs(spark, sf):
     """One instance document per filer and quarter: segment facts (one with the operating qualifier), a two-axis fact, a
     customer fact, reconciling rows under any name, and facts that must not count: eliminations beside a segment,
     subtotals, an unlisted axis, an instant, the undivided total."""
-    s = V.fq_seg(spark, sf)
+    # dealt before the bodies are written, which cost far more than their rows
+    s = dealt(V.fq_seg(spark, sf), "cik", "qn").groupBy("cik", "qn").agg(F.collect_list(F.struct("segment", "rev")).alias("parts"))  # three segments
     end = quarter_end(C("qn")).cast("string")
     start = F.date_add(quarter_end(C("qn") - 1), 1).cast("string")
     span = F.concat(F.lit("<xbrli:period><xbrli:startDate>"), start, F.lit("</xbrli:startDate><xbrli:endDate>"), end, F.lit("</xbrli:endDate></xbrli:period>"))
@@ -130,26 +132,28 @@ def instance_docs(spark, sf):
     def member(axis, name):
         return F.concat(F.lit(f'<xbrldi:explicitMember dimension="us-gaap:{axis}">co:'), name, F.lit("Member</xbrldi:explicitMember>"))
 
-    seg = member("StatementBusinessSegmentsAxis", F.concat(F.lit("DataCenter"), F.element_at(F.create_map(*[F.lit(x) for x in ("A", "East", "N", "North", "R", "West")]), C("segment"))))
-    two = F.concat(seg, member("ProductOrServiceAxis", F.lit("Chips")))
-    whole = lambda name: member("ConsolidationItemsAxis", F.lit(name))
-
-    def part(tag, dims, factor, period=span):
-        ctx = F.concat(F.lit("c"), F.lit(tag), C("segment"))
+    def written(x):
+        seg = member("StatementBusinessSegmentsAxis", F.concat(F.lit("DataCenter"), F.element_at(F.create_map(*[F.lit(x) for x in ("A", "East", "N", "North", "R", "West")]), x["segment"])))
+        two = F.concat(seg, member("ProductOrServiceAxis", F.lit("Chips")))
+        whole = lambda name: member("ConsolidationItemsAxis", F.lit(name))
+
+        def part(tag, dims, factor, period=span):
+            ctx = F.concat(F.lit("c"), F.lit(tag), x["segment"])
+            return F.concat(
+                F.lit('<xbrli:context id="'), ctx, F.lit('"><xbrli:entity><xbrli:segment>'), dims, F.lit("</xbrli:segment></xbrli:entity>"), period,
+                F.lit('</xbrli:context><us-gaap:Revenues contextRef="'), ctx, F.lit('">'), F.format_string("%.4f", x["rev"] * factor), F.lit("</us-gaap:Revenues>"),
+            )
+
+        once = F.concat(
+            part("r", whole("HeadOfficeThings"), 10), part("x", whole("ReportableSegmentsSubtotal"), 11), part("u", member("OddAxis", F.lit("Z")), 12), part("n", F.lit(""), 14),
+        )
         return F.concat(
-            F.lit('<xbrli:context id="'), ctx, F.lit('"><xbrli:entity><xbrli:segment>'), dims, F.lit("</xbrli:segment></xbrli:entity>"), period,
-            F.lit('</xbrli:context><us-gaap:Revenues contextRef="'), ctx, F.lit('">'), F.format_string("%.4f", C("rev") * factor), F.lit("</us-gaap:Revenues>"),
+            part("s", F.concat(seg, whole("OperatingSegments")), 1000), part("d", seg, 1000), part("t", two, 500), part("e", F.concat(seg, whole("IntersegmentElimination")), 9),
+            part("i", seg, 13, instant), part("k", member("MajorCustomersAxis", F.lit("BigBuyer")), 20), F.when(x["segment"] == "A", once).otherwise(""),
         )
 
-    once = F.concat(
-        part("r", whole("HeadOfficeThings"), 10), part("x", whole("ReportableSegmentsSubtotal"), 11), part("u", member("OddAxis", F.lit("Z")), 12), part("n", F.lit(""), 14),
-    )
-    body = F.concat(
-        part("s", F.concat(seg, whole("OperatingSegments")), 1000), part("d", seg, 1000), part("t", two, 500), part("e", F.concat(seg, whole("IntersegmentElimination")), 9),
-        part("i", seg, 13, instant), part("k", member("MajorCustomersAxis", F.lit("BigBuyer")), 20), F.when(C("segment") == "A", once).otherwise(""),
-    )
-    g = s.withColumn("b", body).groupBy("cik", "qn").agg(F.concat_ws("", F.collect_list("b")).alias("b"))  # three segments
-    return g.select(F.concat_ws("-", "cik", "qn").alias("doc"), F.concat(F.lit('<xbrl xmlns:xbrli="x" xmlns:xbrldi="d" xmlns:us-gaap="g">'), "b", F.lit("</xbrl>")).alias("body"))
+    b = F.concat_ws("", F.transform("parts", written))
+    return s.select(F.concat_ws("-", "cik", "qn").alias("doc"), F.concat(F.lit('<xbrl xmlns:xbrli="x" xmlns:xbrldi="d" xmlns:us-gaap="g">'), b, F.lit("</xbrl>")).alias("body"))
 
 
 _SEG = "'Data Center ' || CASE segment WHEN 'A' THEN 'East' WHEN 'N' THEN 'North' ELSE 'West' END"
@@ -189,7 +193,7 @@ def a07(spark, sf):
     body = F.concat(
         F.lit('<linkbase><loc label="l" href="f.xsd#M'), k, F.lit('"/><labelArc from="l" to="t"/>'), terse, label("label", F.concat(C("p_type"), F.lit(" [Member]"))), verbose, F.lit("</linkbase>"),
     )
-    docs = V.table(spark, sf, "part").select(F.concat(F.lit("d"), k).alias("doc"), body.alias("body"))
+    docs = dealt(V.table(spark, sf, "part"), "p_partkey").select(F.concat(F.lit("d"), k).alias("doc"), body.alias("body"))
     return S.member_labels(docs, "doc", "body")
 
 

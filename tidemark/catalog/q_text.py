@@ -366,7 +366,7 @@ def a12(spark, sf):
 UNION ALL SELECT CAST(o_orderkey AS INT), 'c2', -round(CAST(o_orderkey % 100 + 1 AS DOUBLE), 3), 'Operating loss' FROM orders UNION ALL SELECT CAST(o_orderkey AS INT), 'c3', round(CAST(o_orderkey % 7 AS DOUBLE) / 1e6, 3), 'Operating loss' FROM orders""",
 )
 def a08(spark, sf):
-    o = V.table(spark, sf, "orders")
+    o = dealt(V.table(spark, sf, "orders"), "o_orderkey")
     body = F.format_string(
         "<html><table><tr><th>x</th></tr><tr class='a'><td>$</td><td><b>Net sales&nbsp;&amp; other</b></td><td>9.5</td><td>$<ix:nonFraction name=\"us-gaap:Revenues\" contextRef=\"c1\" scale=\"3\">%s</ix:nonFraction></td></tr>"
         "<tr><td> Operating\nloss </td><td>(<ix:nonFraction scale=\"6\" sign=\"-\" contextRef=\"c2\" name=\"x:OperatingIncomeLoss\">%d</ix:nonFraction>)</td>"

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.dates import duration_months
 from tidemark.functions.text import member_words
+from tidemark.session import cut_lineage
 
 C = F.col
 
@@ -129,26 +130,30 @@ def dimensional_facts(docs: DataFrame, key: str, body: str, concepts: dict[str,
     The operating-segments qualifier adds nothing and is dropped. A fact whose only axis is then consolidation, and
     whose member is no subtotal, is the reconciling row 'All Other' of the segments; beside another axis, or on an axis
     that is not listed, the fact is left out, as are instants. A context's facts and members stay in their document,
-    so the join is on (document, context).
+    so they are matched inside the document's row.
     """
     one = "array<struct<_contextRef:string,_VALUE:double>>"
     schema = INSTANCE.format(facts=",".join(f"{c}:{one}" for c in concepts))
     d = docs.select(C(key), F.from_xml(C(body), schema, {"ignoreNamespace": "true"}).alias("x"))
-    ctx = d.select(key, F.inline("x.context")).select(
-        key,
-        C("_id").alias("ctx"),
-        F.coalesce("period.instant", "period.endDate").alias("period_end"),
-        C("period.startDate").alias("start"),
-        F.coalesce(C("entity.segment.explicitMember"), F.array()).alias("dims"),
-    )
-    facts = None
-    for c, metric in concepts.items():
-        f = d.select(key, F.inline(f"x.{c}")).select(key, C("_contextRef").alias("ctx"), C("_VALUE").alias("value"), F.lit(metric).alias("metric"))
-        facts = f if facts is None else facts.unionByName(f)
+    # a document's contexts and facts meet in its own row; rows of one key are put together first
+    d = d.where(C(key).isNotNull()).select(key, "x.context", *[C(f"x.{c}").alias(f"f_{c}") for c in concepts])
+    d = d.groupBy(key).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("context", *[f"f_{c}" for c in concepts])])
+
+    def named_as(metric: str):
+        return lambda f: F.struct(f["_contextRef"].alias("ctx"), f["_VALUE"].alias("value"), F.lit(metric).alias("metric"))
+
+    named_facts = [F.transform(f"f_{c}", named_as(metric)) for c, metric in concepts.items()]
+    d = d.select(key, F.concat(*named_facts).alias("facts"), "context")
+    d = d.select(key, F.inline("facts"), "context").where("ctx IS NOT NULL AND value IS NOT NULL")
+    d = d.select(key, "ctx", "value", "metric", F.explode(F.filter("context", lambda x: x["_id"] == C("ctx"))).alias("x"))
+    d = d.select(
+        key, "ctx", "value", "metric", F.coalesce("x.period.instant", "x.period.endDate").alias("period_end"), C("x.period.startDate").alias("start"),
+        F.coalesce(C("x.entity.segment.explicitMember"), F.array()).alias("dims"),
+    )
     last = lambda x: F.regexp_extract(F.trim(x), r"([^:]+)$", 1)
     named = F.transform("dims", lambda m: F.struct(last(m["_dimension"]).alias("dim"), F.trim(m["_VALUE"]).alias("raw")))
     named = F.array_sort(F.filter(named, lambda m: ~((m["dim"] == CONSOLIDATION) & (last(m["raw"]) == OPERATING))))
-    j = facts.join(ctx, [key, "ctx"]).where(C("start").isNotNull() & C("value").isNotNull()).withColumn("m", named)
+    j = d.where(C("start").isNotNull()).withColumn("m", named)
     alone = (F.size("m") == 1) & (F.get("m", F.lit(0))["dim"] == CONSOLIDATION)
     j = j.withColumn("recon", alone & ~F.coalesce(last(F.get("m", F.lit(0))["raw"]).rlike(SUBTOTAL_MEMBERS), F.lit(False)))
     listed = F.create_map(*[F.lit(x) for kv in AXES.items() for x in kv])
@@ -166,7 +171,7 @@ def dimensional_facts(docs: DataFrame, key: str, body: str, concepts: dict[str,
 def member_labels(docs: DataFrame, key: str, body: str) -> DataFrame:
     """Best label per member by role preference, '[Member]' or '[Domain]' off, labels that only name a subtotal skipped."""
     s = "struct<loc:array<struct<_label:string,_href:string>>,labelArc:array<struct<_from:string,_to:string>>,label:array<struct<_label:string,_role:string,_VALUE:string>>>"
-    x = docs.select(key, F.from_xml(C(body), s, {"ignoreNamespace": "true"}).alias("x"))
+    x = cut_lineage(docs.select(key, F.from_xml(C(body), s, {"ignoreNamespace": "true"}).alias("x")))  # parsed once for three readers
     loc = x.select(key, F.inline("x.loc")).select(key, C("_label").alias("l"), F.regexp_extract("_href", r"#(.+)$", 1).alias("member"))
     arc = x.select(key, F.inline("x.labelArc")).select(key, C("_from").alias("l"), C("_to").alias("t"))
     lab = x.select(key, F.inline("x.label")).select(
