@@ -77,3 +77,12 @@ def test_platform_shares_need_four_that_sum_to_a_hundred(spark):
     rows = [("2Q24 Revenue by Platform HPC 52% Smartphone 33% IoT 6% Automotive 5% Others 4%",), ("2Q24 Revenue by Platform HPC 52% Smartphone 33% IoT 6%",), ("1Q24 Revenue by Platform HPC 52% Smartphone 33% IoT 6% Automotive 9%",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(R.platform_shares(C("t"), day)).collect()]
     assert sum(x.pct for x in got[0]) == 100 and got[1:] == [None, None, None]
+
+
+def test_release_joins_are_never_gathered_and_texts_are_dealt(spark):
+    from tidemark.catalog import q_tables as Q
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert Q.orders(spark, "/root/testdata/sf0.001", 3).rdd.getNumPartitions() == parts
+    d = R.first_and_latest(R.kpi_printings(Q.kpi_releases(spark, "/root/testdata/sf0.001")))
+    assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()

@@ -98,6 +98,11 @@ def lookup(labels: dict[str, str]) -> Callable[[Column], Column]:
     return lambda label: names[F.trim(F.regexp_replace(label, r"\s*[\d,]+$", ""))]
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Rows for a join that grow with the releases: never gathered at the driver, whatever size a plan expects."""
+    return rows.hint("merge")
+
+
 def _all(s: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(s, F.lit(pattern), F.lit(group))
 
@@ -243,7 +248,7 @@ def kpi_printings(releases: DataFrame) -> DataFrame:
     tables = cut_lineage(reduce(DataFrame.unionByName, [d.select(*cols).withColumn("source", F.lit(s)) for d, s in tables]))
     key = ["cik", "accn", "period_end", "metric"]
     text = text_printings(main, keep, "reported").select(*cols).withColumn("source", F.lit("EX-99.1 text"))
-    return tables.unionByName(text.join(tables.select(*key).distinct(), key, "left_anti")).drop("reported")
+    return tables.unionByName(text.join(_shuffled(tables.select(*key).distinct()), key, "left_anti")).drop("reported")
 
 
 def first_and_latest(printings: DataFrame) -> DataFrame:
@@ -255,7 +260,7 @@ def first_and_latest(printings: DataFrame) -> DataFrame:
     clash = printings.groupBy("cik", "period_end", "metric", "accn").agg((F.count_distinct(F.round("value", 1)) > 1).cast("int").alias("x"))
     clash = clash.groupBy("cik", "period_end", "metric").agg(F.sum("x").alias("conflicts"))
     d = d.select("cik", "period_end", "metric", C("a.value").alias("first"), C("a.source").alias("first_source"), C("b.value").alias("latest"), C("b.filed").alias("latest_filed"))
-    return d.join(clash, ["cik", "period_end", "metric"])
+    return d.join(_shuffled(clash), ["cik", "period_end", "metric"])
 
 
 def quarter_printings(releases: DataFrame, keep: list[str], metric: Callable[[Column], Column]) -> DataFrame:
@@ -273,10 +278,10 @@ def quarter_printings(releases: DataFrame, keep: list[str], metric: Callable[[Co
     both = cut_lineage(dated.select(*cols).unionByName(flat.select(*cols)))
     # one exhibit per release: the first in name order that has the table, flattened ones before dated ones
     one = both.groupBy(*keep).agg(F.min(F.struct((C("source") != "flattened").alias("a"), "exhibit")).alias("_o"))
-    both = both.join(one, keep).where((C("exhibit") == C("_o.exhibit")) & ((C("source") != "flattened") == C("_o.a")))
+    both = both.join(_shuffled(one), keep).where((C("exhibit") == C("_o.exhibit")) & ((C("source") != "flattened") == C("_o.a")))
     both = both.groupBy(*keep, "period_end", "metric").agg(F.min_by("value", "place").alias("value"), F.first("source").alias("source"))
     whole = both.where("metric = 'revenue'").select(*keep, "period_end")
-    return both.join(whole, [*keep, "period_end"], "left_semi")
+    return both.join(_shuffled(whole), [*keep, "period_end"], "left_semi")
 
 
 def labelled_quarter(releases: DataFrame, keep: list[str], metric: Callable[[Column], Column], reported: str) -> DataFrame:
@@ -302,7 +307,7 @@ def labelled_quarter(releases: DataFrame, keep: list[str], metric: Callable[[Col
     d = d.where(F.size("v") == C("h.n")).withColumn("value", F.get("v", C("h.k"))).withColumn("t", F.struct("exhibit", C("h.i").alias("i")))
     d = d.groupBy(*keep, "t", "metric").agg(F.min_by("value", "place").alias("value"))
     best = d.where("metric = 'revenue'").groupBy(*keep).agg(F.min("t").alias("t"))
-    return d.join(best, [*keep, "t"]).select(*keep, "metric", "value")
+    return d.join(_shuffled(best), [*keep, "t"]).select(*keep, "metric", "value")
 
 
 def reported_quarters(releases: DataFrame, labels: dict[str, str], within: int = 10) -> DataFrame:
@@ -313,7 +318,7 @@ def reported_quarters(releases: DataFrame, labels: dict[str, str], within: int =
     keep, metric = ["cik", "accn", "filed", "reported"], lookup(labels)
     docs = releases.withColumn("reported", D.reported_quarter_end(C("filed")))
     dated = cut_lineage(quarter_printings(docs, keep, metric)).where(F.abs(F.datediff("period_end", "reported")) <= within).drop("period_end")
-    other = labelled_quarter(docs.join(dated.select(*keep).distinct(), keep, "left_anti"), keep, metric, "reported").withColumn("source", F.lit("quarter labels"))
+    other = labelled_quarter(docs.join(_shuffled(dated.select(*keep).distinct()), keep, "left_anti"), keep, metric, "reported").withColumn("source", F.lit("quarter labels"))
     return dated.unionByName(other).withColumnRenamed("reported", "period_end")
 
 
@@ -362,7 +367,7 @@ def monthly_sentences(releases: DataFrame, keep: list[str]) -> DataFrame:
 def backfilled_months(rows: DataFrame, sentences: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The months of ``rows``, and from ``sentences`` those that are missing; the earliest by ``order`` per key."""
     known = rows.select(*key).distinct()
-    added = sentences.join(known, key, "left_anti").withColumn("source", F.lit("backfill"))
+    added = sentences.join(_shuffled(known), key, "left_anti").withColumn("source", F.lit("backfill"))
     both = rows.select(*key, *order, "revenue", "source").unionByName(added.select(*key, *order, "revenue", "source"))
     first = F.min_by(F.struct("revenue", "source"), F.struct(*order, "revenue"))
     return both.groupBy(*key).agg(first.alias("_f")).select(*key, "_f.revenue", "_f.source")
