@@ -122,8 +122,8 @@ def instance_docs(spark, sf):
     """One instance document per filer and quarter: segment facts (one with the operating qualifier), a two-axis fact, a
     customer fact, reconciling rows under any name, and facts that must not count: eliminations beside a segment,
     subtotals, an unlisted axis, an instant, the undivided total."""
-    # dealt before the bodies are written, which cost far more than their rows
-    s = dealt(V.fq_seg(spark, sf), "cik", "qn").groupBy("cik", "qn").agg(F.collect_list(F.struct("segment", "rev")).alias("parts"))  # three segments
+    g = V.fq_seg(spark, sf).groupBy("cik", "qn").agg(F.collect_list(F.struct("segment", "rev")).alias("parts"))  # three segments
+    s = dealt(g, "cik", "qn")  # before the bodies are written, which cost far more than their rows
     end = quarter_end(C("qn")).cast("string")
     start = F.date_add(quarter_end(C("qn") - 1), 1).cast("string")
     span = F.concat(F.lit("<xbrli:period><xbrli:startDate>"), start, F.lit("</xbrli:startDate><xbrli:endDate>"), end, F.lit("</xbrli:endDate></xbrli:period>"))

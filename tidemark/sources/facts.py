@@ -118,9 +118,9 @@ def filing_index(docs: DataFrame, body: str) -> DataFrame:
     return d.select(C("j.cik").alias("cik"), F.inline(z)).withColumn("filingDate", C("filingDate").cast("date"))
 
 
-INSTANCE = (
-    "struct<context:array<struct<_id:string,entity:struct<segment:struct<explicitMember:array<struct<_dimension:string,_VALUE:string>>>>,"
-    "period:struct<instant:date,startDate:date,endDate:date>>>,{facts}>"
+CONTEXTS = (
+    "context:array<struct<_id:string,entity:struct<segment:struct<explicitMember:array<struct<_dimension:string,_VALUE:string>>>>,"
+    "period:struct<instant:date,startDate:date,endDate:date>>>"
 )
 
 
@@ -133,10 +133,11 @@ def dimensional_facts(docs: DataFrame, key: str, body: str, concepts: dict[str,
     so they are matched inside the document's row.
     """
     one = "array<struct<_contextRef:string,_VALUE:double>>"
-    schema = INSTANCE.format(facts=",".join(f"{c}:{one}" for c in concepts))
-    d = docs.select(C(key), F.from_xml(C(body), schema, {"ignoreNamespace": "true"}).alias("x"))
+    xml = lambda schema: F.from_xml(C(body), f"struct<{schema}>", {"ignoreNamespace": "true"})
+    # contexts are read apart from the facts: a figure that is no number ends the reading of the facts only
+    d = docs.select(key, xml(CONTEXTS).alias("x"), xml(",".join(f"{c}:{one}" for c in concepts)).alias("y"))
     # a document's contexts and facts meet in its own row; rows of one key are put together first
-    d = d.where(C(key).isNotNull()).select(key, "x.context", *[C(f"x.{c}").alias(f"f_{c}") for c in concepts])
+    d = d.where(C(key).isNotNull()).select(key, "x.context", *[C(f"y.{c}").alias(f"f_{c}") for c in concepts])
     d = d.groupBy(key).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("context", *[f"f_{c}" for c in concepts])])
 
     def named_as(metric: str):
