@@ -356,9 +356,10 @@ def j17(spark, sf):
     t = L.vectors(t, "target", "qn", "t_yoy", "y")
     d = L.lagged_pairs(series_vectors(spark, sf), t, (0, 1, 2), 20, C("target.target") != C("own"))
     g = L.lead_gain(d).select(C("target.shift").alias("shift"), F.round("lead_gain", 9).alias("g"))
-    g = cut_lineage(g)
-    m = g.groupBy("shift").agg(F.count(F.lit(1)).alias("pairs"), F.avg((C("g") > 0.15).cast("double")).alias("beyond"))
-    p = R.percentiles(g, ["shift"], "g", {"p95": 0.95}).drop("n")
+    g = cut_lineage(g.groupBy("shift", "g").agg(F.count(F.lit(1)).alias("k")))  # equal gains once
+    beyond = F.sum(F.when(C("g") > 0.15, C("k")).otherwise(0)) / F.sum("k")
+    m = g.groupBy("shift").agg(F.sum("k").alias("pairs"), beyond.alias("beyond"))
+    p = R.percentiles(g, ["shift"], "g", {"p95": 0.95}, "k").drop("n")
     return m.join(p, "shift").select("shift", "pairs", *r6("beyond", "p95"))
 
 

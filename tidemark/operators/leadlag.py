@@ -1,44 +1,96 @@
-"""Leads and lags: one vector per series, every series against every target of a list, rank correlations in array arithmetic.
+"""Leads and lags: one vector per series, every series against every target of a list, rank correlations in arrays.
 
-A series' quarters are bounded by the calendar, so each is one row with an array. A pair is one row from the join on:
-correlations at all lags are expressions over its two arrays, and nothing is shuffled after it.
+A series' quarters are bounded by the calendar, so each is one row with an array. Sources and targets are packed, some to a
+row; a row of both is a tile of pairs, whose correlations at all lags are taken together. A pair is one row from there on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
-C = F.col
-BLOCKS = 32
+from tidemark.session import dealt
 
+C = F.col
+SOURCES, TARGETS = 64, 32  # vectors in a packed row
+BLOCKS = 4  # tasks that pack the target list
+CELLS = 1 << 21  # numbers in one array of a tile
+_LAGS = "array<struct<lag:int,n:bigint,rho:double>>"
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
 
+def _packed(d: DataFrame, name: str, size: int) -> DataFrame:
+    """Up to ``size`` rows of a partition as one row with an array of structs."""
 
-def rank_vector(values: Column) -> Column:
-    """Average ranks of an array's values: the middle of a value's first and last place in order."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, size):
+                part = b.slice(lo, size)
+                rows = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], names=[name])
 
-    def ranks(up: Column, down: Column) -> Column:
-        return F.transform(values, lambda x: (F.array_position(up, x) + F.size(up) + 1 - F.array_position(down, x)) / 2)
+    return d.mapInArrow(pack, f"{name} array<{d.schema.simpleString()}>")
 
-    return _let(F.array_sort(values), lambda up: _let(F.reverse(up), lambda down: ranks(up, down)))
 
+def _grid(at: pa.Array, values: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The positions at which any vector has a value; per vector and position the value's place in order, and 1 where it has one."""
+    size = values.value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(size)), size)
+    pos = np.repeat(at.to_numpy(zero_copy_only=False) - (np.cumsum(size) - size), size) + np.arange(len(row))
+    flat = values.flatten()
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    _, order = np.unique(flat.drop_null().to_numpy(zero_copy_only=False), return_inverse=True)
+    places, col = np.unique(pos[known], return_inverse=True)
+    codes, has = np.zeros((len(size), len(places))), np.zeros((len(size), len(places)))
+    codes[row[known], col], has[row[known], col] = order, 1
+    return places, codes, has
 
-def spearman(x: Column, y: Column) -> Column:
-    """Rank correlation of two arrays of equal length; null where either side does not vary or is empty."""
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
-    dot = lambda p, q: total(F.zip_with(p, q, lambda a, b: a * b))
 
-    def rho(r: Column) -> Column:
-        a, b, n = r["a"], r["b"], F.size(r["a"])
-        spread = lambda p: n * dot(p, p) - total(p) * total(p)
-        return (n * dot(a, b) - total(a) * total(b)) / F.nullif(F.sqrt(spread(a) * spread(b)), F.lit(0.0))
+def _ranks(codes: np.ndarray, has: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Average rank of each value among those of its vector that the other side's vector has too: (vector, position, other).
 
-    return _let(F.struct(rank_vector(x).alias("a"), rank_vector(y).alias("b")), rho)
+    It counts the smaller values and half the equal ones, itself included. Ranks where the other has no value mean nothing.
+    """
+    n = codes.shape[1]
+    out = np.empty((*codes.shape, len(other)))
+    step = max(1, CELLS // max(codes.size, 1))
+    for lo in range(0, n, step):
+        mine, all_ = codes[:, lo : lo + step, None], codes[:, None, :]
+        above = ((mine > all_) + 0.5 * (mine == all_)) * has[:, None, :]
+        out[:, lo : lo + step] = (above.reshape(-1, n) @ other.T).reshape(len(codes), -1, len(other))
+    return out + 0.5
+
+
+def _spearman(x: np.ndarray, x_has: np.ndarray, y: np.ndarray, y_has: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common positions and rank correlation of every row of x with every row of y; no number where either does not vary."""
+    both = x_has[:, :, None] * y_has.T[None]
+    a = _ranks(x, x_has, y_has) * both
+    b = _ranks(y, y_has, x_has).transpose(2, 1, 0) * both
+    n = x_has @ y_has.T
+    total = n * (n + 1) / 2  # ranks with ties averaged always add up to this
+    dot = lambda p, q: n * np.einsum("sit,sit->st", p, q) - total * total
+    root = np.sqrt(dot(a, a) * dot(b, b))
+    return n, np.divide(dot(a, b), root, out=np.full(n.shape, np.nan), where=root != 0)
+
+
+def _tile(sources: pa.StructArray, targets: pa.StructArray, lags: Sequence[int], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and correlations of all pairs of a tile: (source, target, lag)."""
+    x_at, x, x_has = _grid(sources.field("x_at"), sources.field("x"))
+    y_at, y, y_has = _grid(targets.field("y_at"), targets.field("y"))
+    n, rho = np.zeros((len(x), len(y), len(lags))), np.full((len(x), len(y), len(lags)), np.nan)
+    for k, lag in enumerate(lags):
+        _, i, j = np.intersect1d(x_at + lag, y_at, assume_unique=True, return_indices=True)
+        across = min(len(y), max(1, CELLS // max(len(i), 1)))
+        down = max(1, CELLS // max(len(i) * across, 1))
+        for t in range(0, len(y), across):
+            yt, yt_has = y[t : t + across, j], y_has[t : t + across, j]
+            for s in range(0, len(x), down):
+                at = (slice(s, s + down), slice(t, t + across), k)
+                n[at], rho[at] = _spearman(x[s : s + down, i], x_has[s : s + down, i], yt, yt_has)
+    return n.astype(np.int64), np.where(n >= least, rho, np.nan)
 
 
 def vectors(d: DataFrame, key: str, pos: str, value: str, out: str) -> DataFrame:
@@ -52,30 +104,29 @@ def lagged_pairs(source: DataFrame, targets: DataFrame, lags: Sequence[int], lea
     """Pairs of source and target vectors that pass ``keep``, with ``lags``: an array of (lag, n, rho) in the order given,
     rho null below ``least`` common quarters. ``source`` holds x_at, x and ``targets`` y_at, y besides their keys.
 
-    Every source meets the whole target list, dealt in blocks: the sources go out once per block, the list is never
-    gathered, and a block that grows large is an ordinary shuffle join that adaptive execution splits.
+    Every source meets the whole target list. The sources go out once; the list, packed, is broadcast only if it passes
+    Spark's size check, else packed rows of both sides meet in a Cartesian product, which has tasks for each pair of partitions.
     """
+    mine = [c for c in source.columns if c not in ("x_at", "x")]
     names = [c for c in targets.columns if c not in ("y_at", "y")]
-    dealt = targets.withColumn("_block", F.pmod(F.xxhash64(*names), F.lit(BLOCKS)).cast("int"))
     # A row of a few hundred bytes stands for a block of correlations: deal rows by number, not by their bytes.
-    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = source.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).repartition(parts, *source.columns, "_block")
-    p = s.join(dealt, "_block").where(keep)
-
-    def met(lag: Column) -> Column:
-        # the target's value as many places on as the arrays start apart; places before its start have none
-        place = lambda i: i + C("x_at") + lag - C("y_at")
-        both = F.transform("x", lambda x, i: F.struct(x.alias("x"), F.when(place(i) >= 0, F.get("y", place(i))).alias("y")))
-        return F.filter(both, lambda b: b["x"].isNotNull() & b["y"].isNotNull())
-
-    def at(lag: Column) -> Column:
-        n = lambda m: F.size(m)
-        rho = lambda m: F.when(n(m) >= least, spearman(m["x"], m["y"]))
-        return _let(met(lag), lambda m: F.struct(lag.alias("lag"), n(m).cast("long").alias("n"), rho(m).alias("rho")))
-
-    all_lags = F.transform(F.array(*[F.lit(i) for i in lags]), at)
-    # a generator keeps later filters from repeating the expression
-    return p.select("*", F.explode(F.array(all_lags)).alias("lags")).drop("_block", "x_at", "x", "y_at", "y")
+    s = _packed(dealt(source, *source.columns), "sources", SOURCES)
+    p = s.crossJoin(_packed(targets.repartition(BLOCKS), "targets", TARGETS))
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for xs, ys in zip(b.column("sources"), b.column("targets"), strict=True):
+                n, rho = (v.ravel() for v in _tile(xs.values, ys.values, lags, least))
+                i, j = (pa.array(v.ravel()) for v in np.indices((len(xs), len(ys))))
+                lag = pa.array(np.tile(np.array(lags, np.int32), len(i)))
+                at = pa.StructArray.from_arrays([lag, pa.array(n), pa.array(rho, mask=np.isnan(rho))], names=["lag", "n", "rho"])
+                ends = pa.array(np.arange(len(i) + 1, dtype=np.int32) * len(lags))
+                out = [xs.values.field(c).take(i) for c in mine] + [ys.values.field(c).take(j) for c in names]
+                yield pa.RecordBatch.from_arrays([*out, pa.ListArray.from_arrays(ends, at)], names=[*mine, *names, "lags"])
+
+    fields = [source.schema[c] for c in mine] + [targets.schema[c] for c in names]
+    all_lags = StructField("lags", StructType.fromDDL(f"lags {_LAGS}")["lags"].dataType)
+    return p.mapInArrow(cross, StructType([*fields, all_lags])).where(keep)
 
 
 def lead_gain(pairs: DataFrame) -> DataFrame:

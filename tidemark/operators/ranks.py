@@ -89,18 +89,19 @@ def position(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str)
 
 
 def percentiles(
-    df: DataFrame, keys: Sequence[str], values: str | Sequence[str], probs: dict[str, float]
+    df: DataFrame, keys: Sequence[str], values: str | Sequence[str], probs: dict[str, float], weight: str | None = None
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group, all value columns in one pass.
 
-    Columns are ``<prob name>`` for one value column and ``<value>_<prob name>`` for several, beside ``n`` (per value
+    ``weight`` names a column that says how many times a row counts, for values collapsed before. Columns are ``<prob name>`` for one value column and ``<value>_<prob name>`` for several, beside ``n`` (per value
     column ``<value>_n``).
     """
     keys = list(keys)
     many = not isinstance(values, str)
     names = list(values) if many else [values]
     stacked = F.inline(F.array(*[F.struct(F.lit(v).alias("_m"), F.col(v).cast("double").alias("_x")) for v in names]))
-    ranked = distinct_prefix(df.select(*keys, stacked), [*keys, "_m"], "_x")
+    times = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    ranked = distinct_prefix(df.select(*keys, times.alias("_t"), stacked), [*keys, "_m"], "_x", F.col("_t"))
     aggs = []
     for v in names:
         mine = F.col("_m") == v
