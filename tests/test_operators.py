@@ -91,6 +91,75 @@ def test_segment_addup_steps(spark):
     assert {r.g: r.ok for r in out} == {1: True, 2: True, 3: True, 4: True, 5: True, 6: False}
 
 
+def _addup_by_hand(rows, total):
+    """The steps of one filing in a loop: rows (member, value, name, is_geo), exact values."""
+    step, t = {m: None for m, *_ in rows}, max(1.0, 0.001 * abs(total or 0))
+
+    def live(skip=()):
+        kept = [v for m, v, *_ in rows if step[m] is None and m not in skip]
+        known = [v for v in kept if v is not None]
+        s = sum(known) if known else None
+        return len(kept) or None, s, None if s is None or total is None else abs(s - total) <= t
+
+    n, s, fit = live()
+    if (n or 0) > 1 and fit is False:
+        step |= {m: "equals total" for m, v, *_ in rows if v is not None and abs(v - total) <= 1}
+    n, s, fit = live()
+    if (n or 0) > 2 and fit is False:
+        left = [(m, v, name) for m, v, name, _ in rows if step[m] is None and v is not None]
+        one = [(not name.lower().startswith("total"), -abs(v), m) for m, v, name in left if abs(s - v - total) <= t]
+        if one:
+            step[min(one)[2]] = "subtotal"
+        elif n >= 4:
+            two = [(a, b) for a, v, _ in left for b, u, _ in left if a < b and abs(s - v - u - total) <= t]
+            step |= {m: "subtotal" for m in (min(two) if two else ())}
+    n, s, fit = live()
+    geo = [m for m, _, _, g in rows if g and step[m] is None]
+    if (n or 0) > 1 and fit is False and 0 < len(geo) < n and live(geo)[2]:
+        step |= {m: Q.GEO_AXIS for m in geo}
+    return step, live()
+
+
+def test_segment_addup_against_a_loop_in_one_pass(spark):
+    rng = np.random.default_rng(11)
+    groups, totals = {}, {}
+    for g in range(120):
+        n = int(rng.integers(1, 9)) if g else 150
+        rows = [(f"m{i:03}", float(rng.integers(8, 400)) / 4, rng.choice(["Unit", "Total parts", "all"]), False) for i in range(n)]
+        totals[g] = sum(v for _, v, *_ in rows)
+        kind = g % 6
+        if kind == 0:  # a roll-up and a corporate line, anywhere in the order of names
+            rows += [("m000a", totals[g] / 2 + 50, "Rollup", False), ("zz", 30.25, "Corporate", False)]
+        elif kind == 1:
+            rows += [("a", totals[g], "Consolidated", False)]
+        elif kind == 2:
+            rows += [("b", sum(v for _, v, *_ in rows[:2]), "Total Products", False), ("bb", None, "none", False)]
+        elif kind == 3:
+            rows += [(x, totals[g] * f, x, True) for x, f in (("Europe", 0.25), ("Japan", 0.5), ("Asia", 0.125))]
+        elif kind == 4:
+            rows += [("x", totals[g] * 0.375 + 2, "Unknown", False)]
+        else:
+            totals[g] = None if g % 4 else totals[g]
+        groups[g] = rows
+    flat = [(g, m, v, str(n)) for g, rows in groups.items() for m, v, n, _ in rows] + [(None, "q", 1.0, "no filing")]
+    seg = spark.createDataFrame(flat, "g int, member string, value double, name string")
+    tot = spark.createDataFrame([(g, t) for g, t in totals.items() if g % 12 != 5], "g int, total double")
+    sc = spark.sparkContext
+    sc.setJobGroup("addup", "addup")
+    try:
+        out = Q.segment_addup(seg, tot, ["g"], "member", "name", C("name").isin("Europe", "Japan", "Asia"))
+        assert len(sc.statusTracker().getJobIdsForGroup("addup")) == 0  # nothing is written on the way
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    got = {(r.g, r.member): (r.step, r.n_kept, r.sum_kept, r.ok) for r in out.collect()}
+    want = {(None, "q"): (None, None, None, None)}
+    for g, rows in groups.items():
+        step, kept = _addup_by_hand(rows, totals[g] if g % 12 != 5 else None)
+        want |= {(g, m): (step[m], *kept) for m, *_ in rows}
+    assert got == want
+    assert {r[0] for r in want.values()} == {None, "equals total", "subtotal", Q.GEO_AXIS}
+
+
 def test_label_swap_only_when_a_permutation(spark):
     f = spark.createDataFrame([(1, "A", 1.0), (1, "B", 2.0), (2, "A", 1.0), (2, "B", 2.0)], "g int, name string, value double")
     p = spark.createDataFrame([(1, 1.0, "B"), (1, 2.0, "A"), (2, 1.0, "B")], "g int, value double, label string")

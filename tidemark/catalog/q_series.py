@@ -355,10 +355,14 @@ def addup_inputs(spark, sf):
     s = V.fq_seg(spark, sf)
     name = F.when(C("segment") == "A", "Alpha").when(C("segment") == "N", "North").otherwise("Rho")
     base = s.select("cik", "qn", C("segment").alias("member"), C("rev").alias("value"), name.alias("name"))
-    tot = base.groupBy("cik", "qn").agg(
-        F.round(F.sum("value"), 4).alias("total"),
-        F.round(F.sum(F.when(C("member") != "R", C("value")).otherwise(0.0)), 4).alias("sub"),
-    )
+    w = Window.partitionBy("cik", "qn")
+    base = base.withColumns({
+        "total": F.round(F.sum("value").over(w), 4),
+        "sub": F.round(F.sum(F.when(C("member") != "R", C("value")).otherwise(0.0)).over(w), 4),
+        "first": F.row_number().over(w.orderBy("member")) == 1,
+    })
+    base = cut_lineage(base)  # read three times
+    tot = base.where("first").select("cik", "qn", "total", "sub")
     c = (C("cik") + C("qn")) % 8
 
     def row(when, member, value, label):
@@ -378,13 +382,14 @@ def addup_inputs(spark, sf):
         )
     )
     base = base.withColumn("value", F.when((c == 5) & (C("member") == "A"), C("value") * 1.5).otherwise(C("value")))
+    base = base.drop("total", "sub", "first")
     extra = tot.select("cik", "qn", F.inline(rows))
     return base.unionByName(extra), tot.select("cik", "qn", "total")
 
 
 def addup(spark, sf):
     seg, tot = addup_inputs(spark, sf)
-    return Q.segment_addup(cut_lineage(seg), cut_lineage(tot), ["cik", "qn"], "member", "name", is_geography(C("name"), C("member")))
+    return Q.segment_addup(seg, tot, ["cik", "qn"], "member", "name", is_geography(C("name"), C("member")))
 
 
 @query(
