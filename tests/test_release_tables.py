@@ -86,3 +86,33 @@ def test_release_joins_are_never_gathered_and_texts_are_dealt(spark):
     assert Q.orders(spark, "/root/testdata/sf0.001", 3).rdd.getNumPartitions() == parts
     d = R.first_and_latest(R.kpi_printings(Q.kpi_releases(spark, "/root/testdata/sf0.001")))
     assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def shuffles(d):
+    """Number of exchanges of a plan that reads its tables and nothing written in between."""
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan
+    return plan.count("Exchange ")
+
+
+def test_kpi_texts_are_dealt_once_and_never_written(spark):
+    from tidemark.catalog import q_tables as Q
+
+    assert shuffles(Q.i17(spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_a_flattened_table_printed_twice_counts_once(spark):
+    line = "Three months ended Dec 31, Mar 31, Jun 30, (Unaudited) 2023 2024 2024 Ratios Net bookings 3 70 80 90 Sales 1 2 3"
+    both = release(spark, line, line, exhibit="EX-99.3").unionByName(release(spark, "Q2 2024 net bookings of EUR 1.2 billion.", line))
+    got = sorted((r.metric, r.period_end, r.value, r.source) for r in R.kpi_printings(both).collect())
+    ends = [dt.date(2023, 12, 31), dt.date(2024, 3, 31), dt.date(2024, 6, 30)]
+    assert got == [("bookings_value", d, v, "EX-99.3 ratios (flattened)") for d, v in zip(ends, (70.0, 80.0, 90.0))]
+
+
+def test_first_and_latest_printing_and_conflicts(spark):
+    a, b, end = dt.date(2024, 4, 20), dt.date(2024, 7, 20), dt.date(2024, 3, 31)
+    rows = [(1, 1, a, end, "m", 5.0, "y"), (1, 1, a, end, "m", 6.0, "x"), (1, 1, a, end, "m", 6.01, "x"), (1, 2, b, end, "m", 7.0, "x"), (1, 2, b, end, "m", 7.0, "y"),
+            (None, 1, a, end, "m", 1.0, "x"), (2, 1, a, None, "m", 1.0, "x"), (3, None, None, end, "m", None, "x"), (3, None, a, end, "m", 2.0, "x")]
+    d = spark.createDataFrame(rows, "cik int, accn int, filed date, period_end date, metric string, value double, source string")
+    got = sorted(map(tuple, R.first_and_latest(d).collect()))
+    assert got == [(1, end, "m", 6.0, "x", 7.0, b, 1), (3, end, "m", None, "x", 2.0, a, 0)]

@@ -16,15 +16,20 @@ _O = f"""o AS (SELECT CAST(o_orderkey AS INT) AS accn, CAST(o_custkey AS INT) AS
 _ENDS = "SELECT o.*, j, CAST(CAST(q0 - to_months(CAST(3 * j AS INT)) AS DATE) - 1 AS DATE) AS pe FROM o, (SELECT unnest(range(5)) AS j)"
 
 
-def orders(spark, sf, k):
-    """Order rows with the last five quarter ends before the day it is filed, newest first."""
+def order_rows(spark, sf, k, key="accn"):
+    """Order rows with the last five quarter ends before the day it is filed, newest first, dealt by ``key``."""
     o = V.table(spark, sf, "orders").select(
         C("o_orderkey").cast("int").alias("accn"), C("o_custkey").cast("int").alias("cik"), F.add_months(C("o_orderdate").cast("date"), 300).alias("filed"),
         (F.floor(C("o_totalprice") / 100) + 100).cast("int").alias("v"), (C("o_orderkey") % k).cast("int").alias("k"),
     )
     last = D.reported_quarter_end(C("filed"))
     # composing and reading a text costs far more than its row
-    return cut_lineage(dealt(o.withColumn("ends", F.array(*[F.last_day(F.add_months(last, -3 * j)) for j in range(5)])), "accn"))
+    return dealt(o, key).withColumn("ends", F.array(*[F.last_day(F.add_months(last, -3 * j)) for j in range(5)]))
+
+
+def orders(spark, sf, k):
+    """As :func:`order_rows`, written once for all readers."""
+    return cut_lineage(order_rows(spark, sf, k))
 
 
 def cells(values):
@@ -58,10 +63,15 @@ def dated_head(title):
     return [F.lit(title), F.lit("Three months ended"), F.concat(F.lit(" | "), days), F.concat(F.lit("(in millions) | "), cells(oldest_first(lambda d, j: F.year(d).cast("string"))))]
 
 
-def exhibits(o, *parts):
-    """Rows (cik, accn, filed, exhibit, lines) from (k, exhibit, lines) triples, written once for all readers."""
+def composed(o, *parts):
+    """Rows (cik, accn, filed, exhibit, lines) from (k, exhibit, lines) triples."""
     rows = F.array(*[F.when(C("k") == k, F.struct(F.lit(name).alias("exhibit"), F.array(*lines).alias("lines"))) for k, name, lines in parts])
-    return cut_lineage(o.select("cik", "accn", "filed", F.inline(F.filter(rows, lambda x: x.isNotNull()))))
+    return o.select("cik", "accn", "filed", F.inline(F.filter(rows, lambda x: x.isNotNull())))
+
+
+def exhibits(o, *parts):
+    """As :func:`composed`, written once for all readers."""
+    return cut_lineage(composed(o, *parts))
 
 
 LABELS = {"Net sales": "revenue", "Total net sales": "revenue", "Gross profit": "gross_profit", "Income from operations": "operating_income"}
@@ -119,8 +129,8 @@ def kpi_releases(spark, sf):
     ]
     text = F.concat(F.lit("The year was good. Our "), quarter(0), F.format_string(" net bookings totaled %d systems valued at EUR %,d million, with a backlog valued at EUR %d.5 billion. In the quarter net bookings of EUR 1 million came late.", u, v, v))
     flat = flattened(("Ratios Number of payroll employees (in FTEs)", lambda j: v + j), ("Net bookings 3", lambda j: v + 20 + j), ("Systems backlog", lambda j: v))
-    return exhibits(
-        orders(spark, sf, 4), (0, "EX-99.3", ratios), (0, "EX-99.1", [rounded]), (1, "EX-99.1", head), (2, "EX-99.1", [text]), (3, "EX-99.3", [flat])
+    return composed(
+        order_rows(spark, sf, 4, "cik"), (0, "EX-99.3", ratios), (0, "EX-99.1", [rounded]), (1, "EX-99.1", head), (2, "EX-99.1", [text]), (3, "EX-99.3", [flat])
     )
 
 

@@ -1,9 +1,11 @@
 """Tables of results releases whose columns are dated: KPI tables, quarter tables, self-checked monthly rows.
 
 A release is a row per exhibit: ``accn``, ``filed``, ``exhibit`` and ``lines``, the text's lines with the cells of a
-table row kept as ``a | b``. A reader finds the table's head, turns it into a list of periods, explodes the lines after
-it and keeps only rows that hold exactly one figure per period, so that a column can never shift. Everything is column
-expressions over a release's own lines; the only shuffles are the comparisons between exhibits and between releases.
+table row kept as ``a | b``. A reader finds the table's head, turns it into a list of periods, reads the lines after
+it and keeps only rows that hold exactly one figure per period, so that a column can never shift. Readers are column
+expressions over an exhibit's own lines, and all readers of a query see an exhibit at once, so that a text is neither
+written nor read again. What they found is compared between exhibits and releases by windows that share one order; rows
+dealt by company or by release before they are read need no further shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import dates as D
 from tidemark.functions.text import money, numbers
@@ -138,94 +140,140 @@ def _figures(cells: Column) -> Column:
     return F.transform(F.filter(cells, lambda c: F.size(numbers(c)) > 0), lambda c: F.get(numbers(c), F.lit(0)))
 
 
-def own_accounts(releases: DataFrame) -> DataFrame:
-    """Without the exhibits that say in their first 4,000 characters that they follow the other set of accounts."""
-    return releases.where(~F.substring(F.array_join("lines", "\n"), 1, 4000).rlike(OTHER_ACCOUNTS))
+def own_accounts(lines: Column) -> Column:
+    """False for an exhibit that says in its first 4,000 characters that it follows the other set of accounts."""
+    return ~F.substring(F.array_join(lines, "\n"), 1, 4000).rlike(OTHER_ACCOUNTS)
 
 
-def dated_rows(releases: DataFrame, heading: str) -> DataFrame:
-    """The lines after the first heading with a dated head: the release's columns, ``dates``, ``cells``, ``place``."""
-    lines = C("lines")
+def _figure(metric: Column, period_end: Column, place: Column, col: Column, value: Column) -> Column:
+    """What a reader returns an array of: ``place`` is the row in its table, ``col`` the column."""
+    return F.struct(metric.alias("metric"), period_end.alias("period_end"), place.cast("int").alias("place"), col.cast("int").alias("col"), value.alias("value"))
+
+
+def _every(found: list[tuple[Column, dict[str, Column]]]) -> Column:
+    """All figures of several readers in one array, with fields of their own in front; a reader may have found null."""
+
+    def tagged(rows: Column, fields: dict[str, Column]) -> Column:
+        return F.transform(rows, lambda x: F.struct(*[v.alias(k) for k, v in fields.items()], *[x[c].alias(c) for c in ("metric", "period_end", "place", "col", "value")]))
+
+    return F.flatten(F.array_compact(F.array(*[tagged(*f) for f in found])))
+
+
+def _label_rows(lines: Column, metric: Callable[[Column], Column]) -> Column:
+    """(metric, cells, place) of the lines whose label ``metric`` knows."""
+    rows = F.transform(lines, lambda s, i: let(_cells(s), lambda c: F.struct(metric(c[0]).alias("metric"), c.alias("cells"), i.alias("place"))))
+    return F.filter(rows, lambda r: r["metric"].isNotNull())
+
+
+def _rest(cells: Column) -> Column:
+    return F.slice(cells, F.lit(2), F.size(cells))
+
+
+def dated_figures(lines: Column, heading: str, metric: Callable[[Column], Column], figures: Callable[[Column, Column], Column]) -> Column:
+    """Figures of the table below the first heading with a dated head; ``figures`` of (cells, dates): a value per date, or null."""
     heads = F.transform(lines, lambda s, i: F.when(s.rlike(heading) & ~s.contains("IFRS"), F.struct(i.alias("i"), header_dates(F.slice(lines, i + 2, HEAD_LINES)).alias("dates"))))
     head = F.get(F.filter(heads, lambda h: h["dates"].isNotNull()), F.lit(0))
-    d = own_accounts(releases).withColumn("_h", head).where("_h IS NOT NULL")
-    rest = [c for c in releases.columns if c != "lines"]
-    d = d.select(*rest, C("_h.dates").alias("dates"), F.posexplode(F.slice("lines", C("_h.i") + 2, TABLE_LINES)).alias("place", "_l"))
-    return d.select(*rest, "dates", "place", _cells(C("_l")).alias("cells"))
 
+    def read(h: Column) -> Column:
+        rows = F.transform(_label_rows(F.slice(lines, h["i"] + 2, TABLE_LINES), metric), lambda r: F.struct(r["metric"].alias("metric"), r["place"].alias("place"), figures(r["cells"], h["dates"]).alias("v")))
+        rows = F.filter(rows, lambda r: r["v"].isNotNull())
+        return F.flatten(F.transform(rows, lambda r: F.transform(h["dates"], lambda d, k: _figure(r["metric"], D.nearest_quarter_end(d), r["place"], k, F.get(r["v"], k)))))
 
-def _by_date(rows: DataFrame, keep: list[str], dates: str, values: str) -> DataFrame:
-    return rows.select(*keep, F.inline(F.arrays_zip(C(dates).alias("date"), C(values).alias("value"))))
+    return F.when(own_accounts(lines), let(head, read))
+
+
+def ratio_figures(lines: Column) -> Column:
+    """Operating figures of the dated ratios table; a lone footnote digit is no figure."""
+    whole = lambda v, dates: F.when(F.size(v) == F.size(dates), v)
+    return dated_figures(lines, RATIOS_HEAD, kpi_metric, lambda cells, dates: let(_figures(F.filter(_rest(cells), lambda c: ~c.rlike(r"^\d$"))), lambda v: whole(v, dates)))
 
 
 def ratio_printings(releases: DataFrame, keep: list[str]) -> DataFrame:
     """Operating figures of the dated ratios tables: keep, metric, period_end, value."""
-    rows = dated_rows(releases, RATIOS_HEAD).withColumn("metric", kpi_metric(C("cells")[0])).where("metric IS NOT NULL")
-    rest = F.filter(F.slice("cells", F.lit(2), F.size("cells")), lambda c: ~c.rlike(r"^\d$"))  # a lone footnote digit is no figure
-    rows = rows.withColumn("v", _figures(rest)).where(F.size("v") == F.size("dates"))
-    return _by_date(rows, [*keep, "metric"], "dates", "v").select(*keep, "metric", D.nearest_quarter_end(C("date")).alias("period_end"), "value")
+    return releases.select(*keep, F.inline(ratio_figures(C("lines")))).select(*keep, "metric", "period_end", "value")
 
 
-def flat_printings(releases: DataFrame, keep: list[str], metric: Callable[[Column], Column]) -> DataFrame:
+def flat_figures(lines: Column, metric: Callable[[Column], Column]) -> Column:
     """Tables that a conversion left on one line, 'Three months ended Jun 29, Sep 28, ... 2025 2025 ... label 1 2 ...'.
 
     The body is a run of words and a run of figures by turns; a run counts if it has a figure per date (a footnote digit
     in front aside), under the longest ending of its words that ``metric`` knows.
     """
     head = r"^\s*Three months ended\s+((?:[A-Z][a-z]{2,4}\.? \d{1,2},\s*){3,})(?:\([^)]*\))?\s*((?:20\d\d\s+){3,})(.*)"
-    part = lambda i: F.regexp_extract("_l", head, i)
-    d = releases.select(*keep, F.explode(F.array_distinct("lines")).alias("_l")).where(C("_l").rlike(head))
-    d = d.withColumn("years", _all(part(2), r"20\d\d", 0)).withColumn("dates", _paired_dates(part(1), C("years"))).where(F.size("dates") == F.size("years"))
     token = rf"(?:{_FIGURE})(?=\s|$)"
     runs = rf"((?:(?!{token})\S+\s+)+)((?:{token}\s*)+)"
-    d = d.select(*keep, "dates", F.posexplode(F.arrays_zip(_all(part(3), runs, 1).alias("words"), _all(part(3), runs, 2).alias("run"))).alias("place", "r"))
-    words = F.split(F.trim(C("r.words")), r"\s+")
-    ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, k, F.size(words)), " "))
-    known = F.get(F.filter(F.transform(ends, metric), lambda m: m.isNotNull()), F.lit(0))
-    v = _all(C("r.run"), _FIGURE, 0)
-    n = F.size("dates")
-    v = F.when((F.size(v) == n + 1) & v[0].rlike(r"^\d\s*$"), F.slice(v, F.lit(2), n)).otherwise(v)
-    d = d.select(*keep, "dates", "place", known.alias("metric"), F.transform(v, lambda s: F.get(numbers(s), F.lit(0))).alias("v"))
-    d = d.where((F.size("v") == n) & C("metric").isNotNull())
-    return _by_date(d, [*keep, "metric", "place"], "dates", "v").select(*keep, "metric", "place", D.nearest_quarter_end(C("date")).alias("period_end"), "value")
+
+    def known(words: Column) -> Column:
+        ends = let(F.split(F.trim(words), r"\s+"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda k: F.array_join(F.slice(w, k, F.size(w)), " ")))
+        return F.get(F.filter(F.transform(ends, metric), lambda m: m.isNotNull()), F.lit(0))
+
+    def run(r: Column, place: Column, n: Column) -> Column:
+        own = let(_all(r["run"], _FIGURE, 0), lambda v: F.when((F.size(v) == n + 1) & F.get(v, F.lit(0)).rlike(r"^\d\s*$"), F.slice(v, F.lit(2), n)).otherwise(v))
+        return let(own, lambda v: F.when(F.size(v) == n, F.struct(known(r["words"]).alias("metric"), place.alias("place"), F.transform(v, lambda s: F.get(numbers(s), F.lit(0))).alias("v"))))
+
+    def body(x: Column) -> Column:
+        both = F.arrays_zip(_all(x["body"], runs, 1).alias("words"), _all(x["body"], runs, 2).alias("run"))
+        rows = F.filter(F.transform(both, lambda r, place: run(r, place, F.size(x["dates"]))), lambda r: r["metric"].isNotNull())
+        return F.flatten(F.transform(rows, lambda r: F.transform(x["dates"], lambda d, k: _figure(r["metric"], D.nearest_quarter_end(d), r["place"], k, F.get(r["v"], k)))))
+
+    def table(s: Column) -> Column:
+        part = lambda i: F.regexp_extract(s, head, i)
+        parts = F.struct(part(1).alias("days"), _all(part(2), r"20\d\d", 0).alias("years"), part(3).alias("body"))
+        dated = let(parts, lambda p: F.struct(_paired_dates(p["days"], p["years"]).alias("dates"), F.size(p["years"]).alias("n"), p["body"].alias("body")))
+        return let(dated, lambda x: F.when(F.size(x["dates"]) == x["n"], body(x)))
+
+    tables = F.transform(F.filter(F.array_distinct(lines), lambda s: s.rlike(head)), table)
+    return F.flatten(F.array_compact(tables))
 
 
-def headline_printings(releases: DataFrame, keep: list[str], reported: str) -> DataFrame:
+def headline_figures(lines: Column, reported: Column) -> Column:
     """Operating figures of the headline table: the first whose head has the reported quarter's label, quarter columns only."""
-    lines, quarter = C("lines"), r"^Q([1-4]) ?(\d{4})$"
+    quarter = r"^Q([1-4]) ?(\d{4})$"
     periods = lambda s: F.filter(_cells(s), lambda c: c.rlike(rf"{quarter}|^(?:FY ?|Full[- ]year )?\d{{4}}$"))
-    label = F.format_string("Q%d %d", F.quarter(reported), F.year(reported))
     spelled = lambda c: F.regexp_replace(c, quarter, "Q$1 $2")
     heads = F.transform(lines, lambda s, i: F.struct(i.alias("i"), F.transform(periods(s), spelled).alias("p")))
-    head = F.get(F.filter(heads, lambda h: F.array_contains(h["p"], label)), F.lit(0))
-    d = releases.withColumn("_h", head).where("_h IS NOT NULL")
-    d = d.select(*keep, C("_h.p").alias("p"), F.explode(F.slice(lines, C("_h.i") + 2, 29)).alias("_l")).withColumn("cells", _cells(C("_l")))
-    d = d.withColumn("metric", kpi_metric(C("cells")[0])).where("metric IS NOT NULL")
-    v = F.filter(F.slice("cells", F.lit(2), F.size("cells")), lambda c: F.size(numbers(c)) > 0)
-    v = F.when(F.size(v) > F.size("p"), F.filter(v, lambda c: ~c.rlike(r"^\d$"))).otherwise(v)
-    d = d.withColumn("v", _figures(v)).where(F.size("v") == F.size("p"))
-    d = d.select(*keep, "metric", F.inline(F.arrays_zip(C("p").alias("period"), C("v").alias("value")))).where(C("period").rlike(quarter))
-    end = F.last_day(F.make_date(F.regexp_extract("period", quarter, 2).cast("int"), F.regexp_extract("period", quarter, 1).cast("int") * 3, F.lit(1)))
-    return d.select(*keep, "metric", end.alias("period_end"), "value")
-
-
-def text_printings(releases: DataFrame, keep: list[str], reported: str) -> DataFrame:
+    head = let(F.format_string("Q%d %d", F.quarter(reported), F.year(reported)), lambda label: F.get(F.filter(heads, lambda h: F.array_contains(h["p"], label)), F.lit(0)))
+    end = lambda p: F.last_day(F.make_date(F.regexp_extract(p, quarter, 2).cast("int"), F.regexp_extract(p, quarter, 1).cast("int") * 3, F.lit(1)))
+
+    def figures(cells: Column, p: Column) -> Column:
+        some = F.filter(_rest(cells), lambda c: F.size(numbers(c)) > 0)
+        some = let(some, lambda v: F.when(F.size(v) > F.size(p), F.filter(v, lambda c: ~c.rlike(r"^\d$"))).otherwise(v))
+        return let(_figures(some), lambda v: F.when(F.size(v) == F.size(p), v))
+
+    def read(h: Column) -> Column:
+        rows = F.transform(_label_rows(F.slice(lines, h["i"] + 2, 29), kpi_metric), lambda r: F.struct(r["metric"].alias("metric"), r["place"].alias("place"), figures(r["cells"], h["p"]).alias("v")))
+        rows = F.filter(rows, lambda r: r["v"].isNotNull())
+        return F.flatten(F.transform(rows, lambda r: F.array_compact(F.transform(h["p"], lambda p, k: F.when(p.rlike(quarter), _figure(r["metric"], end(p), r["place"], k, F.get(r["v"], k)))))))
+
+    return let(head, read)
+
+
+def text_figures(lines: Column, reported: Column) -> Column:
     """Bookings and backlog of the first sentence about the reported quarter that states any."""
     euro = r"(?:EUR|€) ?([\d,.]+) ?(million|billion)"
     value, backlog = rf"(?i)net bookings (?:valued at|totaled \d+ systems valued at|of) {euro}", rf"(?i)backlog valued at {euro}"
     units = r"(?i)net bookings[^.]{0,40}?(?:with|totaled|of) (\d+) (?:lithography )?systems"
     part = lambda s, p, i: F.nullif(F.regexp_extract(s, p, i), F.lit(""))
-    flat = F.regexp_replace(F.array_join("lines", " "), r"\s+", " ")
+    flat = F.regexp_replace(F.array_join(lines, " "), r"\s+", " ")
     named = F.format_string(r"Q%d %d", F.quarter(reported), F.year(reported))
-    mine = lambda s: s.contains(named) | s.contains(F.replace(named, F.lit(" "), F.lit(""))) | s.rlike("this quarter|in the quarter")
+    mine = lambda s, n: s.contains(n) | s.contains(F.replace(n, F.lit(" "), F.lit(""))) | s.rlike("this quarter|in the quarter")
+    at = lambda metric, v: _figure(F.lit(metric), reported, F.lit(0), F.lit(0), v)
     read = lambda s: F.array(
-        F.struct(F.lit("bookings_value").alias("metric"), money(part(s, value, 1), part(s, value, 2)).alias("value")),
-        F.struct(F.lit("bookings_units").alias("metric"), part(s, units, 1).cast("double").alias("value")),
-        F.struct(F.lit("backlog_value").alias("metric"), money(part(s, backlog, 1), part(s, backlog, 2)).alias("value")),
+        at("bookings_value", money(part(s, value, 1), part(s, value, 2))),
+        at("bookings_units", part(s, units, 1).cast("double")),
+        at("backlog_value", money(part(s, backlog, 1), part(s, backlog, 2))),
     )
-    told = F.transform(F.filter(F.split(flat, r"(?<=[.•])\s"), mine), lambda s: F.filter(read(s), lambda x: x["value"].isNotNull()))
-    first = F.get(F.filter(told, lambda x: F.size(x) > 0), F.lit(0))
-    return releases.select(*keep, C(reported).alias("period_end"), F.inline(first)).select(*keep, "metric", "period_end", "value")
+    own = let(named, lambda n: F.filter(F.split(flat, r"(?<=[.•])\s"), lambda s: mine(s, n)))
+    told = F.transform(own, lambda s: F.filter(read(s), lambda x: x["value"].isNotNull()))
+    return F.get(F.filter(told, lambda x: F.size(x) > 0), F.lit(0))
+
+
+# Where an operating figure was printed.
+RATIOS, FLAT, HEADLINE, TEXT = "EX-99.3 ratios table", "EX-99.3 ratios (flattened)", "EX-99.1 headline table", "EX-99.1 text"
+
+
+def _known(*columns: str) -> Column:
+    return reduce(lambda a, b: a & b, [C(c).isNotNull() for c in columns])
 
 
 def kpi_printings(releases: DataFrame) -> DataFrame:
@@ -233,34 +281,68 @@ def kpi_printings(releases: DataFrame) -> DataFrame:
 
     The ratios tables (dated or flattened), the headline table, and the text for what no table of the release gives.
     """
-    keep = ["cik", "accn", "filed", "reported"]
-    docs = releases.withColumn("reported", D.reported_quarter_end(C("filed")))
-    main = docs.where("exhibit = 'EX-99.1'")
+    docs, lines, main = releases.withColumn("reported", D.reported_quarter_end(C("filed"))), C("lines"), C("exhibit") == "EX-99.1"
     flat_labels = lambda x: F.when(F.lower(x).isin("sales of lithography systems (in units)", "net bookings", "number of payroll employees (in ftes)"), kpi_metric(x))
-    flat = flat_printings(docs, keep, flat_labels)
-    flat = flat.groupBy(*keep, "metric", "period_end").agg(F.min_by("value", "place").alias("value"))
-    cols = [*keep, "metric", "period_end", "value"]
-    tables = [
-        (ratio_printings(docs, keep), "EX-99.3 ratios table"),
-        (flat, "EX-99.3 ratios (flattened)"),
-        (headline_printings(main, keep, "reported"), "EX-99.1 headline table"),
-    ]
-    tables = cut_lineage(reduce(DataFrame.unionByName, [d.select(*cols).withColumn("source", F.lit(s)) for d, s in tables]))
-    key = ["cik", "accn", "period_end", "metric"]
-    text = text_printings(main, keep, "reported").select(*cols).withColumn("source", F.lit("EX-99.1 text"))
-    return tables.unionByName(text.join(_shuffled(tables.select(*key).distinct()), key, "left_anti")).drop("reported")
+    found = [
+        (ratio_figures(lines), RATIOS), (flat_figures(lines, flat_labels), FLAT),
+        (F.when(main, headline_figures(lines, C("reported"))), HEADLINE), (F.when(main, text_figures(lines, C("reported"))), TEXT),
+    ]
+    rows = docs.select("cik", "accn", "filed", F.inline(_every([(x, {"source": F.lit(s)}) for x, s in found])))
+    key, text = ["cik", "period_end", "metric", "accn"], C("source") == TEXT
+    place = ["place", C("col").desc(), "value"]
+    # one order serves both windows and the groups of first_and_latest
+    whole = Window.partitionBy(*key).orderBy("filed", "source", *place).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_t", F.max(~text).over(whole)).where(~text | ~C("_t") | ~_known(*key))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key, "filed", "source").orderBy(*place)))
+    return rows.where((C("source") != FLAT) | (C("_n") == 1)).select("cik", "accn", "filed", "period_end", "metric", "value", "source")
 
 
 def first_and_latest(printings: DataFrame) -> DataFrame:
     """Per (cik, period_end, metric): the first printing and the latest, by filing day and source; sources that disagree
     inside the first release count as a conflict."""
-    at = F.struct("filed", "source", "accn", "value")
-    pick = lambda f: f(F.struct("value", "filed", "source", "accn"), at)
-    d = printings.groupBy("cik", "period_end", "metric").agg(pick(F.min_by).alias("a"), pick(F.max_by).alias("b"))
-    clash = printings.groupBy("cik", "period_end", "metric", "accn").agg((F.count_distinct(F.round("value", 1)) > 1).cast("int").alias("x"))
-    clash = clash.groupBy("cik", "period_end", "metric").agg(F.sum("x").alias("conflicts"))
-    d = d.select("cik", "period_end", "metric", C("a.value").alias("first"), C("a.source").alias("first_source"), C("b.value").alias("latest"), C("b.filed").alias("latest_filed"))
-    return d.join(_shuffled(clash), ["cik", "period_end", "metric"])
+    key, at, v = ["cik", "period_end", "metric"], F.struct("filed", "source", "accn", "value"), F.round("value", 1)
+    d = printings.where(_known(*key)).groupBy(*key, "accn").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.coalesce(F.min(v) < F.max(v), F.lit(False)).cast("int").alias("x"))
+    d = d.groupBy(*key).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("x").alias("conflicts"))
+    return d.select(*key, C("a.value").alias("first"), C("a.source").alias("first_source"), C("b.value").alias("latest"), C("b.filed").alias("latest_filed"), "conflicts")
+
+
+def dated_rows(releases: DataFrame, heading: str) -> DataFrame:
+    """The lines after the first heading with a dated head: the release's columns, ``dates``, ``cells``, ``place``."""
+    lines = C("lines")
+    heads = F.transform(lines, lambda s, i: F.when(s.rlike(heading) & ~s.contains("IFRS"), F.struct(i.alias("i"), header_dates(F.slice(lines, i + 2, HEAD_LINES)).alias("dates"))))
+    head = F.get(F.filter(heads, lambda h: h["dates"].isNotNull()), F.lit(0))
+    d = releases.where(own_accounts(C("lines"))).withColumn("_h", head).where("_h IS NOT NULL")
+    rest = [c for c in releases.columns if c != "lines"]
+    d = d.select(*rest, C("_h.dates").alias("dates"), F.posexplode(F.slice("lines", C("_h.i") + 2, TABLE_LINES)).alias("place", "_l"))
+    return d.select(*rest, "dates", "place", _cells(C("_l")).alias("cells"))
+
+
+def _by_date(rows: DataFrame, keep: list[str], dates: str, values: str) -> DataFrame:
+    return rows.select(*keep, F.inline(F.arrays_zip(C(dates).alias("date"), C(values).alias("value"))))
+
+
+def flat_printings(releases: DataFrame, keep: list[str], metric: Callable[[Column], Column]) -> DataFrame:
+    """Tables that a conversion left on one line, 'Three months ended Jun 29, Sep 28, ... 2025 2025 ... label 1 2 ...'.
+
+    The body is a run of words and a run of figures by turns; a run counts if it has a figure per date (a footnote digit
+    in front aside), under the longest ending of its words that ``metric`` knows.
+    """
+    head = r"^\s*Three months ended\s+((?:[A-Z][a-z]{2,4}\.? \d{1,2},\s*){3,})(?:\([^)]*\))?\s*((?:20\d\d\s+){3,})(.*)"
+    part = lambda i: F.regexp_extract("_l", head, i)
+    d = releases.select(*keep, F.explode(F.array_distinct("lines")).alias("_l")).where(C("_l").rlike(head))
+    d = d.withColumn("years", _all(part(2), r"20\d\d", 0)).withColumn("dates", _paired_dates(part(1), C("years"))).where(F.size("dates") == F.size("years"))
+    token = rf"(?:{_FIGURE})(?=\s|$)"
+    runs = rf"((?:(?!{token})\S+\s+)+)((?:{token}\s*)+)"
+    d = d.select(*keep, "dates", F.posexplode(F.arrays_zip(_all(part(3), runs, 1).alias("words"), _all(part(3), runs, 2).alias("run"))).alias("place", "r"))
+    words = F.split(F.trim(C("r.words")), r"\s+")
+    ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, k, F.size(words)), " "))
+    known = F.get(F.filter(F.transform(ends, metric), lambda m: m.isNotNull()), F.lit(0))
+    v = _all(C("r.run"), _FIGURE, 0)
+    n = F.size("dates")
+    v = F.when((F.size(v) == n + 1) & v[0].rlike(r"^\d\s*$"), F.slice(v, F.lit(2), n)).otherwise(v)
+    d = d.select(*keep, "dates", "place", known.alias("metric"), F.transform(v, lambda s: F.get(numbers(s), F.lit(0))).alias("v"))
+    d = d.where((F.size("v") == n) & C("metric").isNotNull())
+    return _by_date(d, [*keep, "metric", "place"], "dates", "v").select(*keep, "metric", "place", D.nearest_quarter_end(C("date")).alias("period_end"), "value")
 
 
 def quarter_printings(releases: DataFrame, keep: list[str], metric: Callable[[Column], Column]) -> DataFrame:
@@ -301,7 +383,7 @@ def labelled_quarter(releases: DataFrame, keep: list[str], metric: Callable[[Col
         return F.struct(i.alias("i"), F.size(cols).alias("n"), F.array_max(hits).alias("k"))
 
     heads = F.filter(F.transform(lines, lambda s, i: F.when(s.contains("|"), head(s, i))), lambda h: h["k"].isNotNull() & (h["n"] >= 2))
-    d = own_accounts(releases).select(*keep, "exhibit", "lines", F.explode(heads).alias("h"))
+    d = releases.where(own_accounts(C("lines"))).select(*keep, "exhibit", "lines", F.explode(heads).alias("h"))
     d = d.select(*keep, "exhibit", "h", F.posexplode(F.slice("lines", C("h.i") + 2, 39)).alias("place", "_l")).withColumn("cells", _cells(C("_l")))
     d = d.withColumn("metric", metric(C("cells")[0])).where("metric IS NOT NULL").withColumn("v", _figures(F.slice("cells", F.lit(2), F.size("cells"))))
     d = d.where(F.size("v") == C("h.n")).withColumn("value", F.get("v", C("h.k"))).withColumn("t", F.struct("exhibit", C("h.i").alias("i")))
