@@ -116,3 +116,25 @@ def test_first_and_latest_printing_and_conflicts(spark):
     d = spark.createDataFrame(rows, "cik int, accn int, filed date, period_end date, metric string, value double, source string")
     got = sorted(map(tuple, R.first_and_latest(d).collect()))
     assert got == [(1, end, "m", 6.0, "x", 7.0, b, 1), (3, end, "m", None, "x", 2.0, a, 0)]
+
+
+def test_quarter_texts_are_dealt_once_and_never_written(spark):
+    from tidemark.catalog import q_tables as Q
+
+    assert shuffles(Q.i16(spark, "/root/testdata/sf0.001")) == 1
+    assert shuffles(Q.i16_printings(spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_one_table_of_a_release_counts(spark):
+    labels = {"Net sales": "revenue", "Gross profit": "gross_profit"}
+    head = ["Quarterly Summary Statements of Operations", "Mar 31, 2024 | Jun 30, 2024"]
+    later = release(spark, *head, "Gross profit | 8 | 9", "Net sales | 3 | 4", exhibit="EX-99.3")
+    first = release(spark, *head, "Net sales | 1 | 10 | 20", "Net sales | 11 | 21", "Gross profit | x", exhibit="EX-99.2")
+    tables = release(spark, "Q2 2024 | Q1 2024", "Gross profit | 5 | 6", "Q2 2024 | Q1 2024", "Net sales | 7 | 6", "Net sales | 1 | 1")
+    read = lambda d: sorted((r.metric, r.value, r.source) for r in R.reported_quarters(d, labels).collect())
+    assert read(later.unionByName(first).unionByName(tables)) == [("revenue", 20.0, "dated columns")]
+    assert read(later.unionByName(tables)) == [("gross_profit", 9.0, "dated columns"), ("revenue", 4.0, "dated columns")]
+    assert read(tables.unionByName(tables)) == [("gross_profit", 5.0, "quarter labels"), ("revenue", 7.0, "quarter labels")]
+    assert read(tables.withColumn("cik", F.lit(None).cast("int"))) == []
+    without = release(spark, *head, "Gross profit | 8 | 9", exhibit="EX-99.1")  # the exhibit that is read has no revenue
+    assert read(without.unionByName(later)) == []

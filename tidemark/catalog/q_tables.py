@@ -88,7 +88,7 @@ def quarter_tables(spark, sf):
         F.format_string("Net sales | %,d | %,d | %,d", v + 1, v, v * 4), F.format_string("Gross profit | %,d | %,d", v + 2, v), F.format_string("Income from operations | (%d) | (%d) | %d", v + 1, v, v),
     ]
     other = [F.lit("Results in accordance with IFRS-EU"), *dated_head("Quarterly Summary Consolidated Statements of Operations"), printed("Net sales", lambda j: v * 9 + j)]
-    return exhibits(orders(spark, sf, 3), (0, "EX-99.0", other), (0, "EX-99.2", dated), (1, "EX-99.3", [F.lit("Summary"), flat]), (2, "EX-99.1", label))
+    return composed(order_rows(spark, sf, 3), (0, "EX-99.0", other), (0, "EX-99.2", dated), (1, "EX-99.3", [F.lit("Summary"), flat]), (2, "EX-99.1", label))
 
 
 @query(

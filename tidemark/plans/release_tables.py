@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions import dates as D
 from tidemark.functions.text import money, numbers
 from tidemark.plans.guides import let
-from tidemark.session import cut_lineage
 
 C = F.col
 
@@ -109,24 +108,26 @@ def _all(s: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(s, F.lit(pattern), F.lit(group))
 
 
-def _paired_dates(days: Column, years: Column) -> Column:
-    """Dates of 'Mar 27, Dec 31' and the last as many of the years; null unless all of two or more are real dates."""
+def _paired_dates(days: Column, years: Callable[[Column], Column]) -> Column:
+    """Dates of 'Mar 27, Dec 31' and the last as many of ``years`` (of the number of days); null unless all of two or more
+    are real dates."""
 
-    def built(x: Column) -> Column:
+    def built(x: Column, y: Column) -> Column:
         n = F.size(x["m"])
-        last = F.slice(x["y"], F.greatest(F.size(x["y"]) - n + 1, F.lit(1)), n)
+        last = F.slice(y, F.greatest(F.size(y) - n + 1, F.lit(1)), n)
         out = F.zip_with(F.zip_with(x["m"], x["d"], lambda a, b: F.concat_ws(" ", F.initcap(a), b)), last, lambda a, b: F.try_to_date(F.concat_ws(" ", a, b), "MMM d yyyy"))
-        return F.when((n >= 2) & (F.size(x["y"]) >= n) & F.forall(out, lambda d: d.isNotNull()), out)
+        return F.when(F.size(y) >= n, let(out, lambda o: F.when(F.forall(o, lambda d: d.isNotNull()), o)))
 
-    return let(F.struct(_all(days, _DAY, 1).alias("m"), _all(days, _DAY, 2).alias("d"), years.alias("y")), built)
+    some = lambda x: F.when(F.size(x["m"]) >= 2, let(years(F.size(x["m"])), lambda y: built(x, y)))
+    return let(F.struct(_all(days, _DAY, 1).alias("m"), _all(days, _DAY, 2).alias("d")), some)
 
 
 def header_dates(lines: Column) -> Column:
     """Column dates of a table head, on one line or with the years on the line below; footnote digits may stick to a year."""
 
     def at(line: Column, i: Column) -> Column:
-        own, below = _all(line, _YEAR, 1), _all(F.coalesce(F.get(lines, i + 1), F.lit("")), _YEAR, 1)
-        return _paired_dates(line, F.when(F.size(own) >= F.size(_all(line, _DAY, 1)), own).otherwise(below))
+        below = _all(F.coalesce(F.get(lines, i + 1), F.lit("")), _YEAR, 1)
+        return _paired_dates(line, lambda n: let(_all(line, _YEAR, 1), lambda own: F.when(F.size(own) >= n, own).otherwise(below)))
 
     return F.get(F.filter(F.transform(lines, at), lambda d: d.isNotNull()), F.lit(0))
 
@@ -137,7 +138,7 @@ def _cells(line: Column) -> Column:
 
 def _figures(cells: Column) -> Column:
     """The first number of every cell that has one."""
-    return F.transform(F.filter(cells, lambda c: F.size(numbers(c)) > 0), lambda c: F.get(numbers(c), F.lit(0)))
+    return F.array_compact(F.transform(cells, lambda c: F.get(numbers(c), F.lit(0))))
 
 
 def own_accounts(lines: Column) -> Column:
@@ -169,6 +170,12 @@ def _rest(cells: Column) -> Column:
     return F.slice(cells, F.lit(2), F.size(cells))
 
 
+def _by_date(rows: Column, dates: Column) -> Column:
+    """A figure per date of each row's values ``v``, for the quarter end next to the date."""
+    ends = F.transform(dates, D.nearest_quarter_end)
+    return let(ends, lambda e: F.flatten(F.transform(rows, lambda r: F.transform(e, lambda d, k: _figure(r["metric"], d, r["place"], k, F.get(r["v"], k))))))
+
+
 def dated_figures(lines: Column, heading: str, metric: Callable[[Column], Column], figures: Callable[[Column, Column], Column]) -> Column:
     """Figures of the table below the first heading with a dated head; ``figures`` of (cells, dates): a value per date, or null."""
     heads = F.transform(lines, lambda s, i: F.when(s.rlike(heading) & ~s.contains("IFRS"), F.struct(i.alias("i"), header_dates(F.slice(lines, i + 2, HEAD_LINES)).alias("dates"))))
@@ -176,8 +183,7 @@ def dated_figures(lines: Column, heading: str, metric: Callable[[Column], Column
 
     def read(h: Column) -> Column:
         rows = F.transform(_label_rows(F.slice(lines, h["i"] + 2, TABLE_LINES), metric), lambda r: F.struct(r["metric"].alias("metric"), r["place"].alias("place"), figures(r["cells"], h["dates"]).alias("v")))
-        rows = F.filter(rows, lambda r: r["v"].isNotNull())
-        return F.flatten(F.transform(rows, lambda r: F.transform(h["dates"], lambda d, k: _figure(r["metric"], D.nearest_quarter_end(d), r["place"], k, F.get(r["v"], k)))))
+        return _by_date(F.filter(rows, lambda r: r["v"].isNotNull()), h["dates"])
 
     return F.when(own_accounts(lines), let(head, read))
 
@@ -214,12 +220,12 @@ def flat_figures(lines: Column, metric: Callable[[Column], Column]) -> Column:
     def body(x: Column) -> Column:
         both = F.arrays_zip(_all(x["body"], runs, 1).alias("words"), _all(x["body"], runs, 2).alias("run"))
         rows = F.filter(F.transform(both, lambda r, place: run(r, place, F.size(x["dates"]))), lambda r: r["metric"].isNotNull())
-        return F.flatten(F.transform(rows, lambda r: F.transform(x["dates"], lambda d, k: _figure(r["metric"], D.nearest_quarter_end(d), r["place"], k, F.get(r["v"], k)))))
+        return _by_date(rows, x["dates"])
 
     def table(s: Column) -> Column:
         part = lambda i: F.regexp_extract(s, head, i)
         parts = F.struct(part(1).alias("days"), _all(part(2), r"20\d\d", 0).alias("years"), part(3).alias("body"))
-        dated = let(parts, lambda p: F.struct(_paired_dates(p["days"], p["years"]).alias("dates"), F.size(p["years"]).alias("n"), p["body"].alias("body")))
+        dated = let(parts, lambda p: F.struct(_paired_dates(p["days"], lambda n: p["years"]).alias("dates"), F.size(p["years"]).alias("n"), p["body"].alias("body")))
         return let(dated, lambda x: F.when(F.size(x["dates"]) == x["n"], body(x)))
 
     tables = F.transform(F.filter(F.array_distinct(lines), lambda s: s.rlike(head)), table)
@@ -236,9 +242,9 @@ def headline_figures(lines: Column, reported: Column) -> Column:
     end = lambda p: F.last_day(F.make_date(F.regexp_extract(p, quarter, 2).cast("int"), F.regexp_extract(p, quarter, 1).cast("int") * 3, F.lit(1)))
 
     def figures(cells: Column, p: Column) -> Column:
-        some = F.filter(_rest(cells), lambda c: F.size(numbers(c)) > 0)
-        some = let(some, lambda v: F.when(F.size(v) > F.size(p), F.filter(v, lambda c: ~c.rlike(r"^\d$"))).otherwise(v))
-        return let(_figures(some), lambda v: F.when(F.size(v) == F.size(p), v))
+        some = F.filter(F.transform(_rest(cells), lambda c: F.struct(c.alias("c"), F.get(numbers(c), F.lit(0)).alias("v"))), lambda x: x["v"].isNotNull())
+        some = let(some, lambda v: F.when(F.size(v) > F.size(p), F.filter(v, lambda x: ~x["c"].rlike(r"^\d$"))).otherwise(v))
+        return let(some, lambda v: F.when(F.size(v) == F.size(p), v["v"]))
 
     def read(h: Column) -> Column:
         rows = F.transform(_label_rows(F.slice(lines, h["i"] + 2, 29), kpi_metric), lambda r: F.struct(r["metric"].alias("metric"), r["place"].alias("place"), figures(r["cells"], h["p"]).alias("v")))
@@ -306,102 +312,82 @@ def first_and_latest(printings: DataFrame) -> DataFrame:
     return d.select(*key, C("a.value").alias("first"), C("a.source").alias("first_source"), C("b.value").alias("latest"), C("b.filed").alias("latest_filed"), "conflicts")
 
 
-def dated_rows(releases: DataFrame, heading: str) -> DataFrame:
-    """The lines after the first heading with a dated head: the release's columns, ``dates``, ``cells``, ``place``."""
-    lines = C("lines")
-    heads = F.transform(lines, lambda s, i: F.when(s.rlike(heading) & ~s.contains("IFRS"), F.struct(i.alias("i"), header_dates(F.slice(lines, i + 2, HEAD_LINES)).alias("dates"))))
-    head = F.get(F.filter(heads, lambda h: h["dates"].isNotNull()), F.lit(0))
-    d = releases.where(own_accounts(C("lines"))).withColumn("_h", head).where("_h IS NOT NULL")
-    rest = [c for c in releases.columns if c != "lines"]
-    d = d.select(*rest, C("_h.dates").alias("dates"), F.posexplode(F.slice("lines", C("_h.i") + 2, TABLE_LINES)).alias("place", "_l"))
-    return d.select(*rest, "dates", "place", _cells(C("_l")).alias("cells"))
+# Forms of a quarter's results, the one to prefer first.
+FLATTENED, DATED, LABELLED = 0, 1, 2
+FORMS = ("flattened", "dated columns", "quarter labels")
 
 
-def _by_date(rows: DataFrame, keep: list[str], dates: str, values: str) -> DataFrame:
-    return rows.select(*keep, F.inline(F.arrays_zip(C(dates).alias("date"), C(values).alias("value"))))
+def _form(form: int, i: Column | None = None) -> dict[str, Column]:
+    return {"form": F.lit(form), "i": F.lit(0) if i is None else i}
 
 
-def flat_printings(releases: DataFrame, keep: list[str], metric: Callable[[Column], Column]) -> DataFrame:
-    """Tables that a conversion left on one line, 'Three months ended Jun 29, Sep 28, ... 2025 2025 ... label 1 2 ...'.
+def summary_figures(lines: Column, metric: Callable[[Column], Column]) -> Column:
+    """Every dated column of the results summary, with ``form`` and ``i``.
 
-    The body is a run of words and a run of figures by turns; a run counts if it has a figure per date (a footnote digit
-    in front aside), under the longest ending of its words that ``metric`` knows.
+    A row may hold more figures than dates (a note in front), so columns count from the right.
     """
-    head = r"^\s*Three months ended\s+((?:[A-Z][a-z]{2,4}\.? \d{1,2},\s*){3,})(?:\([^)]*\))?\s*((?:20\d\d\s+){3,})(.*)"
-    part = lambda i: F.regexp_extract("_l", head, i)
-    d = releases.select(*keep, F.explode(F.array_distinct("lines")).alias("_l")).where(C("_l").rlike(head))
-    d = d.withColumn("years", _all(part(2), r"20\d\d", 0)).withColumn("dates", _paired_dates(part(1), C("years"))).where(F.size("dates") == F.size("years"))
-    token = rf"(?:{_FIGURE})(?=\s|$)"
-    runs = rf"((?:(?!{token})\S+\s+)+)((?:{token}\s*)+)"
-    d = d.select(*keep, "dates", F.posexplode(F.arrays_zip(_all(part(3), runs, 1).alias("words"), _all(part(3), runs, 2).alias("run"))).alias("place", "r"))
-    words = F.split(F.trim(C("r.words")), r"\s+")
-    ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, k, F.size(words)), " "))
-    known = F.get(F.filter(F.transform(ends, metric), lambda m: m.isNotNull()), F.lit(0))
-    v = _all(C("r.run"), _FIGURE, 0)
-    n = F.size("dates")
-    v = F.when((F.size(v) == n + 1) & v[0].rlike(r"^\d\s*$"), F.slice(v, F.lit(2), n)).otherwise(v)
-    d = d.select(*keep, "dates", "place", known.alias("metric"), F.transform(v, lambda s: F.get(numbers(s), F.lit(0))).alias("v"))
-    d = d.where((F.size("v") == n) & C("metric").isNotNull())
-    return _by_date(d, [*keep, "metric", "place"], "dates", "v").select(*keep, "metric", "place", D.nearest_quarter_end(C("date")).alias("period_end"), "value")
+    right = lambda v, n: F.when(F.size(v) >= n, F.slice(v, F.size(v) - n + 1, n))
+    dated = dated_figures(lines, RESULTS_HEAD, metric, lambda cells, dates: let(_figures(_rest(cells)), lambda v: right(v, F.size(dates))))
+    return _every([(dated, _form(DATED)), (flat_figures(lines, metric), _form(FLATTENED))])
 
 
-def quarter_printings(releases: DataFrame, keep: list[str], metric: Callable[[Column], Column]) -> DataFrame:
-    """Every dated column of the results summary: keep, period_end, metric, value, source.
-
-    A row may hold more figures than dates (a note in front), so columns count from the right; the first row of a label
-    counts. A column without revenue is left out.
-    """
-    rows = dated_rows(releases, RESULTS_HEAD).withColumn("metric", metric(C("cells")[0])).where("metric IS NOT NULL")
-    rows = rows.withColumn("v", _figures(F.slice("cells", F.lit(2), F.size("cells")))).where(F.size("v") >= F.size("dates"))
-    rows = rows.withColumn("v", F.slice("v", F.size("v") - F.size("dates") + 1, F.size("dates")))
-    dated = _by_date(rows, [*keep, "exhibit", "metric", "place"], "dates", "v").withColumn("period_end", D.nearest_quarter_end(C("date"))).withColumn("source", F.lit("dated columns"))
-    flat = flat_printings(releases, [*keep, "exhibit"], metric).withColumn("source", F.lit("flattened"))
-    cols = [*keep, "exhibit", "source", "period_end", "metric", "place", "value"]
-    both = cut_lineage(dated.select(*cols).unionByName(flat.select(*cols)))
-    # one exhibit per release: the first in name order that has the table, flattened ones before dated ones
-    one = both.groupBy(*keep).agg(F.min(F.struct((C("source") != "flattened").alias("a"), "exhibit")).alias("_o"))
-    both = both.join(_shuffled(one), keep).where((C("exhibit") == C("_o.exhibit")) & ((C("source") != "flattened") == C("_o.a")))
-    both = both.groupBy(*keep, "period_end", "metric").agg(F.min_by("value", "place").alias("value"), F.first("source").alias("source"))
-    whole = both.where("metric = 'revenue'").select(*keep, "period_end")
-    return both.join(_shuffled(whole), [*keep, "period_end"], "left_semi")
-
-
-def labelled_quarter(releases: DataFrame, keep: list[str], metric: Callable[[Column], Column], reported: str) -> DataFrame:
-    """The reported quarter's column of a table whose head names periods ('Q1 2026 | Q2 2026'): keep, metric, value.
-
-    Only rows with exactly one figure per period column; the first such table with revenue counts.
-    """
+def labelled_figures(lines: Column, metric: Callable[[Column], Column], reported: Column) -> Column:
+    """The reported quarter's column of every table whose head names periods ('Q1 2026 | Q2 2026'), with ``form`` and the
+    head's line ``i``; only rows with exactly one figure per period column."""
     period = r"(?i)\bQ[1-4]\b|\b20\d\d\b|FY|Full year"
     q, y = F.quarter(reported), F.year(reported)
     labels = [F.format_string("Q%d %d", q, y), F.format_string("Q%d '%d", q, y), F.format_string("Q%d%d", q, y), F.format_string("Q%d %d", q, y % 100), F.format_string("Q%d '%d", q, y % 100), F.format_string("Q%d'%d", q, y % 100)]
-    names = lambda c: reduce(lambda a, b: a | b, [F.concat(F.lit(" "), c, F.lit(" ")).contains(F.concat(F.lit(" "), x, F.lit(" "))) for x in labels])
-    lines = C("lines")
+    names = lambda c, own: F.exists(own, lambda x: F.concat(F.lit(" "), c, F.lit(" ")).contains(F.concat(F.lit(" "), x, F.lit(" "))))
 
-    def head(s: Column, i: Column) -> Column:
+    def head(s: Column, i: Column, own: Column) -> Column:
         cols = F.filter(_cells(s), lambda c: c.rlike(period))
-        hits = F.transform(cols, lambda c, k: F.when(names(c), k))
-        return F.struct(i.alias("i"), F.size(cols).alias("n"), F.array_max(hits).alias("k"))
+        return let(cols, lambda x: F.struct(i.alias("i"), F.size(x).alias("n"), F.array_max(F.transform(x, lambda c, k: F.when(names(c, own), k))).alias("k")))
+
+    def table(h: Column) -> Column:
+        rows = F.transform(_label_rows(F.slice(lines, h["i"] + 2, 39), metric), lambda r: F.struct(r["metric"].alias("metric"), r["place"].alias("place"), _figures(_rest(r["cells"])).alias("v")))
+        rows = F.transform(F.filter(rows, lambda r: F.size(r["v"]) == h["n"]), lambda r: _figure(r["metric"], reported, r["place"], F.lit(0), F.get(r["v"], h["k"])))
+        return _every([(rows, _form(LABELLED, h["i"]))])
+
+    heads = let(F.array(*labels), lambda own: F.filter(F.transform(lines, lambda s, i: F.when(s.contains("|"), head(s, i, own))), lambda h: h["k"].isNotNull() & (h["n"] >= 2)))
+    return F.when(own_accounts(lines), F.flatten(F.transform(heads, table)))
+
 
-    heads = F.filter(F.transform(lines, lambda s, i: F.when(s.contains("|"), head(s, i))), lambda h: h["k"].isNotNull() & (h["n"] >= 2))
-    d = releases.where(own_accounts(C("lines"))).select(*keep, "exhibit", "lines", F.explode(heads).alias("h"))
-    d = d.select(*keep, "exhibit", "h", F.posexplode(F.slice("lines", C("h.i") + 2, 39)).alias("place", "_l")).withColumn("cells", _cells(C("_l")))
-    d = d.withColumn("metric", metric(C("cells")[0])).where("metric IS NOT NULL").withColumn("v", _figures(F.slice("cells", F.lit(2), F.size("cells"))))
-    d = d.where(F.size("v") == C("h.n")).withColumn("value", F.get("v", C("h.k"))).withColumn("t", F.struct("exhibit", C("h.i").alias("i")))
-    d = d.groupBy(*keep, "t", "metric").agg(F.min_by("value", "place").alias("value"))
-    best = d.where("metric = 'revenue'").groupBy(*keep).agg(F.min("t").alias("t"))
-    return d.join(_shuffled(best), [*keep, "t"]).select(*keep, "metric", "value")
+def _settled(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Of the rows of a release: one exhibit with a summary, the first in name order, flattened ones before dated ones;
+    the first row of a label in a table; no column without revenue."""
+    table, place = ["form", "exhibit", "i"], ["place", C("col").desc(), "value"]
+    # one order serves all windows
+    release = Window.partitionBy(*keep).orderBy(*table, "period_end", "metric", *place).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.where(_known(*keep)).withColumn("_o", F.min(F.when(C("form") != LABELLED, F.struct("form", "exhibit"))).over(release))
+    rows = rows.where((C("form") == LABELLED) | (C("form") == C("_o.form")) & (C("exhibit") == C("_o.exhibit")))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keep, *table, "period_end", "metric").orderBy(*place))).where("_n = 1")
+    return rows.withColumn("_r", F.max(C("metric") == "revenue").over(Window.partitionBy(*keep, *table, "period_end"))).where("_r")
+
+
+def _source() -> Column:
+    return F.get(F.array(*[F.lit(s) for s in FORMS]), C("form")).alias("source")
+
+
+def quarter_printings(releases: DataFrame, keep: list[str], metric: Callable[[Column], Column]) -> DataFrame:
+    """Every dated column of the results summary: keep, period_end, metric, value, source."""
+    rows = releases.select(*keep, "exhibit", F.inline(summary_figures(C("lines"), metric)))
+    return _settled(rows, keep).select(*keep, "period_end", "metric", "value", _source())
 
 
 def reported_quarters(releases: DataFrame, labels: dict[str, str], within: int = 10) -> DataFrame:
     """Figures of each release's reported quarter: cik, accn, filed, period_end, metric, value, source.
 
-    Taken from the dated or flattened summary if it has the quarter, else from a table with quarter labels.
+    Taken from the dated or flattened summary if it has the quarter, else from the first table with quarter labels and
+    revenue.
     """
     keep, metric = ["cik", "accn", "filed", "reported"], lookup(labels)
     docs = releases.withColumn("reported", D.reported_quarter_end(C("filed")))
-    dated = cut_lineage(quarter_printings(docs, keep, metric)).where(F.abs(F.datediff("period_end", "reported")) <= within).drop("period_end")
-    other = labelled_quarter(docs.join(_shuffled(dated.select(*keep).distinct()), keep, "left_anti"), keep, metric, "reported").withColumn("source", F.lit("quarter labels"))
-    return dated.unionByName(other).withColumnRenamed("reported", "period_end")
+    found = [summary_figures(C("lines"), metric), labelled_figures(C("lines"), metric, C("reported"))]
+    rows = docs.select(*keep, "exhibit", F.inline(F.flatten(F.array_compact(F.array(*found)))))
+    rows = _settled(rows, keep).where(F.abs(F.datediff("period_end", "reported")) <= within)
+    table = F.struct("form", "exhibit", "i")
+    rows = rows.withColumn("_b", F.min(table).over(Window.partitionBy(*keep))).where(table.eqNullSafe(C("_b")))
+    return rows.select("cik", "accn", "filed", C("reported").alias("period_end"), "metric", "value", _source())
 
 
 def monthly_rows(releases: DataFrame, keep: list[str], slack: float = 0.35, share: float = 0.02) -> DataFrame:
